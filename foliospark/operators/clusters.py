@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import geometry as g
 from .pairs import box_pairs
@@ -64,7 +65,8 @@ def as_elements(boxes: DataFrame) -> DataFrame:
 def region_blocks(elements: DataFrame) -> DataFrame:
     """image_id, element_id, cluster_id (strict), block_id (loose): both clustering phases, for each element."""
     strict = box_clusters(elements, *STRICT)
-    loose = box_clusters(as_elements(regions(elements, strict)), *LOOSE)
+    boxes = union_boxes(elements.join(strict, ["image_id", "element_id"]), "image_id", "cluster_id")
+    loose = box_clusters(as_elements(boxes), *LOOSE)
     return strict.join(loose.select("image_id", F.col("element_id").alias("cluster_id"), F.col("cluster_id").alias("block_id")), ["image_id", "cluster_id"])
 
 
@@ -88,6 +90,25 @@ def linewise_order(elements: DataFrame, clusters: DataFrame, threshold: int = 10
     return placed.selectExpr("image_id", "member.element_id as element_id", "cluster_id", "cast(line_no + 1 as bigint) as line_no", "cast(place + 1 as bigint) as place")
 
 
+def _swept(boxes: list[list], vertical: int, horizontal: int) -> list[list]:
+    """boxes: [left, top, right, bottom, number of elements, members], from the top; the same after all sweeps."""
+    now = boxes
+    while True:
+        merged, i = [], 0
+        while i < len(now):
+            a, b = now[i], now[i + 1] if i + 1 < len(now) else None
+            near = b is not None and a[2] >= b[0] and b[2] >= a[0] and abs(b[1] - a[3]) <= 2 * vertical
+            if near and min(abs(b[0] - a[2]), abs(a[0] - b[2])) <= 2 * horizontal:
+                merged.append([min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4], a[5] + b[5]])
+                i += 2
+            else:
+                merged.append(a)
+                i += 1
+        if len(merged) == len(now):
+            return sorted(now, key=lambda r: r[1])
+        now = merged
+
+
 def merge_adjacent(boxes: DataFrame, vertical: int = 20, horizontal: int = 100) -> DataFrame:
     """image_id, region_no, box, n_elements, members (cluster ids): neighbours in reading order merged until none can be.
 
@@ -98,24 +119,22 @@ def merge_adjacent(boxes: DataFrame, vertical: int = 20, horizontal: int = 100)
 
     def sweep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["top_y", "cluster_id"])
-        now = [[r.left_x, r.top_y, r.right_x, r.bottom_y, r.n_elements, [r.cluster_id]] for r in pdf.itertuples()]
-        while True:
-            merged, i = [], 0
-            while i < len(now):
-                a, b = now[i], now[i + 1] if i + 1 < len(now) else None
-                near = b is not None and a[2] >= b[0] and b[2] >= a[0] and abs(b[1] - a[3]) <= 2 * vertical
-                if near and min(abs(b[0] - a[2]), abs(a[0] - b[2])) <= 2 * horizontal:
-                    merged.append([min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4], a[5] + b[5]])
-                    i += 2
-                else:
-                    merged.append(a)
-                    i += 1
-            if len(merged) == len(now):
-                break
-            now = merged
-        now.sort(key=lambda r: r[1])
+        now = _swept([[r.left_x, r.top_y, r.right_x, r.bottom_y, r.n_elements, [r.cluster_id]] for r in pdf.itertuples()], vertical, horizontal)
         columns = ["left_x", "top_y", "right_x", "bottom_y", "n_elements", "members"]
         return pd.DataFrame(now, columns=columns).assign(image_id=key[0], region_no=range(1, len(now) + 1))
 
     schema = "image_id long, region_no long, left_x long, top_y long, right_x long, bottom_y long, n_elements long, members array<long>"
     return boxes.groupBy("image_id").applyInPandas(sweep, schema)
+
+
+def placed_in_regions(placed: DataFrame, vertical: int = 20, horizontal: int = 100) -> DataFrame:
+    """Elements with block_id, and the region_no that merge_adjacent() gives their block: in one pass over each page."""
+
+    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        boxes = pdf.groupby("block_id", as_index=False).agg(l=("left_x", "min"), t=("top_y", "min"), r=("right_x", "max"), b=("bottom_y", "max"), n=("left_x", "size"))
+        boxes = boxes.sort_values(["t", "block_id"])
+        now = _swept([[r.l, r.t, r.r, r.b, r.n, [r.block_id]] for r in boxes.itertuples()], vertical, horizontal)
+        number = {block: k for k, region in enumerate(now, 1) for block in region[5]}
+        return pdf.assign(region_no=pdf["block_id"].map(number))
+
+    return placed.groupBy("image_id").applyInPandas(place, StructType([*placed.schema.fields, StructField("region_no", LongType())]))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: The prompts and what takes an analysis' place when it fails.
 REGION_PROMPT = "Describe the visual layout and content of this region. Focus on the spatial arrangement and visual elements:"
@@ -125,7 +126,7 @@ def answered(prompts: DataFrame, provider: Callable[[], Callable[[str], str]], k
                     out.append(None)
             yield pdf.assign(response=pd.Series(out, dtype=object))
 
-    schema = prompts.schema.add("response", "string")
+    schema = StructType([*prompts.schema.fields, StructField("response", StringType())])
     return prompts.mapInPandas(ask, schema)
 
 

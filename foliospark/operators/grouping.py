@@ -42,21 +42,29 @@ def assigned_columns(groups: DataFrame, columns: DataFrame, margin: int = 20) ->
     return groups.alias("a").join(columns.alias("b"), F.expr(within)).selectExpr("a.image_id as image_id", "a.group_id as group_id", "b.column_id as column_id")
 
 
+def _folded(rows: DataFrame, keys: list[str], order: str, ident: str, value: str, start: str, step: str, name: str) -> DataFrame:
+    """The rows with ``name``: an ordered fold over each group gives a number for each row, and both are zipped.
+
+    The rows travel inside the fold's input, so they are computed once and not joined again.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    item = f"struct({order} as o, {ident} as id, {value} as v, struct({', '.join(rest)}) as r)"
+    packed = rows.groupBy(*keys).agg(F.expr(f"array_sort(collect_list({item}))").alias("items"))
+    packed = packed.withColumn("marks", F.expr(f"aggregate(items, {start}, (acc, x) -> {step}, acc -> acc.out)"))
+    zipped = packed.select(*keys, F.explode(F.arrays_zip("items", "marks")).alias("z"))
+    return zipped.select(*keys, *(F.col(f"z.items.r.{c}").alias(c) for c in rest), F.col("z.marks").alias(name))
+
+
 def running_mean_groups(rows: DataFrame, keys: list[str], ident: str, value: str, order: str, threshold: int, name: str) -> DataFrame:
     """The rows with ``name``, from 1: a new group where the value is further than the threshold from the mean of the
     current one. value: whole numbers; order: SQL of what precedes the identity (a number) in the order."""
-    item = f"struct({order} as o, {ident} as id, {value} as v)"
-    out = "array<struct<id:bigint,g:bigint>>"
     far = f"acc.n > 0 and abs(acc.n * x.v - acc.total) > {threshold} * acc.n"
-    grown = "named_struct('g', {g}, 'n', {n}, 'total', {t}, 'out', array_append(acc.out, named_struct('id', x.id, 'g', {g})))"
+    grown = "named_struct('g', {g}, 'n', {n}, 'total', {t}, 'out', array_append(acc.out, {g}))"
     step = "if({far}, {new}, {old})".format(
         far=far, new=grown.format(g="acc.g + 1", n="cast(1 as bigint)", t="x.v"), old=grown.format(g="acc.g", n="acc.n + 1", t="acc.total + x.v")
     )
-    start = f"named_struct('g', cast(1 as bigint), 'n', cast(0 as bigint), 'total', cast(0 as bigint), 'out', cast(array() as {out}))"
-    fold = f"aggregate(array_sort(collect_list({item})), {start}, (acc, x) -> {step}, acc -> acc.out)"
-    found = rows.groupBy(*keys).agg(F.expr(fold).alias("found")).select(*keys, F.explode("found").alias("f"))
-    found = found.select(*keys, F.col("f.id").alias(ident), F.col("f.g").alias(name))
-    return rows.join(found, [*keys, ident])
+    start = "named_struct('g', cast(1 as bigint), 'n', cast(0 as bigint), 'total', cast(0 as bigint), 'out', cast(array() as array<bigint>))"
+    return _folded(rows, keys, order, ident, value, start, step, name)
 
 
 def column_clusters(grouped: DataFrame, threshold: int = 100) -> DataFrame:
@@ -93,11 +101,16 @@ def line_table(found: DataFrame) -> DataFrame:
 
 def merged_columns(found: DataFrame, gap: int = 50) -> DataFrame:
     """The lines with merged_id, from the left: columns join while the next begins less than ``gap`` right of all before."""
-    spans = found.groupBy("image_id", "group_id", "column_id").agg(F.min(mean("left_sum")).alias("low"), F.max(mean("right_sum")).alias("high"))
-    w = Window.partitionBy("image_id", "group_id").orderBy("low", "column_id")
+    keys = ["image_id", "group_id"]
+    column = Window.partitionBy(*keys, "column_id")
+    spans = found.withColumn("low", F.min(mean("left_sum")).over(column)).withColumn("high", F.max(mean("right_sum")).over(column))
+    w = Window.partitionBy(*keys).orderBy("low", "column_id", "line_id")
+    # Only a column's first line can begin a merged one; before it there are all lines of the columns before.
+    first = F.row_number().over(column.orderBy("line_id")) == 1
     before = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = _islands(spans, ["image_id", "group_id"], ["low", "column_id"], before.isNull() | (F.col("low") - before >= gap), "merged_id")
-    return found.join(numbered.select("image_id", "group_id", "column_id", "merged_id"), ["image_id", "group_id", "column_id"])
+    starts = F.col("first") & (F.col("before").isNull() | (F.col("low") - F.col("before") >= gap))
+    spans = spans.withColumn("first", first).withColumn("before", before)
+    return _islands(spans, keys, ["low", "column_id", "line_id"], starts, "merged_id").drop("low", "high", "first", "before")
 
 
 def rows(found: DataFrame, threshold: int = 25) -> DataFrame:
@@ -124,10 +137,7 @@ def anchor_columns(table: DataFrame, threshold: int = 50) -> DataFrame:
     the left of the group's first line."""
     keys = ["image_id", "group_id"]
     ranked = table.withColumn("item", F.row_number().over(Window.partitionBy(*keys).orderBy("v_center", "left_x", "column_id", "line_id")).cast("long"))
-    grown = "named_struct('g', {g}, 'first', {f}, 'out', array_append(acc.out, named_struct('id', x.item, 'g', {g})))"
+    grown = "named_struct('g', {g}, 'first', {f}, 'out', array_append(acc.out, {g}))"
     step = f"if(acc.first is null or abs(x.v - acc.first) >= {threshold}, {grown.format(g='acc.g + 1', f='x.v')}, {grown.format(g='acc.g', f='acc.first')})"
-    start = "named_struct('g', cast(0 as bigint), 'first', cast(null as double), 'out', cast(array() as array<struct<id:bigint,g:bigint>>))"
-    fold = f"aggregate(array_sort(collect_list(struct(item, left_x as v))), {start}, (acc, x) -> {step}, acc -> acc.out)"
-    found = ranked.groupBy(*keys).agg(F.expr(fold).alias("found")).select(*keys, F.explode("found").alias("f"))
-    found = found.select(*keys, F.col("f.id").alias("item"), F.col("f.g").alias("anchor_id"))
-    return ranked.join(found, [*keys, "item"]).drop("item")
+    start = "named_struct('g', cast(0 as bigint), 'first', cast(null as double), 'out', cast(array() as array<bigint>))"
+    return _folded(ranked, keys, "0", "item", "left_x", start, step, "anchor_id").drop("item")

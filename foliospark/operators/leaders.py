@@ -10,6 +10,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import geometry as g
 from .clusters import components, union_boxes
@@ -57,7 +58,7 @@ def object_clusters(objects: DataFrame, distance: int = 60) -> DataFrame:
     return merged(first, near, "cluster_id")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def text_ratio(seed: pd.Series, other: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity as difflib gives it for (seed, other)."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(seed, other)])

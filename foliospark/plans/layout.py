@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..operators import clusters, documents, grouping, recognition, textmerge
 
 
 def build_regions(elements: DataFrame) -> DataFrame:
     """image_id, region_no, box, n_elements, members: elements clustered strictly, then loosely, then with neighbours."""
-    blocks = clusters.region_blocks(elements)
-    boxes = clusters.union_boxes(elements.join(blocks, ["image_id", "element_id"]), "image_id", "block_id").withColumnRenamed("block_id", "cluster_id")
-    return clusters.merge_adjacent(boxes)
+    rows = elements.join(clusters.region_blocks(elements), ["image_id", "element_id"])
+    return clusters.merge_adjacent(clusters.union_boxes(rows, "image_id", "block_id").withColumnRenamed("block_id", "cluster_id"))
 
 
 def merged_elements(elements: DataFrame) -> DataFrame:
@@ -19,15 +19,15 @@ def merged_elements(elements: DataFrame) -> DataFrame:
 
     The merged texts get new ids after all others of their page.
     """
-    blocks = clusters.region_blocks(elements)
-    regions = build_regions(elements).selectExpr("image_id", "region_no", "explode(members) as block_id")
-    placed = elements.join(blocks.select("image_id", "element_id", "block_id"), ["image_id", "element_id"]).join(regions, ["image_id", "block_id"])
-    texts = textmerge.merged_texts(placed, ["image_id", "region_no"])
-    tops = elements.groupBy("image_id").agg({"element_id": "max"}).withColumnRenamed("max(element_id)", "last")
-    texts = texts.join(tops, "image_id").selectExpr(
-        "image_id", "last + row_number() over (partition by image_id order by region_no, item_no) as element_id", "'text' as type", "text", "confidence", "left_x", "top_y", "right_x", "bottom_y"
-    )
-    images = elements.where("type <> 'text'").select(*texts.columns)
+    columns = ["text", "confidence", "left_x", "top_y", "right_x", "bottom_y"]
+    rows = elements.select("image_id", "element_id", "type", *columns)
+    blocks = clusters.region_blocks(rows).select("image_id", "element_id", "block_id")
+    placed = clusters.placed_in_regions(rows.join(blocks, ["image_id", "element_id"]))
+    last = F.max("element_id").over(Window.partitionBy("image_id"))
+    texts = textmerge.merged_texts(placed.withColumn("last", last), ["image_id", "region_no", "last"])
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("region_no", "item_no"))
+    texts = texts.select("image_id", (F.col("last") + place).alias("element_id"), F.lit("text").alias("type"), *columns)
+    images = rows.where("type <> 'text'").select("image_id", "element_id", "type", *columns)
     return images.unionByName(texts)
 
 
