@@ -79,5 +79,73 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+# DuckDB SQL of the queries that SQL can express: exact rules, exact links, digests and the longest rule.
+
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def _op2_sql() -> str:
+    grams = sorted({*quality.COVERAGE, quality.WINDOW})
+    parts = [
+        f"d as (select *, row_number() over () as r, {_WORDS} as w from documents)",
+        "words as (select r, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from d)",
+    ]
+    for n in grams:
+        parts += [
+            f"win{n} as (select r, i, array_to_string(w[i:i + {n - 1}], ' ') as g from (select r, w, unnest(range(1, len(w) - {n - 2})) as i from d where len(w) >= {n}))",
+            f"dup{n} as (select r, i from (select r, i, count(*) over (partition by r, g) as c from win{n}) where c > 1)",
+            f"cov{n} as (select distinct r, unnest(range(i, i + {n})) as i from dup{n})",
+            f"sum{n} as (select r, count(*) as words_, sum(length(word)) as chars from cov{n} join words using (r, i) group by r)",
+        ]
+    symbols = "length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))"
+    parts += [
+        "line as (select r, unnest(range(len(l))) as k, unnest(l) as line from (select r, string_split(coalesce(text, ''), chr(10)) as l from d))",
+        "seen as (select r, line, row_number() over (partition by r, line order by k) as c from line where regexp_matches(line, '[^\\x20\\x09-\\x0D]'))",
+        "lines as (select r, count(*) as n, sum(length(line)) as chars from seen where c > 1 group by r)",
+    ]
+    coalesced = ", ".join(f"cast(coalesce(sum{n}.chars, 0) as bigint) as chars_{n}" for n in quality.COVERAGE)
+    joins = " ".join(f"left join sum{n} on sum{n}.r = d.r" for n in grams)
+    base = f"""select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, {symbols} as n_symbols,
+        coalesce(lines.n, 0) as n_dup_lines, coalesce(sum{quality.WINDOW}.words_, 0) as n_repeat_words, cast(coalesce(lines.chars, 0) as bigint) as char_lines, {coalesced}, length(coalesce(text, '')) as n_chars_
+        from d left join lines on lines.r = d.r {joins}"""
+    covered = " and ".join(f"100 * chars_{n} <= {most} * word_chars" for n, most in quality.COVERAGE.items())
+    failed = f"(n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words)"
+    kept = f"not {failed} and 100 * char_lines <= {quality.LINE_COVERAGE} * n_chars_ and {covered}"
+    return f"with {', '.join(parts)} select * exclude (n_chars_), {failed} as base_failed, {kept} as kept from ({base})"
+
+
+def _op3_sql() -> str:
+    lowered = f"translate(coalesce(text, ''), '{urlrules._UPPER}', '{urlrules._LOWER}')"
+    words = _WORDS.replace("coalesce(text, '')", lowered)
+    return f"""with recursive d as (select doc_id, {words} as w from documents),
+        s as (select doc_id, case when len(w) > 1 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) when len(w) = 1 then w else [] end as g from d),
+        x as (select doc_id, len(g) as n, unnest(g) as g from s),
+        e as (select a.doc_id as a, b.doc_id as b from x a join x b on a.g = b.g and a.doc_id <> b.doc_id and 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)
+              group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        r as (select doc_id as node, doc_id as root from d union select e.b, r.root from r join e on e.a = r.node),
+        c as (select node, min(root) as component_id from r group by node)
+        select doc_id, cast(len(g) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join c on c.node = s.doc_id"""
+
+
+def _op5_sql() -> str:
+    letters = [
+        f"substr('{warc.BASE32}', cast((v // {1 << shift}) % 32 as bigint) + 1, 1)".replace("v", f"cast('0x' || substr(hexed, {5 * k + 1}, 5) as bigint)")
+        for k in range(8) for shift in (15, 10, 5, 0)
+    ]
+    return f"""select page_id, octet_length(encode(html)) as payload_bytes, {' || '.join(letters)} as payload_digest,
+        case when page_id = owner then 'response' else 'revisit' end as record_type, case when page_id <> owner then owner end as refers_to
+        from (select page_id, html, sha1(html) as hexed, max(page_id) over (partition by html) as owner from (select page_id, coalesce(html, '') as html from pages))"""
+
+
+def _op9_sql() -> str:
+    rules = ", ".join(map(str, RULES))
+    return f"""with u as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{urlrules._UPPER}', '{urlrules._LOWER}') as host,
+        coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+        rules(h, p, v) as (values {rules}),
+        fit as (select u.*, h || p as rule, v, row_number() over (partition by page_id order by length(h || p) desc, length(h) desc) as k
+            from u left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+        select page_id, host, path, rule, coalesce(v, '{urlrules.DEFAULT}') as verdict from fit where k = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": _op2_sql(), "op3_minhash_near_dedup": _op3_sql(), "op5_warc_archive": _op5_sql(), "op9_url_rules": _op9_sql()}

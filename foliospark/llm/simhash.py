@@ -16,6 +16,8 @@ from .common import cut
 
 #: Rows in an id range, on average, up to MAX_RANGES ranges.
 RANGE, MAX_RANGES = 4000, 4096
+#: Bits in which near fingerprints differ at most.
+RADIUS = 3
 _LANES = (1 << 32) | 1
 
 
@@ -90,12 +92,14 @@ def as_hex(fingerprint: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fingerprint)), 16, "0"))
 
 
-def edited_likeness(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
+def edited_likeness(docs: DataFrame, radius: int = RADIUS, every: int = 50) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_fingerprints for
+    each row of docs.
 
     The edited text is the text with its last half (rounded down) replaced by as many first code points of the next
     document, or all it has; next by ascending doc_id (null first; repeated ids by text), after the last the first. Null texts are
-    empty; a text without words has fingerprint 0. Repeated rows each appear. Other columns are ignored. An empty
+    empty; a text without words has fingerprint 0. Repeated rows each appear. near_fingerprints: for a doc_id divisible by
+    ``every``, how many other distinct fingerprints of all rows are within the radius of its own; for others null. Other columns are ignored. An empty
     table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -109,15 +113,17 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     own = F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("fingerprint")
     other = F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited_fingerprint")
     prints = cut(prints.groupBy(*key).agg(own, other)).withColumnRenamed("place", "at")
-    out = with_next(prints, {"fingerprint": "next_fingerprint"}, ["at"])
+    asked = F.col("doc_id") % every == 0
+    near = neighbours(prints, prints.where(asked), radius).groupBy(F.col("fingerprint").alias("of")).agg(F.count("*").alias("others"))
+    out = with_next(prints, {"fingerprint": "next_fingerprint"}, ["at"]).join(near, asked & (F.col("fingerprint") == F.col("of")), "left")
     return out.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), as_hex("fingerprint").alias("fingerprint"),
         as_hex("edited_fingerprint").alias("edited_fingerprint"), likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        likeness("fingerprint", "next_fingerprint").alias("near_next"), F.when(asked, F.coalesce("others", F.lit(0).cast("long"))).alias("near_fingerprints"),
     )
 
 
-def neighbours(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def neighbours(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame:
     """fingerprint, near, distance: all pairs of a query's and another distinct fingerprint within the radius.
 
     prints, queries: fingerprint (long; null ones are left out). The 64 bits fall into ``blocks`` blocks; of two
@@ -137,6 +143,10 @@ def neighbours(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: i
         keyed = F.array(*(F.struct(F.lit(i).alias("table"), F.col(name).bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(chosen)))
         return rows.select(name, F.explode(keyed).alias("t")).select(name, "t.table", "t.key")
 
-    met = tables(queries, "fingerprint").join(tables(prints, "near"), ["table", "key"]).where("fingerprint <> near")
-    met = met.withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("near")))).where(F.col("distance") <= radius)
-    return met.select("fingerprint", "near", "distance").distinct()
+    apart = F.col("fingerprint").bitwiseXOR(F.col("near"))
+    # A pair can have equal keys in several tables; the first of them has it.
+    first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(chosen)))
+    a, b = tables(queries, "fingerprint").alias("a"), tables(prints, "near").alias("b")
+    same = (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (F.col("fingerprint") != F.col("near"))
+    met = a.join(b, same & (F.bit_count(apart) <= radius) & (F.col("a.table") == first))
+    return met.select("fingerprint", "near", F.bit_count(apart).alias("distance"))
