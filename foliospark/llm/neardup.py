@@ -4,13 +4,14 @@
    leading bits; a bin's least hash is its slot, and an empty bin takes the slot of the first filled bin in an
    order of bins that is its own (optimal densification). ``rows`` slots make a band's key.
 2. Documents with equal sets are one class, represented by the least id; only representatives go on.
-3. In each bucket (equal keys) every member is paired with a hub, so a bucket of m members makes m - 1 pairs. A
-   pair counts as a link if the similarity of the two full sets, computed anew from the texts, is high enough.
-4. A star can miss a link between two members that are both unlike the hub. So buckets whose members fall into
-   several components go on: small ones pair all members of different components (a constant bound), larger ones
-   take more hubs, four times as many in each round, until each member was a hub or the bucket is one component. No pair
-   that shares a bucket is left undecided, and no round emits all pairs within a large group.
-5. Components of the confirmed links give the groups.
+3. In each bucket (equal keys) every member is compared with one hub, the least id, so a bucket of m members makes m - 1
+   pairs. A pair is a link if the similarity of the two full sets, computed anew from the texts, is high enough.
+4. A star says nothing of two members x and y that share the bucket, if x isn't linked with the hub h. Let dx and dy
+   be the symmetric differences of their sets with h's. They are short lists, and all that is needed: |dx + dy| less
+   twice their common part is the symmetric difference of x and y. If dx and dy had nothing in common, x and y would be
+   no more alike than x and h. So each x is looked up, in blocks, in an index of the differences of the hub's other
+   members, and only links come out. No pair that shares a bucket is left undecided, and no rows are made for pairs.
+5. Components of the links give the groups.
 
 With 32 bands of 5 rows a pair of similarity 0.8 shares no bucket with probability 3e-6, less above it.
 """
@@ -29,8 +30,8 @@ from .common import Block, Scratch, cut, mixed, text_slices
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
-#: Members of a bucket up to which all pairs of different components are compared at once.
-SMALL = 12
+#: Members of a hub that one task compares with each other at most, on average.
+BLOCK = 10_000
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -112,10 +113,11 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return narrow.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts: doc_id, text of at least their ends, once each.
+def compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b, n (size of b's set), linked, delta of pairs (a, b); texts: doc_id, text of at least their ends, once each.
 
-    Intersection and union are counted in whole numbers and compared as similarity * 1000 thousandths.
+    delta: the hashes that only one of the two full sets has. Intersection and union are whole numbers, similarity
+    counts in thousandths.
     """
     least = round(similarity * 1000)
 
@@ -123,20 +125,102 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
         hub, hub_set = None, None
         for part in text_slices(batches, "text_b"):
             sets = shingle_hashes(Block(part.column("text_b"), lower=True), words)
-            of, keep = part.column("a").to_pylist(), np.zeros(part.num_rows, bool)
+            of, linked, deltas = part.column("a").to_pylist(), np.zeros(part.num_rows, bool), []
             for i, s in enumerate(sets):
                 if of[i] != hub:
                     hub, hub_set = of[i], shingle_hashes(Block(part.column("text_a").slice(i, 1), lower=True), words)[0]
                 both = np.concatenate((hub_set, s))
                 both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = common > 0 and 1000 * common >= least * (len(both) - common)
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+                same = both[1:] == both[:-1]
+                common = int(np.count_nonzero(same))
+                linked[i] = common > 0 and 1000 * common >= least * (len(both) - common)
+                alone = np.ones(len(both), bool)
+                alone[1:] &= ~same
+                alone[:-1] &= ~same
+                deltas.append(both[alone].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("a"), part.column("b"), pa.array([len(s) for s in sets], pa.int32()), pa.array(linked), pa.array(deltas, pa.list_(pa.int64()))],
+                ["a", "b", "n", "linked", "delta"],
+            )
 
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(compare, "a long, b long, n int, linked boolean, delta array<long>")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    return compared(pairs, texts, words, similarity).where("linked").select("a", "b")
+
+
+def missed(stars: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of one hub's star that the star itself doesn't show, at least one for each pair
+    of a member and a component that have any.
+
+    stars: what compared() returns; labels: node, component. Queries are the members that aren't linked with their hub,
+    in blocks against blocks of all its members, by their differences from it.
+    """
+    least = round(similarity * 1000)
+    sizes = stars.groupBy("a").agg(F.count("*").alias("all"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("queries"))
+    sizes = sizes.where("all > 1 and queries > 0").select("a", *((F.ceil(F.col(c) / BLOCK)).cast("int").alias(c) for c in ("all", "queries")))
+    rows = stars.join(sizes, "a").join(labels.withColumnRenamed("node", "b"), "b")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("b"), F.col(c)).cast("int")
+    kept = ["a", "b", "n", "component", "delta"]
+    members = rows.select(*kept, every("queries").alias("i"), own("all").alias("k"), F.lit(0).alias("role"))
+    queries = rows.where("not linked").select(*kept, own("queries").alias("i"), every("all").alias("k"), F.lit(1).alias("role"))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for group in _groups(batches, ["a", "i", "k"]):
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = []
+            delta = group.column("delta").combine_chunks()
+            at, values = delta.offsets.to_numpy(), delta.flatten().to_numpy()
+            at = at - at[0]
+            b, n, component, role = (group.column(c).to_numpy() for c in ("b", "n", "component", "role"))
+            there, asked = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            size = np.diff(at)
+            owner = np.repeat(np.arange(len(there)), size[there])
+            elements = np.concatenate([values[at[j] : at[j + 1]] for j in there]) if len(there) else values[:0]
+            order = np.argsort(elements, kind="stable")
+            elements, owner = elements[order], owner[order]
+            for q in asked:
+                mine = values[at[q] : at[q + 1]]
+                low, high = np.searchsorted(elements, mine, "left"), np.searchsorted(elements, mine, "right")
+                count = high - low
+                hits = owner[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+                common = np.bincount(hits, minlength=len(there))
+                apart = size[q] + size[there] - 2 * common
+                total = n[q] + n[there].astype(np.int64)
+                linked = (1000 * (total - apart) >= least * (total + apart)) & (component[there] != component[q])
+                _, first = np.unique(component[there[linked]], return_index=True)
+                found += [(int(b[q]), int(b[there[np.flatnonzero(linked)[f]]])) for f in first]
+        yield _pairs(found)
+
+    dealt = members.union(queries).repartition("a", "i", "k").sortWithinPartitions("a", "i", "k")
+    return dealt.mapInArrow(look_up, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys (whole numbers), whole even where they span batches."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, now]) if rest is not None else now
+        columns = [rest.column(k).to_numpy() for k in keys]
+        starts = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))) if rest.num_rows else []
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield rest.slice(a, b - a)
+        rest = rest.slice(starts[-1]) if len(starts) else None
+    if rest is not None and rest.num_rows:
+        yield rest
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -147,7 +231,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     appears. Rows with a null doc_id have a null component and are kept. Other columns are ignored, whatever their
     names. An empty table gives an empty result.
     """
-    spark, thousandths = docs.sparkSession, round(similarity * 1000)
+    spark = docs.sparkSession
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     repeats = not rows_.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     full = rows_.groupBy("doc_id").agg(F.min("text").alias("text")).where("doc_id is not null") if repeats else rows_
@@ -158,42 +242,18 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     nodes = classes.select(F.col("rep").alias("node"))
 
     with Scratch(spark) as scratch:
-        # The representatives' keys, in buckets of two members or more, each with its least member as hub.
+        # The representatives' keys, in buckets of two members or more.
         members = named.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-        members = members.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-        stars = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-        buckets = members.join(stars, "key")
-        buckets = cut(buckets.select("key", "size", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
-        # A set of fewer than similarity times the other's shingles can't be similar enough.
-        can = F.least("n", "hub_n") * 1000 >= F.greatest("n", "hub_n") * thousandths
-        pairs = cut(buckets.where("rep <> hub").where(can).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-        texts = scratch.keep(full.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
-        links = cut(confirmed(pairs, texts, words, similarity))
-        of = components(links, nodes)
-        done, rest, hubs = pairs, buckets.where("size > 2").select("key", "rep", "n"), SMALL
-        while True:
-            # Buckets that hold several components, and who of their members is outside the largest one.
-            rest = rest.join(of.withColumnRenamed("node", "rep"), "rep")
-            sizes = rest.groupBy("key", "component").count().groupBy("key")
-            sizes = sizes.agg(F.max_by("component", F.struct("count", "component")).alias("main"), (F.sum("count") - F.max("count")).alias("outside"))
-            rest = cut(rest.join(sizes.where("outside > 0"), "key"))
-            if rest.isEmpty():
-                break
-            # Hubs: all who are outside, if they are few, else the least of each of ``hubs`` hash classes of them.
-            group = F.when(F.col("outside") <= SMALL, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(hubs)))
-            outside = rest.where("component <> main").withColumn("group", group).groupBy("key", "group")
-            outside = cut(outside.agg(F.min(F.struct("rep", "n", "component")).alias("h"), F.count("*").alias("crowd")))
-            hub = outside.select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("other"))
-            met = rest.join(hub, "key").where("component <> other").where(can)
-            new = met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-            new = cut(new.join(done, ["a", "b"], "left_anti"))
-            more = cut(confirmed(new, texts, words, similarity))
-            done, hubs = done.union(new), hubs * 4
-            if not more.isEmpty():
-                links = links.union(more)
-                of = components(links, nodes)
-            # Done: buckets in which each outside member was a hub.
-            rest = rest.select("key", "rep", "n").join(outside.where("crowd > 1").select("key").distinct(), "key", "left_semi")
+        members = members.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+        stars = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
+        pairs = cut(members.join(stars, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        found = cut(compared(pairs, scratch.keep(full.join(ends, "doc_id")), words, similarity))
+        of = components(found.where("linked").select("a", "b"), nodes)
+        more = cut(missed(found, of, similarity))
+        if not more.isEmpty():
+            # The components found so far and the new links between them.
+            of = components(of.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").union(more), nodes)
 
         group = of_class.join(of, F.col("rep") == F.col("node")).select(F.col("doc_id").alias("id"), "component")
         found = signed.select("doc_id", "n_shingles")
