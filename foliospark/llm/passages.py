@@ -6,8 +6,11 @@
    tuned for recall; in each bucket of a key, members are paired with its least class.
 3. Pairs whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more are linked; components of
    links and equality give groups of paragraphs, and those of several documents are repeats.
-4. A run of neighbouring repeats in a text, short paragraphs between them included, is a passage if it has RUN words or
-   more. The group's paragraph in the least document stays, the others are removals.
+4. Whatever its lines and sentences, every stretch of RUN words or more that two texts share word for word is found too, to
+   its exact edges: of each RUN - GRAM + 1 neighbouring GRAMs of words the least hash is an anchor (winnowing), so such a
+   stretch has an anchor in common; around anchors in common near which nothing else is, all GRAMs are looked up as well.
+5. A run of neighbouring repeats in a text, gaps of fewer than five words included, is a passage if it has RUN words or
+   more. What the least document of a group has stays, the others are removals.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of slots: a pair of similarity 0.8 shares no bucket with probability 0.002.
 BANDS, ROWS = 6, 2
 LONG, RUN = 12, 30
+#: Words that are looked up together; fewer where a run is shorter than twice as many.
+GRAM = 15
 #: Classes that a task remembers at a time, about.
 REMEMBERED = 500_000
 _FACTOR = np.uint64(0x8CB92BA72F3D8DD7)
@@ -101,11 +106,118 @@ def _units(doc_ids: pa.Array, block: Block, signer: Signer, met: set[int]) -> li
     ]
 
 
+def _sliding(x: np.ndarray, width: int, pick: np.ufunc, pad: int) -> np.ndarray:
+    """pick (np.minimum, np.maximum) of the width values from each place on."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = pick(x, np.concatenate((x[step:], np.full(min(step, len(x)), pad, x.dtype))))
+        done += step
+    return x
+
+
+def _grams(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the size words from each word on, and whether its text has so many left."""
+    hashes = block.word_hashes()
+    n, grams = len(hashes), np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
+    whole = np.arange(n) + size <= np.repeat(block.first[1:], block.n_words)
+    if n >= size:
+        rolled = hashes[: n - size + 1].copy()
+        for k in range(1, size):
+            rolled = rolled * _FACTOR + hashes[k : k + len(rolled)]
+        grams[: len(rolled)] = np.where(whole[: len(rolled)], mixed(rolled), grams[: len(rolled)])
+    return grams, whole
+
+
+_SPAN = "doc_id long, gram long, word int, begin int, end int"
+
+
+def _spans(doc_ids: pa.Array, block: Block, grams: np.ndarray, at: np.ndarray, size: int) -> pa.RecordBatch:
+    lead = np.concatenate(([0], np.cumsum(LEADS[block.buf], dtype=np.int64)))
+    of = np.searchsorted(block.first, at, "right") - 1
+    base = lead[block.offs[of]]
+    places = (at - block.first[of], lead[block.starts[at]] - base, lead[block.ends[at + size - 1]] - base)
+    columns = [doc_ids.take(pa.array(of)), pa.array(grams[at].view(np.int64)), *(pa.array(x.astype(np.int32)) for x in places)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "word", "begin", "end"])
+
+
+def _anchors(docs: DataFrame, size: int, width: int) -> DataFrame:
+    """Spans of size words, the least of each width neighbouring ones by their hash."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            block = Block(part.column("text"), lower=True)
+            grams, whole = _grams(block, size)
+            least = _sliding(grams, width, np.minimum, np.iinfo(np.uint64).max)
+            chosen = whole & (_sliding(least[::-1], width, np.maximum, 0)[::-1] == grams)
+            yield _spans(part.column("doc_id"), block, grams, np.flatnonzero(chosen), size)
+
+    return docs.mapInArrow(choose, _SPAN)
+
+
+def _around(docs: DataFrame, size: int) -> DataFrame:
+    """All spans of size words that begin in one of the text's ranges low to high (word numbers, inclusive)."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            block = Block(part.column("text"), lower=True)
+            grams, whole = _grams(block, size)
+            edges = np.zeros(len(grams) + 1, np.int64)
+            for i, (low, high) in enumerate(zip(part.column("low"), part.column("high"))):
+                bounds = [np.clip(x.values.to_numpy() + k, 0, block.n_words[i]) + block.first[i] for x, k in ((low, 0), (high, 1))]
+                np.add.at(edges, bounds[0], 1)
+                np.add.at(edges, bounds[1], -1)
+            yield _spans(part.column("doc_id"), block, grams, np.flatnonzero(whole & (np.cumsum(edges)[:-1] > 0)), size)
+
+    return docs.mapInArrow(choose, _SPAN)
+
+
+def _shared(spans: DataFrame) -> DataFrame:
+    """The spans whose words several documents have, with the least of these."""
+    keepers = spans.groupBy("gram").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("high")).where("keeper_doc_id < high")
+    return spans.join(keepers.drop("high"), "gram")
+
+
+def shared_stretches(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataFrame:
+    """doc_id, word, n_words, begin, end, component, keeper_doc_id of words that are equal in several documents.
+
+    A row joins overlapping spans with the same keeper; its component is the least of their hashes. Nothing of a stretch of run
+    words or more that two documents share is left out; of shorter ones, those with an anchor in common are found.
+    """
+    size = max(1, min(GRAM, run // 2))
+    width = run - size + 1
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    first = cut(_shared(scratch.keep(_anchors(named, size, width))))
+    # Where the spans found so far cease, a shared stretch can go on for less than width words, in whichever document has the
+    # last anchor: all documents that have it give their spans around it.
+    order = Window.partitionBy("doc_id").orderBy("word")
+    begun = first.withColumn("new", F.coalesce(F.col("word") - F.lag("word").over(order) > size, F.lit(True)).cast("int"))
+    whole = Window.partitionBy("doc_id", "island")
+    islands = begun.withColumn("island", F.sum("new").over(order))
+    near = lambda x: F.max((x < width).cast("int")) * width
+    sides = islands.select("gram", (F.col("word") - F.min("word").over(whole)).alias("left"), (F.max("word").over(whole) - F.col("word")).alias("right"))
+    sides = sides.groupBy("gram").agg(near(F.col("left")).alias("left"), near(F.col("right")).alias("right")).where("left > 0 or right > 0")
+    ranges = first.join(sides, "gram").groupBy("doc_id").agg(
+        F.collect_list(F.struct((F.col("word") - F.col("left")).alias("low"), (F.col("word") + F.col("right")).alias("high"))).alias("r")
+    )
+    asked = named.join(ranges.select("doc_id", F.col("r.low").alias("low"), F.col("r.high").alias("high")), "doc_id")
+    names = ["doc_id", "gram", "word", "begin", "end", "keeper_doc_id"]
+    spans = first.select(names).union(_shared(scratch.keep(_around(asked, size))).select(names)).groupBy(*names[:1], *names[2:]).agg(F.min("gram").alias("gram"))
+    by_keeper = Window.partitionBy("doc_id", "keeper_doc_id").orderBy("word")
+    split = spans.withColumn("new", F.coalesce(F.col("word") - F.lag("word").over(by_keeper) > size, F.lit(True)).cast("int"))
+    split = split.withColumn("part", F.sum("new").over(by_keeper))
+    joined = split.groupBy("doc_id", "keeper_doc_id", "part").agg(
+        F.min("word").alias("word"), (F.max("word") - F.min("word") + size).alias("n_words"),
+        F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("gram").alias("component"),
+    )
+    return joined.drop("part")
+
+
 def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, unit, begin, end, n_words, passage_words, component_id, keeper_doc_id, removed: one row for each
-    paragraph of a passage that several documents share.
+    paragraph of a passage that several documents share, and for each stretch of equal words in it (unit is null there).
 
-    begin and end are code points of the text, end exclusive; passage_words counts the words of the run it is in.
+    Rows of one passage can overlap. begin and end are code points of the text, end exclusive; passage_words counts the words of the run it is in.
     A-Z are lower-cased and white space is ignored in comparisons. Null, empty and blank texts have no paragraphs;
     rows with a null doc_id can't be named and are left out; rows that repeat a doc_id are one document, which
     shares nothing with itself. Other columns are ignored. An empty table gives an empty result.
@@ -129,7 +241,12 @@ def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMIL
         plain = plain.withColumn("component", F.coalesce("component", "class")).drop("class")
         groups = plain.groupBy("component").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("high")).where("keeper_doc_id < high")
         repeats = plain.join(groups.drop("high"), "component")
-        runs = repeats.withColumn("run", F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("unit")))
+        stretches = shared_stretches(docs, scratch, run).withColumn("unit", F.lit(None).cast("int"))
+        repeats = repeats.drop("high").unionByName(stretches)
+        order = Window.partitionBy("doc_id").orderBy("word", "n_words")
+        reached = F.max(F.col("word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        repeats = repeats.withColumn("new", F.coalesce(F.col("word") - reached >= SHINGLE, F.lit(True)).cast("int"))
+        runs = repeats.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         whole = Window.partitionBy("doc_id", "run")
         words = F.max(F.col("word") + F.col("n_words")).over(whole) - F.min("word").over(whole)
         found = runs.withColumn("passage_words", words).where(F.col("passage_words") >= run)

@@ -611,6 +611,39 @@ def test_passages_of_odd_rows(odd, none):
     assert passages.repeated_passages(none).count() == passages.without_repeats(none).count() == 0
 
 
+def exact_stretches(a, b, least):
+    """(begin in a, begin in b, words) of the longest common stretches of two word lists, least words or more."""
+    at = collections.defaultdict(list)
+    for j in range(len(b)):
+        at[tuple(b[j : j + least])].append(j)
+    for i in range(len(a) - least + 1):
+        for j in at.get(tuple(a[i : i + least]), ()):
+            if not (i and j and a[i - 1] == b[j - 1]):
+                n = least
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                yield i, j, n
+
+
+def test_stretches_are_found_to_their_edges_whatever_the_sentences(spark):
+    rng = random.Random(31)
+    own = lambda n: [f"x{rng.randrange(10**6)}" + "." * (rng.random() < 0.1) for _ in range(n)]
+    rows = {}
+    # No sentence end in a passage, one in its middle, several; from 30 words to 70; 29 words are too few.
+    for k, n in enumerate((30, 31, 40, 55, 70, 29)):
+        passage = [w.rstrip(".") for w in own(n)] if k % 2 else own(n)
+        passage[n // 2] += "." * (k == 3)
+        for i in range(3):
+            rows[10 * k + i] = [*own(rng.randrange(20)), "loose", *(f"{i}y{j}" for j in range(i)), *passage, f"{i}z", *own(rng.randrange(20))]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    covered = {i: set() for i in rows}
+    for r in passages.repeated_passages(frame).collect():
+        before = len(" ".join(rows[r.doc_id])[: r.begin].split())
+        covered[r.doc_id] |= set(range(before, before + r.n_words))
+    want = {i: {x for o in rows if o != i for a, _, n in exact_stretches(rows[i], rows[o], 30) for x in range(a, a + n)} for i in rows}
+    assert covered == want and sum(map(bool, want.values())) == 15
+
+
 # The pipeline.
 
 
