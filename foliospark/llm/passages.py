@@ -4,7 +4,8 @@
    its lines. Paragraphs of fewer than five words belong to what surrounds them.
 2. Paragraphs with equal words are one class. Classes of LONG words or more also get the keys of MinHash bands
    tuned for recall; in each bucket of a key, members are paired with its least class.
-3. Pairs whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more are linked; components of
+3. Pairs whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more are linked, those of two members
+   of a bucket that are both unlike its least class by their differences to it, as in neardup; components of
    links and equality give groups of paragraphs, and those of several documents are repeats.
 4. Whatever its lines and sentences, every stretch of RUN words or more that two texts share word for word is found too, to
    its exact edges: of each RUN - GRAM + 1 neighbouring GRAMs of words the least hash is an anchor (winnowing), so such a
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import LEADS, Block, Scratch, cut, mixed, text_slices
 from .components import components
-from .neardup import Signer, confirmed
+from .neardup import Signer, compared, missed
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of slots: a pair of similarity 0.8 shares no bucket with probability 0.002.
@@ -234,9 +235,13 @@ def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMIL
         ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
         texts = units.where("text is not null").select("class", "text").join(ends, "class", "left_semi")
         texts = cut(texts.groupBy("class").agg(F.min("text").alias("text")).withColumnRenamed("class", "doc_id"))
-        links = cut(confirmed(pairs, texts, SHINGLE, similarity))
-        linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-        of = components(links, linked).select(F.col("node").alias("class"), "component")
+        met = cut(compared(pairs, texts, SHINGLE, similarity))
+        nodes = ends.withColumnRenamed("class", "node")
+        of = components(met.where("linked").select("a", "b"), nodes)
+        more = cut(missed(met, of, similarity))
+        if not more.isEmpty():
+            of = components(of.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").union(more), nodes)
+        of = of.select(F.col("node").alias("class"), "component")
         plain = units.select("doc_id", "unit", "begin", "end", "word", "n_words", "class").join(of, "class", "left")
         plain = plain.withColumn("component", F.coalesce("component", "class")).drop("class")
         groups = plain.groupBy("component").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("high")).where("keeper_doc_id < high")
