@@ -1,7 +1,8 @@
 """Passages that documents share, by paragraph MinHash banding.
 
 1. Texts are cut into paragraphs at line ends and at sentence ends, since a passage taken into another text seldom keeps
-   its lines. Paragraphs of fewer than five words belong to what surrounds them.
+   its lines. Neighbouring pieces of fewer than five words are joined until they have five; the last ones that have fewer
+   together belong to the joined ones before, and without these they are no paragraph: point 4 covers their words.
 2. Paragraphs with equal words are one class. Classes of LONG words or more also get the keys of MinHash bands
    tuned for recall; in each bucket of a key, members are paired with its least class.
 3. Pairs whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more are linked, those of two members
@@ -68,9 +69,7 @@ def _units(doc_ids: pa.Array, block: Block, signer: Signer, met: set[int]) -> li
     following = np.append(block.starts[1:], len(block.buf)) if n else block.starts
     stops = np.isin(last, np.frombuffer(b".!?", np.uint8)) | (newlines[following] > newlines[block.ends])
     begins = np.flatnonzero(np.concatenate(([True], stops[:-1]))) if n else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(begins, n))
-    big = sizes >= SHINGLE
-    begins, sizes = begins[big], sizes[big]
+    begins, sizes = _joined(begins, np.diff(np.append(begins, n)), np.isin(begins, block.first))
     hashes = block.word_hashes()
     of = np.searchsorted(block.first, begins, "right") - 1
     # Texts without words share a first word with their successor: take the last text that starts there.
@@ -214,6 +213,28 @@ def shared_stretches(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataF
     return joined.drop("part")
 
 
+def _joined(begins: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and sizes of paragraphs of SHINGLE words or more, from those of all pieces; heads: the first pieces of texts."""
+    begins, sizes, small = begins.copy(), sizes.copy(), sizes < SHINGLE
+    short = np.flatnonzero(small)
+    made = open_ = -1  # the paragraph joined last in this run of short pieces, and the one that still grows
+    for i, before in zip(short.tolist(), [-2, *short[:-1].tolist()]):
+        if i != before + 1 or heads[i]:
+            made = open_ = -1
+        if open_ < 0:
+            open_ = i
+        else:
+            sizes[open_] += sizes[i]
+            sizes[i] = 0
+        if sizes[open_] >= SHINGLE:
+            made, open_ = open_, -1
+        elif made >= 0 and (i + 1 == len(small) or not small[i + 1] or heads[i + 1]):
+            sizes[made] += sizes[open_]
+            sizes[open_] = 0
+    big = sizes >= SHINGLE
+    return begins[big], sizes[big]
+
+
 def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, unit, begin, end, n_words, passage_words, component_id, keeper_doc_id, removed: one row for each
     paragraph of a passage that several documents share, and for each stretch of equal words in it (unit is null there).

@@ -660,6 +660,20 @@ def test_near_passages_that_a_star_misses(spark):
     assert {(r.doc_id, r.keeper_doc_id) for r in found} == want and len(want) > 60
 
 
+def test_passages_of_short_lines(spark):
+    lines = [f"v{i}a v{i}b v{i}c v{i}d" for i in range(24)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[::-1])), (3, "\n".join(["one two three", "four five", "six."])), (4, "seven.\neight nine ten eleven twelve\nend."), (5, "\n".join(["too few"] * 3))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    units = collections.defaultdict(list)
+    for r in passages.paragraphs(frame).sort("doc_id", "unit").collect():
+        units[r.doc_id].append((r.unit, r.word, r.n_words))
+    assert units[1] == units[2] == [(i, 8 * i, 8) for i in range(12)]
+    assert (units[3], units[4], units[5]) == ([(0, 0, 6)], [(0, 1, 5)], [(0, 0, 6)])
+    verse = [(7, "\n".join(lines)), (8, "\n".join([*lines[:8], "a line", *lines[8:]]))]
+    found = passages.repeated_passages(spark.createDataFrame(verse, "doc_id long, text string")).where("unit is not null").collect()
+    assert {(r.doc_id, r.removed) for r in found} == {(7, False), (8, True)}
+
+
 # The pipeline.
 
 
