@@ -3,8 +3,8 @@
 1. Texts are cut into paragraphs at line ends and at sentence ends, since a passage taken into another text seldom keeps
    its lines. Neighbouring pieces of fewer than five words are joined until they have five; the last ones that have fewer
    together belong to the joined ones before, and without these they are no paragraph: point 4 covers their words.
-2. Paragraphs with equal words are one class. Classes of LONG words or more also get the keys of MinHash bands
-   tuned for recall; in each bucket of a key, members are paired with its least class.
+2. Paragraphs with equal words are one class. Classes of LONG words or more (8 and 9 are the fewest that can be alike but
+   unequal) also get the keys of MinHash bands tuned for recall; in each bucket of a key, members are paired with its least class.
 3. Pairs whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more are linked, those of two members
    of a bucket that are both unlike its least class by their differences to it, as in neardup; components of
    links and equality give groups of paragraphs, and those of several documents are repeats.
@@ -31,7 +31,7 @@ from .neardup import Signer, compared, missed
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of slots: a pair of similarity 0.8 shares no bucket with probability 0.002.
 BANDS, ROWS = 6, 2
-LONG, RUN = 12, 30
+LONG, RUN = 8, 30
 #: Words that are looked up together; fewer where a run is shorter than twice as many.
 GRAM = 15
 #: Classes that a task remembers at a time, about.

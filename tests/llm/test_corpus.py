@@ -674,6 +674,15 @@ def test_passages_of_short_lines(spark):
     assert {(r.doc_id, r.removed) for r in found} == {(7, False), (8, True)}
 
 
+def test_near_passages_of_eight_words(spark):
+    rows = []
+    for k in range(20):
+        words = [f"k{k}w{i}" for i in range(8)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(["loose", *words]))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), run=8).where("unit is not null").collect()
+    assert {(r.doc_id, r.keeper_doc_id) for r in found} == {(i, i - i % 2) for i in range(40)}
+
+
 # The pipeline.
 
 
