@@ -174,8 +174,10 @@ def _around(docs: DataFrame, size: int) -> DataFrame:
 
 def _shared(spans: DataFrame) -> DataFrame:
     """The spans whose words several documents have, with the least of these."""
-    keepers = spans.groupBy("gram").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("high")).where("keeper_doc_id < high")
-    return spans.join(keepers.drop("high"), "gram")
+    # One exchange serves the least and the greatest document of each hash and the spans themselves.
+    same = Window.partitionBy("gram")
+    found = spans.withColumn("keeper_doc_id", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same))
+    return found.where("keeper_doc_id < high").drop("high")
 
 
 def shared_stretches(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataFrame:
@@ -187,7 +189,7 @@ def shared_stretches(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataF
     size = max(1, min(GRAM, run // 2))
     width = run - size + 1
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    first = cut(_shared(scratch.keep(_anchors(named, size, width))))
+    first = scratch.keep(_shared(_anchors(named, size, width)))
     # Where the spans found so far cease, a shared stretch can go on for less than width words, in whichever document has the
     # last anchor: all documents that have it give their spans around it.
     order = Window.partitionBy("doc_id").orderBy("word")
@@ -202,7 +204,7 @@ def shared_stretches(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataF
     )
     asked = named.join(ranges.select("doc_id", F.col("r.low").alias("low"), F.col("r.high").alias("high")), "doc_id")
     names = ["doc_id", "gram", "word", "begin", "end", "keeper_doc_id"]
-    spans = first.select(names).union(_shared(scratch.keep(_around(asked, size))).select(names)).groupBy(*names[:1], *names[2:]).agg(F.min("gram").alias("gram"))
+    spans = first.select(names).union(_shared(_around(asked, size)).select(names))
     by_keeper = Window.partitionBy("doc_id", "keeper_doc_id").orderBy("word")
     split = spans.withColumn("new", F.coalesce(F.col("word") - F.lag("word").over(by_keeper) > size, F.lit(True)).cast("int"))
     split = split.withColumn("part", F.sum("new").over(by_keeper))
