@@ -27,13 +27,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_VALUE = 12
 KINDS = ("assign", "access", "hex", "named")
 
-STATEMENT = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][A-Za-z0-9_.-]{0,79})["']?[\x20\t]*(?::=|=>|[:=](?![:=]))[\x20\t]*""")
+STATEMENT = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][A-Za-z0-9_.-]*)["']?[\x20\t]*(?::=|=>|[:=](?![:=]))[\x20\t]*""")
 TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_.+/=$%{}<>!@^&*~-]+)""")
 PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*(?=[\"'A-Za-z_])")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 PLACEHOLDER = re.compile(r"(?i)(.)\1*|[<$%{].*|.*(your|change.?me|example|placeholder|dummy|redacted|xxxx|\*\*\*).*|none|null|true|false")
 
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "apikey": 1.0, "credential": 1.0, "credentials": 1.0, "token": 0.9, "bearer": 0.9, "auth": 0.7, "pass": 0.7, "pin": 0.5}
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "apikey": 1.0, "credential": 1.0, "credentials": 1.0, "token": 0.9, "bearer": 0.9, "auth": 0.9, "pass": 0.9, "pin": 0.5}
 #: Before "key".
 KEY_OF = {"api", "access", "private", "secret", "signing", "encryption", "master", "account", "auth", "ssh", "client"}
 #: Last parts of names that speak about a secret and don't hold it.
@@ -51,7 +51,7 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     n = len(value)
-    if n < 8 or n > 4096 or any(c.isspace() for c in value) or PLACEHOLDER.fullmatch(value):
+    if n < 8 or any(c.isspace() for c in value) or PLACEHOLDER.fullmatch(value):
         return 0.0
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
     classes = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), not value.isalnum()))

@@ -431,6 +431,13 @@ def test_assignments_reach_sensitive_names():
         assert named(clean) == []
 
 
+def test_assignments_of_any_length():
+    key = "".join(f"Zk{i}q" for i in range(2000))
+    assert named("db_pass = 'hunter2abc99'") and named("auth: 'hunter2abc99'")
+    assert named(f"passphrase = '{key}'") == [key]
+    assert named(f"{'long_' * 40}pwd = 'hunter2abc99'") == ["hunter2abc99"]
+
+
 def test_base_spans_consume_as_defined():
     assert secretscan.digest(secretscan.spans("password=secret: abcdefghijklmnop")) == ""
     assert secretscan.digest(secretscan.spans("PassWord = 'abcdefghijkl'")) == "assign:0:24"
