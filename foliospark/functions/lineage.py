@@ -1,15 +1,81 @@
-"""Cutting lineage after costly scans, so that what follows doesn't repeat them."""
+"""Cutting lineage after costly steps, so that what follows doesn't repeat them; names that no column has."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the folder that spark.checkpoint.dir names; where it is unset, in one of our own."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliospark-"))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names.
+
+    Where it is unset, a folder of our own, but only if the executors are threads of the driver: on a cluster each executor would
+    write to its own disk.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="foliospark-")
+        sc.setCheckpointDir(named)
+    made = sc._jsc.sc().getCheckpointDir().get()
+    _at_exit(spark, made)
+    return named or made
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """Has the folder removed when the application ends: results can be read until then."""
+    files, at = _path(spark, path)
+    files.deleteOnExit(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _path(spark, path)
+    files.delete(at, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and kept in the shared folder until the application ends."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Parquet tables in the shared folder that are removed together: ``with Scratch(spark) as s: df = s.keep(df)``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, self.root)
+
+
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """Each of names, lengthened until it is no column's name, in any case."""
+    lower, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name += "_"
+        lower.add(name.lower())
+        out.append(name)
+    return out
