@@ -7,7 +7,6 @@ block of its own.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import Scratch, cut, shared_dir, unused  # noqa: F401
+
 BLOCK_BYTES = 2 << 20
 #: Fixed value: the word separators of the contracts, ``[\x20\x09-\x0D]``.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -33,48 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="foliospark-")
-        sc.setCheckpointDir(named)
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder; Spark removes them when they are unreachable."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-class Scratch:
-    """Parquet tables in the shared folder that are removed together: ``with Scratch(spark) as s: df = s.keep(df)``."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}", 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        df.write.option("compression", "zstd").parquet(path := f"{self.root}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        remove(self.spark, self.root)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches' rows in order, in slices of at most ``limit`` bytes of text or of one row."""
     for batch in batches:
@@ -116,11 +75,25 @@ class Block:
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sums of a value of each byte over each text."""
-        total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-        return total[self.offs[1:]] - total[self.offs[:-1]]
+        return np.add.reduceat(flags, self.offs[:-1], dtype=np.int64) if self.n else np.zeros(0, np.int64)
+
+    def points(self, at: np.ndarray) -> np.ndarray:
+        """Code points before each of the ascending byte places, all texts counted."""
+        return np.cumsum(span_sums(LEADS[self.buf], np.concatenate(([0], at[:-1])), at)) if len(at) else at
 
     def word_hashes(self) -> np.ndarray:
-        return span_hashes(np.where(self.space, np.uint64(0), _BYTE[self.buf]), self.starts, self.ends)
+        return span_hashes(self.buf, self.starts, self.ends)
+
+
+def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of values over ascending spans that don't overlap; empty ones have 0."""
+    out = np.zeros(len(starts), np.int64)
+    full = np.flatnonzero(ends > starts)
+    if len(full):
+        edges = np.stack((starts[full], ends[full]), axis=1).ravel()
+        inside = edges[:-1] if edges[-1] == len(values) else edges
+        out[full] = np.add.reduceat(values, inside, dtype=np.int64)[::2]
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -134,17 +107,36 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.int64).asty
 _BASE = np.uint64(0xA0761D6478BD642F)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the spans of values; values outside all spans must be 0."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(int(lengths.max()), _BASE))))
-    nearest = np.zeros(len(values), np.int64)
-    nearest[starts] = np.diff(starts, prepend=0)
-    place = np.minimum(np.arange(len(values)) - np.cumsum(nearest), len(powers) - 1)
-    place[: starts[0]] = 0
-    return mixed(np.add.reduceat(values * powers[place], starts) + lengths.astype(np.uint64))
+#: Bytes that are hashed in one pass; longer spans carry their sums over.
+_PASS = 1 << 19
+_POWERS = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(_PASS, _BASE))))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of ascending spans of bytes that don't overlap and aren't empty."""
+    sums = np.zeros(len(starts), np.uint64)
+    # The power of the base that each span's next byte has.
+    carried = np.uint64(1)
+    for low in range(int(starts[0]) if len(starts) else 0, int(ends[-1]) if len(ends) else 0, _PASS):
+        high = min(low + _PASS, len(buf))
+        i, j = np.searchsorted(ends, low, "right"), np.searchsorted(starts, high)
+        if i == j:
+            continue
+        a, b = np.maximum(starts[i:j], low) - low, np.minimum(ends[i:j], high) - low
+        edges = np.stack((a, b), axis=1).ravel()
+        bounds = np.concatenate(([0], edges))
+        place = np.arange(high - low) - np.repeat(bounds, np.diff(bounds, append=high - low))
+        terms = _BYTE[buf[low:high]] * _POWERS[place]
+        parts = np.add.reduceat(terms, edges[:-1] if b[-1] == high - low else edges)[::2]
+        begun = starts[i] < low
+        with np.errstate(over="ignore"):
+            if begun:
+                parts[0] *= carried
+            sums[i:j] += parts
+            # What the last span, if it goes on, has to be multiplied by in the next pass.
+            if ends[j - 1] > high:
+                carried = (carried if begun and j - i == 1 else np.uint64(1)) * _POWERS[high - max(low, int(starts[j - 1]))]
+    return mixed(sums + (ends - starts).astype(np.uint64))
 
 
 def doc_columns(df: DataFrame, *names: str) -> DataFrame:

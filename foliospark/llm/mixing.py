@@ -3,8 +3,9 @@
 Each document gets a rate r, how often the mix takes it. Of all rates from 0 to ``cap`` with sum of r * size = target in
 each source, entropy balancing takes those nearest to one copy of every document, by relative entropy. They are
 r = min(cap, exp(lambda * size / mean size)) with one multiplier for each source, the maximum of the convex
-dual. Newton steps find the multipliers: each step sums gradient and curvature over the table of distinct sizes in Spark, and the
-driver gets two numbers for each source. Steps that leave the bracket known so far are replaced by its middle.
+dual. Newton steps find the multipliers: each step sums gradient and curvature over the table of distinct sizes and moves all
+multipliers at once; steps that leave the bracket known so far are replaced by its middle. Sources, multipliers and brackets
+stay in tables, so their number has no bound; the driver sees how many sources are still open.
 
 The rates are then rounded to copies: within bounded groups of a source, from the largest document to the smallest, a
 rate is rounded up whenever the words owed so far reach half the document, so the words taken stay near their sum.
@@ -15,146 +16,159 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, Scratch, cut, unused
 
 CAP, PATTERN = 3, (1, 2, 3)
-#: More sources than this are refused: two numbers for each come to the driver.
-MAX_SOURCES = 200_000
 #: Documents in a group that is rounded together, on average.
-GROUP = 20_000
+GROUP = 2000
+#: Of a source's target, what its rates may miss; and the steps after which that is an error.
+TOLERANCE, STEPS = 1e-7, 200
 
 
-def targets(sizes: dict[str | None, int], pattern: tuple[int, ...] = PATTERN, cap: int = CAP) -> dict[str | None, float]:
-    """Each source's target: shares by weight of all sizes, none above cap times its source's size.
+def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """sources (source, ...) with rank, from 0 in order of code points, null last: ranges are ranked by themselves."""
+    ordered = sources.repartitionByRange(F.col("source").isNull(), F.col("source"))
+    dealt = scratch.keep(ordered.withColumn("part", F.spark_partition_id()))
+    # One row for each partition.
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.withColumn("own", own).join(before, "part").withColumn("rank", F.col("before") + F.col("own") - 1).drop("part", "before", "own")
+
+
+def targets(sources: DataFrame, scratch: Scratch, pattern: tuple[int, ...] = PATTERN, cap: int = CAP) -> DataFrame:
+    """sources (source, words; each source once) with rank and target: shares by weight of all words, none above cap times the source's.
 
     Sources in order of code points, null last, weigh as pattern says, over and over. What a source can't take is
     shared by weight among the others until none is above.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: pattern[i % len(pattern)] for i, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    free, rest = set(order), float(sum(sizes.values()))
-    while free:
-        total = sum(weight[s] for s in free)
-        over = {s for s in free if rest * weight[s] / total > cap * sizes[s]}
-        for s in over or free:
-            out[s] = float(cap * sizes[s]) if over else rest * weight[s] / total
-        if not over:
-            break
-        rest -= sum(out[s] for s in over)
-        free -= over
-    return out
-
-
-def multipliers(histogram: DataFrame, sizes: np.ndarray, goals: np.ndarray, cap: int, tolerance: float = 1e-7, steps: int = 80) -> np.ndarray:
-    """Newton's multipliers for histogram (src, x, words), x a size over the mean and words the sum of sizes that have it."""
-    spark = histogram.sparkSession
-    n = len(sizes)
-    low, high = np.full(n, -np.inf), np.full(n, np.inf)
-    at = np.zeros(n)
-    # No finite multiplier takes nothing or everything: those are set.
-    at[goals <= 0], at[goals >= cap * sizes] = -np.inf, np.inf
-    open_ = np.isfinite(at) & (sizes > 0)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in pattern)), (F.col("rank") % len(pattern) + 1).cast("int"))
+    most = (F.col("words") * cap).cast("double")
+    state = scratch.keep(_ranked(sources, scratch).withColumn("weight", weight).withColumn("target", F.lit(None).cast("double")))
+    all_words = state.agg(F.sum("words")).first()[0] or 0
+    while True:
+        fixed, total = state.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.sum(F.when(F.col("target").isNull(), F.col("weight")))).first()
+        if total is None:
+            return state.drop("weight")
+        share = F.lit(float(all_words) - fixed) * F.col("weight") / F.lit(total)
+        over = F.col("target").isNull() & (share > most)
+        if state.where(over).isEmpty():
+            return state.withColumn("target", F.coalesce("target", share)).drop("weight")
+        state = scratch.keep(state.withColumn("target", F.when(over, most).otherwise(F.col("target"))))
+
+
+def multipliers(histogram: DataFrame, goals: DataFrame, scratch: Scratch, cap: int, tolerance: float = TOLERANCE, steps: int = STEPS) -> DataFrame:
+    """rank, at: Newton's multipliers for histogram (rank, x, words) and goals (rank, words, target).
+
+    x is a size over the source's mean, words the sum of the sizes that have it. A target of nothing or of everything has an infinite
+    multiplier. Sources whose words don't come as near to their target as tolerance says within the steps are an error.
+    """
+    infinite = F.when(F.col("target") <= 0, F.lit(-math.inf)).when(F.col("target") >= F.col("words") * cap, F.lit(math.inf))
+    start = goals.select("rank", "target", F.coalesce(infinite, F.lit(0.0)).alias("at"), ((F.col("words") > 0) & infinite.isNull()).alias("open"))
+    state = scratch.keep(start.withColumns({"low": F.lit(-math.inf), "high": F.lit(math.inf)}))
+    log_cap = math.log(cap)
     for _ in range(steps):
-        if not open_.any():
-            break
-        now = spark.createDataFrame(pd.DataFrame({"src": np.flatnonzero(open_), "at": at[open_]}), "src long, at double")
+        asked = state.where("open").select("rank", "at")
+        if asked.isEmpty():
+            return state.select("rank", "at")
         tilt = F.col("at") * F.col("x")
-        rate = F.exp(F.least(tilt, F.lit(math.log(cap))))
-        sums = histogram.join(now, "src").groupBy("src").agg(
-            F.sum(F.col("words") * rate).alias("taken"), F.sum(F.when(tilt < math.log(cap), F.col("words") * F.col("x") * rate).otherwise(0.0)).alias("slope")
+        rate = F.exp(F.least(tilt, F.lit(log_cap)))
+        sums = histogram.join(asked, "rank").groupBy("rank").agg(
+            F.sum(F.col("words") * rate).alias("taken"), F.sum(F.when(tilt < log_cap, F.col("words") * F.col("x") * rate).otherwise(0.0)).alias("slope")
         )
-        for src, taken, slope in sums.collect():
-            miss = taken - goals[src]
-            if abs(miss) <= tolerance * goals[src]:
-                open_[src] = False
-                continue
-            low[src], high[src] = (at[src], high[src]) if miss < 0 else (low[src], at[src])
-            step = at[src] - miss / slope if slope > 0 else np.inf
-            if not low[src] < step < high[src]:
-                step = (low[src] + high[src]) / 2 if np.isfinite(low[src] + high[src]) else at[src] * 2 + (1 if miss < 0 else -1)
-            at[src] = step
-    return at
+        miss = F.col("taken") - F.col("target")
+        moves = F.col("open") & (F.abs(miss) > tolerance * F.col("target"))
+        next_ = state.join(sums, "rank", "left").withColumn("open", F.coalesce(moves, F.lit(False)))
+        next_ = next_.withColumn("low", F.when(F.col("open") & (miss < 0), F.col("at")).otherwise(F.col("low")))
+        next_ = next_.withColumn("high", F.when(F.col("open") & (miss >= 0), F.col("at")).otherwise(F.col("high")))
+        newton = F.col("at") - F.when(F.col("slope") > 0, miss / F.col("slope"))
+        bounded = (F.col("low") > -math.inf) & (F.col("high") < math.inf)
+        other = F.when(bounded, (F.col("low") + F.col("high")) / 2).otherwise(F.col("at") * 2 + F.when(miss < 0, 1).otherwise(-1))
+        step = F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(other)
+        state = scratch.keep(next_.withColumn("at", F.when(F.col("open"), step).otherwise(F.col("at"))).select(*state.columns))
+    raise RuntimeError(f"{state.where('open').count()} sources have not come within {tolerance} of their targets in {steps} steps")
+
+
+def _row_key(docs: DataFrame) -> list[Column]:
+    """Two longs, never null, that rows share only if they are equal in doc_id, source and text."""
+    columns = [docs[c] for c in ("doc_id", "source", "text")]
+    # Hashes pass over nulls, so which are null is hashed too.
+    nulls = [c.isNull() for c in columns]
+    return [F.xxhash64(*nulls, *columns), F.xxhash64(*reversed(columns), F.lit(1), *nulls)]
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) of each row of docs (doc_id, text, source)."""
+    """doc_id, source, size (words) and a key, k1 and k2, of each row of docs (doc_id, text, source)."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
+    k1, k2 = _row_key(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), k1.alias("k1"), k2.alias("k2"))
+
+
+_DECIDED = "k1 long, k2 long, size long, source_size long, target double, rate double, copies long"
+
 
+def _rounded(group: pa.Table, cap: int) -> pa.Table:
+    """Copies for the rates of a group of rows, none of which is null."""
+    group = group.sort_by([("size", "descending"), ("k1", "ascending"), ("k2", "ascending")])
+    rate, size, n = (group.column(c).to_numpy() for c in ("rate", "size", "n"))
+    whole = np.floor(rate)
+    words = (size * n).astype(np.float64)
+    owed, up = 0.0, np.zeros(len(words), np.int64)
+    for i, part in enumerate(((rate - whole) * words).tolist()):
+        owed += part
+        if part > 0 and 2 * owed >= words[i]:
+            up[i], owed = 1, owed - words[i]
+    copies = np.minimum(whole.astype(np.int64) + up, cap)
+    return group.drop_columns(["n", "rank", "group"]).append_column("copies", pa.array(copies))
 
-def decisions(rows: DataFrame, pattern: tuple[int, ...] = PATTERN, cap: int = CAP) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, once for each distinct (doc_id, source, size) of rows."""
-    spark = rows.sparkSession
-    classes = cut(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
+
+def decisions(rows: DataFrame, scratch: Scratch, pattern: tuple[int, ...] = PATTERN, cap: int = CAP) -> DataFrame:
+    """k1, k2, size, source_size, target, rate, copies for each distinct key of rows, which are what sized() returns."""
+    classes = scratch.keep(rows.groupBy("k1", "k2").agg(F.min("source").alias("source"), F.min("size").alias("size"), F.count("*").alias("n")))
     per = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"), F.count("*").alias("classes"))
-    known = per.limit(MAX_SOURCES + 1).toPandas()
-    if len(known) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    names = [None if s is None or s != s else s for s in known["source"]]
-    sizes = known["words"].to_numpy(np.float64)
-    goal = targets({s: int(w) for s, w in zip(names, known["words"])}, pattern, cap)
-    goals = np.array([goal[s] for s in names])
-    mean = np.maximum(sizes, 1) / np.maximum(known["docs"].to_numpy(np.float64), 1)
-
-    def sources(**more: np.ndarray) -> DataFrame:
-        frame = pd.DataFrame({"src": np.arange(len(names)), **more})
-        kinds = {"i": "long", "f": "double"}
-        numbers = spark.createDataFrame(frame, ", ".join(f"{c} {kinds[frame[c].dtype.kind]}" for c in frame)) if len(frame) else spark.createDataFrame([], "src long, " + ", ".join(f"{c} double" for c in more))
-        keys = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "src long, source_ string")
-        # Bounded by MAX_SOURCES.
-        return F.broadcast(keys.join(numbers, "src"))
-
-    same = F.col("source").eqNullSafe(F.col("source_"))
-    histogram = classes.join(sources(mean=mean), same).groupBy("src", (F.col("size") / F.col("mean")).alias("x"))
-    histogram = cut(histogram.agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("words")).where("words > 0"))
-    at = multipliers(histogram, sizes, goals, cap)
-    groups = np.maximum(1, -(-known["classes"].to_numpy(np.int64) // GROUP))
-    told = sources(mean=mean, at=at, source_size=known["words"].to_numpy(np.int64), target=goals, groups=groups)
+    mean = F.greatest("words", F.lit(1)) / F.greatest("docs", F.lit(1))
+    groups = F.greatest(F.ceil(F.col("classes") / GROUP), F.lit(1))
+    told = scratch.keep(targets(per, scratch, pattern, cap).select(F.col("source").alias("name"), "rank", "words", "target", mean.alias("mean"), groups.alias("groups")))
+    known = classes.join(told, F.col("source").eqNullSafe(F.col("name")))
+    histogram = known.where("size > 0").groupBy("rank", (F.col("size") / F.col("mean")).alias("x")).agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("words"))
+    at = multipliers(scratch.keep(histogram), told, scratch, cap)
     rate = F.exp(F.least(F.col("at") * F.col("size") / F.col("mean"), F.lit(math.log(cap))))
     # An infinite multiplier is a rate of 0 or of cap for every size; without words a rate is 1.
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("at") == -math.inf, F.lit(0.0)).when(F.col("at") == math.inf, F.lit(float(cap))).otherwise(rate)
-    rated = classes.join(told, same).withColumn("rate", rate).withColumn("group", F.pmod(F.xxhash64("doc_id", "size"), "groups"))
-
-    def round_(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], ignore_index=True)
-        whole = np.floor(pdf["rate"].to_numpy())
-        words = (pdf["size"] * pdf["n"]).to_numpy(np.float64)
-        owed, up = 0.0, np.zeros(len(pdf), np.int64)
-        for i, part in enumerate(((pdf["rate"].to_numpy() - whole) * words).tolist()):
-            owed += part
-            if part > 0 and 2 * owed >= words[i]:
-                up[i], owed = 1, owed - words[i]
-        pdf["copies"] = np.minimum(whole.astype(np.int64) + up, cap)
-        return pdf.drop(columns=["n", "order", "src", "group"])
-
-    out = "doc_id long, source string, size long, source_size long, target double, rate double, copies long"
-    narrow = rated.select("doc_id", "source", "size", "source_size", "target", "rate", "n", F.xxhash64("doc_id", "source").alias("order"), "src", "group")
-    return narrow.groupBy("src", "group").applyInPandas(round_, out)
+    rated = classes.join(told.join(at, "rank"), F.col("source").eqNullSafe(F.col("name"))).withColumn("rate", rate)
+    narrow = rated.select("k1", "k2", "size", F.col("words").alias("source_size"), "target", "rate", "n", "rank", F.pmod("k2", "groups").alias("group"))
+    return narrow.groupBy("rank", "group").applyInArrow(lambda group: _rounded(group, cap), _DECIDED)
 
 
 def mixed_rows(docs: DataFrame, pattern: tuple[int, ...] = PATTERN, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for each row of docs (doc_id, text, source).
 
-    Null texts have size 0, a null source is a source of its own. Rows equal in id, source and size get the same
-    copies. Texts without words have one copy. Other columns are ignored. An empty table gives an empty result.
+    Null texts have size 0, a null source is a source of its own, a null id is an id like any other. Rows equal in id, source and
+    text get the same copies. Texts without words have one copy. Other columns are ignored, whatever their names. Each row comes back
+    once. An empty table gives an empty result.
     """
-    rows = cut(sized(docs))
-    made = decisions(rows, pattern, cap).select(*(F.col(c).alias(f"{c}_" if c in ("doc_id", "source", "size") else c) for c in ("doc_id", "source", "size", "source_size", "target", "rate", "copies")))
-    on = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("doc_id", "source", "size")]
-    joined = rows.join(made, on)
-    return joined.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(sized(docs))
+        made = decisions(rows, scratch, pattern, cap).drop("size")
+        joined = rows.join(made, ["k1", "k2"])
+        return cut(joined.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken")))
 
 
 def mixture(docs: DataFrame, pattern: tuple[int, ...] = PATTERN, cap: int = CAP) -> DataFrame:
-    """The rows of docs, all their columns, each as often as the mix takes it."""
-    made = decisions(cut(sized(docs)), pattern, cap).where("copies > 0").select(F.struct("doc_id", "source", "size").alias("__key"), "copies")
-    words = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
-    key = F.struct(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), words.alias("size"))
-    joined = docs.withColumn("__own", key).join(made.withColumnRenamed("copies", "__copies"), F.col("__own").eqNullSafe(F.col("__key")))
-    again = joined.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    """The rows of docs, all their columns whatever their names, each as often as the mix takes it (as mixed_rows() says).
+
+    A row without words, a null or empty text included, stays once. Rows with null ids or sources and repeated rows each count; an
+    empty table gives an empty result.
+    """
+    k1, k2, copies, turn = unused(docs.columns, "k1", "k2", "copies", "turn")
+    with Scratch(docs.sparkSession) as scratch:
+        made = decisions(scratch.keep(sized(docs)), scratch, pattern, cap).where("copies > 0")
+        made = cut(made.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("copies").alias(copies)))
+    own = _row_key(docs)
+    joined = docs.withColumns({k1: own[0], k2: own[1]}).join(made, [k1, k2])
+    again = joined.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return again.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,7 +6,7 @@
    are cut. A piece has a demand vector: tokens, one document, attention cost (squared length).
 3. Full pieces are sequences by themselves. The others are dealt into groups of bounded size by a hash, and each group
    is packed in order of falling length: a piece goes to the open bin that fits in every dimension and has the best
-   score, by weighted dot product of demand and residual or by least weighted residual norm; if none fits, a new bin
+   score, by least weighted norm of the residuals or by weighted dot product of demand and residuals; if none fits, a new bin
    opens. Bins that stay underfilled are emptied and their pieces packed again in fewer, larger groups, until one group
    holds them or nothing is gained.
 """
@@ -14,35 +14,40 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import Block, cut, text_slices
+from .common import Block, cut, span_sums, text_slices, unused
 
 SEQUENCE, SEPARATOR, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Pieces in a group of the first pass, on average.
 GROUP = 4000
+#: Documents in a sequence, at most; weights of the residuals of tokens, documents and attention cost.
+DOCUMENTS, WEIGHTS = 1024, (1.0, 0.3, 0.3)
 #: A bin with more free tokens than this share of its capacity is packed again.
 UNDERFILLED = 0.02
 
 
 @dataclass(frozen=True)
 class Capacities:
-    """What a sequence holds at most. The default leaves documents and attention cost to the token limit."""
+    """What a sequence holds at most, and how bins are scored.
+
+    Pieces that fill a sequence must fit, so the attention cost of a sequence (the sum of its pieces' squared lengths) can't be held
+    below the square of its tokens; the documents' bound takes effect where a sequence would fill up with tiny ones.
+    """
 
     tokens: int = SEQUENCE
-    documents: int = SEQUENCE
+    documents: int = DOCUMENTS
     attention: int = SEQUENCE * SEQUENCE
     #: Of tokens, documents and attention cost in scores.
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = WEIGHTS
     score: str = "norm"
 
     def vector(self) -> np.ndarray:
@@ -109,12 +114,11 @@ class ChunkIds:
         after_c3 = np.concatenate(([False], buf[:-1] == 0xC3))
         latin = after_c3 & (buf != 0x97) & (buf != 0xB7)
         odd = inside & (_ODD[buf] | (buf >= 0x80) & (buf != 0xC3) & ~latin)
-        odd_before = np.concatenate(([0], np.cumsum(odd)))
-        plain = odd_before[block.ends] == odd_before[block.starts]
+        plain = span_sums(odd.view(np.uint8), block.starts, block.ends) == 0
         shift = np.zeros(len(buf) + 1, np.int8)
         shift[block.starts[plain]] = 1
         shift[block.ends[plain]] -= 1
-        plain_byte = np.cumsum(shift[:-1]) > 0
+        plain_byte = np.cumsum(shift[:-1], dtype=np.int8) > 0
         kind = _KIND[buf]
         turn = plain_byte & ((kind != np.concatenate(([0], kind[:-1]))) | (kind == 2))
         turn[block.starts] = True
@@ -150,113 +154,136 @@ def chunk_ids(path: str) -> ChunkIds:
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of each piece of each row's text (null: empty)."""
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of each piece of each row's text.
+
+    A null or empty text has one piece, the separator; a null doc_id stays null, repeated rows each have their pieces, other columns
+    are ignored, an empty table gives an empty result.
+    """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = chunk_ids(tokenizer)
         for part in text_slices(batches, "text"):
             ids, at = known.encode(part.column("text"))
-            rows: list[tuple] = []
-            for doc, a, b in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                own = np.append(ids[a:b], np.uint32(separator)).astype("<u4")
-                for k, start in enumerate(range(0, len(own), length)):
-                    cut_ = own[start : start + length]
-                    rows.append((doc, k, start, len(cut_), zlib.crc32(cut_.tobytes()), *([cut_.tolist()] if with_ids else [])))
-            yield pa.RecordBatch.from_pydict(dict(zip(names, map(pa.array, zip(*rows)))), schema)
-
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    schema = pa.schema(list(zip(names, kinds)))
+            own = np.insert(ids, at[1:], np.uint32(separator)).astype("<u4")
+            ends = at[1:] + np.arange(1, len(at))
+            sizes = np.diff(ends, prepend=0)
+            n = -(-sizes // length)
+            of = np.repeat(np.arange(len(sizes)), n)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            begin = (ends - sizes)[of] + piece * length
+            end = np.minimum(begin + length, ends[of])
+            raw = memoryview(own).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), end.tolist())]
+            columns = [part.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(piece * length), pa.array(end - begin), pa.array(crc, pa.int64())]
+            if with_ids:
+                # Pieces follow each other, so their ends cut the ids.
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, end).astype(np.int32)), pa.array(own.astype(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
     sql = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenize, sql)
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacities) -> np.ndarray:
-    """Each piece's bin, for lengths in falling order; a piece that alone exceeds a capacity gets a bin of its own."""
-    if capacity.score == "norm" and capacity.weights[1:] == (0.0, 0.0):
-        return _by_tokens(lengths.tolist(), capacity)
-    whole, weights = capacity.vector(), np.array(capacity.weights)
-    residual, n_bins = np.empty((64, 3)), 0
+    """Each piece's bin, for lengths in falling order; a piece that alone exceeds a capacity gets a bin of its own.
+
+    A piece goes to the open bin that holds it in every dimension and has the least weighted norm of residuals afterwards
+    (score "norm") or the greatest weighted dot product of demand and residuals ("dot"), the oldest of equal ones; all
+    shares are of the capacities. Bins that the shortest piece to come doesn't fit are closed.
+    """
+    whole = capacity.vector()
+    wt, wd, wa = capacity.weights
     bins = np.empty(len(lengths), np.int64)
-    for i, n in enumerate(lengths.tolist()):
-        demand = np.array([n, 1.0, float(n) * n])
-        left = residual[:n_bins]
-        fits = np.flatnonzero((left >= demand).all(axis=1))
-        if len(fits):
-            after = (left[fits] - demand) / whole
+    # Residuals of open bins as shares, and the bins' numbers.
+    room, number, open_, made = np.empty((3, 256)), np.empty(256, np.int64), 0, 0
+    shares = np.stack((lengths, np.ones(len(lengths)), np.asarray(lengths, np.float64) ** 2)) / whole[:, None]
+    # Shares are rounded: what fits exactly must not fail by that.
+    slack = 1e-12
+    shortest = shares[:, -1] if len(lengths) else None
+    scratch = np.empty((3, 256))
+    for i, (t, d, a) in enumerate(shares.T.tolist()):
+        rt, rd, ra = room[:, :open_]
+        best = -1
+        if open_:
+            fits = (rt >= t - slack) & (rd >= d - slack) & (ra >= a - slack)
+            x, y, z = scratch[:, :open_]
             if capacity.score == "norm":
-                best = int(fits[np.argmin((weights * after * after).sum(axis=1))])
+                np.subtract(rt, t, x), np.subtract(rd, d, y), np.subtract(ra, a, z)
+                x *= x
+                y *= y
+                z *= z
+                score = wt * x + wd * y + wa * z
             else:
-                best = int(fits[np.argmax((weights * (demand / whole) * (left[fits] / whole)).sum(axis=1))])
-        else:
-            if n_bins == len(residual):
-                residual = np.concatenate((residual, np.empty_like(residual)))
-            best, n_bins = n_bins, n_bins + 1
-            residual[best] = whole
-        residual[best] -= demand
-        bins[i] = best
-    return bins
-
-
-def _by_tokens(lengths: list[int], capacity: Capacities) -> np.ndarray:
-    """The same where only the token residual has weight: open bins in order of it, so the least that fits comes first."""
-    order: list[tuple[int, int]] = []
-    documents: list[int] = []
-    attention: list[int] = []
-    bins = np.empty(len(lengths), np.int64)
-    for i, n in enumerate(lengths):
-        k = bisect_left(order, (n, -1))
-        while k < len(order) and (documents[order[k][1]] < 1 or attention[order[k][1]] < n * n):
-            k += 1
-        if k < len(order):
-            free, b = order.pop(k)
-        else:
-            free, b = capacity.tokens, len(documents)
-            documents.append(capacity.documents)
-            attention.append(capacity.attention)
-        documents[b] -= 1
-        attention[b] -= n * n
-        bins[i] = b
-        insort(order, (free - n, b))
+                score = -(wt * t * rt + wd * d * rd + wa * a * ra)
+            score[~fits] = np.inf
+            best = int(score.argmin())
+            if not fits[best]:
+                best = -1
+        if best < 0:
+            if open_ == room.shape[1]:
+                keep = (room[:, :open_] >= shortest[:, None] - slack).all(axis=0)
+                if 2 * keep.sum() < open_:
+                    n = int(keep.sum())
+                    room[:, :n], number[:n] = room[:, :open_][:, keep], number[:open_][keep]
+                    open_ = n
+                else:
+                    room, number = np.concatenate((room, np.empty_like(room)), axis=1), np.concatenate((number, np.empty_like(number)))
+                    scratch = np.empty_like(room)
+            best, open_ = open_, open_ + 1
+            room[:, best], number[best] = 1.0, made
+            made += 1
+        room[0, best] -= t
+        room[1, best] -= d
+        room[2, best] -= a
+        bins[i] = number[best]
     return bins
 
 
 def packed(items: DataFrame, capacity: Capacities = Capacities(), group: int = GROUP) -> DataFrame:
-    """items (any columns, with ``length`` long) with sequence_id and offset added: gapless places in sequences.
+    """items (any columns, with ``length`` long, never null) with sequence_id and offset added: gapless places in sequences.
 
-    The number of groups follows from the number of items, and a group is dealt by a hash of the items, so no task
-    holds more than a few times ``group`` of them. Ties are broken by all columns; equal rows are interchangeable.
+    Columns of items that have these names are an error. Rows are numbered, and dealt to groups by a hash of their numbers, so
+    equal rows are spread and no group holds more than a few times ``group`` rows; ties are broken by the numbers.
     """
+    if {"sequence_id", "offset"} & {c.lower() for c in items.columns}:
+        raise ValueError("items have a column sequence_id or offset")
     keep = items.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, free double"
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        level = int(pdf["__group"].iloc[0])
-        pdf = pdf.drop(columns="__group").sort_values(["length", *(c for c in keep if c != "length")], ascending=False, kind="stable", ignore_index=True)
-        bins = best_fit(pdf["length"].to_numpy(), capacity)
+    row, dealt, free = unused([*keep, "sequence_id", "offset"], "row", "dealt", "free")
+    schema = StructType([*items.schema.fields, StructField(row, LongType()), *(StructField(c, LongType()) for c in ("sequence_id", "offset")), StructField(free, DoubleType())])
+
+    def pack(pieces_: pa.Table) -> pa.Table:
+        level = pieces_.column(dealt)[0].as_py()
+        length, rows = (pieces_.column(c).to_numpy() for c in ("length", row))
+        falling = np.lexsort((rows, -length))
+        bins = best_fit(length[falling], capacity)
         order = np.argsort(bins, kind="stable")
-        pdf, bins = pdf.iloc[order].reset_index(drop=True), bins[order]
-        size = pdf["length"].to_numpy()
+        falling, bins = falling[order], bins[order]
+        size = length[falling]
         before = np.cumsum(size) - size
         first = np.searchsorted(bins, bins)
         total = np.bincount(bins, weights=size)
-        return pdf.assign(sequence_id=level * (1 << 32) + bins, offset=before - before[first], free=(1 - total / capacity.tokens)[bins])
+        out = pieces_.drop_columns([dealt]).take(pa.array(falling))
+        more = {"sequence_id": level * (1 << 32) + bins, "offset": before - before[first], free: (1 - total / capacity.tokens)[bins]}
+        for name, values in more.items():
+            out = out.append_column(name, pa.array(values))
+        return out
 
-    small = items.where(F.col("length") < capacity.tokens)
+    small = items.where(F.col("length") < capacity.tokens).withColumn(row, F.monotonically_increasing_id())
     full = items.where(F.col("length") >= capacity.tokens)
     done = [full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))]
     count, base = small.count(), 0
     while count:
         n = -(-count // group)
-        deal = F.pmod(F.xxhash64(*keep), F.lit(n)).cast("long") + base
-        out = cut(small.withColumn("__group", deal).groupBy("__group").applyInPandas(pack, schema))
+        deal = F.pmod(F.xxhash64(F.lit(base), F.col(row)), F.lit(n)).cast("long") + base
+        out = cut(small.withColumn(dealt, deal).groupBy(dealt).applyInArrow(pack, schema))
         base += n
-        again = out.where(F.col("free") > UNDERFILLED).select(*keep)
+        again = out.where(F.col(free) > UNDERFILLED).select(*keep, row)
         left = again.count()
         if n == 1 or left * 10 > count * 9:
-            done.append(out.drop("free"))
+            done.append(out.drop(free, row))
             break
-        done.append(out.where(F.col("free") <= UNDERFILLED).drop("free"))
+        done.append(out.where(F.col(free) <= UNDERFILLED).drop(free, row))
         small, count = again, left
     whole = done[0]
     for part in done[1:]:

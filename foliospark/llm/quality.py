@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEADS, Block, mixed, span_hashes, text_slices
-from .common import _BYTE as BYTE
+from .common import LEADS, Block, mixed, span_hashes, span_sums, text_slices
 
 #: Most per cent of word characters inside repeated n-grams, by n.
 COVERAGE = {5: 40, 8: 35, 10: 30}
@@ -58,15 +57,14 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     leads = LEADS[block.buf]
     hashes = block.word_hashes()
     of = np.repeat(np.arange(block.n), block.n_words)
-    in_word = np.concatenate(([0], np.cumsum(leads * ~block.space, dtype=np.int64)))
-    chars = in_word[block.ends] - in_word[block.starts]
+    chars = span_sums(leads, block.starts, block.ends)
 
     def sums(values: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
         return total[block.first[1:]] - total[block.first[:-1]]
 
-    symbol = np.zeros(256, bool)
-    symbol[list(SYMBOLS)] = True
+    symbol = np.zeros(256, np.uint8)
+    symbol[list(SYMBOLS)] = 1
     out = {"n_words": block.n_words, "word_chars": sums(chars), "n_symbols": block.per_text(symbol[block.buf])}
 
     # Lines: each ends with \n, the last by what the block adds.
@@ -76,19 +74,14 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     starts, ends = starts[has_word], ends[has_word]
     line_of = np.searchsorted(block.offs, starts, "right") - 1
     if len(starts):
-        inside = np.zeros(len(block.buf) + 1, np.int8)
-        np.add.at(inside, starts, 1)
-        np.add.at(inside, ends, -1)
-        values = np.where(np.cumsum(inside[:-1]) > 0, BYTE[block.buf], np.uint64(0))
-        keys = mixed(span_hashes(values, starts, ends) + mixed(line_of.astype(np.uint64)))
+        keys = mixed(span_hashes(block.buf, starts, ends) + mixed(line_of.astype(np.uint64)))
         order = np.argsort(keys, kind="stable")
         again = np.zeros(len(keys), bool)
         again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
         starts, ends, line_of = starts[again], ends[again], line_of[again]
-    lead_sum = np.concatenate(([0], np.cumsum(leads, dtype=np.int64)))
-    out["n_dup_lines"] = np.bincount(line_of, minlength=block.n)[: block.n].astype(np.int64) if len(starts) else np.zeros(block.n, np.int64)
+    out["n_dup_lines"] = np.bincount(line_of, minlength=block.n).astype(np.int64)
     out["char_lines"] = np.zeros(block.n, np.int64)
-    np.add.at(out["char_lines"], line_of[: len(starts)], lead_sum[ends] - lead_sum[starts] - 1)
+    np.add.at(out["char_lines"], line_of, span_sums(leads, starts, ends) - 1)
     out["n_chars"] = block.per_text(leads) - 1
     out["n_repeat_words"] = np.zeros(block.n, np.int64)
     for n in sorted({*COVERAGE, WINDOW}):
@@ -128,7 +121,10 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, whose text is kept."""
+    """The rows of docs, all their columns whatever their names, whose text is kept.
+
+    Null, empty and blank texts go. Null ids and repeated rows make no difference. An empty table gives an empty result.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):

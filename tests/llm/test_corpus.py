@@ -65,12 +65,67 @@ def by_id(df):
 # Mixing.
 
 
-def test_targets_stop_at_the_cap_and_share_the_rest():
-    sizes = {"a": 10, "b": 1000, None: 1, "c": 500}
-    got = mixing.targets(sizes)
-    assert got["a"] == 30 and got[None] == 3
-    assert math.isclose(sum(got.values()), 1511) and math.isclose(got["b"] / got["c"], 2 / 3)
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+def brute_targets(sizes):
+    """By plain shares: what sources above three times their size can't take goes to the others by weight."""
+    weight = {n: (1, 2, 3)[i % 3] for i, n in enumerate(sorted(sizes, key=lambda n: (n is None, n or "")))}
+    out, free, rest = {}, set(sizes), float(sum(sizes.values()))
+    while free:
+        total = sum(weight[n] for n in free)
+        over = {n for n in free if rest * weight[n] / total > 3 * sizes[n]}
+        for n in over or free:
+            out[n] = 3.0 * sizes[n] if over else rest * weight[n] / total
+        free, rest = (free - over, rest - sum(out[n] for n in over)) if over else (set(), 0)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, None: 1, "c": 500}, {}, {"a": 0}, {**{f"s{i:03}": i * i % 97 for i in range(120)}, "é": 5, "z": 70, None: 3}])
+def test_targets_stop_at_the_cap_and_share_the_rest(spark, sizes):
+    from foliospark.functions.lineage import Scratch
+
+    with Scratch(spark) as scratch:
+        frame = spark.createDataFrame(list(sizes.items()), "source string, words long").repartition(7)
+        got = {r.source: r for r in mixing.targets(frame, scratch).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(math.isclose(got[n].target, t, rel_tol=1e-12) for n, t in want.items())
+    assert [n for n, _ in sorted(got.items(), key=lambda x: x[1]["rank"])] == sorted(sizes, key=lambda n: (n is None, n or ""))
+
+
+def brute_multiplier(sizes, goal, cap=3):
+    """By bisection."""
+    mean, low, high = max(sum(sizes), 1) / len(sizes), -2000.0, 2000.0
+    for _ in range(200):
+        at = (low + high) / 2
+        taken = sum(n * min(cap, math.exp(min(at * n / mean, 700))) for n in sizes)
+        low, high = (at, high) if taken < goal else (low, at)
+    return at / mean
+
+
+def test_mixing_equals_brute_force(spark):
+    """Rates by bisection; rounding misses a source by less than half its largest document for each group."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 90)) if rng.random() < 0.95 else None, rng.choice(["a", "b", "c", "d", None])) for i in range(400)]
+    rows += [(None, "one two three", "a"), (None, "one two three", "a"), ((1 << 53) + 1, "x y", "a"), ((1 << 53) + 3, "x y z", "a"), (None, None, None)]
+    got = mixing.mixed_rows(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert collections.Counter((r.doc_id, r.source, r["size"]) for r in got) == collections.Counter((i, s, len((t or "").split())) for i, t, s in rows)
+    sizes = collections.defaultdict(list)
+    for _, t, s in rows:
+        sizes[s].append(len((t or "").split()))
+    goals = brute_targets({s: sum(x) for s, x in sizes.items()})
+    taken = collections.Counter()
+    slope = {s: brute_multiplier(sizes[s], goals[s]) for s in sizes}
+    for r in got:
+        assert r.source_size == sum(sizes[r.source]) and math.isclose(r.target, goals[r.source], rel_tol=1e-9)
+        if r["size"] and goals[r.source] < 3 * r.source_size:
+            assert math.isclose(r.rate, min(3, math.exp(slope[r.source] * r["size"])), rel_tol=1e-4)
+        assert r.taken == r.copies * r["size"] and abs(r.copies - r.rate) < 1 + 1e-9
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goals[s]) <= max(sizes[s]) / 2 + 1 for s in sizes)
+
+
+def test_sources_that_do_not_converge_are_an_error(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing.multipliers, "__defaults__", (1e-7, 2))
+    with pytest.raises(RuntimeError, match="sources have not come"):
+        mixing.mixed_rows(docs)
 
 
 def test_mixing_meets_targets_and_repeats(docs, texts):
@@ -96,12 +151,16 @@ def test_rates_are_exponential_in_size(docs):
     assert all(max(s) - min(s) < 1e-9 for s in slopes.values())
 
 
-def test_mixing_of_odd_rows(odd, none):
+def test_mixing_of_odd_rows(spark, odd, none):
     rows = mixing.mixed_rows(odd).collect()
     assert len(rows) == len(DOCS)
     assert all(r.taken == 0 for r in rows if r.doc_id in (2, 3, 4))
-    mixed = mixing.mixture(odd)
-    assert mixed.columns == odd.columns
+    big = spark.createDataFrame([((1 << 53) + 1, "some words of it", "s2"), ((1 << 53) + 3, "other words", "s2")], "doc_id long, text string, source string")
+    own = {r.doc_id: r.copies for r in mixing.mixed_rows(odd.select("doc_id", "text", "source").union(big)).collect()}
+    assert {(1 << 53) + 1, (1 << 53) + 3, None} < own.keys()
+    clash = odd.withColumns({"copies": F.lit("c"), "K1": F.lit(1), "k2": F.lit(2), "turn": F.lit(0)})
+    mixed = mixing.mixture(clash)
+    assert mixed.columns == clash.columns
     want = collections.Counter()
     for r in rows:
         want[r.doc_id] += r.copies
@@ -521,13 +580,76 @@ def test_packing_keeps_every_constraint(spark, score):
     assert check_packing(rows, capacity) <= 150
 
 
-def test_sorted_bins_equal_the_scan():
+def brute_best_fit(lengths, capacity):
+    """Bins one by one, in exact fractions."""
+    from fractions import Fraction
+
+    bins, out = [], []
+    whole = (capacity.tokens, capacity.documents, capacity.attention)
+    for n in lengths:
+        demand = (n, 1, n * n)
+        scores = []
+        for b, room in enumerate(bins):
+            if all(r >= d for r, d in zip(room, demand)):
+                after = [Fraction(r - d, c) for r, d, c in zip(room, demand, whole)]
+                if capacity.score == "norm":
+                    scores.append((sum(w * float(x) ** 2 for w, x in zip(capacity.weights, after)), b))
+                else:
+                    scores.append((-sum(w * d / c * r / c for w, d, r, c in zip(capacity.weights, demand, room, whole)), b))
+        if scores:
+            least = min(scores)[0]
+            best = min(b for x, b in scores if x <= least + 1e-12)
+        else:
+            best = len(bins)
+            bins.append(list(whole))
+        bins[best] = [r - d for r, d in zip(bins[best], demand)]
+        out.append(best)
+    return out
+
+
+def test_best_fit_equals_a_plain_scan():
     rng = np.random.default_rng(4)
-    lengths = np.sort(rng.integers(1, 2048, 500))[::-1]
-    capacity = packing.Capacities(documents=3)
-    scan = packing.Capacities(documents=3, weights=(1.0, 1e-12, 0.0))
-    a, b = packing.best_fit(lengths, capacity), packing.best_fit(lengths, scan)
-    assert a.max() == b.max()
+    lengths = np.sort(np.concatenate((rng.integers(1, 2048, 300), rng.integers(1, 30, 400))))[::-1]
+    made = {}
+    for name, capacity in {
+        "default": packing.Capacities(), "dot": packing.Capacities(score="dot"), "tokens": packing.Capacities(weights=(1.0, 0.0, 0.0)),
+        "few": packing.Capacities(documents=3), "cheap": packing.Capacities(attention=1 << 20), "documents": packing.Capacities(weights=(0.1, 1.0, 0.0)),
+    }.items():
+        made[name] = packing.best_fit(lengths, capacity)
+        want = brute_best_fit(lengths.tolist(), capacity)
+        # Sums of rounded shares may order bins that are nearly alike either way; how many there are doesn't depend on it.
+        assert np.mean(made[name] == want) > 0.9 and abs(int(made[name].max()) - max(want)) <= 1, name
+    assert any((made["default"] != made[k]).any() for k in ("tokens",)) and (made["default"] != made["dot"]).any()
+    assert made["few"].max() > made["default"].max() and made["documents"].tolist() != made["default"].tolist()
+
+
+def test_many_tiny_documents_reach_the_bound_of_documents():
+    bins = packing.best_fit(np.ones(3000, np.int64), packing.Capacities())
+    assert np.bincount(bins).tolist() == [1024, 1024, 952]
+
+
+def test_packing_keeps_ids_and_repeated_rows(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    plain = Tokenizer.from_file(path)
+    rows = [(None, "a null id"), ((1 << 53) + 1, "word " * 5000), ((1 << 53) + 3, None), (None, "a null id"), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"sequence_id": F.lit(1), "offset": F.lit("x"), "length": F.lit(0)})
+    got = packing.packed_documents(frame, path, with_ids=True).collect()
+    check_packing(got)
+    want = collections.Counter()
+    for i, t in rows:
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [0]
+        want.update((i, k, tuple(ids[at : at + 2048])) for k, at in enumerate(range(0, len(ids), 2048)))
+    assert collections.Counter((r.doc_id, r.piece, tuple(r.ids)) for r in got) == want
+    with pytest.raises(ValueError):
+        packing.packed(frame)
+
+
+def test_equal_rows_are_spread_over_groups(spark):
+    items = spark.createDataFrame([(None, 3)] * 500, "doc_id long, length long")
+    rows = packing.packed(items, packing.Capacities(tokens=7), group=50).collect()
+    assert len(rows) == 500 and len({r.sequence_id >> 32 for r in rows}) > 5 and check_packing(rows, packing.Capacities(tokens=7)) <= 260
 
 
 # URL rules.
