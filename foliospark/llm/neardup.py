@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, Scratch, cut, mixed, text_slices
+from .common import Block, Scratch, cut, mixed, rolling, text_slices
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
@@ -38,10 +38,7 @@ _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 def shingle_hashes(block: Block, words: int) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes; a text with fewer words has its whole sequence as one."""
     h = block.word_hashes()
-    rolled = h.copy()
-    for k in range(1, words):
-        rolled[: len(h) - k] = rolled[: len(h) - k] * _FACTOR + h[k:]
-    rolled = mixed(rolled)
+    rolled = mixed(rolling(h, words))
     sets = []
     for i in range(block.n):
         a, b = block.first[i], block.first[i + 1]
@@ -68,17 +65,29 @@ class Signer:
         self.order = np.argsort(rng.random((self.bins, self.bins)), axis=1)
         self.salt = rng.integers(1, 1 << 62, bands, np.int64).astype(np.uint64)
 
-    def slots(self, hashes: np.ndarray) -> np.ndarray:
+    def slots(self, hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """(n, bins): the slots of n sets, none of which is empty; of: each hash's set. Repeated hashes make no difference."""
         bins = ((hashes >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.diff(bins, prepend=-1))
-        slots, filled = np.zeros(self.bins, np.uint64), np.zeros(self.bins, bool)
-        slots[bins[first]], filled[bins[first]] = hashes[first], True
-        empty = np.flatnonzero(~filled)
-        if len(empty):
-            order = self.order[empty]
-            slots[empty] = slots[order[np.arange(len(empty)), np.argmax(filled[order], axis=1)]]
+        slots, filled = np.full(n * self.bins, np.iinfo(np.uint64).max, np.uint64), np.zeros((n, self.bins), bool)
+        np.minimum.at(slots, bins + of * self.bins, hashes)
+        filled.ravel()[bins + of * self.bins] = True
+        slots = slots.reshape(n, self.bins)
+        rows, empty = np.nonzero(~filled)
+        order = self.order[empty]
+        first = np.argmax(np.take_along_axis(filled[rows], order, axis=1), axis=1)
+        slots[rows, empty] = slots[rows, order[np.arange(len(order)), first]]
         return slots
 
+    def signed(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(n, bands): the keys of n sets of so many hashes each, one or more; in parts, as each empty bin looks at all bins."""
+        out, ends = [np.zeros((0, self.bands), np.int64)], np.concatenate(([0], np.cumsum(sizes)))
+        part = max(1, (1 << 23) // self.bins**2)
+        for a in range(0, len(sizes), part):
+            own = sizes[a : a + part]
+            of = np.repeat(np.arange(len(own)), own)
+            out.append(self.keys(self.slots(hashes[ends[a] : ends[a + len(own)]], of, len(own))))
+        return np.concatenate(out)
+
     def keys(self, slots: np.ndarray) -> np.ndarray:
         """Of signatures (n, bins): (n, bands) keys, unlike between bands."""
         parts = slots.reshape(len(slots), self.bands, self.rows)
@@ -96,7 +105,8 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         for part in text_slices(batches, "text"):
             sets = shingle_hashes(Block(part.column("text"), lower=True), words)
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys = signer.keys(np.array([signer.slots(sets[i]) for i in full]).reshape(-1, signer.bins))
+            flat = np.concatenate([sets[i] for i in full]) if full else np.zeros(0, np.uint64)
+            keys = signer.signed(flat, np.array([len(sets[i]) for i in full], np.int64))
             at = np.zeros(len(sets) + 1, np.int32)
             at[1:] = np.cumsum([bands * bool(len(s)) for s in sets])
             yield pa.RecordBatch.from_arrays(

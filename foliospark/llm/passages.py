@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LEADS, Block, Scratch, cut, mixed, text_slices
+from ..functions.lineage import release
+from .common import LEADS, Block, Scratch, cut, hinted, mixed, rolling, span_sums, text_slices
 from .components import components
 from .neardup import Signer, compared, missed
 
@@ -40,13 +41,13 @@ _FACTOR = np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, unit, begin, end (code points), word, n_words, class, keys, text of each text's paragraphs.
+    """doc_id, unit, begin, end (code points), word, n_words, class, check, keys, text of each text's paragraphs.
 
-    unit numbers a text's paragraphs of five words or more; word is the number of the first word. Keys and text are null for
-    paragraphs of fewer than LONG words, and for those whose class the task has met before (as far as it remembers): they
-    belong to the class, and one of it that has them is enough.
+    unit numbers a text's paragraphs of five words or more; word is the number of the first word. Equal words have equal class and
+    check (96 bits together). Keys are empty and text is null for paragraphs of fewer than LONG words, and for those whose class the
+    task has met before (as far as it remembers): they belong to the class, and one of it that has them is enough.
     """
-    names = ["doc_id", "unit", "begin", "end", "word", "n_words", "class", "keys", "text"]
+    names = ["doc_id", "unit", "begin", "end", "word", "n_words", "class", "check", "keys", "text"]
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, met = Signer(bands, rows), set()
@@ -56,53 +57,66 @@ def paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
             if len(met) > REMEMBERED:
                 met.clear()
 
-    sql = "doc_id long, unit int, begin int, end int, word int, n_words int, class long, keys array<long>, text string"
+    sql = "doc_id long, unit int, begin int, end int, word int, n_words int, class long, check int, keys array<long>, text string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(cut_up, sql)
 
 
+def _int32(x: np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(x).astype(np.int32))
+
+
+def _places(block: Block, of: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of their own texts at which byte spans begin and end; of: their texts."""
+    lead = np.concatenate((np.zeros(1, np.int32), np.cumsum(LEADS[block.buf], dtype=np.int32)))
+    base = lead[block.offs[of]]
+    return lead[starts] - base, lead[ends] - base
+
+
 def _units(doc_ids: pa.Array, block: Block, signer: Signer, met: set[int]) -> list[pa.Array]:
     n = len(block.starts)
-    lead = np.concatenate(([0], np.cumsum(LEADS[block.buf], dtype=np.int64)))
     # A paragraph ends after a word that ends a sentence, or with which its line or text ends.
     last = block.buf[block.ends - 1] if n else np.zeros(0, np.uint8)
-    newlines = np.concatenate(([0], np.cumsum(block.buf == 10, dtype=np.int64)))
     following = np.append(block.starts[1:], len(block.buf)) if n else block.starts
-    stops = np.isin(last, np.frombuffer(b".!?", np.uint8)) | (newlines[following] > newlines[block.ends])
+    breaks = span_sums((block.buf == 10).view(np.uint8), block.ends, following)
+    stops = np.isin(last, np.frombuffer(b".!?", np.uint8)) | (breaks > 0)
     begins = np.flatnonzero(np.concatenate(([True], stops[:-1]))) if n else np.zeros(0, np.int64)
     begins, sizes = _joined(begins, np.diff(np.append(begins, n)), np.isin(begins, block.first))
     hashes = block.word_hashes()
     of = np.searchsorted(block.first, begins, "right") - 1
     # Texts without words share a first word with their successor: take the last text that starts there.
     unit = np.arange(len(begins)) - np.searchsorted(of, of)
-    rolled = hashes[: max(0, n - SHINGLE + 1)].copy()
-    for k in range(1, SHINGLE):
-        rolled = rolled * _FACTOR + hashes[k : k + len(rolled)]
-    rolled = mixed(rolled)
-    classes, keys, texts, slots = [], np.zeros(len(begins) + 1, np.int32), [], []
-    # The class: a sum over positions inside the paragraph, so it is the words in their order.
+    classes, check = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    # The class: a sum over positions inside the paragraph, so it is the words in their order; the check: another such sum.
     if len(begins):
         powers = np.multiply.accumulate(np.full(int(sizes.max()), _FACTOR))
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        place = np.arange(starts[-1]) - np.repeat(starts[:-1], sizes)
-        terms = hashes[np.repeat(begins, sizes) + place] * powers[place]
-        classes = mixed(np.add.reduceat(terms, starts[:-1]) + sizes.astype(np.uint64)).view(np.int64)
-    raw = block.buf.tobytes()
-    for i, (b, size, own_class) in enumerate(zip(begins.tolist(), sizes.tolist(), np.asarray(classes).tolist())):
-        if size >= LONG and own_class not in met:
-            met.add(own_class)
-            own = np.sort(rolled[b : b + size - SHINGLE + 1])
-            slots.append(signer.slots(own[np.diff(own, prepend=~own[:1]) != 0]))
-            texts.append(raw[block.starts[b] : block.ends[b + size - 1]].decode("utf-8", "replace"))
-            keys[i + 1] = signer.bands
-        else:
-            texts.append(None)
-    flat = signer.keys(np.array(slots, np.uint64).reshape(-1, signer.bins)).ravel()
-    base = lead[block.offs[of]]
-    int32 = lambda x: pa.array(np.asarray(x).astype(np.int32))
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+        words = hashes[np.repeat(begins, sizes) + place]
+        classes = mixed(np.add.reduceat(words * powers[place], starts) + sizes.astype(np.uint64)).view(np.int64)
+        check = (mixed(np.add.reduceat(mixed(words ^ _FACTOR) * powers[place], starts)) >> np.uint64(33)).astype(np.int32)
+    # Of each class of LONG words or more that is new, the first paragraph has keys and text.
+    long_ = np.flatnonzero(sizes >= LONG)
+    known, first = np.unique(classes[long_], return_index=True)
+    new = [c not in met for c in known.tolist()]
+    met.update(known.tolist())
+    told = np.sort(long_[first[new]]) if len(long_) else long_
+    spans = sizes[told] - SHINGLE + 1
+    place = np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans, spans)
+    shingles = mixed(rolling(hashes, SHINGLE))[np.repeat(begins[told], spans) + place] if len(told) else hashes[:0]
+    flat = signer.signed(shingles, spans).ravel()
+    counts = np.zeros(len(begins) + 1, np.int32)
+    counts[told + 1] = signer.bands
+    begin, end = block.starts[begins], block.ends[begins + sizes - 1]
+    # Texts of paragraphs: every second run of the bytes between all begins and ends.
+    edges = np.stack((begin, end), axis=1).ravel()
+    runs = pa.LargeStringArray.from_buffers(max(0, len(edges) - 1), pa.py_buffer(np.ascontiguousarray(edges)), pa.py_buffer(np.ascontiguousarray(block.buf)))
+    wanted = np.zeros(len(begins), bool)
+    wanted[told] = True
+    texts = runs.take(pa.array(2 * np.arange(len(begins)), mask=~wanted)).cast(pa.string())
+    first_point, last_point = _places(block, of, begin, end)
     return [
-        doc_ids.take(pa.array(of)), int32(unit), int32(lead[block.starts[begins]] - base), int32(lead[block.ends[begins + sizes - 1]] - base),
-        int32(begins - block.first[of]), int32(sizes), pa.array(np.asarray(classes, np.int64)), pa.ListArray.from_arrays(pa.array(np.cumsum(keys, dtype=np.int32)), pa.array(flat)),
-        pa.array(texts, pa.string()),
+        doc_ids.take(pa.array(of)), _int32(unit), _int32(first_point), _int32(last_point), _int32(begins - block.first[of]), _int32(sizes),
+        pa.array(classes), pa.array(check), pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(flat)), texts,
     ]
 
 
@@ -119,13 +133,10 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc, pad: int) -> np.ndarray:
 def _grams(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash of the size words from each word on, and whether its text has so many left."""
     hashes = block.word_hashes()
-    n, grams = len(hashes), np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
-    whole = np.arange(n) + size <= np.repeat(block.first[1:], block.n_words)
-    if n >= size:
-        rolled = hashes[: n - size + 1].copy()
-        for k in range(1, size):
-            rolled = rolled * _FACTOR + hashes[k : k + len(rolled)]
-        grams[: len(rolled)] = np.where(whole[: len(rolled)], mixed(rolled), grams[: len(rolled)])
+    grams = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
+    whole = np.arange(len(hashes)) + size <= np.repeat(block.first[1:], block.n_words)
+    rolled = rolling(hashes, size)
+    grams[: len(rolled)] = np.where(whole[: len(rolled)], mixed(rolled), grams[: len(rolled)])
     return grams, whole
 
 
@@ -133,11 +144,9 @@ _SPAN = "doc_id long, gram long, word int, begin int, end int"
 
 
 def _spans(doc_ids: pa.Array, block: Block, grams: np.ndarray, at: np.ndarray, size: int) -> pa.RecordBatch:
-    lead = np.concatenate(([0], np.cumsum(LEADS[block.buf], dtype=np.int64)))
     of = np.searchsorted(block.first, at, "right") - 1
-    base = lead[block.offs[of]]
-    places = (at - block.first[of], lead[block.starts[at]] - base, lead[block.ends[at + size - 1]] - base)
-    columns = [doc_ids.take(pa.array(of)), pa.array(grams[at].view(np.int64)), *(pa.array(x.astype(np.int32)) for x in places)]
+    begin, end = _places(block, of, block.starts[at], block.ends[at + size - 1])
+    columns = [doc_ids.take(pa.array(of)), pa.array(grams[at].view(np.int64)), *map(_int32, (at - block.first[of], begin, end))]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "word", "begin", "end"])
 
 
@@ -172,12 +181,70 @@ def _around(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(choose, _SPAN)
 
 
-def _shared(spans: DataFrame) -> DataFrame:
+def _shared(spans: DataFrame, scratch: Scratch) -> DataFrame:
     """The spans whose words several documents have, with the least of these."""
-    # One exchange serves the least and the greatest document of each hash and the spans themselves.
-    same = Window.partitionBy("gram")
-    found = spans.withColumn("keeper_doc_id", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same))
-    return found.where("keeper_doc_id < high").drop("high")
+    spans = scratch.keep(spans)
+    ends = spans.groupBy("gram").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("high"))
+    ends = scratch.keep(ends.where("keeper_doc_id < high").drop("high"))
+    found = scratch.keep(hinted(spans, "gram", ends, scratch).join(ends, "gram"))
+    scratch.drop(spans)
+    return found
+
+
+def _sides(of: np.ndarray, word: np.ndarray, gram: np.ndarray, size: int, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the sides before and after each anchor: whether its island ends there before width - 1 words, and a hash of the anchors there.
+
+    of: each anchor's text, whose words ascend. An island's spans touch or overlap.
+    """
+    n = len(word)
+    begins = np.flatnonzero(np.concatenate((np.ones(min(n, 1), bool), (of[1:] != of[:-1]) | (np.diff(word) > size))))
+    island = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, n)))
+    first, last = word[begins], word[np.append(begins[1:], n) - 1] if n else word
+    chains = np.zeros((2, n), np.uint64)
+    for k in range(1, n):
+        apart = word[k:] - word[:-k]
+        near = np.flatnonzero((of[k:] == of[:-k]) & (apart <= width + size))
+        if not len(near):
+            break
+        far = apart[near].astype(np.uint64) * _FACTOR
+        # Each anchor is in at most one term of a side for each k.
+        chains[1, near] += mixed(gram[near + k] + far)
+        chains[0, near + k] += mixed(gram[near] + far)
+    return [(word - first[island] < width - 1, chains[0]), (last[island] - word < width - 1, chains[1])]
+
+
+def _ranges(first: DataFrame, scratch: Scratch, size: int, width: int) -> DataFrame:
+    """doc_id, low, high: arrays of the word numbers between which documents look for spans that anchors don't show.
+
+    Where the spans found so far cease (an island of neighbouring ones ends), a shared stretch can go on for less than width words, in
+    whichever document has its last anchor. So if an anchor lies that near to an end of its island in some document, all documents
+    that have it look around it on that side. Of those in which the island goes on, all with the same anchors that follow have the
+    same words there; the least and the greatest of them look for all.
+    """
+    own = first.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("word", "gram"))).alias("anchors"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors = batch.column("anchors")
+            of = np.repeat(np.arange(len(anchors)), np.diff(anchors.offsets.to_numpy()))
+            flat = anchors.flatten()
+            word, gram = flat.field("word").to_numpy().astype(np.int64), flat.field("gram").to_numpy()
+            doc = batch.column("doc_id").take(pa.array(of))
+            for side, (edge, chain) in enumerate(_sides(of, word, gram.view(np.uint64), size, width)):
+                columns = [doc, pa.array(gram), _int32(word), pa.array(np.full(len(word), side, np.int32)), pa.array(edge), pa.array(chain.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "word", "side", "edge", "chain"])
+
+    sides = scratch.keep(own.mapInArrow(look, "doc_id long, gram long, word int, side int, edge boolean, chain long"))
+    at = F.struct("doc_id", "word")
+    asked = scratch.keep(sides.where("edge").select("gram", "side").distinct())
+    alike = hinted(sides.where("not edge"), "gram", asked.select("gram"), scratch).groupBy("gram", "side", "chain").agg(F.min(at).alias("least"), F.max(at).alias("most"))
+    alike = alike.join(asked, ["gram", "side"], "left_semi").select("side", F.explode(F.array_distinct(F.array("least", "most"))).alias("at"))
+    looked = alike.select("at.doc_id", "at.word", "side").union(sides.where("edge").select("doc_id", "word", "side"))
+    # A stretch has another anchor in common if it goes on for width spans after one.
+    low = F.col("word") + F.when(F.col("side") == 0, 1 - width).otherwise(1)
+    high = F.col("word") + F.when(F.col("side") == 0, -1).otherwise(width - 1)
+    looked = looked.groupBy("doc_id").agg(F.collect_set(F.struct(low.alias("low"), high.alias("high"))).alias("r"))
+    return looked.select("doc_id", F.col("r.low").alias("low"), F.col("r.high").alias("high"))
 
 
 def shared_stretches(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataFrame:
@@ -189,22 +256,12 @@ def shared_stretches(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataF
     size = max(1, min(GRAM, run // 2))
     width = run - size + 1
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    first = scratch.keep(_shared(_anchors(named, size, width)))
-    # Where the spans found so far cease, a shared stretch can go on for less than width words, in whichever document has the
-    # last anchor: all documents that have it give their spans around it.
-    order = Window.partitionBy("doc_id").orderBy("word")
-    begun = first.withColumn("new", F.coalesce(F.col("word") - F.lag("word").over(order) > size, F.lit(True)).cast("int"))
-    whole = Window.partitionBy("doc_id", "island")
-    islands = begun.withColumn("island", F.sum("new").over(order))
-    near = lambda x: F.max((x < width).cast("int")) * width
-    sides = islands.select("gram", (F.col("word") - F.min("word").over(whole)).alias("left"), (F.max("word").over(whole) - F.col("word")).alias("right"))
-    sides = sides.groupBy("gram").agg(near(F.col("left")).alias("left"), near(F.col("right")).alias("right")).where("left > 0 or right > 0")
-    ranges = first.join(sides, "gram").groupBy("doc_id").agg(
-        F.collect_list(F.struct((F.col("word") - F.col("left")).alias("low"), (F.col("word") + F.col("right")).alias("high"))).alias("r")
-    )
-    asked = named.join(ranges.select("doc_id", F.col("r.low").alias("low"), F.col("r.high").alias("high")), "doc_id")
+    first = _shared(_anchors(named, size, width), scratch)
+    release(docs.sparkSession)
+    ranges = scratch.keep(_ranges(first, scratch, size, width))
+    asked = hinted(named, "doc_id", ranges.select("doc_id"), scratch).join(ranges, "doc_id")
     names = ["doc_id", "gram", "word", "begin", "end", "keeper_doc_id"]
-    spans = first.select(names).union(_shared(_around(asked, size)).select(names))
+    spans = first.select(names).union(_shared(_around(asked, size), scratch).select(names))
     by_keeper = Window.partitionBy("doc_id", "keeper_doc_id").orderBy("word")
     split = spans.withColumn("new", F.coalesce(F.col("word") - F.lag("word").over(by_keeper) > size, F.lit(True)).cast("int"))
     split = split.withColumn("part", F.sum("new").over(by_keeper))
@@ -248,29 +305,14 @@ def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMIL
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
+        stretches = scratch.keep(shared_stretches(docs, scratch, run).withColumn("unit", F.lit(None).cast("int")))
+        release(spark)
         units = scratch.keep(paragraphs(docs, bands, rows))
-        # One exchange by key serves both the stars and the join with them: both sides ask for the same (nothing is null).
-        members = units.where("keys is not null and class is not null").select(F.explode("keys").alias("key"), "class")
-        members = members.where("key is not null").repartition("key")
-        stars = members.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("high")).where("hub <> high").select("key", "hub")
-        met = members.join(stars, "key").where("class <> hub")
-        pairs = cut(met.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
-        ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        texts = units.where("text is not null").select("class", "text").join(ends, "class", "left_semi")
-        texts = cut(texts.groupBy("class").agg(F.min("text").alias("text")).withColumnRenamed("class", "doc_id"))
-        met = cut(compared(pairs, texts, SHINGLE, similarity))
-        nodes = ends.withColumnRenamed("class", "node")
-        of = components(met.where("linked").select("a", "b"), nodes)
-        more = cut(missed(met, of, similarity))
-        if not more.isEmpty():
-            of = components(of.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").union(more), nodes)
-        of = of.select(F.col("node").alias("class"), "component")
-        plain = units.select("doc_id", "unit", "begin", "end", "word", "n_words", "class").join(of, "class", "left")
-        plain = plain.withColumn("component", F.coalesce("component", "class")).drop("class")
-        groups = plain.groupBy("component").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("high")).where("keeper_doc_id < high")
-        repeats = plain.join(groups.drop("high"), "component")
-        stretches = shared_stretches(docs, scratch, run).withColumn("unit", F.lit(None).cast("int"))
-        repeats = repeats.drop("high").unionByName(stretches)
+        of = scratch.keep(_linked(units, scratch, similarity))
+        release(spark)
+        labels = scratch.keep(_groups(units, of))
+        plain = hinted(units.select("doc_id", "unit", "begin", "end", "word", "n_words", "class", "check"), "class", labels.select("class"), scratch)
+        repeats = plain.join(labels, ["class", "check"]).drop("class", "check").unionByName(stretches)
         order = Window.partitionBy("doc_id").orderBy("word", "n_words")
         reached = F.max(F.col("word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
         repeats = repeats.withColumn("new", F.coalesce(F.col("word") - reached >= SHINGLE, F.lit(True)).cast("int"))
@@ -286,6 +328,36 @@ def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMIL
         )
 
 
+def _linked(units: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """class, check, component of the classes that share a bucket with another, of what paragraphs() returns."""
+    members = units.where("text is not null").select(F.explode("keys").alias("key"), "class")
+    stars = members.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("high")).where("hub <> high")
+    stars = scratch.keep(stars.select("key", "hub"))
+    met = hinted(members, "key", stars.select("key"), scratch).join(stars, "key").where("class <> hub")
+    pairs = scratch.keep(met.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
+    ends = scratch.keep(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
+    texts = units.where("text is not null").select("class", "check", "text")
+    texts = hinted(texts, "class", ends, scratch).join(ends, "class", "left_semi")
+    texts = scratch.keep(texts.groupBy(F.col("class").alias("doc_id")).agg(F.min(F.struct("check", "text")).alias("x")).select("doc_id", "x.check", "x.text"))
+    met = scratch.keep(compared(pairs, texts, SHINGLE, similarity))
+    nodes = ends.withColumnRenamed("class", "node")
+    of = components(met.where("linked").select("a", "b"), nodes)
+    more = scratch.keep(missed(met, of, similarity))
+    if not more.isEmpty():
+        of = components(of.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").union(more), nodes)
+    return of.select(F.col("node").alias("class"), "component").join(texts.select(F.col("doc_id").alias("class"), "check"), "class")
+
+
+def _groups(units: DataFrame, of: DataFrame) -> DataFrame:
+    """class, check, component, keeper_doc_id of the classes that several documents have, by themselves or with those linked to them."""
+    classes = units.groupBy("class", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    labeled = classes.join(of, ["class", "check"], "left")
+    alone = labeled.where("component is null and low < high").select("class", "check", F.col("class").alias("component"), F.col("low").alias("keeper_doc_id"))
+    linked = labeled.where("component is not null")
+    groups = linked.groupBy("component").agg(F.min("low").alias("keeper_doc_id"), F.max("high").alias("top")).where("keeper_doc_id < top")
+    return alone.union(linked.join(groups, "component").select("class", "check", "component", "keeper_doc_id"))
+
+
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all their columns, with the removals of repeated_passages() cut out of their texts."""
     found = repeated_passages(docs, **options).where("removed")

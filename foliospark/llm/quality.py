@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEADS, Block, mixed, span_hashes, span_sums, text_slices
+from .common import LEADS, Block, mixed, rolling, span_hashes, span_sums, text_slices
 
 #: Most per cent of word characters inside repeated n-grams, by n.
 COVERAGE = {5: 40, 8: 35, 10: 30}
@@ -26,7 +26,6 @@ MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_FACTOR = np.uint64(0xE7037ED1A0B428DB)
 
 
 def repeated_windows(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -34,9 +33,7 @@ def repeated_windows(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     inside = np.zeros(len(hashes) + 1, np.int32)
     if len(hashes) >= n:
         m = len(hashes) - n + 1
-        rolled = hashes[:m].copy()
-        for k in range(1, n):
-            rolled = rolled * _FACTOR + hashes[k : k + m]
+        rolled = rolling(hashes, n)
         whole = np.flatnonzero(of[:m] == of[n - 1 :])
         keys = mixed(rolled[whole] + mixed(of[whole].astype(np.uint64)))
         order = np.argsort(keys)
