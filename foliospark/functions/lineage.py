@@ -51,6 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM forget plans that nothing refers to, upon which Spark removes their shuffle files from the executors' disks."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Parquet tables in the shared folder that are removed together: ``with Scratch(spark) as s: df = s.keep(df)``."""
 
@@ -63,6 +68,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, df: DataFrame) -> None:
+        """Removes a table that keep() returned."""
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(self.spark, file)
+
     def __enter__(self) -> Scratch:
         return self
 
