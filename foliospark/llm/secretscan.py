@@ -1,9 +1,14 @@
 """Secret scans: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer reads ``name = value`` statements in their common forms (``=``, ``:=``, ``:``, ``=>``; bare or quoted
-names; quoted or bare values; sums of literals and names), keeps what each name holds, and so follows a literal
-through names (``k = "..."`` ... ``password = k``) and sums. A literal is a secret if the name it reaches is sensitive
-and the literal looks random enough; what counts is the product of both scores.
+The lexer finds what gives a name a value, wherever it stands (code, comments, configuration, inside other literals): a bare or quoted
+name, also as an option (``--name``), a subscript (``x["name"]``) or an array (``name[]``), a type annotation if there is one, one of the signs
+``=``, ``:=``, ``=>``, ``:``, ``+=``, ``?=``, ``||=``, and an expression; further block scalars (``name: |``), elements
+(``<name>...</name>``) and attributes (``<x name="name" value="..."/>``). An expression is made of literals (single, double, triple
+and back quotes, prefixes, escapes, bare words) and names, joined by ``+``, ``.``, ``..``, ``&`` or by nothing, in brackets or over
+continued lines, with comments in between; literals can hold names in braces. What each name holds is kept, so a literal is followed through names
+(``k = "..."`` ... ``password = k``), sums and templates. What reaches a sensitive name counts if it looks random enough; both
+scores are multiplied. Kept are which literals and names a value is made of and how often it has each character, not its
+text, so time and memory are linear in the text whatever names are made of.
 """
 
 from __future__ import annotations
@@ -11,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +34,28 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_VALUE = 12
 KINDS = ("assign", "access", "hex", "named")
 
-STATEMENT = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][A-Za-z0-9_.-]*)["']?[\x20\t]*(?::=|=>|[:=](?![:=]))[\x20\t]*""")
-TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_.+/=$%{}<>!@^&*~-]+)""")
-PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*(?=[\"'A-Za-z_])")
+HEAD = re.compile(
+    r"""(?<![\w.-])-{0,2}["']?([A-Za-z_][A-Za-z0-9_.-]*+)(?:["']\]?|\[\w*\])?[\x20\t]*+(:=|=>|[+?]=|\|\|=|[:=](?![:=]))[\x20\t]*+"""
+)
+#: After a colon: a type, then the sign of a value. A sign without space around it belongs to a bare word, unless a quote follows.
+ANNOTATION = re.compile(r"""[*&]?[A-Za-z_][\w.:]*+(?:\[(?:[^\[\]\n=]|\[[^\[\]\n=]*\])*\]|<[^<>\n=]*>)?[?!*&]*(?:[\x20\t]*\|[\x20\t]*[A-Za-z_][\w.]*+)*(?:[\x20\t]+=(?![=>])|=(?=["'`]))[\x20\t]*+""")
+STRING = re.compile(
+    r"""([A-Za-z]{0,2})(?:"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)""",
+    re.S,
+)
+BARE = re.compile(r"[A-Za-z0-9_.+/=$%{}<>!@^&*~-]+")
+#: A bare word that is a name, not a literal: no digit, no other sign.
+NAME = re.compile(r"[A-Za-z_][A-Za-z_.]*")
+COMMENT = re.compile(r"#|//|--|/\*")
+BLANK, LINES = re.compile(r"(?:[\x20\t]|\\\r?\n)*+"), re.compile(r"(?:[\x20\t\r\n]|\\\r?\n)*+")
+JOINER = re.compile(r"\+(?=[\s\"'`A-Za-z_(])|\.\.?(?=[\s\"'])|&(?=[\s\"'])")
+WRAPPER = re.compile(r"(?:new\s+)?(?:[A-Za-z_]\w*\.)*(?:Secret|SecretStr|SecureString|String|str|bytes|b64decode|from)\(")
+HOLE = re.compile(r"[$#]?\{([A-Za-z_][A-Za-z0-9_.-]*)[^{}\n]*\}|\$([A-Za-z_]\w*)")
+BLOCK_SIGN = re.compile(r"[|>][+-]?[\x20\t]*\r?\n")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>([^<>]+)</\1\s*>")
+TAG = re.compile(r"<[A-Za-z_][^<>]*+>")
+ATTRIBUTE = re.compile(r"""([A-Za-z_][\w.:-]*+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+ARMOUR = re.compile(r"-----[A-Z\x20]+-----")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 PLACEHOLDER = re.compile(r"(?i)(.)\1*|[<$%{].*|.*(your|change.?me|example|placeholder|dummy|redacted|xxxx|\*\*\*).*|none|null|true|false")
 
@@ -49,52 +75,216 @@ def name_score(name: str) -> float:
     return max([0.0, *keys, *(SENSITIVE.get(p, 0.0) for p in parts)])
 
 
-def literal_score(value: str) -> float:
-    n = len(value)
-    if n < 8 or any(c.isspace() for c in value) or PLACEHOLDER.fullmatch(value):
-        return 0.0
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    classes = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), not value.isalnum()))
-    return min(1.0, entropy / 3.0) * min(1.0, 0.35 + 0.25 * (classes - 1))
+class Value:
+    """What an expression is made of: characters and how often each occurs (as shares of size once they are many), and parts."""
 
+    __slots__ = ("size", "counts", "spaced", "empty_like", "parts", "told")
 
-def named_literals(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, each once."""
-    held: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    found: dict[tuple[int, int], None] = {}
-    for m in STATEMENT.finditer(text):
-        value, spans, at = "", [], m.end()
-        while term := TERM.match(text, at):
-            k = term.lastindex or 1
-            part = term[k] or ""
-            if k == 3 and part in held:
-                part, own = held[part]
-                spans += own
+    def __init__(self) -> None:
+        self.size, self.counts, self.spaced, self.empty_like, self.told = 0.0, {}, False, True, False
+        self.parts: list[Value | tuple[int, int]] = []
+
+    def add_literal(self, text: str, span: tuple[int, int]) -> None:
+        """A literal without what is filled into it; line ends with their indent and armour lines are no part of its value."""
+        text = re.sub(r"\s*\n\s*", "", ARMOUR.sub("", text).strip())
+        self.size += len(text)
+        for c, n in Counter(text).items():
+            self.counts[c] = self.counts.get(c, 0) + n
+        self.spaced |= any(c.isspace() for c in text)
+        self.empty_like &= not text or bool(PLACEHOLDER.fullmatch(text))
+        self.parts.append(span)
+
+    def add(self, other: Value) -> None:
+        self.size += other.size
+        for c, n in other.counts.items():
+            self.counts[c] = self.counts.get(c, 0) + n
+        if self.size > 1e9:
+            # Only shares matter from here on.
+            scale = 1e6 / self.size
+            self.size, self.counts = 1e6, {c: n * scale for c, n in self.counts.items()}
+        self.spaced |= other.spaced
+        self.empty_like &= other.empty_like
+        self.parts.append(other)
+
+    def score(self) -> float:
+        """How much it looks like a secret, 0 to 1: by entropy and by kinds of characters."""
+        if self.size < 8 or self.spaced or self.empty_like:
+            return 0.0
+        entropy = -sum(k / self.size * math.log2(k / self.size) for k in self.counts.values())
+        kinds = [False] * 4
+        for c in self.counts:
+            kinds[0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3] = True
+        return min(1.0, entropy / 3.0) * min(1.0, 0.35 + 0.25 * (sum(kinds) - 1))
+
+    def tell(self, found: dict[tuple[int, int], None]) -> None:
+        """Adds the spans of all literals that it is made of; each value does so once."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if value.told:
+                continue
+            value.told = True
+            for part in value.parts:
+                if isinstance(part, Value):
+                    todo.append(part)
+                else:
+                    found[part] = None
+
+
+class Lexer:
+    """Reads one text: what names hold, in order of the text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.held: dict[str, Value] = {}
+        self.found: dict[tuple[int, int], None] = {}
+        self.stops: dict[str, list[int]] = {}
+
+    def after(self, mark: str, at: int) -> int:
+        """Behind the next mark from at on (the text's end without one), from a list of all, made once."""
+        if mark not in self.stops:
+            self.stops[mark] = [m.start() for m in re.finditer(re.escape(mark), self.text)]
+        k = bisect_left(self.stops[mark], at)
+        return self.stops[mark][k] + len(mark) if k < len(self.stops[mark]) else len(self.text)
+
+    def give(self, name: str, value: Value, more: bool = False) -> None:
+        if not value.parts:
+            return
+        if more and name in self.held:
+            both = Value()
+            both.add(self.held[name])
+            both.add(value)
+            value = both
+        self.held[name] = value
+        if (score := name_score(name)) and score * value.score() >= THRESHOLD:
+            value.tell(self.found)
+
+    def literal(self, value: Value, begin: int, end: int) -> None:
+        """Adds the literal, without white space around it, and the names that are filled into it."""
+        raw = self.text[begin:end]
+        own = raw.strip()
+        begin += len(raw) - len(raw.lstrip())
+        holes = [m for m in HOLE.finditer(own) if (m[1] or m[2]) in self.held]
+        for m in holes:
+            value.add(self.held[m[1] or m[2]])
+        if own:
+            at, kept = 0, []
+            for m in holes:
+                kept.append(own[at : m.start()])
+                at = m.end()
+            kept = "".join([*kept, own[at:]])
+            if kept:
+                value.add_literal(kept, (begin, begin + len(own)))
+
+    def blank(self, at: int, depth: int) -> int:
+        """Where the next term can stand: in brackets, line ends and comments are passed over as well."""
+        while True:
+            at = (LINES if depth else BLANK).match(self.text, at).end()
+            m = depth and COMMENT.match(self.text, at)
+            if not m:
+                return at
+            at = self.after("*/" if m[0] == "/*" else "\n", m.end())
+
+    def expression(self, at: int) -> Value:
+        value, depth, joined, text = Value(), 0, True, self.text
+        first = True
+        while True:
+            at = self.blank(at, depth or (joined and not first))
+            if joined and (m := WRAPPER.match(text, at)):
+                at, depth = m.end(), depth + 1
+            elif joined and text.startswith(("(", "["), at):
+                at, depth = at + 1, depth + 1
+            elif depth and text.startswith((")", "]"), at):
+                at, depth, joined = at + 1, depth - 1, False
+            elif m := STRING.match(text, at):
+                # Literals that follow each other are one; after a name, a quote begins something else.
+                k = m.lastindex
+                self.literal(value, *m.span(k))
+                at, joined, first = m.end(), False, False
+            elif joined and (m := BARE.match(text, at)):
+                at, joined = m.end(), False
+                alone = first and not depth and not text.startswith("(", at) and not JOINER.match(text, self.blank(at, 0))
+                if m[0] in self.held:
+                    value.add(self.held[m[0]])
+                elif alone and not NAME.fullmatch(m[0]):
+                    self.literal(value, *m.span())
+                # Else a name of which nothing is known, or a call.
+                if alone or text.startswith("(", at):
+                    return value
+                first = False
             else:
-                spans.append(term.span(k))
-            value += part
-            plus = PLUS.match(text, term.end())
-            if not plus:
+                m = None if joined else JOINER.match(text, at)
+                if not m:
+                    return value
+                at, joined = m.end(), True
+
+    def block(self, head: int, at: int) -> Value:
+        """The lines of a block scalar: all that are indented deeper than the line that head stands in."""
+        text, value = self.text, Value()
+        line = text.rfind("\n", 0, head) + 1
+        indent = len(text[line:head]) - len(text[line:head].lstrip(" -"))
+        end = at
+        while end < len(text):
+            stop = text.find("\n", end)
+            stop = len(text) if stop < 0 else stop
+            own = text[end:stop]
+            if own.strip() and len(own) - len(own.lstrip(" \t")) <= indent:
                 break
-            at = plus.end()
-        if value:
-            held[m[1]] = (value, spans)
-            if (score := name_score(m[1])) and score * literal_score(value) >= THRESHOLD:
-                found.update(dict.fromkeys(spans))
-    return list(found)
+            end = stop + 1
+        self.literal(value, at, min(end, len(text)))
+        return value
+
+    def read(self) -> list[tuple[int, int]]:
+        """Spans of literals that reach a sensitive name, each once."""
+        text = self.text
+        for m in HEAD.finditer(text):
+            at = m.end()
+            if m[2] == ":" and (sign := BLOCK_SIGN.match(text, at)):
+                self.give(m[1], self.block(m.start(), sign.end()))
+                continue
+            if m[2] == ":" and (type_ := ANNOTATION.match(text, at)):
+                at = type_.end()
+            self.give(m[1], self.expression(at), more=m[2] == "+=")
+        if "<" in text:
+            for m in ELEMENT.finditer(text):
+                value = Value()
+                self.literal(value, *m.span(2))
+                self.give(m[1], value)
+            for tag in TAG.finditer(text):
+                named = {m[1].lower(): m for m in ATTRIBUTE.finditer(text, *tag.span())}
+                name = next((named[k] for k in ("name", "key", "id") if k in named), None)
+                for k in ("value", "default"):
+                    if name and k in named:
+                        value = Value()
+                        self.literal(value, *named[k].span(named[k].lastindex))
+                        self.give(name[name.lastindex], value)
+        return list(self.found)
+
+
+def named_literals(text: str) -> list[tuple[int, int]]:
+    """Spans of literals that reach a sensitive name, each once."""
+    return Lexer(text).read()
 
 
 def spans(text: str) -> list[tuple[int, int, int, int]]:
-    """(kind's number, start, end, where the secret itself starts), by start, then kind; code points, end exclusive."""
+    """(kind's number, start, end, where the secret itself starts), by start, then kind; code points, end exclusive.
+
+    The method's own spans that overlap a base one are left out.
+    """
     out = []
     joined = "=" in text or ":" in text
     if joined:
         out += [(0, *m.span(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_VALUE]
     out += [(1, *m.span(), m.start()) for m in ACCESS.finditer(text)]
     out += [(2, *m.span(), m.start()) for m in HEX.finditer(text)]
-    if joined:
-        base = list(out)
-        out += [(3, a, b, a) for a, b in named_literals(text) if a < b and not any(a < e and s < b for _, s, e, _ in base)]
+    if joined or "</" in text:
+        # The furthest end of the base spans that begin before each of them.
+        base = sorted((s, e) for _, s, e, _ in out)
+        begins, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
+        for a, b in named_literals(text):
+            k = bisect_left(begins, b)
+            if not k or reach[k - 1] <= a:
+                out.append((3, a, b, a))
     return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 
@@ -136,7 +326,10 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, with secrets in text replaced and n_chars (if there) counted anew for those."""
+    """The rows of docs, all their columns whatever their names, with secrets in text replaced and n_chars (if there) counted anew for those.
+
+    Null and empty texts stay as they are, as do null ids and repeated rows. An empty table gives an empty result.
+    """
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):

@@ -497,6 +497,73 @@ def test_assignments_of_any_length():
     assert named(f"{'long_' * 40}pwd = 'hunter2abc99'") == ["hunter2abc99"]
 
 
+SYNTAX = {
+    "typed": lambda n, a, b: (f'{n}: str = "{a}{b}"', [a + b]),
+    "generic": lambda n, a, b: (f"{n}: Optional[List[str]] = '{a}{b}'", [a + b]),
+    "union": lambda n, a, b: (f"{n}: str | None = '{a}{b}'", [a + b]),
+    "brackets": lambda n, a, b: (f'{n} = ("{a}" + "{b}")', [a, b]),
+    "adjacent": lambda n, a, b: (f"{n} = (  # it's said here\n    '{a}'\n    '{b}'\n)", [a, b]),
+    "triple": lambda n, a, b: (f'{n} = """\n{a}{b}\n"""', [a + b]),
+    "format": lambda n, a, b: (f'{n} = f"{a}{b}"', [a + b]),
+    "filled": lambda n, a, b: (f'part_ = "{a}"\n{n} = f"{{part_}}{b}"', [a, f"{{part_}}{b}"]),
+    "continued": lambda n, a, b: (f'{n} = \\\n    "{a}{b}"', [a + b]),
+    "block comment": lambda n, a, b: (f"{n} = ( /* two\nlines */ '{a}{b}')", [a + b]),
+    "element": lambda n, a, b: (f"<{n}>{a}{b}</{n}>", [a + b]),
+    "attribute": lambda n, a, b: (f'<entry key="{n}" value="{a}{b}"/>', [a + b]),
+    "subscript": lambda n, a, b: (f'conf["{n}"] = "{a}{b}"', [a + b]),
+    "array": lambda n, a, b: (f'char {n}[] = "{a}{b}";', [a + b]),
+    "option": lambda n, a, b: (f"run --{n}={a}{b} now", [a + b]),
+    "json": lambda n, a, b: (f'{{"{n}" : "{a}{b}"}}', [a + b]),
+    "hash": lambda n, a, b: (f":{n} => '{a}{b}'", [a + b]),
+    "dots": lambda n, a, b: (f"${n} = '{a}' . '{b}';", [a, b]),
+    "back quotes": lambda n, a, b: (f"const {n} = `{a}{b}`;", [a + b]),
+    "appended": lambda n, a, b: (f'{n} = "{a[:4]}"\n{n} += "{a[4:]}{b}"', [a[:4], a[4:] + b]),
+    "block": lambda n, a, b: (f"  {n}: |\n    {a}\n    {b}\n  next: 1", [f"{a}\n    {b}"]),
+    "wrapped": lambda n, a, b: (f'{n} = SecretStr("{a}{b}")', [a + b]),
+    "argument": lambda n, a, b: (f"connect(user='me', {n}='{a}{b}')", [a + b]),
+    "through names": lambda n, a, b: (f'one_ = "{a}"\ntwo_ = "{b}"\nboth_ = one_ + two_\n{n} := both_', [a, b]),
+    "yaml": lambda n, a, b: (f"{n}: {a}{b}", [a + b]),
+    "prose": lambda n, a, b: (f"note: it's {n}'s own\nsome {n} here", []),
+    "unknown": lambda n, a, b: (f"{n} = other.name", []),
+    "call": lambda n, a, b: (f'{n} = os.getenv("{n.upper()}")', []),
+    "placeholder": lambda n, a, b: (f"{n} = '${{{n.upper()}}}'", []),
+    "compared": lambda n, a, b: (f'if {n} == "{a}{b}":', []),
+    "not sensitive": lambda n, a, b: (f'colour_ = "{a}{b}"', []),
+}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_assignments_of_a_grammar(seed):
+    """Programs put together from statements, whose literals are known."""
+    rng = random.Random(seed)
+    part = lambda: "".join(rng.choice(s) for s in ("QRSTUVW", "ghijkmno", "23456789", "QRSTUVW", "ghijkmno", "23456789"))
+    lines, want = [], []
+    for kind in rng.sample(sorted(SYNTAX), len(SYNTAX)):
+        line, literals = SYNTAX[kind](rng.choice(["db_pwd", "dbPassphrase", "client_credential", "signing_key", "smtp_pass"]), part(), part())
+        lines.append(line)
+        want += literals
+    assert named("\n".join(lines) + "\n") == want
+
+
+LINEAR = ["x = (/*", "x = ( # ", "a: b[", "x = (#\n", "a-", "'", "<a", "a = `", "a = \'\'\'", "pwd = a|", "a: |\n", "x = (\n"]
+
+
+@pytest.mark.parametrize("text", [x * 40_000 for x in LINEAR] + ["a = 'Zx9q!2mN'\n" + "a = a + a\n" * 20_000 + "auth = a"])
+def test_scans_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    secretscan.spans(text)
+    assert time.process_time() - began < 5
+
+
+def test_chains_of_sums_reach_all_their_literals():
+    text = "a = 'Zx9q!2mN'\n" + "a = a + a\n" * 1000 + "auth = a\npwd = a"
+    assert named(text) == ["Zx9q!2mN"]
+    text = "a0 = 'Zx9q!2mN'\n" + "".join(f"a{i} = a{i - 1} + 'q{i}Z'\n" for i in range(1, 500)) + "auth = a499"
+    assert len(named(text)) == 500
+
+
 def test_base_spans_consume_as_defined():
     assert secretscan.digest(secretscan.spans("password=secret: abcdefghijklmnop")) == ""
     assert secretscan.digest(secretscan.spans("PassWord = 'abcdefghijkl'")) == "assign:0:24"
