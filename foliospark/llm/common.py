@@ -157,23 +157,20 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
             width, factor = 2 * width, factor * factor
 
 
-#: Words of 64 bits in a table of hints, at most: what is broadcast stays below about 50 MB, whatever the data.
-HINT_WORDS = 1 << 20
+#: Words of 64 bits in a table of hints: what is broadcast stays below about 15 MB, whatever the data.
+HINT_WORDS = 1 << 18
 
 
-def hinted(rows: DataFrame, column: str, values: DataFrame, scratch: Scratch) -> DataFrame:
+def hinted(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """The rows whose column (long) may be among the values (one column, long), so that a join shuffles fewer.
 
-    A table of bits, one for each hash of a value, is broadcast. Its size follows the values' number up to HINT_WORDS words; beyond
-    that more rows pass in vain, none is lost.
+    A table of bits, one for each hash of a value, is broadcast; its size is bounded. The more values, the more rows pass in vain;
+    none is lost.
     """
     word, bit, bits = unused([*rows.columns, *values.columns], "word", "bit", "bits")
-    n = values.count()
-    k = 6
-    while k < HINT_WORDS.bit_length() - 1 and (64 << k) < 16 * n:
-        k += 1
+    k = HINT_WORDS.bit_length() - 1
     hash_ = lambda c: F.xxhash64(F.lit(k), F.col(c))
     place = lambda c: [F.shiftrightunsigned(hash_(c), 64 - k).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), hash_(c).bitwiseAND(F.lit(63)).cast("int")).alias(bit)]
     table_ = values.select(*place(values.columns[0])).groupBy(word).agg(F.bit_or(bit).alias(bits))
-    marked = rows.select("*", *place(column)).join(F.broadcast(scratch.keep(table_)), word)
+    marked = rows.select("*", *place(column)).join(F.broadcast(table_), word)
     return marked.where(F.col(bits).bitwiseAND(F.col(bit)) != 0).select(*rows.columns)

@@ -19,6 +19,7 @@ With 32 bands of 5 rows a pair of similarity 0.8 shares no bucket with probabili
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,9 @@ from .common import Block, Scratch, cut, mixed, rolling, text_slices
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
-#: Members of a hub that one task compares with each other at most, on average.
-BLOCK = 10_000
+#: Bytes of differences that a block of a hub's members or queries has, on average.
+BLOCK_BYTES = 8 << 20
+STRATA = 4
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -168,69 +170,154 @@ def missed(stars: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between members of one hub's star that the star itself doesn't show, at least one for each pair
     of a member and a component that have any.
 
-    stars: what compared() returns; labels: node, component. Queries are the members that aren't linked with their hub,
-    in blocks against blocks of all its members, by their differences from it.
+    stars: what compared() returns; labels: node, component. Queries are the members that aren't linked with their hub. Members
+    and queries are dealt by classes of set size, of which only neighbouring ones can be similar enough, and within these
+    by a hash to blocks of bounded bytes; each block of queries meets each block of members.
     """
-    least = round(similarity * 1000)
-    sizes = stars.groupBy("a").agg(F.count("*").alias("all"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("queries"))
-    sizes = sizes.where("all > 1 and queries > 0").select("a", *((F.ceil(F.col(c) / BLOCK)).cast("int").alias(c) for c in ("all", "queries")))
-    rows = stars.join(sizes, "a").join(labels.withColumnRenamed("node", "b"), "b")
+    # A member has so many bytes; the set sizes of a link are at most 1 / similarity apart (a little more, for rounded logarithms).
+    stars = stars.withColumn("bytes", F.size("delta").cast("long") * 8 + 64).withColumn("level", F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity * 0.9999)).cast("int"))
+    asked = F.col("bytes") * F.when(F.col("linked"), 0).otherwise(1)
+    sizes = stars.groupBy("a", "level").agg(F.sum("bytes").alias("all"), F.sum(asked).alias("asked"))
+    sizes = cut(sizes.select("a", "level", *(F.ceil(F.col(c) / BLOCK_BYTES).cast("int").alias(c) for c in ("all", "asked"))))
+    # Classes of queries with the classes of members that they meet.
+    near = F.explode(F.array(*(F.col("level") + k for k in (-1, 0, 1)))).alias("there")
+    meets = sizes.where("asked > 0").select("a", F.col("level").alias("here"), near, F.col("asked").alias("parts"))
+    meets = meets.join(sizes.select("a", F.col("level").alias("there"), F.col("all").alias("blocks")), ["a", "there"])
+    rows = stars.join(labels.withColumnRenamed("node", "b"), "b")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("b"), F.col(c)).cast("int")
-    kept = ["a", "b", "n", "component", "delta"]
-    members = rows.select(*kept, every("queries").alias("i"), own("all").alias("k"), F.lit(0).alias("role"))
-    queries = rows.where("not linked").select(*kept, own("queries").alias("i"), every("all").alias("k"), F.lit(1).alias("role"))
+    kept = ["a", "here", "there", "b", "n", "component", "delta"]
+    members = rows.withColumnRenamed("level", "there").join(meets, ["a", "there"])
+    members = members.select(*kept, every("parts").alias("i"), own("blocks").alias("k"), F.lit(0).alias("role"))
+    queries = rows.where("not linked").withColumnRenamed("level", "here").join(meets, ["a", "here"])
+    queries = queries.select(*kept, own("parts").alias("i"), every("blocks").alias("k"), F.lit(1).alias("role"))
+    # A set's least overlap with a partner's difference: what the union of both can leave over.
+    spare = (1 - similarity) / similarity
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for group in _groups(batches, ["a", "i", "k"]):
+        for group in _groups(batches, keys):
+            found += _block_links(group, similarity, spare)
             if len(found) > 10_000:
                 yield _pairs(found)
                 found = []
-            delta = group.column("delta").combine_chunks()
-            at, values = delta.offsets.to_numpy(), delta.flatten().to_numpy()
-            at = at - at[0]
-            b, n, component, role = (group.column(c).to_numpy() for c in ("b", "n", "component", "role"))
-            there, asked = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-            size = np.diff(at)
-            owner = np.repeat(np.arange(len(there)), size[there])
-            elements = np.concatenate([values[at[j] : at[j + 1]] for j in there]) if len(there) else values[:0]
-            order = np.argsort(elements, kind="stable")
-            elements, owner = elements[order], owner[order]
-            for q in asked:
-                mine = values[at[q] : at[q + 1]]
-                low, high = np.searchsorted(elements, mine, "left"), np.searchsorted(elements, mine, "right")
-                count = high - low
-                hits = owner[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-                common = np.bincount(hits, minlength=len(there))
-                apart = size[q] + size[there] - 2 * common
-                total = n[q] + n[there].astype(np.int64)
-                linked = (1000 * (total - apart) >= least * (total + apart)) & (component[there] != component[q])
-                _, first = np.unique(component[there[linked]], return_index=True)
-                found += [(int(b[q]), int(b[there[np.flatnonzero(linked)[f]]])) for f in first]
         yield _pairs(found)
 
-    dealt = members.union(queries).repartition("a", "i", "k").sortWithinPartitions("a", "i", "k")
+    keys = ["a", "here", "there", "i", "k"]
+    dealt = members.union(queries).repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(look_up, "a long, b long")
 
 
+def _block_links(group: pa.Table, similarity: float, spare: float) -> list[tuple[int, int]]:
+    """For each query (role 1) of a block and each other component of its members (role 0) that it is linked with: one link.
+
+    Two of a hub's members x and y whose differences from it are dx and dy are apart by |dx| + |dy| - 2 |dx & dy|, which a link bounds by
+    (|x| + |y|) (1 - s) / (1 + s), and for x alone by spare * |x|. So dx and dy have at least t hashes in common, the greater
+    of half of what |dx| + |dy| exceeds the first by and |dx| - spare * |x|. In an order of all hashes, rarest first, the first |dx| - t + 1
+    of dx and as many of dy thus have one in common: only these are indexed and looked up, in strata of members with differences of
+    like size, as t is greater the narrower these are. Components that got linked count as one from then on; hashes of which
+    all members are of the query's component are passed over.
+    """
+    least = round(similarity * 1000)
+    delta = group.column("delta").combine_chunks()
+    at, values = delta.offsets.to_numpy(), delta.flatten().to_numpy()
+    at = at - at[0]
+    b, n, component, role = (group.column(c).to_numpy() for c in ("b", "n", "component", "role"))
+    if not (role == 1).any() or not (role == 0).any():
+        return []
+    size = np.diff(at)
+    names, label = np.unique(component, return_inverse=True)
+    merged = np.arange(len(names))
+    # Differences as numbers of hashes by falling rarity (counted among members), each in that order.
+    of = np.repeat(np.arange(len(size)), size)
+    known, number = np.unique(values, return_inverse=True)
+    often = np.bincount(number[role[of] == 0], minlength=len(known))
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(known))
+    number = rank[number]
+    number = number[np.lexsort((number, of))]
+    # Half of what differences exceed their sets' share of the bound by, and the least overlap by a set's own bound.
+    excess = (size - (1 - similarity) / (1 + similarity) * n) / 2
+    alone = np.maximum(1, np.ceil(size - spare * n - 1e-6))
+    asked, there = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+    there = there[np.argsort(excess[there], kind="stable")]
+    strata = [_Stratum(part, number, at, of, size, excess, alone, float(excess[asked].min()), len(known)) for part in np.array_split(there, STRATA) if len(part)]
+    found: list[tuple[int, int]] = []
+    for q in asked.tolist():
+        mine = number[at[q] : at[q + 1]]
+        for stratum in strata:
+            home = merged[label[q]]
+            t = max(alone[q], math.ceil(excess[q] + stratum.least - 1e-6))
+            probe, owners, ends = stratum.look_up(mine[: max(0, int(size[q] - t) + 1)], merged, home)
+            if not len(probe):
+                continue
+            near = np.unique(owners[merged[label[owners]] != home])
+            total, apart = int(n[q]) + n[near].astype(np.int64), np.abs(size[q] - size[near])
+            near = near[1000 * (total - apart) >= least * (total + apart)]
+            step = 64
+            while len(near):
+                some, near = near[:step], near[step:]
+                step *= 2
+                lengths = size[some]
+                inner = np.cumsum(lengths) - lengths
+                theirs = number[np.repeat(at[some] - inner, lengths) + np.arange(int(lengths.sum()))]
+                spot = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                common = np.add.reduceat((mine[spot] == theirs).astype(np.int64), inner)
+                apart, total = size[q] + lengths - 2 * common, int(n[q]) + n[some].astype(np.int64)
+                linked = some[1000 * (total - apart) >= least * (total + apart)]
+                if len(linked):
+                    theirs, one = np.unique(merged[label[linked]], return_index=True)
+                    found += [(int(b[q]), int(b[linked[k]])) for k in one]
+                    merged[np.isin(merged, theirs)] = home
+                    near = near[merged[label[near]] != home]
+            alike = np.logical_and.reduceat(merged[label[owners]] == home, ends)
+            stratum.uniform[probe[alike]] = label[q]
+    return found
+
+
+class _Stratum:
+    """An index of the first hashes of some members' differences."""
+
+    def __init__(self, members: np.ndarray, number: np.ndarray, at: np.ndarray, of: np.ndarray, size: np.ndarray, excess: np.ndarray, alone: np.ndarray, asked: float, known: int):
+        self.least = float(excess[members].min())
+        prefix = np.zeros(len(size))
+        prefix[members] = size[members] - np.maximum(alone[members], np.ceil(excess[members] + asked - 1e-6)) + 1
+        posted = np.flatnonzero(np.arange(len(number)) - at[of] < prefix[of])
+        order = posted[np.argsort(number[posted], kind="stable")]
+        self.owner = of[order]
+        self.begins = np.searchsorted(number[order], np.arange(known + 1))
+        #: Of hashes: a label, if all their owners were of its component when last seen; components only grow.
+        self.uniform = np.full(known, -1, np.int64)
+
+    def look_up(self, probe: np.ndarray, merged: np.ndarray, home: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of probe that may lead to other components than home, the owners of each, and where each one's begin."""
+        sure = self.uniform[probe]
+        probe = probe[(sure < 0) | (merged[sure] != home)]
+        count = self.begins[probe + 1] - self.begins[probe]
+        probe, count = probe[count > 0], count[count > 0]
+        starts = np.cumsum(count) - count
+        return probe, self.owner[np.repeat(self.begins[probe] - starts, count) + np.arange(int(count.sum()))], starts
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys (whole numbers), whole even where they span batches."""
-    rest: pa.Table | None = None
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        now = pa.Table.from_batches([batch])
-        rest = pa.concat_tables([rest, now]) if rest is not None else now
-        columns = [rest.column(k).to_numpy() for k in keys]
-        starts = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))) if rest.num_rows else []
-        for a, b in zip(starts[:-1], starts[1:]):
-            yield rest.slice(a, b - a)
-        rest = rest.slice(starts[-1]) if len(starts) else None
-    if rest is not None and rest.num_rows:
-        yield rest
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            if held and any(held[-1].column(k)[0].as_py() != c[a] for k, c in zip(keys, columns)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -186,7 +186,7 @@ def _shared(spans: DataFrame, scratch: Scratch) -> DataFrame:
     spans = scratch.keep(spans)
     ends = spans.groupBy("gram").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("high"))
     ends = scratch.keep(ends.where("keeper_doc_id < high").drop("high"))
-    found = scratch.keep(hinted(spans, "gram", ends, scratch).join(ends, "gram"))
+    found = scratch.keep(hinted(spans, "gram", ends.select("gram")).join(ends, "gram"))
     scratch.drop(spans)
     return found
 
@@ -236,8 +236,8 @@ def _ranges(first: DataFrame, scratch: Scratch, size: int, width: int) -> DataFr
 
     sides = scratch.keep(own.mapInArrow(look, "doc_id long, gram long, word int, side int, edge boolean, chain long"))
     at = F.struct("doc_id", "word")
-    asked = scratch.keep(sides.where("edge").select("gram", "side").distinct())
-    alike = hinted(sides.where("not edge"), "gram", asked.select("gram"), scratch).groupBy("gram", "side", "chain").agg(F.min(at).alias("least"), F.max(at).alias("most"))
+    asked = sides.where("edge").select("gram", "side").distinct()
+    alike = sides.where("not edge").groupBy("gram", "side", "chain").agg(F.min(at).alias("least"), F.max(at).alias("most"))
     alike = alike.join(asked, ["gram", "side"], "left_semi").select("side", F.explode(F.array_distinct(F.array("least", "most"))).alias("at"))
     looked = alike.select("at.doc_id", "at.word", "side").union(sides.where("edge").select("doc_id", "word", "side"))
     # A stretch has another anchor in common if it goes on for width spans after one.
@@ -259,7 +259,7 @@ def shared_stretches(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataF
     first = _shared(_anchors(named, size, width), scratch)
     release(docs.sparkSession)
     ranges = scratch.keep(_ranges(first, scratch, size, width))
-    asked = hinted(named, "doc_id", ranges.select("doc_id"), scratch).join(ranges, "doc_id")
+    asked = hinted(named, "doc_id", ranges.select("doc_id")).join(ranges, "doc_id")
     names = ["doc_id", "gram", "word", "begin", "end", "keeper_doc_id"]
     spans = first.select(names).union(_shared(_around(asked, size), scratch).select(names))
     by_keeper = Window.partitionBy("doc_id", "keeper_doc_id").orderBy("word")
@@ -311,7 +311,7 @@ def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMIL
         of = scratch.keep(_linked(units, scratch, similarity))
         release(spark)
         labels = scratch.keep(_groups(units, of))
-        plain = hinted(units.select("doc_id", "unit", "begin", "end", "word", "n_words", "class", "check"), "class", labels.select("class"), scratch)
+        plain = hinted(units.select("doc_id", "unit", "begin", "end", "word", "n_words", "class", "check"), "class", labels.select("class"))
         repeats = plain.join(labels, ["class", "check"]).drop("class", "check").unionByName(stretches)
         order = Window.partitionBy("doc_id").orderBy("word", "n_words")
         reached = F.max(F.col("word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -333,11 +333,11 @@ def _linked(units: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
     members = units.where("text is not null").select(F.explode("keys").alias("key"), "class")
     stars = members.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("high")).where("hub <> high")
     stars = scratch.keep(stars.select("key", "hub"))
-    met = hinted(members, "key", stars.select("key"), scratch).join(stars, "key").where("class <> hub")
+    met = hinted(members, "key", stars.select("key")).join(stars, "key").where("class <> hub")
     pairs = scratch.keep(met.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
     ends = scratch.keep(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
     texts = units.where("text is not null").select("class", "check", "text")
-    texts = hinted(texts, "class", ends, scratch).join(ends, "class", "left_semi")
+    texts = hinted(texts, "class", ends).join(ends, "class", "left_semi")
     texts = scratch.keep(texts.groupBy(F.col("class").alias("doc_id")).agg(F.min(F.struct("check", "text")).alias("x")).select("doc_id", "x.check", "x.text"))
     met = scratch.keep(compared(pairs, texts, SHINGLE, similarity))
     nodes = ends.withColumnRenamed("class", "node")

@@ -270,14 +270,69 @@ def test_links_that_a_star_misses(spark):
     rows = {0: base, **{i: edited(rng, far, 0.02) for i in range(1, 25)}, **{i: edited(rng, base, 0.02) for i in range(25, 50)}}
     rows = {i: " ".join(w) for i, w in rows.items()}
     frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    before, neardup.BLOCK = neardup.BLOCK, 5
+    before, neardup.BLOCK_BYTES = neardup.BLOCK_BYTES, 2000
     try:
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, words=2).collect()}
     finally:
-        neardup.BLOCK = before
+        neardup.BLOCK_BYTES = before
     assert got == brute_groups(rows, 2)
 
 
+def near_misses(m, families, seed=1):
+    """Differences from a hub of 100 hashes that m sets of a star have, none of which is linked with it: of some families, or each by itself."""
+    rng, hub = np.random.default_rng(seed), np.arange(100)
+    kinds = [np.concatenate([rng.choice(hub, 60, replace=False), rng.integers(10**6, 10**12, 40)]) for _ in range(families)]
+    sets = []
+    for j in range(m):
+        own = (kinds[j % families] if families else hub).copy()
+        k = rng.choice(100, rng.integers(1, 16) if families else 25, replace=False)
+        own[k] = rng.integers(10**6, 10**12, len(k))
+        sets.append(np.unique(own))
+    both = range(2 * m)
+    import pyarrow as pa
+
+    group = pa.table(
+        {
+            "b": [j % m for j in both], "n": pa.array([len(sets[j % m]) for j in both], pa.int32()), "component": [j % m for j in both],
+            "role": pa.array([j // m for j in both], pa.int32()), "delta": pa.array([np.setxor1d(sets[j % m], hub) for j in both], pa.list_(pa.int64())),
+        }
+    )
+    return sets, group
+
+
+def grouped(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("families", [0, 1, 5])
+def test_links_of_a_block_equal_all_pairs(families):
+    sets, group = near_misses(250, families)
+    sets_ = [set(s.tolist()) for s in sets]
+    want = [(i, j) for i in range(250) for j in range(i) if 10 * len(sets_[i] & sets_[j]) >= 8 * len(sets_[i] | sets_[j])]
+    got = neardup._block_links(group, 0.8, 0.25)
+    assert set(got) <= {p for a, b in want for p in ((a, b), (b, a))} and len(got) < 250
+    assert grouped(250, got) == grouped(250, want)
+
+
+def test_a_hub_of_many_near_misses():
+    """Not all pairs: 20,000 members that are unlike the hub and each other."""
+    import time
+
+    _, group = near_misses(20_000, 0)
+    began = time.process_time()
+    assert neardup._block_links(group, 0.8, 0.25) == [] and time.process_time() - began < 60
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = neardup.near_duplicates(odd, words=2).collect()
     assert len(rows) == len(DOCS)
