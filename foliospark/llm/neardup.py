@@ -166,11 +166,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return compared(pairs, texts, words, similarity).where("linked").select("a", "b")
 
 
-def missed(stars: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between members of one hub's star that the star itself doesn't show, at least one for each pair
-    of a member and a component that have any.
+def missed(stars: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of one hub's star that the star itself doesn't show, as many as join all whom any join.
 
-    stars: what compared() returns; labels: node, component. Queries are the members that aren't linked with their hub. Members
+    stars: what compared() returns. Queries are the members that aren't linked with their hub. Members
     and queries are dealt by classes of set size, of which only neighbouring ones can be similar enough, and within these
     by a hash to blocks of bounded bytes; each block of queries meets each block of members.
     """
@@ -178,12 +177,13 @@ def missed(stars: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     stars = stars.withColumn("bytes", F.size("delta").cast("long") * 8 + 64).withColumn("level", F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity * 0.9999)).cast("int"))
     asked = F.col("bytes") * F.when(F.col("linked"), 0).otherwise(1)
     sizes = stars.groupBy("a", "level").agg(F.sum("bytes").alias("all"), F.sum(asked).alias("asked"))
-    sizes = cut(sizes.select("a", "level", *(F.ceil(F.col(c) / BLOCK_BYTES).cast("int").alias(c) for c in ("all", "asked"))))
+    sizes = sizes.select("a", "level", *(F.ceil(F.col(c) / BLOCK_BYTES).cast("int").alias(c) for c in ("all", "asked")))
     # Classes of queries with the classes of members that they meet.
     near = F.explode(F.array(*(F.col("level") + k for k in (-1, 0, 1)))).alias("there")
     meets = sizes.where("asked > 0").select("a", F.col("level").alias("here"), near, F.col("asked").alias("parts"))
     meets = meets.join(sizes.select("a", F.col("level").alias("there"), F.col("all").alias("blocks")), ["a", "there"])
-    rows = stars.join(labels.withColumnRenamed("node", "b"), "b")
+    # What the star shows: its linked members are of one component.
+    rows = stars.withColumn("component", F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("b"), F.col(c)).cast("int")
     kept = ["a", "here", "there", "b", "n", "component", "delta"]
@@ -332,25 +332,21 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     repeats = not rows_.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     full = rows_.groupBy("doc_id").agg(F.min("text").alias("text")).where("doc_id is not null") if repeats else rows_
-    signed = cut(signatures(full, words, bands, rows))
-    named = signed.where("doc_id is not null and digest is not null")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    of_class = cut(named.select("digest", "doc_id").join(classes, "digest").select("doc_id", "rep"))
-    nodes = classes.select(F.col("rep").alias("node"))
-
     with Scratch(spark) as scratch:
+        signed = scratch.keep(signatures(full, words, bands, rows))
+        named = signed.where("doc_id is not null and digest is not null")
+        classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+        of_class = scratch.keep(named.select("digest", "doc_id").join(classes, "digest").select("doc_id", "rep"))
+        nodes = classes.select(F.col("rep").alias("node"))
+
         # The representatives' keys, in buckets of two members or more.
         members = named.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
         members = members.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
         stars = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-        pairs = cut(members.join(stars, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+        pairs = scratch.keep(members.join(stars, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
         ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        found = cut(compared(pairs, scratch.keep(full.join(ends, "doc_id")), words, similarity))
-        of = components(found.where("linked").select("a", "b"), nodes)
-        more = cut(missed(found, of, similarity))
-        if not more.isEmpty():
-            # The components found so far and the new links between them.
-            of = components(of.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").union(more), nodes)
+        found = scratch.keep(compared(pairs, scratch.keep(full.join(ends, "doc_id")), words, similarity))
+        of = components(found.where("linked").select("a", "b").union(missed(found, similarity)), nodes)
 
         group = of_class.join(of, F.col("rep") == F.col("node")).select(F.col("doc_id").alias("id"), "component")
         found = signed.select("doc_id", "n_shingles")

@@ -185,7 +185,7 @@ def _shared(spans: DataFrame, scratch: Scratch) -> DataFrame:
     """The spans whose words several documents have, with the least of these."""
     spans = scratch.keep(spans)
     ends = spans.groupBy("gram").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("high"))
-    ends = scratch.keep(ends.where("keeper_doc_id < high").drop("high"))
+    ends = ends.where("keeper_doc_id < high").drop("high")
     found = scratch.keep(hinted(spans, "gram", ends.select("gram")).join(ends, "gram"))
     scratch.drop(spans)
     return found
@@ -258,7 +258,7 @@ def shared_stretches(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataF
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     first = _shared(_anchors(named, size, width), scratch)
     release(docs.sparkSession)
-    ranges = scratch.keep(_ranges(first, scratch, size, width))
+    ranges = _ranges(first, scratch, size, width)
     asked = hinted(named, "doc_id", ranges.select("doc_id")).join(ranges, "doc_id")
     names = ["doc_id", "gram", "word", "begin", "end", "keeper_doc_id"]
     spans = first.select(names).union(_shared(_around(asked, size), scratch).select(names))
@@ -332,19 +332,16 @@ def _linked(units: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
     """class, check, component of the classes that share a bucket with another, of what paragraphs() returns."""
     members = units.where("text is not null").select(F.explode("keys").alias("key"), "class")
     stars = members.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("high")).where("hub <> high")
-    stars = scratch.keep(stars.select("key", "hub"))
+    stars = stars.select("key", "hub")
     met = hinted(members, "key", stars.select("key")).join(stars, "key").where("class <> hub")
     pairs = scratch.keep(met.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
-    ends = scratch.keep(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     texts = units.where("text is not null").select("class", "check", "text")
     texts = hinted(texts, "class", ends).join(ends, "class", "left_semi")
     texts = scratch.keep(texts.groupBy(F.col("class").alias("doc_id")).agg(F.min(F.struct("check", "text")).alias("x")).select("doc_id", "x.check", "x.text"))
     met = scratch.keep(compared(pairs, texts, SHINGLE, similarity))
-    nodes = ends.withColumnRenamed("class", "node")
-    of = components(met.where("linked").select("a", "b"), nodes)
-    more = scratch.keep(missed(met, of, similarity))
-    if not more.isEmpty():
-        of = components(of.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b").union(more), nodes)
+    links = met.where("linked").select("a", "b").union(missed(met, similarity))
+    of = components(links, texts.select(F.col("doc_id").alias("node")))
     return of.select(F.col("node").alias("class"), "component").join(texts.select(F.col("doc_id").alias("class"), "check"), "class")
 
 
