@@ -2,45 +2,176 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions import geometry as g
-from .pairs import box_pairs
-
 #: Phase 1 and phase 2 of region building: least ratios of width and height.
 STRICT, LOOSE = (0.2, 0.1), (0.1, 0.1)
+#: Least share of the box around two boxes that these fill.
+DENSE = 0.15
+#: Rows of whole pages, and pairs of boxes, that are handled at a time.
+ROWS, PAIRS = 20_000, 1 << 20
+
+Boxes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about ROWS rows or one page, from batches in the order of image_id."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pages = batch.column("image_id").to_numpy(zero_copy_only=False)
+        if rows >= ROWS:
+            # The page that is open goes on to the first row of another one.
+            open_ = held[-1].column("image_id")[-1].as_py()
+            other = np.flatnonzero(pages != open_)
+            if len(other):
+                held.append(batch.slice(0, other[0]))
+                yield pa.Table.from_batches(held)
+                held, rows, batch = [], 0, batch.slice(other[0])
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def by_pages(elements: DataFrame, add: Callable[..., dict[str, np.ndarray]], *names: str) -> DataFrame:
+    """elements with the long columns that ``add(page, element_id, boxes)`` gives for the rows of whole pages: one exchange by page.
+
+    page numbers the pages from 0, in ascending order; element_id ascends within a page.
+    """
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_pages(batches):
+            column = lambda c: table.column(c).to_numpy().astype(np.int64)  # noqa: B023, E731
+            image, element = column("image_id"), column("element_id")
+            order = np.lexsort((element, image))
+            boxes = tuple(column(c)[order] for c in ("left_x", "top_y", "right_x", "bottom_y"))
+            made = add(np.unique(image[order], return_inverse=True)[1], element[order], boxes)
+            table = table.take(pa.array(order))
+            for name in names:
+                table = table.append_column(name, pa.array(made[name]))
+            yield from table.combine_chunks().to_batches()
+
+    schema = StructType([*elements.schema.fields, *(StructField(n, LongType()) for n in names)])
+    return elements.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(label, schema)
 
 
-def components(elements: DataFrame, edges: DataFrame) -> DataFrame:
-    """image_id, element_id, cluster_id: the least element_id linked with it by edges (image_id, a_id, b_id)."""
+def connected(boxes: Boxes, a: np.ndarray, b: np.ndarray, min_x: float, min_y: float) -> np.ndarray:
+    """Which pairs of boxes are dense together, and aligned by width or by height. Gaps between them make no difference."""
+    (la, ta, ra, ba), (lb, tb, rb, bb) = (tuple(x[k] for x in boxes) for k in (a, b))
+    whole = (np.maximum(ra, rb) - np.minimum(la, lb)) * (np.maximum(ba, bb) - np.minimum(ta, tb))
+    areas = (ra - la) * (ba - ta) + (rb - lb) * (bb - tb)
 
-    def label(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
+    def share(common: np.ndarray, least: np.ndarray) -> np.ndarray:
+        return np.where(least > 0, np.maximum(common, 0) / np.maximum(least, 1), 0.0)
 
-        def find(x: int) -> int:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    tall = share(np.minimum(ba, bb) - np.maximum(ta, tb), np.minimum(ba - ta, bb - tb))
+    wide = share(np.minimum(ra, rb) - np.maximum(la, lb), np.minimum(ra - la, rb - lb))
+    return (np.where(whole > 0, areas / np.maximum(whole, 1), 0.0) >= DENSE) & ((tall >= min_y) | (wide >= min_x))
 
-        for a, b in zip(pdf["a_id"].tolist(), pdf["b_id"].tolist()):
-            a, b = find(a), find(b)
-            parent[max(a, b)] = min(a, b)
-        nodes = list(parent)
-        return pd.DataFrame({"image_id": key[0], "element_id": nodes, "cluster_id": [find(x) for x in nodes]})
 
-    linked = edges.groupBy("image_id").applyInPandas(label, "image_id long, element_id long, cluster_id long")
-    joined = elements.select("image_id", "element_id").join(linked, ["image_id", "element_id"], "left")
-    return joined.select("image_id", "element_id", F.coalesce("cluster_id", "element_id").alias("cluster_id"))
+def within(boxes: Boxes, a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Which pairs of boxes are at most so far apart."""
+    (la, ta, ra, ba), (lb, tb, rb, bb) = (tuple(x[k] for x in boxes) for k in (a, b))
+    x, y = np.maximum(0, np.maximum(lb - ra, la - rb)), np.maximum(0, np.maximum(tb - ba, ta - bb))
+    return x * x + y * y <= distance * distance
+
+
+def labels(page: np.ndarray, boxes: Boxes, near: Callable[[np.ndarray, np.ndarray], np.ndarray], reach: np.ndarray) -> np.ndarray:
+    """For each box the first row that it is linked with, directly or through others of its page.
+
+    near tells of pairs whether they are linked; a box can be linked only with those whose top is at most reach below its own. By falling
+    order of tops, so a crowded page has no more pairs than that allows.
+    """
+    n, top = len(page), boxes[1]
+    label = np.arange(n)
+    if not n:
+        return label
+    reach = np.maximum(reach, 0).astype(np.int64)
+    low = top.min()
+    room = int(top.max() - low + reach.max()) + 1
+    order = np.lexsort((top, page))
+    key = page[order] * room + (top[order] - low)
+    count = np.searchsorted(key, key + reach[order], "right") - np.arange(1, n + 1)
+    ends = np.cumsum(count)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        own = count[at:to]
+        a = np.repeat(np.arange(at, to), own)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
+        a, b = order[a], order[b]
+        linked = label[a] != label[b]
+        a, b = a[linked], b[linked]
+        linked = near(a, b)
+        a, b = a[linked], b[linked]
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                break
+            least = np.minimum(x, y)[apart]
+            np.minimum.at(label, x[apart], least)
+            np.minimum.at(label, y[apart], least)
+            while (label[label] != label).any():
+                label = label[label]
+        at = to
+    return label
+
+
+def _connected_labels(page: np.ndarray, boxes: Boxes, min_x: float, min_y: float) -> np.ndarray:
+    # Of two dense boxes the areas' sum over the greater width is at most the sum of the heights.
+    height = boxes[3] - boxes[1]
+    tallest = np.zeros(int(page.max()) + 1 if len(page) else 0, np.int64)
+    np.maximum.at(tallest, page, height)
+    reach = np.ceil((height + tallest[page]) / DENSE) + 1
+    return labels(page, boxes, lambda a, b: connected(boxes, a, b, min_x, min_y), reach)
+
+
+def _around(label: np.ndarray, page: np.ndarray, boxes: Boxes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Boxes]:
+    """The labels in order, each row's number of its label, the labels' pages and the boxes around their rows."""
+    own, of = np.unique(label, return_inverse=True)
+    around = []
+    for k, x in enumerate(boxes):
+        pick = np.minimum if k < 2 else np.maximum
+        out = x[own].copy()
+        pick.at(out, of, x)
+        around.append(out)
+    return own, of, page[own], tuple(around)
+
+
+def in_clusters(elements: DataFrame, min_x: float, min_y: float) -> DataFrame:
+    """elements (all columns) with cluster_id, the least element_id of those they are connected with."""
+
+    def add(page: np.ndarray, element: np.ndarray, boxes: Boxes) -> dict[str, np.ndarray]:
+        return {"cluster_id": element[_connected_labels(page, boxes, min_x, min_y)]}
+
+    return by_pages(elements, add, "cluster_id")
 
 
 def box_clusters(elements: DataFrame, min_x: float, min_y: float) -> DataFrame:
-    """Components of boxes that are dense together and aligned by width or height."""
-    return components(elements, box_pairs(elements, g.connected(min_x, min_y)))
+    """image_id, element_id, cluster_id: components of boxes that are dense together and aligned by width or height."""
+    boxes = elements.select("image_id", "element_id", "left_x", "top_y", "right_x", "bottom_y")
+    return in_clusters(boxes, min_x, min_y).select("image_id", "element_id", "cluster_id")
+
+
+def near_clusters(elements: DataFrame, distance: int) -> DataFrame:
+    """elements (all columns) with cluster_id, the least element_id of those that are near, directly or through others."""
+
+    def add(page: np.ndarray, element: np.ndarray, boxes: Boxes) -> dict[str, np.ndarray]:
+        reach = boxes[3] - boxes[1] + distance
+        return {"cluster_id": element[labels(page, boxes, lambda a, b: within(boxes, a, b, distance), reach)]}
+
+    return by_pages(elements, add, "cluster_id")
 
 
 def union_boxes(rows: DataFrame, *keys: str) -> DataFrame:
@@ -50,9 +181,9 @@ def union_boxes(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def regions(elements: DataFrame, clusters: DataFrame) -> DataFrame:
-    """image_id, cluster_id, box, n_elements, region_no: clusters as regions, numbered from the top."""
-    boxes = union_boxes(elements.join(clusters, ["image_id", "element_id"]), "image_id", "cluster_id")
+def regions(clustered: DataFrame) -> DataFrame:
+    """image_id, cluster_id, box, n_elements, region_no: clusters (elements with cluster_id) as regions, numbered from the top."""
+    boxes = union_boxes(clustered, "image_id", "cluster_id")
     order = Window.partitionBy("image_id").orderBy("top_y", "cluster_id")
     return boxes.withColumn("region_no", F.row_number().over(order).cast("long"))
 
@@ -62,21 +193,29 @@ def as_elements(boxes: DataFrame) -> DataFrame:
     return boxes.select("image_id", F.col("cluster_id").alias("element_id"), "left_x", "top_y", "right_x", "bottom_y")
 
 
-def region_blocks(elements: DataFrame) -> DataFrame:
-    """image_id, element_id, cluster_id (strict), block_id (loose): both clustering phases, for each element."""
-    strict = box_clusters(elements, *STRICT)
-    boxes = union_boxes(elements.join(strict, ["image_id", "element_id"]), "image_id", "cluster_id")
-    loose = box_clusters(as_elements(boxes), *LOOSE)
-    return strict.join(loose.select("image_id", F.col("element_id").alias("cluster_id"), F.col("cluster_id").alias("block_id")), ["image_id", "cluster_id"])
+def _phases(page: np.ndarray, element: np.ndarray, boxes: Boxes) -> tuple[np.ndarray, np.ndarray]:
+    """cluster_id and block_id of each element: both clustering phases, the second over the boxes around the first one's clusters."""
+    label = _connected_labels(page, boxes, *STRICT)
+    own, of, pages, around = _around(label, page, boxes)
+    loose = _connected_labels(pages, around, *LOOSE)
+    return element[label], element[own[loose]][of]
+
+
+def in_blocks(elements: DataFrame) -> DataFrame:
+    """elements (all columns) with cluster_id (strict) and block_id (loose)."""
 
+    def add(page: np.ndarray, element: np.ndarray, boxes: Boxes) -> dict[str, np.ndarray]:
+        return dict(zip(("cluster_id", "block_id"), _phases(page, element, boxes)))
 
-def linewise_order(elements: DataFrame, clusters: DataFrame, threshold: int = 10) -> DataFrame:
-    """image_id, element_id, cluster_id, line_no, place: elements of a cluster in lines.
+    return by_pages(elements, add, "cluster_id", "block_id")
+
+
+def linewise_order(rows: DataFrame, threshold: int = 10) -> DataFrame:
+    """image_id, element_id, cluster_id, line_no, place: elements (with cluster_id) of a cluster in lines.
 
     By falling height on the page, an element joins the first line whose mean centre is within the threshold, and the
     mean follows; lines stay in the order they began, elements of a line go by left edge.
     """
-    rows = elements.join(clusters, ["image_id", "element_id"])
     item = "struct(top_y, element_id, left_x, top_y + bottom_y as c2)"
     state = "array<struct<n:bigint,total:bigint,members:array<struct<left_x:bigint,top_y:bigint,element_id:bigint>>>>"
     fits = f"abs(line.n * x.c2 - line.total) <= {2 * threshold} * line.n"
@@ -127,14 +266,27 @@ def merge_adjacent(boxes: DataFrame, vertical: int = 20, horizontal: int = 100)
     return boxes.groupBy("image_id").applyInPandas(sweep, schema)
 
 
-def placed_in_regions(placed: DataFrame, vertical: int = 20, horizontal: int = 100) -> DataFrame:
-    """Elements with block_id, and the region_no that merge_adjacent() gives their block: in one pass over each page."""
-
-    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = pdf.groupby("block_id", as_index=False).agg(l=("left_x", "min"), t=("top_y", "min"), r=("right_x", "max"), b=("bottom_y", "max"), n=("left_x", "size"))
-        boxes = boxes.sort_values(["t", "block_id"])
-        now = _swept([[r.l, r.t, r.r, r.b, r.n, [r.block_id]] for r in boxes.itertuples()], vertical, horizontal)
-        number = {block: k for k, region in enumerate(now, 1) for block in region[5]}
-        return pdf.assign(region_no=pdf["block_id"].map(number))
-
-    return placed.groupBy("image_id").applyInPandas(place, StructType([*placed.schema.fields, StructField("region_no", LongType())]))
+def in_regions(elements: DataFrame, vertical: int = 20, horizontal: int = 100) -> DataFrame:
+    """elements (all columns) with the region_no that merge_adjacent() gives the block they are in."""
+
+    def add(page: np.ndarray, element: np.ndarray, boxes: Boxes) -> dict[str, np.ndarray]:
+        _, block = _phases(page, element, boxes)
+        # Blocks are told apart by page and id.
+        own, of = np.unique(np.stack((page, block), axis=1), axis=0, return_inverse=True)
+        of = of.ravel()
+        first = np.zeros(len(own), np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        _, _, _, around = _around(first[of], page, boxes)
+        # Boxes come in the order of blocks' first rows.
+        rank = np.argsort(np.argsort(first, kind="stable"), kind="stable")
+        size = np.bincount(of, minlength=len(own))
+        number = np.zeros(len(own), np.int64)
+        edges = np.flatnonzero(np.diff(own[:, 0], prepend=-1, append=-1)) if len(own) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            rows = sorted(range(a, b), key=lambda k: (around[1][rank[k]], own[k, 1]))
+            now = _swept([[*(int(x[rank[k]]) for x in around), int(size[k]), [k]] for k in rows], vertical, horizontal)
+            for n, region in enumerate(now, 1):
+                number[region[5]] = n
+        return {"region_no": number[of]}
+
+    return by_pages(elements, add, "region_no")

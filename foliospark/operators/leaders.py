@@ -6,6 +6,7 @@ Seeds come from one ordered fold inside the JVM; members are then joined to thei
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import geometry as g
-from .clusters import components, union_boxes
-from .pairs import box_pairs
+from .clusters import near_clusters
 
 _BOX = "left_x, top_y, right_x, bottom_y"
 _BOX_TYPE = "left_x:bigint,top_y:bigint,right_x:bigint,bottom_y:bigint"
@@ -36,50 +36,56 @@ def without_overlaps(objects: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 
 def contained_groups(objects: DataFrame) -> DataFrame:
-    """image_id, element_id, seed_id: by falling area, each object with the first seed whose box contains it."""
-    size = "-((right_x - left_x) * (bottom_y - top_y))"
-    found = seeds(objects, f"struct({size} as s, -confidence as c)", "struct<s:bigint,c:double>", g.contained("x", "k"))
-    met = objects.alias("a").join(found.alias("b"), F.expr(f"a.image_id = b.image_id and {g.contained('a', 'b')}"))
-    # A seed is in no earlier seed, so it is its own first one.
-    return met.groupBy("a.image_id", "a.element_id").agg(F.min_by("b.element_id", "b.rank").alias("seed_id"))
+    """image_id, element_id, seed_id: by falling area, each object with the first seed whose box contains it.
+
+    Containment is transitive, so of all boxes that contain an object the first in that order is in none before it: a seed.
+    """
+    met = objects.alias("a").join(objects.alias("b"), F.expr(f"a.image_id = b.image_id and {g.contained('a', 'b')}"))
+    order = F.expr("struct(-((b.right_x - b.left_x) * (b.bottom_y - b.top_y)), -b.confidence, b.element_id)")
+    return met.groupBy("a.image_id", "a.element_id").agg(F.min_by("b.element_id", order).alias("seed_id"))
 
 
-def merged(objects: DataFrame, groups: DataFrame, group: str) -> DataFrame:
-    """image_id, group, box, mean confidence of each group."""
-    rows = objects.join(groups, ["image_id", "element_id"])
-    boxes = union_boxes(rows, "image_id", group)
-    return boxes.join(rows.groupBy("image_id", group).agg(F.avg("confidence").alias("confidence")), ["image_id", group])
+def merged(grouped: DataFrame, group: str) -> DataFrame:
+    """image_id, group, box, n_elements, mean confidence of each group of objects (with the group's column)."""
+    box = [F.min("left_x").alias("left_x"), F.min("top_y").alias("top_y"), F.max("right_x").alias("right_x"), F.max("bottom_y").alias("bottom_y")]
+    return grouped.groupBy("image_id", group).agg(*box, F.count("*").alias("n_elements"), F.avg("confidence").alias("confidence"))
 
 
 def object_clusters(objects: DataFrame, distance: int = 60) -> DataFrame:
     """image_id, cluster_id, box, confidence, n_elements: contained boxes merged, then boxes within the distance."""
-    first = merged(objects, contained_groups(objects), "seed_id").withColumnRenamed("seed_id", "element_id").drop("n_elements")
-    near = components(first, box_pairs(first, f"{g.distance_squared()} <= {distance * distance}"))
-    return merged(first, near, "cluster_id")
+    held = objects.join(contained_groups(objects), ["image_id", "element_id"])
+    first = merged(held, "seed_id").withColumnRenamed("seed_id", "element_id").drop("n_elements")
+    return merged(near_clusters(first, distance), "cluster_id")
 
 
 @F.pandas_udf(DoubleType())
-def text_ratio(seed: pd.Series, other: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity as difflib gives it for (seed, other)."""
-    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(seed, other)])
+def text_ratio(seed: pd.Series, other: pd.Series, least: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp similarity as difflib gives it for (seed, other); 0 where it can't exceed least, or other is null."""
+    out = []
+    for a, b, bound in zip(seed, other, least):
+        if b is None or 2 * (Counter(a) & Counter(b)).total() <= bound * (len(a) + len(b)):
+            out.append(0.0)
+        else:
+            out.append(difflib.SequenceMatcher(None, a, b).ratio())
+    return pd.Series(out, dtype=float)
 
 
 def without_duplicate_texts(blocks: DataFrame, similarity: float = 0.8, overlap: float = 0.5) -> DataFrame:
     """image_id, seed_id, element_id (kept), group_size: one text of each group of similar or overlapping ones.
 
-    Groups have as seed the first of their texts by (top, left, id) and as result the most confident, ties to the earlier.
-    The ratio is only computed where lengths allow it to exceed the threshold.
+    Groups have as seed the first of their texts in the order of element_id, which is that of recognition, and as result the most
+    confident, ties to the earlier. The ratio is only computed where lengths and shared characters allow it to exceed the
+    threshold: common characters, counted with repeats, bound what blocks of equal characters can match.
     """
-    ranked = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy("top_y", "left_x", "element_id")))
+    ranked = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy("element_id")))
     a, b = ranked.alias("a"), ranked.alias("b")
-    met = a.join(b, F.expr("a.image_id = b.image_id and a.rank < b.rank"))
     la, lb = "length(a.text)", "length(b.text)"
+    can = f"2 * least({la}, {lb}) > {similarity} * ({la} + {lb})"
+    met = a.join(b, F.expr(f"a.image_id = b.image_id and a.rank < b.rank and ({g.smaller_overlap()} > {overlap} or {can})"))
     over = F.expr(f"{g.smaller_overlap()} > {overlap}")
-    can = F.expr(f"2 * least({la}, {lb}) > {similarity} * ({la} + {lb})")
-    both = ["a.image_id", F.col("a.rank").alias("seed"), F.col("b.rank").alias("rank")]
-    by_box = met.where(over).select(*both)
-    by_text = met.where(~over & can).where(text_ratio("a.text", "b.text") > similarity).select(*both)
-    before = by_box.union(by_text).groupBy("image_id", "rank").agg(F.collect_list("seed").alias("like"))
+    met = met.select("a.image_id", F.col("a.rank").alias("seed"), F.col("b.rank").alias("rank"), F.col("a.text").alias("seed_text"), F.col("b.text").alias("text"), over.alias("over"))
+    alike = met.withColumn("alike", F.col("over") | (text_ratio("seed_text", F.when(~F.col("over"), F.col("text")), F.lit(similarity)) > similarity)).where("alike")
+    before = alike.groupBy("image_id", "rank").agg(F.collect_list("seed").alias("like"))
     rows = ranked.join(before, ["image_id", "rank"], "left").withColumn("like", F.coalesce("like", F.array().cast("array<int>")))
     fold = """aggregate(array_sort(collect_list(struct(rank, like))), cast(array() as array<int>),
         (acc, x) -> if(exists(acc, s -> array_contains(x.like, s)), acc, array_append(acc, x.rank)))"""

@@ -10,7 +10,7 @@ from ..operators import clusters, documents, grouping, recognition, textmerge
 
 def build_regions(elements: DataFrame) -> DataFrame:
     """image_id, region_no, box, n_elements, members: elements clustered strictly, then loosely, then with neighbours."""
-    rows = elements.join(clusters.region_blocks(elements), ["image_id", "element_id"])
+    rows = clusters.in_blocks(elements.select("image_id", "element_id", "left_x", "top_y", "right_x", "bottom_y"))
     return clusters.merge_adjacent(clusters.union_boxes(rows, "image_id", "block_id").withColumnRenamed("block_id", "cluster_id"))
 
 
@@ -21,8 +21,7 @@ def merged_elements(elements: DataFrame) -> DataFrame:
     """
     columns = ["text", "confidence", "left_x", "top_y", "right_x", "bottom_y"]
     rows = elements.select("image_id", "element_id", "type", *columns)
-    blocks = clusters.region_blocks(rows).select("image_id", "element_id", "block_id")
-    placed = clusters.placed_in_regions(rows.join(blocks, ["image_id", "element_id"]))
+    placed = clusters.in_regions(rows)
     last = F.max("element_id").over(Window.partitionBy("image_id"))
     texts = textmerge.merged_texts(placed.withColumn("last", last), ["image_id", "region_no", "last"])
     place = F.row_number().over(Window.partitionBy("image_id").orderBy("region_no", "item_no"))

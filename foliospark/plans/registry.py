@@ -270,22 +270,22 @@ def r6_rotated_block_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.box_clusters(events(spark, sf_dir), *clusters.STRICT)
+    return clusters.in_clusters(events(spark, sf_dir), *clusters.STRICT)
 
 
 @query("select image_id, element_id, cluster_id from strict")
 def c2_strict_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _strict(spark, sf_dir)
+    return _strict(spark, sf_dir).select("image_id", "element_id", "cluster_id")
 
 
 @query("select image_id, cluster_id, left_x, top_y, right_x, bottom_y, n_elements, row_number() over (partition by image_id order by top_y, cluster_id) as region_no from region_box")
 def c5_mini_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.regions(events(spark, sf_dir), _strict(spark, sf_dir))
+    return clusters.regions(_strict(spark, sf_dir))
 
 
 @query("select image_id, element_id as cluster_id, cluster_id as block_id from loose")
 def c7_loose_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clusters.regions(events(spark, sf_dir), _strict(spark, sf_dir))
+    found = clusters.regions(_strict(spark, sf_dir))
     loose = clusters.box_clusters(clusters.as_elements(found), *clusters.LOOSE)
     return loose.select("image_id", F.col("element_id").alias("cluster_id"), F.col("cluster_id").alias("block_id"))
 
@@ -295,8 +295,7 @@ def c7_loose_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from el join strict s using (image_id, element_id) join (select image_id, element_id as cid, cluster_id from loose) l using (image_id) where l.cid = s.cluster_id group by image_id, l.cluster_id"""
 )
 def h1_region_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = events(spark, sf_dir)
-    return clusters.union_boxes(elements.join(clusters.region_blocks(elements), ["image_id", "element_id"]), "image_id", "block_id")
+    return clusters.union_boxes(clusters.in_blocks(events(spark, sf_dir)), "image_id", "block_id")
 
 
 @query()
@@ -327,7 +326,7 @@ def o6_object_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(sum(confidence) / count(*), 6) as confidence from strict join el using (image_id, element_id) group by image_id, cluster_id"""
 )
 def o7_cluster_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaders.merged(events(spark, sf_dir), _strict(spark, sf_dir), "cluster_id").withColumn("confidence", F.round("confidence", 6))
+    return leaders.merged(_strict(spark, sf_dir), "cluster_id").withColumn("confidence", F.round("confidence", 6))
 
 
 @query()
@@ -337,7 +336,7 @@ def d2_dedupe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c4_linewise_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.linewise_order(events(spark, sf_dir), _strict(spark, sf_dir))
+    return clusters.linewise_order(_strict(spark, sf_dir))
 
 
 # One-dimensional grouping.
@@ -418,12 +417,12 @@ def w1_region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptions as a model would give them, for four of five regions."""
-    boxes = grouping.group_boxes(_grouped(spark, sf_dir)).where("group_id % 5 <> 0")
+    """Descriptions as a model would give them."""
+    boxes = grouping.group_boxes(_grouped(spark, sf_dir))
     return boxes.selectExpr("image_id", "group_id", "concat('region ', group_id, ' with ', n_elements) as description")
 
 
-_DESCRIBED = "(select image_id, group_id, concat('region ', group_id, ' with ', n_elements) as description from group_box where group_id % 5 <> 0)"
+_DESCRIBED = "(select image_id, group_id, concat('region ', group_id, ' with ', n_elements) as description from group_box)"
 
 
 @query(

@@ -82,7 +82,7 @@ def test_paragraphs_begin_at_short_rows_and_colons(spark):
 def test_nothing_in_nothing_out(spark):
     none = elements(spark, [])
     assert grouping.paragraphs(grouping.rows(grouping.merged_columns(grouping.lines(grouping.column_clusters(grouping.region_groups(none)))))).count() == 0
-    assert clusters.region_blocks(none).count() == 0
+    assert clusters.in_blocks(none).count() == clusters.in_regions(none).count() == 0
     assert leaders.object_clusters(none).count() == 0
     assert textmerge.merged_texts(none, ["image_id"]).count() == 0
     assert leaders.without_duplicate_texts(none).count() == 0
@@ -112,6 +112,40 @@ def test_clusters_equal_a_search(spark):
         assert {i for i, c in got.items() if c == first} == seen
 
 
+def test_labels_of_pages_equal_plain_pairs(monkeypatch):
+    """Components of many pages in parts of few pairs, with boxes without area and equal ones."""
+    import numpy as np
+
+    monkeypatch.setattr(clusters, "PAIRS", 37)
+    rng = np.random.default_rng(5)
+    n = 400
+    page = np.sort(rng.integers(0, 9, n))
+    left, top = rng.integers(-50, 300, n), rng.integers(-500, 900, n)
+    boxed = (left, top, left + rng.integers(0, 120, n), top + rng.integers(0, 60, n) * rng.integers(0, 2, n))
+
+    def plain(near):
+        label = list(range(n))
+        for a in range(n):
+            for b in range(a + 1, n):
+                if page[a] == page[b] and near(np.array([a]), np.array([b]))[0] and label[a] != label[b]:
+                    low, high = sorted((label[a], label[b]))
+                    label = [low if x == high else x for x in label]
+        return label
+
+    for ratios in (clusters.STRICT, clusters.LOOSE, (0.0, 0.0)):
+        assert clusters._connected_labels(page, boxed, *ratios).tolist() == plain(lambda a, b: clusters.connected(boxed, a, b, *ratios))
+    assert clusters.labels(page, boxed, lambda a, b: clusters.within(boxed, a, b, 30), boxed[3] - boxed[1] + 30).tolist() == plain(lambda a, b: clusters.within(boxed, a, b, 30))
+
+
+def test_regions_in_one_pass_equal_the_steps(spark, monkeypatch):
+    rows = boxes(6, 200)
+    df = elements(spark, rows)
+    regions = {m: (r.image_id, r.region_no) for r in clusters.merge_adjacent(clusters.union_boxes(clusters.in_blocks(df), "image_id", "block_id").withColumnRenamed("block_id", "cluster_id")).collect() for m in [(r.image_id, x) for x in r.members]}
+    blocks = {r.element_id: (r.image_id, r.block_id) for r in clusters.in_blocks(df).collect()}
+    got = {r.element_id: (r.image_id, r.region_no) for r in clusters.in_regions(df).collect()}
+    assert got == {e: regions[b] for e, b in blocks.items()} and len(got) == 200
+
+
 def test_far_boxes_connect_by_density_alone(spark):
     df = elements(spark, [text(1, 0, 0, 400, 100), text(2, 900, 0, 1300, 100)])
     assert pairs.box_pairs(df, g.connected(0.2, 0.1)).count() == 1
@@ -119,8 +153,8 @@ def test_far_boxes_connect_by_density_alone(spark):
 
 def test_linewise_order_equals_first_fit(spark):
     rows = [(1, *r[1:]) for r in boxes(4, 60)]
-    one = spark.createDataFrame([(1, r[1], 0) for r in rows], "image_id long, element_id long, cluster_id long")
-    got = [r.element_id for r in clusters.linewise_order(elements(spark, rows), one).orderBy("line_no", "place").collect()]
+    one = elements(spark, rows).selectExpr("*", "0L as cluster_id")
+    got = [r.element_id for r in clusters.linewise_order(one).orderBy("line_no", "place").collect()]
     lines = []
     for r in sorted(rows, key=lambda r: (r[6], r[1])):
         centre = (r[6] + r[8]) / 2
@@ -175,7 +209,8 @@ def test_duplicate_texts_equal_a_sequential_search(spark):
 
     want = []
     for image in (0, 1):
-        rest = sorted((r for r in rows if r[0] == image), key=lambda r: (r[6], r[5], r[1]))
+        # In the order of recognition, which isn't that of places.
+        rest = sorted((r for r in rows if r[0] == image), key=lambda r: r[1])
         while rest:
             seed = rest[0]
             group = [r for r in rest if r is seed or alike(seed, r)]
