@@ -44,11 +44,13 @@ def with_next(df: DataFrame, columns: dict[str, str], order: list[str]) -> DataF
     lows = F.broadcast(df.groupBy(F.col("range").alias("low_range")).agg(F.min(number).alias("low")))
     firsts = df.join(lows, (F.col("range") == F.col("low_range")) & (number == F.col("low")))
     firsts = firsts.groupBy("range").agg(F.min_by(values, F.struct(*order)).alias("first"))
+    # Which range comes next is settled among the numbers; the rows themselves, which can be long, go from range to range by a join.
     every = Window.orderBy("range")
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("range", F.coalesce(F.lead("first").over(every), F.first("first").over(whole)).alias("after"))
+    order_ = firsts.select("range", F.coalesce(F.lead("range").over(every), F.first("range").over(whole)).alias("source"))
+    handed = order_.join(firsts.withColumnRenamed("range", "source").hint("merge"), "source").select("range", F.col("first").alias("after"))
     swept = df.withColumn("place", F.row_number().over(w)).withColumn("next", F.lead(values).over(w))
-    joined = swept.join(firsts, "range").withColumn("next", F.coalesce("next", "after"))
+    joined = swept.join(handed.hint("merge"), "range").withColumn("next", F.coalesce("next", "after"))
     return joined.select(*df.columns, "place", *(F.col(f"next.{new}").alias(new) for new in columns.values()))
 
 
@@ -148,5 +150,6 @@ def neighbours(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, bloc
     first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(chosen)))
     a, b = tables(queries, "fingerprint").alias("a"), tables(prints, "near").alias("b")
     same = (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (F.col("fingerprint") != F.col("near"))
-    met = a.join(b, same & (F.bit_count(apart) <= radius) & (F.col("a.table") == first))
+    # The fingerprints grow with the documents, so neither side is broadcast.
+    met = a.join(b.hint("merge"), same & (F.bit_count(apart) <= radius) & (F.col("a.table") == first))
     return met.select("fingerprint", "near", F.bit_count(apart).alias("distance"))

@@ -3,13 +3,17 @@
 A host's key is its labels in reverse, each ended by a dot: ``www.example.com`` -> ``com.example.www.``. The keys of a
 rule's host and of all its subdomains are those that start with the rule's key, which is an interval in byte order:
 from ``com.example.`` to before ``com.example/`` (the next byte after the dot). Such intervals nest or are apart. Rules
-thus make a sorted list of events, each with the stack of rules that are active from there on: a start has its
-host's rules above those of the enclosing hosts, an end has the stack of the host around it. A sweep over urls and
-events in key order gives each url the latest stack; of the rules in it whose path the url's path starts with, the
-longest decides.
+thus make a sorted list of events, each with the stack of rule hosts that are active from there on: a start has its
+host above the enclosing ones, an end has the stack of the host around it. A sweep over hosts and events in key order
+gives each host the latest stack.
 
-Urls are dealt to sweeps by a hash, so that a host with most of the urls is in all of them; each sweep has all the
-events, of which there are two for each host that has rules.
+The paths of a rule host's rules are intervals as well: what starts with ``/en/`` lies from ``/en/`` to before ``/en/`` and a byte
+beyond all text. A second sweep, over the paths that are asked of a rule host and the events of its rules, gives the longest
+rule that is active: a start has its own rule, an end the rule around it. Of the rules so found for a url's
+enclosing hosts, the longest decides.
+
+Sweeps run over distinct hosts and distinct paths of a host, so that a host or url with most of the rows counts once. They are dealt by
+ranges of the key; each range begins with what the ranges before it left active.
 """
 
 from __future__ import annotations
@@ -17,12 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Urls in a sweep, on average.
-SWEEP = 50_000
+from .common import Scratch, cut
+
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_STACK = "array<struct<length:int,host_length:int,rule:string,verdict:string,path:string>>"
 
 
 def host_of(url: Column) -> Column:
@@ -39,48 +42,70 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def events(rules: DataFrame) -> DataFrame:
-    """key, stack for rules (host, path, verdict): where the set of active rules changes, and to what."""
-    rule = F.struct(
-        F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"),
-        F.concat("host", "path").alias("rule"), "verdict", "path",
-    )
-    own = rules.where("host <> '' and path is not null").groupBy("host").agg(F.sort_array(F.collect_list(rule)).alias("own"))
-    own = own.withColumn("key", host_key(F.col("host"))).select("key", "own")
-    # Every key that encloses a node's, itself included, by number of labels.
+def swept(points: DataFrame, events: DataFrame, order: list[str], value: str, scratch: Scratch) -> DataFrame:
+    """points (order columns) with the value of the last event (order columns, value, never null) at or before each, null before all.
+
+    Both are dealt by ranges of the order and swept range by range. One row for each range tells what was active before it.
+    """
+    both = points.withColumn("turn", F.lit(1)).unionByName(events.withColumn("turn", F.lit(0)), allowMissingColumns=True)
+    dealt = scratch.keep(both.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    ends = dealt.groupBy("part").agg(F.max_by(value, F.when(F.col("turn") == 0, F.struct(*order))).alias("last"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("part", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    own = Window.partitionBy("part").orderBy(*order, "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = dealt.withColumn("own", F.last(value, ignorenulls=True).over(own)).where("turn = 1")
+    return latest.join(carried, "part").select(*points.columns, F.coalesce("own", "carried").alias(value))
+
+
+def host_events(hosts: DataFrame) -> DataFrame:
+    """key, stack for rule hosts (host): where the set of active hosts changes, and to what (an array, the outermost first)."""
+    own = hosts.withColumn("key", host_key(F.col("host")))
+    # Every key that encloses a host's, itself included, by number of labels.
     depth = F.size(F.split("key", r"\.")) - 1
     around = own.select("key", F.explode(F.sequence(F.lit(1), depth)).alias("depth"))
     around = around.withColumn("outer", F.concat(F.expr("substring_index(key, '.', depth)"), F.lit(".")))
-    stacks = around.join(own.select(F.col("key").alias("outer"), "own"), "outer").groupBy("key")
-    stacks = stacks.agg(F.sort_array(F.collect_list(F.struct("depth", "own"))).alias("all"))
-    stacks = stacks.select("key", F.flatten("all.own").alias("stack"), F.flatten(F.expr("slice(all.own, 1, size(all) - 1)")).alias("below"))
+    stacks = around.join(own.select(F.col("key").alias("outer"), "host"), "outer").groupBy("key")
+    stacks = stacks.agg(F.sort_array(F.collect_list(F.struct("depth", "host"))).alias("all"))
+    stacks = stacks.select("key", F.col("all.host").alias("stack"))
     end = F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/"))
-    both = stacks.select("key", F.col("stack").cast(_STACK).alias("stack")).union(stacks.select(end, F.col("below").cast(_STACK)))
-    return both
-
-
-def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, sweep: int = SWEEP) -> DataFrame:
+    return stacks.union(stacks.select(end, F.expr("slice(stack, 1, size(stack) - 1)")))
+
+
+def path_events(rules: DataFrame) -> DataFrame:
+    """rule_host, at (binary), active for rules (host, path, verdict, each host and path once): where the longest active rule changes, and to what."""
+    rule = F.struct(F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "verdict")
+    own = rules.select("host", "path", rule.alias("own"))
+    # The rule around a rule: of the host's rules that are shorter and begin it, the longest.
+    lengths = own.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
+    begun = own.join(lengths, "host").select("host", "path", F.explode(F.filter("lengths", lambda n: n < F.length("path"))).alias("n"))
+    begun = begun.select("host", "path", F.expr("left(path, n)").alias("outer"))
+    outer = begun.join(own.select("host", F.col("path").alias("outer"), "own"), ["host", "outer"]).groupBy("host", "path").agg(F.max("own").alias("around"))
+    nested = own.join(outer, ["host", "path"], "left")
+    none = F.lit(None).cast("struct<length:int,host_length:int,rule:string,verdict:string>")
+    wrapped = lambda c: F.struct(F.coalesce(c, none).alias("rule"))
+    start = F.col("path").cast("binary")
+    starts = nested.select(F.col("host").alias("rule_host"), start.alias("at"), wrapped(F.col("own")).alias("active"))
+    return starts.union(nested.select("host", F.concat(start, F.lit(b"\xff")), wrapped(F.col("around"))))
+
+
+def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages (page_id, url), by rules (host, path, verdict).
 
     A rule fits its host and all subdomains if the url's path starts with the rule's path (case matters). The
-    longest rule (host and path together) wins; of equally long ones that with the longer host, then by code points.
-    Urls that no rule fits, null urls and those without ``://`` get a null rule and the default verdict. Null ids,
-    repeated rows and other columns make no difference. Empty tables give an empty result, or the default for all.
+    longest rule (host and path together) wins; of equally long ones that with the longer host; of rules with equal host and path the
+    verdict that is last by code points. Rules without a host or with a null path fit nothing. Urls that no rule fits, null urls and those
+    without ``://`` get a null rule and the default verdict. Null ids, repeated rows and other columns make no difference.
+    Empty tables give an empty result, or the default for all.
     """
-    spark = pages.sparkSession
-    n = max(-(-pages.count() // sweep), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    urls = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.select(
-        F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).cast("int").alias("part"), host_key(F.col("host")).alias("key"), F.lit(1).alias("turn"),
-        F.lit(None).cast(_STACK).alias("stack"), F.col("page_id").cast("long").alias("page_id"), "host", "path",
-    )
-    marks = events(rules).select(
-        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), "key", F.lit(0).alias("turn"), "stack",
-        F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"),
-    )
-    order = Window.partitionBy("part").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = urls.union(marks).withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("turn = 1")
-    fits = F.filter("active", lambda r: F.col("path").startswith(r["path"]))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(r["length"], r["host_length"], r["rule"], r["verdict"])))
-    swept = swept.withColumn("best", best)
-    return swept.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    with Scratch(pages.sparkSession) as scratch:
+        urls = scratch.keep(pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
+        known = rules.where("host <> '' and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+        pairs = scratch.keep(urls.select("host", "path").distinct())
+        hosts = pairs.select("host").distinct().withColumn("key", host_key(F.col("host")))
+        stacks = swept(hosts, host_events(known.select("host").distinct()), ["key"], "stack", scratch)
+        around = scratch.keep(stacks.select("host", F.explode("stack").alias("rule_host")))
+        asked = pairs.join(around, "host").withColumn("at", F.col("path").cast("binary"))
+        found = swept(asked.select("rule_host", "at").distinct(), path_events(known), ["rule_host", "at"], "active", scratch)
+        best = asked.join(found.where("active.rule is not null"), ["rule_host", "at"]).groupBy("host", "path").agg(F.max("active.rule").alias("best"))
+        judged_ = urls.join(best, ["host", "path"], "left")
+        return cut(judged_.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")))

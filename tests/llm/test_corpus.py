@@ -15,6 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.functions import lineage
 from foliospark.llm import mixing, neardup, packing, passages, quality, secretscan, simhash, tokencount, urlrules, warc
 from foliospark.llm.components import components
 
@@ -788,7 +789,7 @@ def test_url_rules_equal_a_plain_search(spark):
     urls += [None, "", "no scheme", "http://", "://com/", "http://com", "http://.com./a", "http://com:80/a", "x\ny://com/a\nb", "http://É.com/a"] + [urls[0]] * 200
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"key": F.lit(1), "stack": F.lit(2), "host": F.lit("h")})
     told = spark.createDataFrame(rules, "host string, path string, verdict string")
-    got = {r.page_id: r for r in urlrules.judged(pages, told, sweep=50).collect()}
+    got = {r.page_id: r for r in urlrules.judged(pages, told).collect()}
     assert len(got) == len(urls)
     for i, u in enumerate(urls):
         h = p = ""
@@ -800,6 +801,21 @@ def test_url_rules_equal_a_plain_search(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (h, p, best[2], best[3]), u
 
 
+def test_a_host_of_many_path_rules(spark):
+    """Nested and neighbouring path rules of one host, a hot url, and a sweep of several ranges."""
+    rng = random.Random(9)
+    paths = {"/" + "".join(rng.choice("abcé/") for _ in range(rng.randrange(12))) for _ in range(30_000)}
+    rules = [("h.com", p, "block" if hash(p) % 2 else "allow") for p in paths] + [("com", "/a", "block")]
+    urls = [f"http://{rng.choice(['h.com', 'x.h.com', 'g.com'])}/" + "".join(rng.choice("abcé/") for _ in range(rng.randrange(16))) for _ in range(2000)] + ["http://h.com/abc"] * 3000
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlrules.judged(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    verdict = {(h, p): v for h, p, v in rules}
+    for i, u in enumerate(urls):
+        host, path = re.match(r"http://([^/]*)(.*)", u).groups()
+        fits = [(len(h + path[:n]), len(h), h + path[:n], verdict[h, path[:n]]) for h in ("h.com", "com") if host == h or host.endswith("." + h) for n in range(len(path) + 1) if (h, path[:n]) in verdict]
+        assert got[i] == max(fits, default=(0, 0, None, "allow"))[2:], u
+
+
 def test_url_rules_of_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, None)], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, verdict string")
@@ -810,7 +826,12 @@ def test_url_rules_of_empty_tables(spark):
 def test_native_operators_use_no_python(spark, docs):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string").coalesce(1)
-    for df in (urlrules.judged(pages, rules), simhash.with_next(simhash.in_ranges(docs), {"text": "t"}, ["doc_id"])):
+    with lineage.Scratch(spark) as scratch:
+        urls = pages.select(urlrules.host_of(F.col("url")).alias("host"), urlrules.path_of(F.col("url")).alias("path"))
+        hosts = urls.select("host").withColumn("key", urlrules.host_key(F.col("host")))
+        made = urlrules.swept(hosts, urlrules.host_events(rules), ["key"], "stack", scratch)
+        deep = urlrules.swept(urls.select(F.col("host").alias("rule_host"), F.col("path").cast("binary").alias("at")), urlrules.path_events(rules), ["rule_host", "at"], "active", scratch)
+    for df in (made, deep, simhash.with_next(simhash.in_ranges(docs), {"text": "t"}, ["doc_id"])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 
