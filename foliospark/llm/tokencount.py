@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 TOKENIZER, LIMIT = "piece_bpe_32k.model", 4096
-#: Characters of a part, about, and characters of a batch for the encoder, about.
+#: Characters of a part, about, and bytes of a batch for the encoder, about.
 PART, BATCH = 16_384, 262_144
 _MARK = "▁"
 
@@ -66,7 +66,7 @@ class Counter:
         return [*out, text[begin:]]
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        """The tokens of each text, encoded in batches of about BATCH characters."""
+        """The tokens of each text, encoded in batches of about BATCH bytes."""
         total = np.zeros(len(texts), np.int64)
         batch: list[str] = []
         of: list[int] = []
@@ -75,7 +75,7 @@ class Counter:
             for part in self.parts(text):
                 batch.append(part)
                 of.append(i)
-                size += len(part)
+                size += len(part) if part.isascii() else len(part.encode("utf-8", "replace"))
                 if size >= BATCH:
                     np.add.at(total, of, self.lengths(batch))
                     batch, of, size = [], [], 0
@@ -84,6 +84,16 @@ class Counter:
         return total
 
 
+_KNOWN: dict[str, Counter] = {}
+
+
+def counter_of(path: str) -> Counter:
+    """The counter of this Python worker, which lasts over its tasks: a vocabulary is looked through once."""
+    if path not in _KNOWN:
+        _KNOWN[path] = Counter(path)
+    return _KNOWN[path]
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text).
 
@@ -92,7 +102,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = counter_of(tokenizer)
         for part in text_slices(batches, "text"):
             texts = pc.fill_null(part.column("text"), "")
             tokens = counter.counts(texts.to_pylist())
