@@ -1,7 +1,8 @@
 """A training corpus from documents: quality rules, near-dedup, secrets, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents, whatever these are.
+stage's docs. All but the last return the columns of documents, whatever these are and whatever their names. Empty tables give
+empty results; no stage but the first two drops rows other than by the mix's rates, and a row with a null doc_id is a row like any other.
 """
 
 from __future__ import annotations
@@ -16,27 +17,36 @@ from foliospark.llm.common import shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the repetition coverage reject go; the others stay as they are."""
+    """Documents that the base rules or the repetition coverage reject go; the others stay as they are.
+
+    Null, empty and blank texts have no words, so they are rejected. Repeated rows and null ids make no difference.
+    """
     return quality.filtered(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays.
+
+    Of rows that repeat a doc_id one stays; rows with a null doc_id and texts without words all stay.
+    """
     return neardup.deduplicated(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; n_chars follows. No document goes."""
+    """Secrets in texts are replaced by a mark; n_chars follows. No document goes; null and empty texts stay as they are."""
     return secretscan.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it, up to three times."""
+    """Each document as often as the mix of sources takes it, up to three times.
+
+    Texts without words are taken once. A null source is a source of its own; equal rows are taken equally often.
+    """
     return mixing.mixture(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces in sequences of up to 2048 tokens."""
+    """The documents' token pieces in sequences of up to 2048 tokens, each row's once; a null or empty text is the separator alone."""
     return packing.packed_documents(docs, public_tokenizers.path(packing.TOKENIZER))
 
 
