@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -47,6 +47,39 @@ def vision_documents(boxes: DataFrame, descriptions: DataFrame, paragraphs: Data
     return rows.groupBy("image_id").agg(F.count("*").alias("total_regions"), F.array_sort(F.collect_list(region)).alias("regions"))
 
 
+def region_dump(elements: DataFrame, boxes: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """image_id, regions: each page's regions with their elements (with group_id), nested, in order: for as_json() and write_json().
+
+    Regions without paragraphs have an empty list of them.
+    """
+    box = lambda: F.struct(F.col("left_x").alias("left"), F.col("right_x").alias("right"), F.col("top_y").alias("top"), F.col("bottom_y").alias("bottom"))
+    element = F.struct("element_id", "type", "text", "confidence", box().alias("bounds"))
+    inner = elements.groupBy("image_id", "group_id").agg(F.array_sort(F.collect_list(element)).alias("elements"))
+    texts = paragraphs.groupBy("image_id", "group_id").agg(_ordered("text", "para_no").alias("merged_paragraphs"))
+    rows = boxes.join(inner, ["image_id", "group_id"]).join(texts, ["image_id", "group_id"], "left")
+    none = F.array().cast("array<string>")
+    region = F.struct(F.col("group_id").alias("region_id"), box().alias("bounds"), "elements", F.coalesce("merged_paragraphs", none).alias("merged_paragraphs"))
+    return rows.groupBy("image_id").agg(F.array_sort(F.collect_list(region)).alias("regions"))
+
+
+def report(paragraphs: DataFrame) -> DataFrame:
+    """image_id, line_no, line: the merged paragraphs of each page's regions as lines of a report."""
+    place = F.dense_rank().over(Window.partitionBy("image_id").orderBy("group_id"))
+    own = F.row_number().over(Window.partitionBy("image_id", "group_id").orderBy("para_no"))
+    rows = paragraphs.select("image_id", "group_id", place.alias("region"), own.alias("paragraph"), "text")
+    head = F.concat(F.lit("Region Group "), F.col("region"), F.lit(" (ID="), F.col("group_id"), F.lit("):"))
+    heads = rows.where("paragraph = 1").select("image_id", "region", F.lit(0).alias("paragraph"), head.alias("line"))
+    lines = rows.select("image_id", "region", "paragraph", F.concat(F.lit("  Paragraph "), F.col("paragraph"), F.lit(": "), F.col("text")).alias("line"))
+    order = Window.partitionBy("image_id").orderBy("region", "paragraph")
+    return heads.union(lines).select("image_id", F.row_number().over(order).cast("long").alias("line_no"), "line")
+
+
+def print_report(paragraphs: DataFrame, write: Callable[[str], object] = print) -> None:
+    """Writes the report's lines, page by page, as they arrive: one partition's lines are on the driver at a time."""
+    for row in report(paragraphs).orderBy("image_id", "line_no").toLocalIterator():
+        write(row.line)
+
+
 def as_json(documents: DataFrame) -> DataFrame:
     """image_id and the document as one JSON string."""
     fields = [c for c in documents.columns if c != "image_id"]
@@ -75,9 +108,9 @@ def _message(*content: Column) -> Column:
     return F.to_json(F.struct(F.lit(MODEL).alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.array(*content).alias("content"))).alias("messages")))
 
 
-def region_prompts(crops: DataFrame) -> DataFrame:
-    """image_id, group_id, prompt: the request for each encoded picture (binary column jpeg)."""
-    url = F.concat(F.lit("data:image/jpeg;base64,"), F.regexp_replace(F.base64("jpeg"), r"[\r\n]", ""))
+def region_prompts(crops: DataFrame, media: str = "image/jpeg") -> DataFrame:
+    """image_id, group_id, prompt: the request for each encoded picture (binary column picture) of that media type."""
+    url = F.concat(F.lit(f"data:{media};base64,"), F.regexp_replace(F.base64("picture"), r"[\r\n]", ""))
     none = F.lit(None).cast("string")
     text = F.struct(F.lit("text").alias("type"), F.lit(REGION_PROMPT).alias("text"), none.alias("image_url"))
     picture = F.struct(F.lit("image_url").alias("type"), none.alias("text"), url.alias("image_url"))

@@ -72,10 +72,10 @@ def open_(mask: np.ndarray, size: int) -> np.ndarray:
     return dilate(erode(mask, size), size)
 
 
-def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(x, y, w, h, pixels) of the 8-connected parts of a mask, in the order of their first pixel.
+def _runs(mask: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin, end of the runs of set pixels, and for each the first run of its part.
 
-    Runs of set pixels in a row are nodes; touching runs of neighbouring rows are joined.
+    Touching runs of neighbouring rows are of one part; diagonal: also those that touch at a corner.
     """
     set_ = np.pad(mask > 0, ((0, 0), (1, 1))).astype(np.int8)
     y, edge = np.nonzero(np.diff(set_, axis=1))
@@ -89,24 +89,65 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         return int(i)
 
     first = np.searchsorted(row, np.arange(mask.shape[0] + 1))
+    reach = int(diagonal)
     for r in range(1, mask.shape[0]):
         i, j = int(first[r - 1]), int(first[r])
         while i < first[r] and j < first[r + 1]:
-            if begin[i] <= end[j] and begin[j] <= end[i]:
+            if begin[i] < end[j] + reach and begin[j] < end[i] + reach:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
             if end[i] < end[j]:
                 i += 1
             else:
                 j += 1
+    return row, begin, end, np.array([find(k) for k in range(len(row))], np.int64)
+
+
+def _painted(shape: tuple[int, int], row: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """An array with each run's value in its place, 0 elsewhere; runs don't overlap."""
+    steps = np.zeros((shape[0], shape[1] + 1), np.int64)
+    np.add.at(steps, (row, begin), values)
+    np.subtract.at(steps, (row, end), values)
+    return np.cumsum(steps, axis=1)[:, :-1]
+
+
+def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(x, y, w, h, pixels) of the 8-connected parts of a mask, in the order of their first pixel."""
     found: dict[int, list[int]] = {}
-    for k in range(len(row)):
-        box = found.setdefault(find(k), [1 << 30, int(row[k]), 0, 0, 0])
-        box[0], box[2] = min(box[0], int(begin[k])), max(box[2], int(end[k]))
-        box[3], box[4] = int(row[k]) + 1, box[4] + int(end[k] - begin[k])
+    for y, begin, end, part in zip(*(x.tolist() for x in _runs(mask, True))):
+        box = found.setdefault(part, [1 << 30, y, 0, 0, 0])
+        box[0], box[2] = min(box[0], begin), max(box[2], end)
+        box[3], box[4] = y + 1, box[4] + end - begin
     return [(x, top, right - x, bottom - top, n) for x, top, right, bottom, n in found.values()]
 
 
+def filled(mask: np.ndarray) -> np.ndarray:
+    """The mask with everything set that its parts enclose: all but the background that reaches the border."""
+    ground = np.pad(mask == 0, 1, constant_values=True)
+    row, begin, end, part = _runs(ground, False)
+    outside = part == 0
+    open_ground = _painted(ground.shape, row[outside], begin[outside], end[outside], np.ones(int(outside.sum()), np.int64))
+    return np.where(open_ground[1:-1, 1:-1] > 0, 0, 255).astype(np.uint8)
+
+
+def outlines(mask: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(x, y, w, h, area) of the outer outlines of a mask's parts, none of what lies inside another: in the order of their first pixel.
+
+    The area is that of the outline through the centres of outer pixels: of four neighbouring centres, a whole unit if all are set, half of
+    one if three are. A thin line has none.
+    """
+    mask = filled(mask)
+    row, begin, end, part = _runs(mask, True)
+    label = _painted(mask.shape, row, begin, end, part + 1)
+    corners = [label[a : a + mask.shape[0] - 1, b : b + mask.shape[1] - 1] for a in (0, 1) for b in (0, 1)]
+    count = sum((c > 0).astype(np.int8) for c in corners)
+    # All set pixels of four neighbours are of one part.
+    owner = np.maximum.reduce(corners)
+    area = np.bincount(owner[count == 4], minlength=len(row) + 1) + 0.5 * np.bincount(owner[count == 3], minlength=len(row) + 1)
+    firsts = np.unique(part).tolist()
+    return [(x, y, w, h, float(area[k + 1])) for (x, y, w, h, _), k in zip(components(mask), firsts)]
+
+
 def sobel(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d, s = np.array([-1.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.0])
     return separable(image, d, s), separable(image, s, d)
@@ -209,11 +250,11 @@ def text_mask(image: np.ndarray) -> np.ndarray:
 
 
 def text_rois(image: np.ndarray, pad: int = 5) -> list[tuple[int, int, int, int]]:
-    """(x, y, w, h) of likely text, padded within the page. Parts are measured by pixels, not by outline area."""
+    """(x, y, w, h) of likely text, padded within the page: outer outlines whose area is large enough."""
     h, w = image.shape
     out = []
-    for x, y, bw, bh, pixels in components(text_mask(image)):
-        if pixels >= 1e-4 * h * w:
+    for x, y, bw, bh, area in outlines(text_mask(image)):
+        if area >= 1e-4 * h * w:
             left, top = max(0, x - pad), max(0, y - pad)
             out.append((left, top, min(w - left, bw + 2 * pad), min(h - top, bh + 2 * pad)))
     return out
@@ -228,14 +269,14 @@ def mask_of_boxes(height: int, width: int, boxes: list[tuple[float, float, float
 
 
 def object_candidates(image: np.ndarray, mask: np.ndarray) -> list[tuple[float, int, int, int, int, float, float]]:
-    """(scale, x, y, w, h, edge density, text density) of connected edges at each scale, before any filter but size 0."""
+    """(scale, x, y, w, h, edge density, text density) of the outer outlines of edges at each scale, before any filter but size 0."""
     smooth, out = np.rint(gaussian(image, 5)).astype(np.uint8), []
     for scale in SCALES:
         size = (int(image.shape[1] * scale), int(image.shape[0] * scale))
         if not all(size):
             continue
         at, text = (smooth, mask) if scale == 1 else (resized(smooth, *size), resized(mask, *size))
-        for x, y, w, h, _ in components(canny(at, 50, 150)):
+        for x, y, w, h, _ in outlines(canny(at, 50, 150)):
             roi, covered = at[y : y + h, x : x + w], text[y : y + h, x : x + w]
             out.append((scale, x, y, w, h, edge_density(roi), float(np.count_nonzero(covered)) / (w * h)))
     return out
@@ -246,8 +287,8 @@ def image_blocks(image: np.ndarray, mask: np.ndarray) -> list[tuple[int, int, in
     h, w = image.shape
     ready = open_(close(adaptive_threshold(np.rint(gaussian(image, 5)), 11, 2, inverse=True), 20), 5)
     out: list[tuple[int, int, int, int, float]] = []
-    for x, y, bw, bh, pixels in components(ready):
-        if pixels < 0.001 * h * w or bw <= 50 or bh <= 50:
+    for x, y, bw, bh, area in outlines(ready):
+        if area < 0.001 * h * w or bw <= 50 or bh <= 50:
             continue
         edges = np.count_nonzero(canny(image[y : y + bh, x : x + bw], 50, 150)) / (bw * bh)
         text = np.count_nonzero(mask[y : y + bh, x : x + bw]) / (bw * bh)
@@ -261,20 +302,24 @@ def segments(image: np.ndarray, votes: int = 30, least: float = 30, gap: int = 1
     """Straight segments (x1, y1, x2, y2) among the edges of a thresholded page, strongest line first.
 
     Lines are peaks of the accumulator at whole degrees and pixels; a line's edge pixels are cut where they are further
-    apart than the gap, and are used up by the segments they make.
+    apart than the gap, and are used up by the segments they make. Votes are counted angle by angle, and the best peak of each angle is kept, so
+    no table of all pixels and angles is made.
     """
     edges = canny(adaptive_threshold(image, 11, 2), 50, 150) > 0
     y, x = np.nonzero(edges)
     angle = np.deg2rad(np.arange(180))
     cos, sin = np.cos(angle), np.sin(angle)
     reach, out = int(np.hypot(*image.shape)) + 1, []
-    free = np.ones(len(x), bool)
-    rho = np.rint(x[:, None] * cos + y[:, None] * sin).astype(int) + reach
-    table = np.zeros((2 * reach + 1, 180), int)
-    np.add.at(table, (rho, np.arange(180)[None, :].repeat(len(x), 0)), 1)
-    while table.size and table.max() >= votes:
-        r, a = np.unravel_index(int(table.argmax()), table.shape)
-        on = np.flatnonzero(free & (rho[:, a] == r))
+    place = lambda on, a: np.rint(x[on] * cos[a] + y[on] * sin[a]).astype(np.int32) + reach
+    free, every = np.ones(len(x), bool), np.arange(len(x))
+    table = np.stack([np.bincount(place(every, a), minlength=2 * reach + 1) for a in range(180)], axis=1).astype(np.int32) if len(x) else np.zeros((1, 180), np.int32)
+    best = table.max(axis=0)
+    while best.max() >= votes:
+        # The strongest line, of equally strong ones that nearest to the origin's side, then by angle.
+        tied = np.flatnonzero(best == best.max())
+        r, a = min((int(table[:, k].argmax()), int(k)) for k in tied)
+        on = np.flatnonzero(free)
+        on = on[place(on, a) == r]
         along = -x[on] * sin[a] + y[on] * cos[a]
         on = on[np.argsort(along, kind="stable")]
         parts = np.split(on, np.flatnonzero(np.diff(np.sort(along)) > gap) + 1) if len(on) else []
@@ -284,26 +329,44 @@ def segments(image: np.ndarray, votes: int = 30, least: float = 30, gap: int = 1
                 ends = sorted([(int(x[p]), int(y[p])), (int(x[q]), int(y[q]))])
                 out.append((*ends[0], *ends[1]))
         free[on] = False
-        np.subtract.at(table, (rho[on], np.arange(180)[None, :].repeat(len(on), 0)), 1)
+        for k in range(180):
+            np.subtract.at(table[:, k], place(on, k), 1)
         table[r, a] = 0
+        best = table.max(axis=0)
     return out
 
 
+def _cubic(t: np.ndarray) -> list[np.ndarray]:
+    """Weights of the four neighbours at distances 1 + t, t, 1 - t, 2 - t of cubic convolution with a = -0.75."""
+    a = -0.75
+    far = lambda d: ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
+    near = lambda d: ((a + 2) * d - (a + 3)) * d * d + 1
+    return [far(1 + t), near(t), near(1 - t), far(2 - t)]
+
+
 def rotated(image: np.ndarray, angle: float) -> np.ndarray:
-    """The image turned about its centre on a canvas that holds it; sampled bilinearly, edges continued."""
+    """The image turned about its centre on a canvas that holds it; sampled by cubic convolution, edges continued."""
     h, w = image.shape[:2]
     cos, sin = np.cos(np.deg2rad(angle)), np.sin(np.deg2rad(angle))
     nw, nh = int(h * abs(sin) + w * abs(cos)), int(h * abs(cos) + w * abs(sin))
     u, v = np.meshgrid(np.arange(nw) - nw / 2, np.arange(nh) - nh / 2)
-    x = np.clip(cos * u - sin * v + w // 2, 0, w - 1)
-    y = np.clip(sin * u + cos * v + h // 2, 0, h - 1)
+    x, y = cos * u - sin * v + w // 2, sin * u + cos * v + h // 2
     x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    x1, y1, fx, fy = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1), x - np.floor(x), y - np.floor(y)
-    if image.ndim == 3:
-        fx, fy = fx[..., None], fy[..., None]
+    across, down = _cubic(x - x0), _cubic(y - y0)
     image = image.astype(np.float64)
-    value = image[y0, x0] * (1 - fx) * (1 - fy) + image[y0, x1] * fx * (1 - fy) + image[y1, x0] * (1 - fx) * fy + image[y1, x1] * fx * fy
-    return np.rint(value).astype(np.uint8)
+    value = np.zeros((nh, nw, *image.shape[2:]))
+    for j in range(4):
+        yj = np.clip(y0 + j - 1, 0, h - 1)
+        for i in range(4):
+            weight = across[i] * down[j]
+            value += image[yj, np.clip(x0 + i - 1, 0, w - 1)] * (weight[..., None] if image.ndim == 3 else weight)
+    return np.clip(np.rint(value), 0, 255).astype(np.uint8)
+
+
+def rotated_ready(image: np.ndarray, angle: float, border: int) -> np.ndarray:
+    """A page turned and made ready for recognition: contrast raised, thresholded, with a white border."""
+    ready = adaptive_threshold(equalized(rotated(image, angle), 2.0), 11, 2)
+    return np.pad(ready, border, constant_values=255)
 
 
 def per_image(images: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:

@@ -100,7 +100,7 @@ def rotated_canvas(width: int, height: int, angle: float) -> tuple[int, int]:
     return int(height * s + width * c), int(height * c + width * s)
 
 
-def points_to_page(points: DataFrame, width: int, height: int, angle: str, rotated_width: str, rotated_height: str) -> DataFrame:
+def points_to_page(points: DataFrame, width: int | str, height: int | str, angle: str, rotated_width: str, rotated_height: str) -> DataFrame:
     """points (x, y) of a page turned by ``angle`` degrees, back in the page's coordinates, as ox, oy, cut towards 0."""
     rad = f"radians(-cast({angle} as double))"
     cx, cy = f"floor({rotated_width} / 2.0D)", f"floor({rotated_height} / 2.0D)"
@@ -110,7 +110,7 @@ def points_to_page(points: DataFrame, width: int, height: int, angle: str, rotat
     return points.withColumns({"ox": F.expr(x), "oy": F.expr(y)})
 
 
-def plausible_rotated(blocks: DataFrame, width: int, height: int) -> DataFrame:
+def plausible_rotated(blocks: DataFrame, width: int | str, height: int | str) -> DataFrame:
     """Rotated text blocks that are sure, of plausible shape, and neither tiny nor as large as the page."""
     w, h = "(right_x - left_x)", "(bottom_y - top_y)"
     ratio = f"(case when {h} > 0 then cast({w} as double) / {h} else 0 end)"

@@ -25,7 +25,7 @@ def png(pixels: np.ndarray) -> bytes:
 
 
 def crops(images: DataFrame, boxes: DataFrame, encode: Callable[[np.ndarray], bytes] = png) -> DataFrame:
-    """image_id, group_id, jpeg: the encoded picture of each region; regions that are empty on the page are left out.
+    """image_id, group_id, picture: the encoded picture of each region; regions that are empty on the page are left out.
 
     encode makes a picture file of a BGR array. An image travels once, with the list of its regions' boxes.
     """
@@ -39,14 +39,17 @@ def crops(images: DataFrame, boxes: DataFrame, encode: Callable[[np.ndarray], by
                 page = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels)
                 parts = [(b["group_id"], page[b["top_y"] : b["bottom_y"], b["left_x"] : b["right_x"]]) for b in row.boxes]
                 found = [(row.image_id, group, encode(part)) for group, part in parts if part.size]
-                yield pd.DataFrame(found, columns=["image_id", "group_id", "jpeg"])
+                yield pd.DataFrame(found, columns=["image_id", "group_id", "picture"])
 
-    return rows.mapInPandas(crop, "image_id long, group_id long, jpeg binary")
+    return rows.mapInPandas(crop, "image_id long, group_id long, picture binary")
 
 
-def described(images: DataFrame, boxes: DataFrame, provider: Callable, on_error: str = "fail", concurrency: int | None = None) -> DataFrame:
-    """image_id, group_id, description: one answer for each region that has a picture."""
-    asked = documents.region_prompts(crops(images, boxes))
+def described(
+    images: DataFrame, boxes: DataFrame, provider: Callable, on_error: str = "fail", concurrency: int | None = None,
+    encode: Callable[[np.ndarray], bytes] = png, media: str = "image/png",
+) -> DataFrame:
+    """image_id, group_id, description: one answer for each region that has a picture. media: the type of what encode makes."""
+    asked = documents.region_prompts(crops(images, boxes, encode), media)
     answers = documents.answered(asked, provider, "prompt", on_error, concurrency)
     return answers.select("image_id", "group_id", documents.response_text("response").alias("description"))
 

@@ -33,6 +33,43 @@ def text_blocks(images: DataFrame, reader: Callable) -> DataFrame:
     return cut(ordered.withColumn("element_id", F.col("place")).select(*COLUMNS))
 
 
+#: Pixels of white around a turned page.
+BORDER = 20
+
+
+def rotated_text_blocks(images: DataFrame, angles: DataFrame, reader: Callable) -> DataFrame:
+    """Text elements of pages read at other angles (angles: image_id, angle in degrees), with rotation, in the page's coordinates.
+
+    Each page is turned, made ready and read whole; boxes are moved back by the border and turned back, and implausible ones left out. A
+    missing confidence counts as 0.8.
+    """
+    schema = "image_id long, angle double, height int, width int, turned_height int, turned_width int, block int, corner int, x double, y double, text string, confidence double"
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def read_turned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = None
+        for pdf in frames:
+            read = read or reader()
+            out = []
+            for row in pdf.itertuples():
+                page = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels)
+                ready = pixels.rotated_ready(pixels.grey(page) if row.channels >= 3 else page[..., 0], row.angle, BORDER)
+                size = (ready.shape[0] - 2 * BORDER, ready.shape[1] - 2 * BORDER)
+                for k, (box, text, *sure) in enumerate(read(ready)):
+                    for c, p in enumerate(box):
+                        out.append((row.image_id, row.angle, row.height, row.width, *size, k, c, float(p[0]) - BORDER, float(p[1]) - BORDER, text, float(sure[0]) if sure else 0.8))
+            yield pd.DataFrame(out, columns=names)
+
+    rows = images.select("image_id", "height", "width", "channels", "data").join(angles.select("image_id", F.col("angle").cast("double").alias("angle")), "image_id")
+    corners = cut(rows.mapInPandas(read_turned, schema))
+    turned = recognition.points_to_page(corners, "width", "height", "angle", "turned_width", "turned_height")
+    edges = [F.min("ox").alias("left_x"), F.min("oy").alias("top_y"), F.max("ox").alias("right_x"), F.max("oy").alias("bottom_y")]
+    blocks = turned.groupBy("image_id", "angle", "block", "height", "width").agg(F.first("text").alias("text"), F.first("confidence").alias("confidence"), *edges)
+    kept = recognition.plausible_rotated(blocks, "width", "height").withColumn("text", F.expr(recognition.STRIP))
+    kept = _numbered(kept.withColumnRenamed("angle", "rotation"), ["rotation", "top_y", "left_x", "block"])
+    return kept.select("image_id", "element_id", F.lit("text").alias("type"), *COLUMNS[3:], "rotation")
+
+
 def _with_mask(images: DataFrame, texts: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
     """image_id and the kernel's tuples, for each image's grey array and the mask of its text boxes."""
     names = [part.split()[0] for part in schema.split(",")]

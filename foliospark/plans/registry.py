@@ -457,7 +457,7 @@ def w4_dash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     to_base64(encode(description)), '"}}]}}]}}') as prompt from {_DESCRIBED}"""
 )
 def v4_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crops = _descriptions(spark, sf_dir).selectExpr("image_id", "group_id", "cast(description as binary) as jpeg")
+    crops = _descriptions(spark, sf_dir).selectExpr("image_id", "group_id", "cast(description as binary) as picture")
     return documents.region_prompts(crops)
 
 

@@ -66,9 +66,13 @@ def test_documents_of_an_image(spark):
 def test_crops_leave_out_empty_regions(spark):
     boxes = spark.createDataFrame([(5, 1, -5, 0, 10, 10), (5, 2, 400, 0, 500, 10), (5, 3, 10, 10, 10, 40)], "image_id long, group_id long, left_x long, top_y long, right_x long, bottom_y long")
     found = vision.crops(rows(spark), boxes, lambda p: bytes(p.shape)).collect()
-    assert [(r.group_id, bytes(r.jpeg)) for r in found] == [(1, bytes([10, 10, 3]))]
+    assert [(r.group_id, bytes(r.picture)) for r in found] == [(1, bytes([10, 10, 3]))]
     asked = vision.documents.region_prompts(vision.crops(rows(spark), boxes))
     url = json.loads(asked.first().prompt)["messages"][0]["content"][1]["image_url"]
+    assert url.startswith("data:image/jpeg;")
+    sent = spark.createDataFrame([(5, 3, 10, 10, 10, 40), (5, 4, 0, 0, 9, 9)], boxes.schema)
+    told = vision.described(rows(spark), sent, lambda: lambda p: json.dumps({"choices": [{"message": {"content": json.loads(p)["messages"][0]["content"][1]["image_url"][:15]}}]}))
+    assert [(r.group_id, r.description) for r in told.collect()] == [(4, "data:image/png;")]
     assert base64.b64decode(url.split(",")[1]).startswith(b"\x89PNG")
 
 
@@ -87,3 +91,55 @@ def test_summaries_and_similarity(spark):
     got = spark.createDataFrame([("Aa", "a"), ("a", "b"), ("c", "a")], "x string, y string").select(vision.semantic_similarity(F.col("x"), F.col("y"), embed).alias("s"))
     assert [round(r.s, 6) for r in got.collect()] == [1.0, 0.0, 0.0]
     assert told.select(vision.semantic_similarity(F.col("description"), F.col("description")).alias("s")).first().s == 0.0
+
+
+def test_turned_pages_are_read_and_turned_back(spark):
+    """A reader that sees the ink of the page it is given."""
+
+    def seeing():
+        def read(page):
+            ys, xs = np.nonzero(page[40:-40, 40:-40] < 128)
+            box = [[xs.min() + 40, ys.min() + 40], [xs.max() + 40, ys.min() + 40], [xs.max() + 40, ys.max() + 40], [xs.min() + 40, ys.max() + 40]]
+            return [(box, " turned "), (box, "x", 0.9), (box, "unsure", 0.2)]
+
+        return read
+
+    page = np.full((H, W, 3), 255, np.uint8)
+    page[100:140, 80:220] = 0
+    images = spark.createDataFrame([(5, H, W, 3, bytearray(page.tobytes()))], "image_id long, height int, width int, channels int, data binary")
+    angles = spark.createDataFrame([(5, 0.0), (5, 180.0)], "image_id long, angle double")
+    found = pages.rotated_text_blocks(images, angles, seeing).collect()
+    assert [(r.text, r.confidence, r.rotation) for r in sorted(found, key=lambda r: r.rotation)] == [("turned", 0.8, 0.0), ("turned", 0.8, 180.0)]
+    assert all(max(abs(r.left_x - 80), abs(r.top_y - 100), abs(r.right_x - 219), abs(r.bottom_y - 139)) <= 4 for r in found)
+
+
+def test_regions_and_elements_are_drawn(spark):
+    from foliospark.operators import drawing
+
+    images = spark.createDataFrame([(5, 100, 120, 1, bytearray(b"\xff" * 12000)), (6, 4, 4, 1, bytearray(b"\x07" * 16))], "image_id long, height int, width int, channels int, data binary")
+    box = "left_x long, top_y long, right_x long, bottom_y long"
+    regions = spark.createDataFrame([(5, 1, 10, 10, 110, 90)], f"image_id long, region_no long, {box}")
+    elements = spark.createDataFrame([(5, 1, 1, "text", 20, 20, 60, 40), (5, 2, 1, "image", 70, 50, 100, 80), (5, 3, 1, "text", -5, -5, 3, 3)], f"image_id long, element_id long, region_no long, type string, {box}")
+    made = {r.image_id: np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, 3) for r in drawing.drawn(images, drawing.region_shapes(regions, elements)).collect()}
+    page = made[5]
+    assert page[30, 40].tolist() == [204, 255, 204] and page[20, 40].tolist() == [0, 255, 0] and page[65, 70].tolist() == [0, 0, 255]
+    assert page[65, 85].tolist() == [255, 255, 255] and page[10, 12].tolist() == [255, 0, 0] and page[10, 35].tolist() == [255, 255, 255]
+    assert (made[6] == 7).all()
+    groups = regions.withColumnRenamed("region_no", "group_id")
+    page = np.frombuffer(bytes(drawing.drawn(images.where("image_id = 5"), drawing.group_shapes(groups, elements)).first().data), np.uint8).reshape(100, 120, 3)
+    assert page[10, 12].tolist() == [0, 165, 255] and page[20, 25].tolist() == [0, 255, 0] and page[50, 75].tolist() == [0, 0, 255] and page[30, 40].tolist() == [255] * 3
+
+
+def test_dump_and_report(spark):
+    from foliospark.operators import documents
+
+    box = "left_x long, top_y long, right_x long, bottom_y long"
+    elements = spark.createDataFrame([(5, 2, 1, "text", "b", 0.5, 0, 9, 5, 12), (5, 1, 1, "text", "a", 0.9, 0, 0, 5, 5), (5, 3, 2, "image", None, 0.4, 0, 90, 5, 99)], f"image_id long, element_id long, group_id long, type string, text string, confidence double, {box}")
+    boxes = spark.createDataFrame([(5, 1, 0, 0, 5, 12), (5, 2, 0, 90, 5, 99)], f"image_id long, group_id long, {box}")
+    paragraphs = spark.createDataFrame([(5, 1, 2, "two"), (5, 1, 1, "one"), (5, 4, 1, "three")], "image_id long, group_id long, para_no long, text string")
+    made = json.loads(documents.as_json(documents.region_dump(elements, boxes, paragraphs)).first().document)["regions"]
+    assert [(r["region_id"], [e["element_id"] for e in r["elements"]], r["merged_paragraphs"]) for r in made] == [(1, [1, 2], ["one", "two"]), (2, [3], [])]
+    assert made[0]["bounds"] == {"left": 0, "right": 5, "top": 0, "bottom": 12} and made[0]["elements"][0]["bounds"]["bottom"] == 5
+    said = []
+    documents.print_report(paragraphs, said.append)
+    assert said == ["Region Group 1 (ID=1):", "  Paragraph 1: one", "  Paragraph 2: two", "Region Group 2 (ID=4):", "  Paragraph 1: three"]

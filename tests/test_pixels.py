@@ -21,6 +21,21 @@ def test_components_are_eight_connected():
     assert pixels.components(np.zeros((3, 3), np.uint8)) == []
 
 
+def test_outer_outlines_have_no_inner_parts():
+    frame = page([(10, 10, 100, 80)], paper=0, ink=255)
+    frame[12:88, 12:108] = 0
+    frame[40:50, 40:60] = 255
+    assert pixels.outlines(frame) == [(10, 10, 100, 80, 99.0 * 79)]
+    assert (pixels.filled(frame)[10:90, 10:110] == 255).all() and pixels.filled(frame).sum() == 255 * 8000
+    line = page([(5, 5, 40, 1), (60, 60, 1, 1)], paper=0, ink=255)
+    line[100:110, 100] = line[100, 100:120] = 255
+    assert pixels.outlines(line) == [(5, 5, 40, 1, 0.0), (60, 60, 1, 1, 0.0), (100, 100, 20, 10, 0.5)]
+    # A gap in the frame at a corner keeps the ground apart, as the frame's pixels still touch.
+    frame[10, 10] = 0
+    assert [o[:4] for o in pixels.outlines(frame)] == [(10, 10, 100, 80)]
+    assert pixels.outlines(np.zeros((3, 3), np.uint8)) == []
+
+
 def test_morphology_closes_gaps_and_opens_specks():
     mask = page([(20, 20, 30, 10), (52, 20, 30, 10), (150, 150, 2, 2)], paper=0, ink=255)
     assert len(pixels.components(pixels.close(mask, 5))) == 2
