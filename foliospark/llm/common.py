@@ -7,7 +7,7 @@ block of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,3 +174,74 @@ def hinted(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     table_ = values.select(*place(values.columns[0])).groupBy(word).agg(F.bit_or(bit).alias(bits))
     marked = rows.select("*", *place(column)).join(F.broadcast(table_), word)
     return marked.where(F.col(bits).bitwiseAND(F.col(bit)) != 0).select(*rows.columns)
+
+
+def hint_bits(values: DataFrame) -> np.ndarray:
+    """The same table of bits for values that are hashes (one column, long), as HINT_WORDS words for Python workers."""
+    k, value = HINT_WORDS.bit_length() - 1, F.col(values.columns[0])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(F.lit(63)).cast("int"))
+    rows = values.select(F.shiftrightunsigned(value, 64 - k).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    # At most HINT_WORDS rows.
+    found = rows.toArrow()
+    bits = np.zeros(HINT_WORDS, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits.view(np.uint64)
+
+
+def may_be_among(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes (uint64) may be among those that hint_bits() saw."""
+    k = len(bits).bit_length() - 1
+    return (bits[values >> np.uint64(64 - k)] >> (values & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+#: Pairs that a task gathers before it hands them on; text bytes for each bucket, and buckets, at most.
+GATHERED, BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 24 << 20, 1 << 17
+
+
+def buckets_for(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(8, -(-size // BUCKET_BYTES)))
+
+
+def shared_values(rows: DataFrame, pairs: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], buckets: int) -> DataFrame:
+    """value (long): the hashes that several ids have, of the pairs (hashes as uint64, ids as int64) that the function makes of batches.
+
+    Each task reduces what it gathers to the least and greatest id of each hash, so one that most rows have is shuffled a few times only,
+    and hands on sorted arrays by ranges of hashes: the JVM moves buckets, not rows.
+    """
+
+    def reduced(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
+        if not len(first):
+            return value, low, high
+        return value[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids = np.concatenate([i for _, i in held])
+        arrays = reduced(np.concatenate([v for v, _ in held]), ids, ids)
+        bucket = ((arrays[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        number, begin = np.unique(bucket, return_index=True)
+        ends = np.append(begin[1:], len(bucket))
+        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary()) for x in arrays]
+        return pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *blobs], ["bucket", "value", "low", "high"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for value, id_ in pairs(batches):
+            held.append((value, id_))
+            n += len(value)
+            if n >= GATHERED:
+                yield dealt(held)
+                held, n = [], 0
+        if n:
+            yield dealt(held)
+
+    def merge(group: pa.Table) -> pa.Table:
+        joined = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
+        value, low, high = reduced(joined("value", np.uint64), joined("low", np.int64), joined("high", np.int64))
+        return pa.table({"value": value[low < high].view(np.int64)})
+
+    moved = rows.mapInArrow(deal, "bucket int, value binary, low binary, high binary")
+    return moved.groupBy("bucket").applyInArrow(merge, "value long")

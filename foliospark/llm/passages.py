@@ -8,9 +8,9 @@
 3. Pairs whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more are linked, those of two members
    of a bucket that are both unlike its least class by their differences to it, as in neardup; components of
    links and equality give groups of paragraphs, and those of several documents are repeats.
-4. Whatever its lines and sentences, every stretch of RUN words or more that two texts share word for word is found too, to
-   its exact edges: of each RUN - GRAM + 1 neighbouring GRAMs of words the least hash is an anchor (winnowing), so such a
-   stretch has an anchor in common; around anchors in common near which nothing else is, all GRAMs are looked up as well.
+4. Whatever its lines and sentences, every stretch of RUN words or more that two texts share word for word is found too:
+   of each RUN - GRAM + 1 neighbouring GRAMs of words the least hash is an anchor (winnowing), so such a
+   stretch has an anchor in common; from anchors in common it is followed both ways, word by word, as far as the next ones could be.
 5. A run of neighbouring repeats in a text, gaps of fewer than five words included, is a passage if it has RUN words or
    more. What the least document of a group has stays, the others are removals.
 """
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import release
-from .common import LEADS, Block, Scratch, cut, hinted, mixed, rolling, span_sums, text_slices
+from .common import LEADS, Block, Scratch, buckets_for, cut, hint_bits, hinted, may_be_among, mixed, rolling, shared_values, span_sums, text_slices
 from .components import components
 from .neardup import Signer, compared, missed
 
@@ -35,6 +35,8 @@ BANDS, ROWS = 6, 2
 LONG, RUN = 8, 30
 #: Words that are looked up together; fewer where a run is shorter than twice as many.
 GRAM = 15
+#: Words before and after an anchor that are compared.
+SIGNS = 15
 #: Classes that a task remembers at a time, about.
 REMEMBERED = 500_000
 _FACTOR = np.uint64(0x8CB92BA72F3D8DD7)
@@ -140,136 +142,107 @@ def _grams(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, whole
 
 
-_SPAN = "doc_id long, gram long, word int, begin int, end int"
+def _chosen(part: pa.RecordBatch, size: int, width: int) -> tuple[Block, np.ndarray, np.ndarray]:
+    """A block of texts, its grams, and the anchors among them: the least of each width neighbouring ones by their hash."""
+    block = Block(part.column("text"), lower=True)
+    grams, whole = _grams(block, size)
+    least = _sliding(grams, width, np.minimum, np.iinfo(np.uint64).max)
+    return block, grams, np.flatnonzero(whole & (_sliding(least[::-1], width, np.maximum, 0)[::-1] == grams))
 
 
-def _spans(doc_ids: pa.Array, block: Block, grams: np.ndarray, at: np.ndarray, size: int) -> pa.RecordBatch:
-    of = np.searchsorted(block.first, at, "right") - 1
-    begin, end = _places(block, of, block.starts[at], block.ends[at + size - 1])
-    columns = [doc_ids.take(pa.array(of)), pa.array(grams[at].view(np.int64)), *map(_int32, (at - block.first[of], begin, end))]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "word", "begin", "end"])
+def _signs(words: np.ndarray, at: np.ndarray, room: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eight bits of each of up to SIGNS words from at on, in steps of 1 or -1, the nearest lowest: of seven, with their number (room) on top, and of the others."""
+    parts = room.astype(np.uint64) << np.uint64(56), np.zeros(len(at), np.uint64)
+    for k in range(SIGNS):
+        near = words[np.clip(at + step * k, 0, len(words) - 1)] >> np.uint64(56)
+        near = np.where(k < room, near, np.uint64(0)) << np.uint64(8 * (k % 7 if k < 14 else 7))
+        parts[k >= 7][:] |= near
+    return parts[0].view(np.int64), parts[1].view(np.int64)
 
 
-def _anchors(docs: DataFrame, size: int, width: int) -> DataFrame:
-    """Spans of size words, the least of each width neighbouring ones by their hash."""
+def _occurrences(docs: DataFrame, size: int, width: int, bits: np.ndarray) -> DataFrame:
+    """The anchors that several documents may have, with signs of the words before and after."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            block = Block(part.column("text"), lower=True)
-            grams, whole = _grams(block, size)
-            least = _sliding(grams, width, np.minimum, np.iinfo(np.uint64).max)
-            chosen = whole & (_sliding(least[::-1], width, np.maximum, 0)[::-1] == grams)
-            yield _spans(part.column("doc_id"), block, grams, np.flatnonzero(chosen), size)
-
-    return docs.mapInArrow(choose, _SPAN)
-
-
-def _around(docs: DataFrame, size: int) -> DataFrame:
-    """All spans of size words that begin in one of the text's ranges low to high (word numbers, inclusive)."""
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, grams, at = _chosen(part, size, width)
+            at = at[may_be_among(grams[at], bits)]
+            of = np.searchsorted(block.first, at, "right") - 1
+            words, word = block.word_hashes(), at - block.first[of]
+            after = np.minimum(block.n_words[of] - word - size, SIGNS)
+            signs = (*_signs(words, at - 1, np.minimum(word, SIGNS), -1), *_signs(words, at + size, after, 1)) if len(at) else [at] * 4
+            columns = [part.column("doc_id").take(pa.array(of)), pa.array(grams[at].view(np.int64)), _int32(word), *map(pa.array, signs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "word", "before", "before2", "after", "after2"])
+
+    return docs.mapInArrow(choose, "doc_id long, gram long, word int, before long, before2 long, after long, after2 long")
+
+
+def _alike(side: str, other: str) -> Column:
+    """How many words the signs of a side have in common with those of another row (a struct), the nearest first."""
+    a, b = F.col(side), F.col(f"{other}.{side}")
+    # Trailing zeros, by bytes: 8 where all are equal.
+    equal = lambda x: F.floor(F.bit_count(x.bitwiseAND(-x) - 1) / 8)
+    near = F.least(equal(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 56) - 1))), F.lit(7))
+    far = F.when(near == 7, equal(F.col(f"{side}2").bitwiseXOR(F.col(f"{other}.{side}2")))).otherwise(0)
+    room = lambda c: F.shiftrightunsigned(c, 56)
+    return F.least(near + far, room(a), room(b)).cast("int")
+
+
+def _placed(docs: DataFrame, stretches: DataFrame) -> DataFrame:
+    """stretches (doc_id, word, n_words, component, keeper_doc_id) with begin and end, code points of their texts."""
+    item = F.struct("word", "n_words", "component", "keeper_doc_id")
+    lists = stretches.groupBy("doc_id").agg(F.collect_set(item).alias("stretches"))
+    rows = hinted(docs, "doc_id", stretches.select("doc_id").distinct()).join(lists, "doc_id").select("text", "doc_id", "stretches")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            block = Block(part.column("text"), lower=True)
-            grams, whole = _grams(block, size)
-            edges = np.zeros(len(grams) + 1, np.int64)
-            for i, (low, high) in enumerate(zip(part.column("low"), part.column("high"))):
-                bounds = [np.clip(x.values.to_numpy() + k, 0, block.n_words[i]) + block.first[i] for x, k in ((low, 0), (high, 1))]
-                np.add.at(edges, bounds[0], 1)
-                np.add.at(edges, bounds[1], -1)
-            yield _spans(part.column("doc_id"), block, grams, np.flatnonzero(whole & (np.cumsum(edges)[:-1] > 0)), size)
-
-    return docs.mapInArrow(choose, _SPAN)
-
-
-def _shared(spans: DataFrame, scratch: Scratch) -> DataFrame:
-    """The spans whose words several documents have, with the least of these."""
-    spans = scratch.keep(spans)
-    ends = spans.groupBy("gram").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("doc_id").alias("high"))
-    ends = ends.where("keeper_doc_id < high").drop("high")
-    found = scratch.keep(hinted(spans, "gram", ends.select("gram")).join(ends, "gram"))
-    scratch.drop(spans)
-    return found
+            block, lists = Block(part.column("text")), part.column("stretches")
+            of, flat = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+            word, n = (flat.field(c).to_numpy() for c in ("word", "n_words"))
+            # Where rows repeat an id, each row has the stretches of all.
+            own = np.flatnonzero(word + n <= block.n_words[of])
+            of, word, n, flat = of[own], word[own], n[own], flat.take(pa.array(own))
+            at = block.first[of] + word
+            begin, end = _places(block, of, block.starts[at], block.ends[at + n - 1])
+            columns = [part.column("doc_id").take(pa.array(of)), *map(_int32, (word, n, begin, end)), flat.field("component"), flat.field("keeper_doc_id")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "word", "n_words", "begin", "end", "component", "keeper_doc_id"])
 
+    return rows.mapInArrow(place, "doc_id long, word int, n_words int, begin int, end int, component long, keeper_doc_id long").distinct()
 
-def _sides(of: np.ndarray, word: np.ndarray, gram: np.ndarray, size: int, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For the sides before and after each anchor: whether its island ends there before width - 1 words, and a hash of the anchors there.
 
-    of: each anchor's text, whose words ascend. An island's spans touch or overlap.
-    """
-    n = len(word)
-    begins = np.flatnonzero(np.concatenate((np.ones(min(n, 1), bool), (of[1:] != of[:-1]) | (np.diff(word) > size))))
-    island = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, n)))
-    first, last = word[begins], word[np.append(begins[1:], n) - 1] if n else word
-    chains = np.zeros((2, n), np.uint64)
-    for k in range(1, n):
-        apart = word[k:] - word[:-k]
-        near = np.flatnonzero((of[k:] == of[:-k]) & (apart <= width + size))
-        if not len(near):
-            break
-        far = apart[near].astype(np.uint64) * _FACTOR
-        # Each anchor is in at most one term of a side for each k.
-        chains[1, near] += mixed(gram[near + k] + far)
-        chains[0, near + k] += mixed(gram[near] + far)
-    return [(word - first[island] < width - 1, chains[0]), (last[island] - word < width - 1, chains[1])]
-
-
-def _ranges(first: DataFrame, scratch: Scratch, size: int, width: int) -> DataFrame:
-    """doc_id, low, high: arrays of the word numbers between which documents look for spans that anchors don't show.
-
-    Where the spans found so far cease (an island of neighbouring ones ends), a shared stretch can go on for less than width words, in
-    whichever document has its last anchor. So if an anchor lies that near to an end of its island in some document, all documents
-    that have it look around it on that side. Of those in which the island goes on, all with the same anchors that follow have the
-    same words there; the least and the greatest of them look for all.
-    """
-    own = first.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("word", "gram"))).alias("anchors"))
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchors = batch.column("anchors")
-            of = np.repeat(np.arange(len(anchors)), np.diff(anchors.offsets.to_numpy()))
-            flat = anchors.flatten()
-            word, gram = flat.field("word").to_numpy().astype(np.int64), flat.field("gram").to_numpy()
-            doc = batch.column("doc_id").take(pa.array(of))
-            for side, (edge, chain) in enumerate(_sides(of, word, gram.view(np.uint64), size, width)):
-                columns = [doc, pa.array(gram), _int32(word), pa.array(np.full(len(word), side, np.int32)), pa.array(edge), pa.array(chain.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "word", "side", "edge", "chain"])
-
-    sides = scratch.keep(own.mapInArrow(look, "doc_id long, gram long, word int, side int, edge boolean, chain long"))
-    at = F.struct("doc_id", "word")
-    asked = sides.where("edge").select("gram", "side").distinct()
-    alike = sides.where("not edge").groupBy("gram", "side", "chain").agg(F.min(at).alias("least"), F.max(at).alias("most"))
-    alike = alike.join(asked, ["gram", "side"], "left_semi").select("side", F.explode(F.array_distinct(F.array("least", "most"))).alias("at"))
-    looked = alike.select("at.doc_id", "at.word", "side").union(sides.where("edge").select("doc_id", "word", "side"))
-    # A stretch has another anchor in common if it goes on for width spans after one.
-    low = F.col("word") + F.when(F.col("side") == 0, 1 - width).otherwise(1)
-    high = F.col("word") + F.when(F.col("side") == 0, -1).otherwise(width - 1)
-    looked = looked.groupBy("doc_id").agg(F.collect_set(F.struct(low.alias("low"), high.alias("high"))).alias("r"))
-    return looked.select("doc_id", F.col("r.low").alias("low"), F.col("r.high").alias("high"))
-
-
-def shared_stretches(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataFrame:
+def shared_stretches(docs: DataFrame, scratch: Scratch, buckets: int, run: int = RUN) -> DataFrame:
     """doc_id, word, n_words, begin, end, component, keeper_doc_id of words that are equal in several documents.
 
-    A row joins overlapping spans with the same keeper; its component is the least of their hashes. Nothing of a stretch of run
-    words or more that two documents share is left out; of shorter ones, those with an anchor in common are found.
+    Every stretch of run words or more that two documents share has an anchor in common. Around each anchor the words before and after are
+    compared with those of the least and of the greatest document that has it, by eight bits a word: so an edge can be a word too far with
+    probability 1/256, and what documents share beyond both of these is found as far as their anchors go. A row joins what overlaps and has
+    the same keeper, the least document; its component is the least of the anchors' hashes.
     """
     size = max(1, min(GRAM, run // 2))
     width = run - size + 1
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    first = _shared(_anchors(named, size, width), scratch)
-    release(docs.sparkSession)
-    ranges = _ranges(first, scratch, size, width)
-    asked = hinted(named, "doc_id", ranges.select("doc_id")).join(ranges, "doc_id")
-    names = ["doc_id", "gram", "word", "begin", "end", "keeper_doc_id"]
-    spans = first.select(names).union(_shared(_around(asked, size), scratch).select(names))
-    by_keeper = Window.partitionBy("doc_id", "keeper_doc_id").orderBy("word")
-    split = spans.withColumn("new", F.coalesce(F.col("word") - F.lag("word").over(by_keeper) > size, F.lit(True)).cast("int"))
-    split = split.withColumn("part", F.sum("new").over(by_keeper))
-    joined = split.groupBy("doc_id", "keeper_doc_id", "part").agg(
-        F.min("word").alias("word"), (F.max("word") - F.min("word") + size).alias("n_words"),
-        F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("gram").alias("component"),
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in text_slices(batches, "text"):
+            block, grams, at = _chosen(part, size, width)
+            yield grams[at], part.column("doc_id").to_numpy()[np.searchsorted(block.first, at, "right") - 1]
+
+    bits = hint_bits(shared_values(named, pairs, buckets))
+    found = scratch.keep(_occurrences(named, size, width, bits))
+    row = F.struct("doc_id", "word", "before", "before2", "after", "after2")
+    ends = found.groupBy("gram").agg(F.min(row).alias("least"), F.max(row).alias("most")).where("least.doc_id < most.doc_id")
+    met = found.join(ends, "gram")
+    other = lambda c, side: F.when(F.col("doc_id") != F.col(f"{c}.doc_id"), _alike(side, c)).otherwise(0)
+    longest = lambda side: F.greatest(other("least", side), other("most", side))
+    grown = met.select(
+        "doc_id", "gram", F.col("least.doc_id").alias("keeper_doc_id"), (F.col("word") - longest("before")).alias("word"),
+        (F.col("word") + size + longest("after")).alias("stop"),
     )
-    return joined.drop("part")
+    by_keeper = Window.partitionBy("doc_id", "keeper_doc_id").orderBy("word", "stop")
+    reached = F.max("stop").over(by_keeper.rowsBetween(Window.unboundedPreceding, -1))
+    split = grown.withColumn("part", F.sum(F.coalesce(F.col("word") > reached, F.lit(True)).cast("int")).over(by_keeper.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = split.groupBy("doc_id", "keeper_doc_id", "part").agg(F.min("word").alias("word"), (F.max("stop") - F.min("word")).alias("n_words"), F.min("gram").alias("component"))
+    return _placed(named, scratch.keep(joined.select("doc_id", "word", "n_words", "component", "keeper_doc_id")))
 
 
 def _joined(begins: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,10 +278,11 @@ def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMIL
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        stretches = scratch.keep(shared_stretches(docs, scratch, run).withColumn("unit", F.lit(None).cast("int")))
+        buckets = buckets_for(docs)
+        stretches = scratch.keep(shared_stretches(docs, scratch, buckets, run).withColumn("unit", F.lit(None).cast("int")))
         release(spark)
         units = scratch.keep(paragraphs(docs, bands, rows))
-        of = scratch.keep(_linked(units, scratch, similarity))
+        of = scratch.keep(_linked(units, scratch, buckets, similarity))
         release(spark)
         labels = scratch.keep(_groups(units, of))
         plain = hinted(units.select("doc_id", "unit", "begin", "end", "word", "n_words", "class", "check"), "class", labels.select("class"))
@@ -328,12 +302,24 @@ def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMIL
         )
 
 
-def _linked(units: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+def _linked(units: DataFrame, scratch: Scratch, buckets: int, similarity: float) -> DataFrame:
     """class, check, component of the classes that share a bucket with another, of what paragraphs() returns."""
-    members = units.where("text is not null").select(F.explode("keys").alias("key"), "class")
-    stars = members.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("high")).where("hub <> high")
-    stars = stars.select("key", "hub")
-    met = hinted(members, "key", stars.select("key")).join(stars, "key").where("class <> hub")
+    signed = units.where("text is not null").select("keys", "class")
+
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys = batch.column("keys")
+        return keys.flatten().to_numpy().view(np.uint64), np.repeat(batch.column("class").to_numpy(), np.diff(keys.offsets.to_numpy()))
+
+    bits = hint_bits(shared_values(signed, lambda batches: map(keyed, batches), buckets))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, class_ in map(keyed, batches):
+            kept = may_be_among(key, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), pa.array(class_[kept])], ["key", "class"])
+
+    members = scratch.keep(signed.mapInArrow(choose, "key long, class long"))
+    stars = members.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("high")).where("hub <> high").select("key", "hub")
+    met = members.join(stars, "key").where("class <> hub")
     pairs = scratch.keep(met.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     texts = units.where("text is not null").select("class", "check", "text")
