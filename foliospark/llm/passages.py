@@ -9,8 +9,8 @@
    of a bucket that are both unlike its least class by their differences to it, as in neardup; components of
    links and equality give groups of paragraphs, and those of several documents are repeats.
 4. Whatever its lines and sentences, every stretch of RUN words or more that two texts share word for word is found too:
-   of each RUN - GRAM + 1 neighbouring GRAMs of words the least hash is an anchor (winnowing), so such a
-   stretch has an anchor in common; from anchors in common it is followed both ways, word by word, as far as the next ones could be.
+   of all spans of half of RUN words and one more, the one with the least hash of as many neighbours as fit in RUN words is an anchor
+   (winnowing), so such a stretch has an anchor in common; from anchors in common it is followed both ways, word by word, as far as the next ones could be.
 5. A run of neighbouring repeats in a text, gaps of fewer than five words included, is a passage if it has RUN words or
    more. What the least document of a group has stays, the others are removals.
 """
@@ -33,10 +33,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of slots: a pair of similarity 0.8 shares no bucket with probability 0.002.
 BANDS, ROWS = 6, 2
 LONG, RUN = 8, 30
-#: Words that are looked up together; fewer where a run is shorter than twice as many.
-GRAM = 15
 #: Words before and after an anchor that are compared.
-SIGNS = 15
+SIGNS = 14
 #: Classes that a task remembers at a time, about.
 REMEMBERED = 500_000
 _FACTOR = np.uint64(0x8CB92BA72F3D8DD7)
@@ -155,7 +153,7 @@ def _signs(words: np.ndarray, at: np.ndarray, room: np.ndarray, step: int) -> tu
     parts = room.astype(np.uint64) << np.uint64(56), np.zeros(len(at), np.uint64)
     for k in range(SIGNS):
         near = words[np.clip(at + step * k, 0, len(words) - 1)] >> np.uint64(56)
-        near = np.where(k < room, near, np.uint64(0)) << np.uint64(8 * (k % 7 if k < 14 else 7))
+        near = np.where(k < room, near, np.uint64(0)) << np.uint64(8 * (k % 7))
         parts[k >= 7][:] |= near
     return parts[0].view(np.int64), parts[1].view(np.int64)
 
@@ -180,10 +178,11 @@ def _occurrences(docs: DataFrame, size: int, width: int, bits: np.ndarray) -> Da
 def _alike(side: str, other: str) -> Column:
     """How many words the signs of a side have in common with those of another row (a struct), the nearest first."""
     a, b = F.col(side), F.col(f"{other}.{side}")
-    # Trailing zeros, by bytes: 8 where all are equal.
-    equal = lambda x: F.floor(F.bit_count(x.bitwiseAND(-x) - 1) / 8)
-    near = F.least(equal(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 56) - 1))), F.lit(7))
-    far = F.when(near == 7, equal(F.col(f"{side}2").bitwiseXOR(F.col(f"{other}.{side}2")))).otherwise(0)
+    # Trailing zeros, by bytes, of seven.
+    seven = lambda x: x.bitwiseAND(F.lit((1 << 56) - 1))
+    equal = lambda x: F.least(F.floor(F.bit_count(x.bitwiseAND(-x) - 1) / 8), F.lit(7))
+    near = equal(seven(a.bitwiseXOR(b)))
+    far = F.when(near == 7, equal(seven(F.col(f"{side}2").bitwiseXOR(F.col(f"{other}.{side}2"))))).otherwise(0)
     room = lambda c: F.shiftrightunsigned(c, 56)
     return F.least(near + far, room(a), room(b)).cast("int")
 
@@ -218,7 +217,8 @@ def shared_stretches(docs: DataFrame, scratch: Scratch, buckets: int, run: int =
     probability 1/256, and what documents share beyond both of these is found as far as their anchors go. A row joins what overlaps and has
     the same keeper, the least document; its component is the least of the anchors' hashes.
     """
-    size = max(1, min(GRAM, run // 2))
+    # A run has an anchor at most width - 1 words from either edge: no more than SIGNS.
+    size = max(run // 2 + 1, run - SIGNS)
     width = run - size + 1
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
