@@ -37,6 +37,47 @@ def _edges(nodes: str, condition: str) -> str:
     return f"select a.image_id, a.element_id as a, b.element_id as b from {nodes} a join {nodes} b on a.image_id = b.image_id and a.element_id < b.element_id and {condition}"
 
 
+def _independent() -> dict[str, str]:
+    """Conditions for the SQL side, written out by themselves: they share nothing with functions.geometry, so a slip there shows."""
+    w = lambda r: f"({r}.right_x - {r}.left_x)"
+    h = lambda r: f"({r}.bottom_y - {r}.top_y)"
+
+    def both(axis: str) -> str:
+        low, high = ("left_x", "right_x") if axis == "x" else ("top_y", "bottom_y")
+        return f"(case when a.{high} < b.{low} or b.{high} < a.{low} then 0 else (case when a.{high} < b.{high} then a.{high} else b.{high} end) - (case when a.{low} > b.{low} then a.{low} else b.{low} end) end)"
+
+    def gap(axis: str) -> str:
+        low, high = ("left_x", "right_x") if axis == "x" else ("top_y", "bottom_y")
+        return f"(case when a.{high} < b.{low} then b.{low} - a.{high} when b.{high} < a.{low} then a.{low} - b.{high} else 0 end)"
+
+    def span(axis: str) -> str:
+        low, high = ("left_x", "right_x") if axis == "x" else ("top_y", "bottom_y")
+        return f"((case when a.{high} > b.{high} then a.{high} else b.{high} end) - (case when a.{low} < b.{low} then a.{low} else b.{low} end))"
+
+    def share(axis: str) -> str:
+        size = w if axis == "x" else h
+        least = f"(case when {size('a')} < {size('b')} then {size('a')} else {size('b')} end)"
+        return f"(case when {least} > 0 then cast({both(axis)} as double) / {least} else 0 end)"
+
+    areas = f"({w('a')} * {h('a')} + {w('b')} * {h('b')})"
+    inter = f"({both('x')} * {both('y')})"
+    whole = f"({span('x')} * {span('y')})"
+    density = f"(case when {whole} > 0 then cast({areas} as double) / {whole} else cast(0 as double) end)"
+    connected = lambda min_x, min_y: f"({density} >= 0.15 and ({share('y')} >= {min_y} or {share('x')} >= {min_x}))"
+    smaller = f"(case when {w('a')} * {h('a')} = 0 or {w('b')} * {h('b')} = 0 then 1 when {w('a')} * {h('a')} < {w('b')} * {h('b')} then {w('a')} * {h('a')} else {w('b')} * {h('b')} end)"
+    return {
+        "density": density, "strict": connected(0.2, 0.1), "loose": connected(0.1, 0.1), "inter": inter,
+        "iou": f"(case when {areas} - {inter} > 0 then cast({inter} as double) / ({areas} - {inter}) else cast(0 as double) end)",
+        "distance": f"({gap('x')} * {gap('x')} + {gap('y')} * {gap('y')})",
+        "contained": "(b.left_x <= a.left_x and a.right_x <= b.right_x and b.top_y <= a.top_y and a.bottom_y <= b.bottom_y)",
+        "adjacent": f"({gap('x')} <= 50 and {gap('y')} <= 50)",
+        "smaller": f"(cast({inter} as double) / {smaller})",
+    }
+
+
+OWN = _independent()
+
+
 def _mean_fold(name: str, rows: str, keys: str, threshold: int) -> dict[str, str]:
     """rows: keys, rn, v. Groups g by distance from the running mean."""
     on = " and ".join(f"o.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
@@ -67,20 +108,26 @@ PARTS: dict[str, str] = {
     "cand": source.CANDIDATES_SQL,
     "ocr": "select * from docs where length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 2 and confidence >= 0.2",
     # clusters
-    "strict_e": _edges("el", g.connected(*clusters.STRICT)),
+    "strict_e": _edges("el", OWN["strict"]),
     **_closure("strict", "el", "strict_e"),
+    "linewise_in": "select image_id, cluster_id, element_id, left_x, top_y, top_y + bottom_y as c2, row_number() over (partition by image_id, cluster_id order by top_y, element_id) as rn from strict join el using (image_id, element_id)",
+    "linewise_fold": """select image_id, cluster_id, element_id, left_x, top_y, rn, [cast(1 as bigint)] as ns, [c2] as ts, cast(1 as bigint) as line_no from linewise_in where rn = 1 union all
+        select image_id, cluster_id, element_id, left_x, top_y, rn, case when k <= len(ns) then list_transform(ns, lambda x, i: case when i = k then x + 1 else x end) else list_append(ns, 1) end,
+        case when k <= len(ns) then list_transform(ts, lambda x, i: case when i = k then x + c2 else x end) else list_append(ts, c2) end, k from (
+        select o.*, r.ns, r.ts, coalesce(list_min(list_filter(range(1, len(r.ns) + 1), lambda i: abs(r.ns[i] * o.c2 - r.ts[i]) <= 20 * r.ns[i])), len(r.ns) + 1) as k
+        from linewise_fold r join linewise_in o on o.image_id = r.image_id and o.cluster_id = r.cluster_id and o.rn = r.rn + 1)""",
     "region_box": "select image_id, cluster_id, min(left_x) as left_x, min(top_y) as top_y, max(right_x) as right_x, max(bottom_y) as bottom_y, count(*) as n_elements from strict join el using (image_id, element_id) group by image_id, cluster_id",
     "region_el": "select image_id, cluster_id as element_id, left_x, top_y, right_x, bottom_y from region_box",
-    "loose_e": _edges("region_el", g.connected(*clusters.LOOSE)),
+    "loose_e": _edges("region_el", OWN["loose"]),
     **_closure("loose", "region_el", "loose_e"),
     # leaders
     "by_confidence": "select *, row_number() over (partition by image_id order by confidence desc, element_id) as rn from dense",
     **_leaders("kept_boxes", "by_confidence", f"{g.iou('k', 'o')} > 0.3"),
     "by_area": "select *, row_number() over (partition by image_id order by (right_x - left_x) * (bottom_y - top_y) desc, confidence desc, element_id) as rn from dense",
     **_leaders("holders", "by_area", g.contained("o", "k")),
-    "held": f"select a.image_id, a.element_id, arg_min(b.element_id, b.rn) as seed_id from dense a join holders b on a.image_id = b.image_id and {g.contained('a', 'b')} group by a.image_id, a.element_id",
+    "held": f"select a.image_id, a.element_id, arg_min(b.element_id, b.rn) as seed_id from dense a join holders b on a.image_id = b.image_id and {OWN['contained']} group by a.image_id, a.element_id",
     "held_box": "select image_id, seed_id as element_id, min(left_x) as left_x, min(top_y) as top_y, max(right_x) as right_x, max(bottom_y) as bottom_y, sum(confidence) / count(*) as confidence from held join dense using (image_id, element_id) group by image_id, seed_id",
-    "near_e": _edges("held_box", f"{g.distance_squared()} <= 3600"),
+    "near_e": _edges("held_box", f"{OWN['distance']} <= 3600"),
     **_closure("near", "held_box", "near_e"),
     # one-dimensional grouping of recognised lines
     "g_flag": "select *, case when top_y - max(bottom_y) over (partition by image_id order by top_y, element_id rows between unbounded preceding and 1 preceding) <= 50 then 0 else 1 end as new from ocr",
@@ -108,6 +155,13 @@ PARTS: dict[str, str] = {
     "raw_angle": "select image_id, case when right_x = left_x then cast(90 as double) else degrees(atan2(bottom_y - top_y, right_x - left_x)) end as raw, sqrt(cast((right_x - left_x) * (right_x - left_x) + (bottom_y - top_y) * (bottom_y - top_y) as double)) as len from el",
     "angle": "select image_id, cast(round_even(case when raw - 180 * floor(raw / 180) > 90 then raw - 180 * floor(raw / 180) - 180 else raw - 180 * floor(raw / 180) end, 0) as bigint) as angle, len from raw_angle",
     "histogram": "select image_id, angle, sum(len) as weight from angle group by image_id, angle",
+    "kept_in": "select image_id, a, row_number() over (partition by image_id order by element_id) as rn, count(*) over (partition by image_id) as n from (select image_id, element_id, a - 180 * floor(a / 180) as a from (select image_id, element_id, cast((element_id * 37) % 360 - 180 as double) as a from el))",
+    "kept_fold": """select image_id, rn, n, [[a]] as ks from kept_in where rn = 1 union all
+        select image_id, rn, n, case when k <= len(ks) then list_transform(ks, lambda x, i: case when i = k then list_append(x, a) else x end) else list_append(ks, [a]) end from (
+        select o.*, r.ks, coalesce(list_min(list_filter(range(1, len(r.ks) + 1), lambda i: len(list_filter(r.ks[i], lambda v: abs(o.a - v) < 5)) > 0)), len(r.ks) + 1) as k
+        from kept_fold r join kept_in o on o.image_id = r.image_id and o.rn = r.rn + 1)""",
+    "kept_mean": "select image_id, list_transform(list_filter(ks, lambda c: len(c) >= n * cast(0.1 as double)), lambda c: list_sum(c) / len(c)) as ms from kept_fold where rn = n",
+    "kept_snap": "select image_id, case when len(ms) = 0 then [cast(0 as double)] else list_transform(ms, lambda m: case when abs(m) < 5 then cast(0 as double) when abs(m - 90) < 5 then 90 when abs(m - 180) < 5 then 180 when abs(m - 270) < 5 then 270 else m end) end as ms from kept_mean",
     "angle_in": "select *, sum(weight) over (partition by image_id) as total, row_number() over (partition by image_id order by weight desc, angle) as rn from histogram",
     "angle_fold": "select image_id, rn, [angle] as kept, weight as w from angle_in where rn = 1 union all select o.image_id, o.rn, case when r.w > 0.8 * o.total or len(list_filter(r.kept, lambda k: abs(o.angle - k) < 5)) > 0 then r.kept else list_append(r.kept, o.angle) end, case when r.w > 0.8 * o.total or len(list_filter(r.kept, lambda k: abs(o.angle - k) < 5)) > 0 then r.w else r.w + o.weight end from angle_fold r join angle_in o on o.image_id = r.image_id and o.rn = r.rn + 1",
     "angle_last": "select image_id, arg_max(kept, rn) as kept from angle_fold group by image_id",
@@ -184,27 +238,27 @@ def p7_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.reading_order(events(spark, sf_dir)).select("image_id", "element_id", "place")
 
 
-@query(_pair_sql("dense", f"{g.intersection()} > 0", f"round({g.iou()}, 6) as iou"))
+@query(_pair_sql("dense", f"{OWN['inter']} > 0", f"round({OWN['iou']}, 6) as iou"))
 def o5_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.near_pairs(events(spark, sf_dir, True), f"{g.intersection()} > 0", 0, iou=f"round({g.iou()}, 6)")
 
 
-@query(_pair_sql("el", f"{g.distance_squared()} <= 3600", f"cast({g.distance_squared()} as bigint) as d2"))
+@query(_pair_sql("el", f"{OWN['distance']} <= 3600", f"cast({OWN['distance']} as bigint) as d2"))
 def o9_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.near_pairs(events(spark, sf_dir), f"{g.distance_squared()} <= 3600", 60, d2=f"cast({g.distance_squared()} as bigint)")
 
 
-@query(_pair_sql("dense", g.contained()).replace("a.element_id < b.element_id", "a.element_id <> b.element_id"))
+@query(_pair_sql("dense", OWN["contained"]).replace("a.element_id < b.element_id", "a.element_id <> b.element_id"))
 def o10_containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.ordered_pairs(events(spark, sf_dir, True), g.contained())
 
 
-@query(_pair_sql("el", g.connected(*clusters.STRICT)))
+@query(_pair_sql("el", OWN["strict"]))
 def c1_connected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.box_pairs(events(spark, sf_dir), g.connected(*clusters.STRICT))
 
 
-@query(_pair_sql("el", f"{g.density()} >= 0.15", f"round({g.density()}, 6) as density"))
+@query(_pair_sql("el", f"{OWN['density']} >= 0.15", f"round({OWN['density']}, 6) as density"))
 def c1b_density_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.box_pairs(events(spark, sf_dir), f"{g.density()} >= 0.15", density=f"round({g.density()}, 6)")
 
@@ -214,12 +268,12 @@ def b2_close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.box_pairs(events(spark, sf_dir), g.close_enough(min_y=0.1))
 
 
-@query(_pair_sql("el", g.adjacent(50)))
+@query(_pair_sql("el", OWN["adjacent"]))
 def m3_adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.near_pairs(events(spark, sf_dir), g.adjacent(50), 50)
 
 
-@query(_pair_sql("dense", f"{g.smaller_overlap()} > 0.5", f"round({g.smaller_overlap()}, 6) as overlap"))
+@query(_pair_sql("dense", f"{OWN['smaller']} > 0.5", f"round({OWN['smaller']}, 6) as overlap"))
 def d1_box_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.near_pairs(events(spark, sf_dir, True), f"{g.smaller_overlap()} > 0.5", 0, overlap=f"round({g.smaller_overlap()}, 6)")
 
@@ -334,7 +388,7 @@ def d2_dedupe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaders.without_duplicate_texts(docs(spark, sf_dir))
 
 
-@query()
+@query("select image_id, element_id, cluster_id, line_no, row_number() over (partition by image_id, cluster_id, line_no order by left_x, top_y, element_id) as place from linewise_fold")
 def c4_linewise_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.linewise_order(_strict(spark, sf_dir))
 
@@ -486,10 +540,10 @@ def r2_major_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.major_angles(recognition.angle_histogram(_segments(spark, sf_dir)))
 
 
-@query()
+@query("select image_id, cast(unnest(range(1, len(ms) + 1)) as bigint) as place, round(unnest(ms), 9) as angle from kept_snap")
 def r3_angle_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     angles = events(spark, sf_dir).selectExpr("image_id", "element_id as line_id", "cast((element_id * 37) % 360 - 180 as double) as angle")
-    return recognition.angle_clusters(angles)
+    return recognition.angle_clusters(angles).withColumn("angle", F.round("angle", 9))
 
 
 @query()
