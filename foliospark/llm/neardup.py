@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, Scratch, cut, mixed, rolling, text_slices
+from .common import Block, Scratch, cut, mixed, rolling, text_slices, unused
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
@@ -360,18 +360,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all their columns, without near duplicates: of each group the least doc_id stays, once.
+    """The rows of docs, all their columns whatever their names, without near duplicates: of each group the least doc_id stays, once.
 
-    Rows with a null doc_id all stay.
+    Of rows that repeat an id that with the least text stays, any of equal ones. Rows with a null doc_id all stay, as do texts without
+    words. An empty table gives an empty result.
     """
+    kept, rows = unused(docs.columns, "kept", "rows")
     found = near_duplicates(docs, **options)
-    kept = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__kept")).count()
-    kept = kept.withColumnRenamed("count", "__rows")
-    id_ = docs["doc_id"].cast("long")
-    joined = docs.join(kept, id_ == F.col("__kept"))
-    once = joined.where("__rows = 1").select(docs["*"])
-    if not kept.where("__rows > 1").isEmpty():
-        # Rows that repeat an id: the row with the least text, any of equal ones.
-        again = joined.where("__rows > 1").groupBy("__kept").agg(F.min_by(F.struct(docs["*"]), F.coalesce("text", F.lit(""))).alias("row"))
-        once = once.unionByName(again.select("row.*"))
+    stay = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias(rows))
+    joined = docs.join(stay, docs["doc_id"].cast("long") == F.col(kept))
+    once = joined.where(F.col(rows) == 1).select(docs["*"])
+    if not stay.where(F.col(rows) > 1).isEmpty():
+        again = joined.where(F.col(rows) > 1).groupBy(kept).agg(F.min_by(F.struct(docs["*"]), F.coalesce("text", F.lit(""))).alias(rows))
+        once = once.unionByName(again.select(f"{rows}.*"))
     return once.unionByName(docs.where("doc_id is null"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import release
-from .common import LEADS, Block, Scratch, buckets_for, cut, hint_bits, hinted, may_be_among, mixed, rolling, shared_values, span_sums, text_slices
+from .common import LEADS, Block, Scratch, buckets_for, cut, hint_bits, hinted, may_be_among, mixed, rolling, shared_values, span_sums, text_slices, unused
 from .components import components
 from .neardup import Signer, compared, missed
 
@@ -342,12 +342,23 @@ def _groups(units: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all their columns, with the removals of repeated_passages() cut out of their texts."""
+    """The rows of docs, all their columns whatever their names, with the removals of repeated_passages() cut out of their texts.
+
+    Null and empty texts stay as they are, as do rows with a null doc_id; of rows that repeat an id, each loses what is removed from the id's
+    text. An empty table gives an empty result.
+    """
+    doc, spans = unused(docs.columns, "doc", "spans")
     found = repeated_passages(docs, **options).where("removed")
-    spans = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("__spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    lists = found.groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias(spans))
+    joined = docs.join(lists, F.col("doc_id").cast("long") == F.col(doc), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    pieces = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], F.col("text").substr(acc["at"] + 1, F.greatest(s["begin"] - acc["at"], F.lit(0)))).alias("out"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.col("text").substr(acc["at"] + 1, F.length("text")))
-    cut_ = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, pieces, rest))
+
+    def pieces(acc: Column, span: Column) -> Column:
+        before = F.col("text").substr(acc["at"] + 1, F.greatest(span["begin"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.array_append(acc["out"], before).alias("out"))
+
+    def rest(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.col("text").substr(acc["at"] + 1, F.length("text")))
+
+    cut_ = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.aggregate(spans, start, pieces, rest))
     return joined.withColumn("text", cut_).select(*(F.col(f"`{c}`") for c in docs.columns))
