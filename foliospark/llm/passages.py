@@ -323,7 +323,8 @@ def _linked(units: DataFrame, scratch: Scratch, buckets: int, similarity: float)
     pairs = scratch.keep(met.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     texts = units.where("text is not null").select("class", "check", "text")
-    texts = hinted(texts, "class", ends).join(ends, "class", "left_semi")
+    # An inner join, ends being distinct: a semi join would be moved below the hints.
+    texts = hinted(texts, "class", ends).join(ends, "class")
     texts = scratch.keep(texts.groupBy(F.col("class").alias("doc_id")).agg(F.min(F.struct("check", "text")).alias("x")).select("doc_id", "x.check", "x.text"))
     met = scratch.keep(compared(pairs, texts, SHINGLE, similarity))
     links = met.where("linked").select("a", "b").union(missed(met, similarity))
