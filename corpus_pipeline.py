@@ -12,8 +12,9 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.functions.lineage import remove, remove_at_exit, shared_dir
 from foliospark.llm import mixing, neardup, packing, quality, secretscan
-from foliospark.llm.common import shared_dir, table
+from foliospark.llm.common import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +58,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, from documents. Stages are written to the folder that driver and executors share."""
+    """The rows of the last stage, from documents.
+
+    Stages are written to the folder that driver and executors share; each goes once the next one is written, the last when the
+    application ends.
+    """
     root, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if before:
+            remove(spark, f"{root}/{before}")
+        before = name
+    remove_at_exit(spark, root)
     return docs

@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="foliospark-")
         sc.setCheckpointDir(named)
     made = sc._jsc.sc().getCheckpointDir().get()
-    _at_exit(spark, made)
+    remove_at_exit(spark, made)
     return named or made
 
 
@@ -34,7 +34,7 @@ def _path(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Has the folder removed when the application ends: results can be read until then."""
     files, at = _path(spark, path)
     files.deleteOnExit(at)
