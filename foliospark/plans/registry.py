@@ -120,6 +120,15 @@ PARTS: dict[str, str] = {
     "region_el": "select image_id, cluster_id as element_id, left_x, top_y, right_x, bottom_y from region_box",
     "loose_e": _edges("region_el", OWN["loose"]),
     **_closure("loose", "region_el", "loose_e"),
+    "block_box": "select image_id, l.cluster_id as block_id, min(left_x) as left_x, min(top_y) as top_y, max(right_x) as right_x, max(bottom_y) as bottom_y, count(*) as n_elements from el join strict s using (image_id, element_id) join (select image_id, element_id as cid, cluster_id from loose) l using (image_id) where l.cid = s.cluster_id group by image_id, l.cluster_id",
+    # Sweeps over a page's boxes from the top: box i joins the one before it, unless that was joined in this sweep; a sweep that joins none is the last.
+    "sweep_in": "select image_id, list({'l': left_x, 't': top_y, 'r': right_x, 'b': bottom_y, 'n': n_elements, 'm': cast(block_id as varchar)} order by top_y, block_id) as boxes from block_box group by image_id",
+    "sweep": """select image_id, boxes, cast(1 as bigint) as i, boxes[1:0] as done, false as joined from sweep_in union all
+        select image_id, case when i <= len(boxes) then boxes else done end, case when i <= len(boxes) then i + 1 else 1 end,
+        case when i > len(boxes) then boxes[1:0] when meets then list_append(done[1:len(done) - 1], {'l': least(a.l, x.l), 't': least(a.t, x.t), 'r': greatest(a.r, x.r), 'b': greatest(a.b, x.b), 'n': a.n + x.n, 'm': a.m || ',' || x.m}) else list_append(done, x) end,
+        i <= len(boxes) and meets from (select *, coalesce(not joined and a.r >= x.l and x.r >= a.l and abs(x.t - a.b) <= 40 and least(abs(x.l - a.r), abs(a.l - x.r)) <= 200, false) as meets
+        from (select *, boxes[i] as x, done[len(done)] as a from sweep where i <= len(boxes) or len(done) < len(boxes)))""",
+    "swept": "select image_id, unnest(done) as box, unnest(range(len(done))) as place from sweep where i > len(boxes) and len(done) = len(boxes)",
     # leaders
     "by_confidence": "select *, row_number() over (partition by image_id order by confidence desc, element_id) as rn from dense",
     **_leaders("kept_boxes", "by_confidence", f"{g.iou('k', 'o')} > 0.3"),
@@ -352,9 +361,12 @@ def h1_region_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.union_boxes(clusters.in_blocks(events(spark, sf_dir)), "image_id", "block_id")
 
 
-@query()
+@query(
+    """select image_id, row_number() over (partition by image_id order by box.t, place) as region_no, box.l as left_x, box.t as top_y, box.r as right_x, box.b as bottom_y,
+    cast(box.n as bigint) as n_elements, box.m as members from swept"""
+)
 def h2_adjacent_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.build_regions(events(spark, sf_dir))
+    return plan.build_regions(events(spark, sf_dir)).withColumn("members", F.array_join("members", ","))
 
 
 @query("select image_id, element_id from kept_boxes")

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import sys
 
 import duckdb
 import pytest
@@ -42,3 +43,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["image_id", "group_id", "text"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_corpus_queries(monkeypatch):
+    """What the corpus queries need may be missing: the others are still there."""
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "foliospark.llm", None)
+    assert set(entry.queries()) == set(registry.queries()) and set(entry.oracle_sql()) == set(registry.oracle_sql())
