@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows in an id range, on average, up to MAX_RANGES ranges.
-RANGE, MAX_RANGES = 4000, 4096
+#: Rows in an id range, on average, up to MAX_RANGES ranges; beyond that ranges grow. Bounds are looked up in two steps, STEP at a time.
+RANGE, MAX_RANGES, STEP = 4000, 16_384, 128
 #: Bits in which near fingerprints differ at most.
 RADIUS = 3
 _LANES = (1 << 32) | 1
@@ -28,8 +28,12 @@ def in_ranges(df: DataFrame, rows: int = RANGE) -> DataFrame:
         return df.withColumn("range", F.lit(0))
     shares = [i / n for i in range(1, n)]
     bounds = df.agg(F.percentile_approx("doc_id", shares, 20 * n).alias("b")).first()["b"] or []
-    inner = F.lit(sorted(set(bounds)))
-    return df.withColumn("range", F.coalesce(F.size(F.filter(inner, lambda b: b <= F.col("doc_id"))), F.lit(0)))
+    bounds = sorted(set(bounds))
+    if not bounds:
+        return df.withColumn("range", F.lit(0))
+    before = lambda part: F.coalesce(F.size(F.filter(part, lambda b: b <= F.col("doc_id"))), F.lit(0))
+    steps = F.greatest(before(F.lit(bounds[::STEP])) - 1, F.lit(0)) * STEP
+    return df.withColumn("range", steps + before(F.slice(F.lit(bounds), steps + 1, STEP)))
 
 
 def with_next(df: DataFrame, columns: dict[str, str], order: list[str]) -> DataFrame:
