@@ -224,8 +224,12 @@ def shared_values(rows: DataFrame, pairs: Callable[[Iterator[pa.RecordBatch]], I
         bucket = ((arrays[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         number, begin = np.unique(bucket, return_index=True)
         ends = np.append(begin[1:], len(bucket))
-        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary()) for x in arrays]
-        return pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *blobs], ["bucket", "value", "low", "high"])
+        value, low, high = arrays
+        # Hashes that the task has met with one id, which are most, are told without a second one.
+        twice = low < high
+        blob = lambda x, chosen=None: pa.array([(x[a:b] if chosen is None else x[a:b][chosen[a:b]]).tobytes() for a, b in zip(begin, ends)], pa.binary())
+        columns = [pa.array(number.astype(np.int32)), blob(value), blob(low), blob(value, twice), blob(high, twice)]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "value", "low", "again", "high"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -240,8 +244,10 @@ def shared_values(rows: DataFrame, pairs: Callable[[Iterator[pa.RecordBatch]], I
 
     def merge(group: pa.Table) -> pa.Table:
         joined = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
-        value, low, high = reduced(joined("value", np.uint64), joined("low", np.int64), joined("high", np.int64))
+        low, high = joined("low", np.int64), joined("high", np.int64)
+        ids = np.concatenate((low, high))
+        value, low, high = reduced(np.concatenate((joined("value", np.uint64), joined("again", np.uint64))), ids, ids)
         return pa.table({"value": value[low < high].view(np.int64)})
 
-    moved = rows.mapInArrow(deal, "bucket int, value binary, low binary, high binary")
+    moved = rows.mapInArrow(deal, "bucket int, value binary, low binary, again binary, high binary")
     return moved.groupBy("bucket").applyInArrow(merge, "value long")

@@ -158,6 +158,9 @@ def _signs(words: np.ndarray, at: np.ndarray, room: np.ndarray, step: int) -> tu
     return parts[0].view(np.int64), parts[1].view(np.int64)
 
 
+_SIGNS = ("before", "before2", "after", "after2")
+
+
 def _occurrences(docs: DataFrame, size: int, width: int, bits: np.ndarray) -> DataFrame:
     """The anchors that several documents may have, with signs of the words before and after."""
 
@@ -169,20 +172,23 @@ def _occurrences(docs: DataFrame, size: int, width: int, bits: np.ndarray) -> Da
             words, word = block.word_hashes(), at - block.first[of]
             after = np.minimum(block.n_words[of] - word - size, SIGNS)
             signs = (*_signs(words, at - 1, np.minimum(word, SIGNS), -1), *_signs(words, at + size, after, 1)) if len(at) else [at] * 4
-            columns = [part.column("doc_id").take(pa.array(of)), pa.array(grams[at].view(np.int64)), _int32(word), *map(pa.array, signs)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "word", "before", "before2", "after", "after2"])
+            # Of each anchor that a text repeats, the first place stands for the text.
+            first = np.zeros(len(at), bool)
+            first[np.unique(grams[at] + mixed(of.astype(np.uint64)), return_index=True)[1]] = True
+            columns = [part.column("doc_id").take(pa.array(of)), pa.array(grams[at].view(np.int64)), _int32(word), pa.array(first), *map(pa.array, signs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "word", "first", *_SIGNS])
 
-    return docs.mapInArrow(choose, "doc_id long, gram long, word int, before long, before2 long, after long, after2 long")
+    return docs.mapInArrow(choose, "doc_id long, gram long, word int, first boolean, " + ", ".join(f"{c} long" for c in _SIGNS))
 
 
 def _alike(side: str, other: str) -> Column:
-    """How many words the signs of a side have in common with those of another row (a struct), the nearest first."""
-    a, b = F.col(side), F.col(f"{other}.{side}")
+    """How many words the signs of a side have in common with those of another row (columns that begin with its name), the nearest first."""
+    a, b = F.col(side), F.col(f"{other}_{side}")
     # Trailing zeros, by bytes, of seven.
     seven = lambda x: x.bitwiseAND(F.lit((1 << 56) - 1))
     equal = lambda x: F.least(F.floor(F.bit_count(x.bitwiseAND(-x) - 1) / 8), F.lit(7))
     near = equal(seven(a.bitwiseXOR(b)))
-    far = F.when(near == 7, equal(seven(F.col(f"{side}2").bitwiseXOR(F.col(f"{other}.{side}2"))))).otherwise(0)
+    far = F.when(near == 7, equal(seven(F.col(f"{side}2").bitwiseXOR(F.col(f"{other}_{side}2"))))).otherwise(0)
     room = lambda c: F.shiftrightunsigned(c, 56)
     return F.least(near + far, room(a), room(b)).cast("int")
 
@@ -229,20 +235,27 @@ def shared_stretches(docs: DataFrame, scratch: Scratch, buckets: int, run: int =
 
     bits = hint_bits(shared_values(named, pairs, buckets))
     found = scratch.keep(_occurrences(named, size, width, bits))
-    row = F.struct("doc_id", "word", "before", "before2", "after", "after2")
-    ends = found.groupBy("gram").agg(F.min(row).alias("least"), F.max(row).alias("most")).where("least.doc_id < most.doc_id")
-    met = found.join(ends, "gram")
-    other = lambda c, side: F.when(F.col("doc_id") != F.col(f"{c}.doc_id"), _alike(side, c)).otherwise(0)
+    release(docs.sparkSession)
+    # Numbers only, so that they are gathered by hash and hot anchors are reduced before they are shuffled.
+    ends = found.where("first").groupBy("gram").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
+        *(pick(c, "doc_id").alias(f"{name}_{c}") for name, pick in (("least", F.min_by), ("most", F.max_by)) for c in _SIGNS),
+    )
+    ends = scratch.keep(ends.where("least < most"))
+    other = lambda c, side: F.when(F.col("doc_id") != F.col(c), _alike(side, c)).otherwise(0)
     longest = lambda side: F.greatest(other("least", side), other("most", side))
-    grown = met.select(
-        "doc_id", "gram", F.col("least.doc_id").alias("keeper_doc_id"), (F.col("word") - longest("before")).alias("word"),
+    grown = found.join(ends, "gram").select(
+        "doc_id", "gram", F.col("least").alias("keeper_doc_id"), (F.col("word") - longest("before")).alias("word"),
         (F.col("word") + size + longest("after")).alias("stop"),
     )
     by_keeper = Window.partitionBy("doc_id", "keeper_doc_id").orderBy("word", "stop")
     reached = F.max("stop").over(by_keeper.rowsBetween(Window.unboundedPreceding, -1))
     split = grown.withColumn("part", F.sum(F.coalesce(F.col("word") > reached, F.lit(True)).cast("int")).over(by_keeper.rowsBetween(Window.unboundedPreceding, 0)))
     joined = split.groupBy("doc_id", "keeper_doc_id", "part").agg(F.min("word").alias("word"), (F.max("stop") - F.min("word")).alias("n_words"), F.min("gram").alias("component"))
-    return _placed(named, scratch.keep(joined.select("doc_id", "word", "n_words", "component", "keeper_doc_id")))
+    joined = scratch.keep(joined.select("doc_id", "word", "n_words", "component", "keeper_doc_id"))
+    scratch.drop(found)
+    release(docs.sparkSession)
+    return _placed(named, joined)
 
 
 def _joined(begins: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,6 +331,7 @@ def _linked(units: DataFrame, scratch: Scratch, buckets: int, similarity: float)
             yield pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), pa.array(class_[kept])], ["key", "class"])
 
     members = scratch.keep(signed.mapInArrow(choose, "key long, class long"))
+    release(units.sparkSession)
     stars = members.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("high")).where("hub <> high").select("key", "hub")
     met = members.join(stars, "key").where("class <> hub")
     pairs = scratch.keep(met.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct())
