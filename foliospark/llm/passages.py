@@ -44,7 +44,7 @@ def paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     """doc_id, unit, begin, end (code points), word, n_words, class, check, keys, text of each text's paragraphs.
 
     unit numbers a text's paragraphs of five words or more; word is the number of the first word. Equal words have equal class and
-    check (96 bits together). Keys are empty and text is null for paragraphs of fewer than LONG words, and for those whose class the
+    check (96 bits together). keys has eight bytes for each band. Keys are empty and text is null for paragraphs of fewer than LONG words, and for those whose class the
     task has met before (as far as it remembers): they belong to the class, and one of it that has them is enough.
     """
     names = ["doc_id", "unit", "begin", "end", "word", "n_words", "class", "check", "keys", "text"]
@@ -57,7 +57,7 @@ def paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
             if len(met) > REMEMBERED:
                 met.clear()
 
-    sql = "doc_id long, unit int, begin int, end int, word int, n_words int, class long, check int, keys array<long>, text string"
+    sql = "doc_id long, unit int, begin int, end int, word int, n_words int, class long, check int, keys binary, text string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(cut_up, sql)
 
 
@@ -105,7 +105,7 @@ def _units(doc_ids: pa.Array, block: Block, signer: Signer, met: set[int]) -> li
     shingles = mixed(rolling(hashes, SHINGLE))[np.repeat(begins[told], spans) + place] if len(told) else hashes[:0]
     flat = signer.signed(shingles, spans).ravel()
     counts = np.zeros(len(begins) + 1, np.int32)
-    counts[told + 1] = signer.bands
+    counts[told + 1] = 8 * signer.bands
     begin, end = block.starts[begins], block.ends[begins + sizes - 1]
     # Texts of paragraphs: every second run of the bytes between all begins and ends.
     edges = np.stack((begin, end), axis=1).ravel()
@@ -116,7 +116,7 @@ def _units(doc_ids: pa.Array, block: Block, signer: Signer, met: set[int]) -> li
     first_point, last_point = _places(block, of, begin, end)
     return [
         doc_ids.take(pa.array(of)), _int32(unit), _int32(first_point), _int32(last_point), _int32(begins - block.first[of]), _int32(sizes),
-        pa.array(classes), pa.array(check), pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(flat)), texts,
+        pa.array(classes), pa.array(check), pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(np.cumsum(counts, dtype=np.int32)), pa.py_buffer(flat)]), texts,
     ]
 
 
@@ -321,7 +321,10 @@ def _linked(units: DataFrame, scratch: Scratch, buckets: int, similarity: float)
 
     def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         keys = batch.column("keys")
-        return keys.flatten().to_numpy().view(np.uint64), np.repeat(batch.column("class").to_numpy(), np.diff(keys.offsets.to_numpy()))
+        _, where, data = keys.buffers()
+        at = np.frombuffer(where, np.int32)[keys.offset : keys.offset + len(keys) + 1]
+        flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint64) if data is not None else np.zeros(0, np.uint64)
+        return flat, np.repeat(batch.column("class").to_numpy(), np.diff(at) // 8)
 
     bits = hint_bits(shared_values(signed, lambda batches: map(keyed, batches), buckets))
 

@@ -931,7 +931,7 @@ def test_near_passages_that_a_star_misses(spark):
             rows[3 * k + i] = " ".join(words)
     frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, x.split()) for i, x in rows.items())}
-    key = {r.doc_id: r["keys"][0] for r in passages.paragraphs(frame, 1, 1).collect()}
+    key = {r.doc_id: bytes(r["keys"]) for r in passages.paragraphs(frame, 1, 1).collect()}
     alike = lambda a, b: key[a] == key[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
     want = {(x, 3 * k + 1) for k in range(40) if alike(3 * k + 1, 3 * k + 2) for x in (3 * k + 1, 3 * k + 2)}
     found = passages.repeated_passages(frame, bands=1, rows=1).where("unit is not null").collect()
