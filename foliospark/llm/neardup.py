@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, Scratch, cut, mixed, rolling, text_slices, unused
+from .common import Block, Scratch, cut, hinted, mixed, rolling, text_slices, unused
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
@@ -345,7 +345,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
         stars = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
         pairs = scratch.keep(members.join(stars, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
         ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        found = scratch.keep(compared(pairs, scratch.keep(full.join(ends, "doc_id")), words, similarity))
+        # The hints leave few texts to shuffle; the join is the same at every size.
+        texts = scratch.keep(hinted(full, "doc_id", ends).join(ends.hint("merge"), "doc_id"))
+        found = scratch.keep(compared(pairs, texts, words, similarity))
         of = components(found.where("linked").select("a", "b").union(missed(found, similarity)), nodes)
 
         group = of_class.join(of, F.col("rep") == F.col("node")).select(F.col("doc_id").alias("id"), "component")
