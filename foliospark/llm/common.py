@@ -159,6 +159,8 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
 
 #: Words of 64 bits in a table of hints: what is broadcast stays below about 15 MB, whatever the data.
 HINT_WORDS = 1 << 18
+#: The same for tables that Python workers get: 8 MB.
+BIT_WORDS = 1 << 20
 
 
 def hinted(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
@@ -177,13 +179,13 @@ def hinted(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
 
 
 def hint_bits(values: DataFrame) -> np.ndarray:
-    """The same table of bits for values that are hashes (one column, long), as HINT_WORDS words for Python workers."""
-    k, value = HINT_WORDS.bit_length() - 1, F.col(values.columns[0])
+    """The same table of bits for values that are hashes (one column, long), as BIT_WORDS words for Python workers."""
+    k, value = BIT_WORDS.bit_length() - 1, F.col(values.columns[0])
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(F.lit(63)).cast("int"))
     rows = values.select(F.shiftrightunsigned(value, 64 - k).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    # At most HINT_WORDS rows.
+    # At most BIT_WORDS rows of two numbers.
     found = rows.toArrow()
-    bits = np.zeros(HINT_WORDS, np.int64)
+    bits = np.zeros(BIT_WORDS, np.int64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return bits.view(np.uint64)
 
