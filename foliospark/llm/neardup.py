@@ -33,7 +33,8 @@ from .components import components
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
 #: Bytes of differences that a block of a hub's members or queries has, on average.
 BLOCK_BYTES = 8 << 20
-STRATA = 4
+#: Strata of a block's index; blocks of few members have one, which doesn't change what is found.
+STRATA, FEW = 4, 200
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -241,7 +242,7 @@ def _block_links(group: pa.Table, similarity: float, spare: float) -> list[tuple
     alone = np.maximum(1, np.ceil(size - spare * n - 1e-6))
     asked, there = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
     there = there[np.argsort(excess[there], kind="stable")]
-    strata = [_Stratum(part, number, at, of, size, excess, alone, float(excess[asked].min()), len(known)) for part in np.array_split(there, STRATA) if len(part)]
+    strata = [_Stratum(part, number, at, of, size, excess, alone, float(excess[asked].min()), len(known)) for part in np.array_split(there, STRATA if len(there) > FEW else 1)]
     found: list[tuple[int, int]] = []
     for q in asked.tolist():
         mine = number[at[q] : at[q + 1]]
