@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and pipeline, and DuckDB SQL for those that SQL can express."""
+"""The queries op1_ to op13_ and pipeline, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, passages, quality, secretscan, simhash, tokencount, urlrules, warc
+from . import asof, audit, mixing, neardup, packing, passages, quality, secretscan, simhash, suffixes, tokencount, urlrules, warc
 from .common import table
 
 
@@ -63,6 +64,22 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op13_click_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.click_orders(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_entropy_mixing, op2_quality_rules, op3_minhash_near_dedup, op4_token_counts, op5_warc_archive, op6_simhash,
-    op7_secret_scan, op8_best_fit_packing, op9_url_rules, op10_paragraph_dedup, pipeline,
+    op7_secret_scan, op8_best_fit_packing, op9_url_rules, op10_paragraph_dedup, op11_filter_audit, op12_suffix_dedup, op13_click_orders, pipeline,
 )
 
 
@@ -147,5 +164,47 @@ def _op9_sql() -> str:
         select page_id, host, path, rule, coalesce(v, '{urlrules.DEFAULT}') as verdict from fit where k = 1"""
 
 
+def _op11_sql() -> str:
+    letters = "(values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+    orders = " || ".join(f"f{i}.l" for i in range(5))
+    tables = ", ".join(f"{letters} f{i}(l, b)" for i in range(5))
+    apart = " and ".join(f"f{i}.b <> f{j}.b" for j in range(5) for i in range(j))
+    steps = " union all ".join(f"select {orders} as filter_order, {i + 1} as step, f{i}.b as own, {' + '.join([f'f{j}.b' for j in range(i)] or ['0'])} as earlier from {tables} where {apart}" for i in range(5))
+    text = "coalesce(text, '')"
+    return f"""with d as (select doc_id, coalesce(lang, '') as part, {text} as t, {_WORDS} as w, coalesce(min(doc_id) over (partition by {text}) < doc_id, false) as e from documents),
+        x as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+        m as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+            (case when len(w) < 200 then 1 else 0 end) + (case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end)
+            + (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 4 else 0 end) + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when e then 16 else 0 end) as mask
+            from d left join x using (doc_id)),
+        c as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by part, mask),
+        s as ({steps}),
+        r as (select part, filter_order, step, own,
+            cast(sum(case when mask & (earlier | own) = 0 then n else 0 end) as bigint) as kept,
+            cast(sum(case when mask & earlier = 0 and mask & own <> 0 then n else 0 end) as bigint) as removed,
+            cast(sum(case when mask & earlier <> 0 and mask & own <> 0 then n else 0 end) as bigint) as redundant,
+            cast(sum(case when mask = own then n else 0 end) as bigint) as unique_fails,
+            cast(sum(case when mask & earlier = 0 and mask & own <> 0 then good else 0 end) as bigint) as good_lost,
+            cast(sum(case when mask & earlier = 0 and mask & own <> 0 then toxic else 0 end) as bigint) as toxic_lost
+            from c cross join s group by part, filter_order, step, own)
+        select part, filter_order, cast(step as integer) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from r"""
+
+
+def _op13_sql() -> str:
+    # The check sum of zlib, bit by bit over the digits.
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    crc = lambda c: f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast({c} as varchar), ''), lambda d: cast(ascii(d) as bigint))), lambda c, b: {bits}), 4294967295)"
+    used = lambda t, h: f"case when {h} % 2 = 1 then epoch_us({t}) // {asof.FLOOR_US} * {asof.FLOOR_US} else epoch_us({t}) end"
+    return f"""with c as (select click_id, client_id, {used('ts', 'h')} as ts_us from (select distinct click_id, client_id, ts, {crc('click_id')} as h from clicks)),
+        s as (select sale_id, client_id, {used('sold_at', 'h')} as sold_us, cast(floor(100 * total + 0.5) as bigint) as total_cents, h from (select *, {crc('sale_id')} as h from sales)),
+        o as (select sale_id, client_id, sold_us, total_cents from s union all select -1 - sale_id, client_id, sold_us, total_cents from s where h % 3 <> 0),
+        k as (select * from (select *, row_number() over (partition by client_id, sold_us order by total_cents desc nulls last, sale_id desc) as place, count(*) over (partition by client_id, sold_us) as n_tied
+            from o where client_id is not null and sold_us is not null) where place = 1),
+        j as (select c.*, k.sold_us, k.sale_id, k.total_cents, k.n_tied from c asof left join k on c.client_id = k.client_id and c.ts_us >= k.sold_us)
+        select click_id, client_id, ts_us, case when ok then sale_id end as sale_id, case when ok then ts_us - sold_us end as lag_us, case when ok then total_cents end as total_cents, case when ok then n_tied else 0 end as n_tied
+        from (select *, coalesce(ts_us - sold_us <= {asof.TOLERANCE_US}, false) as ok from j)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _op2_sql(), "op3_minhash_near_dedup": _op3_sql(), "op5_warc_archive": _op5_sql(), "op9_url_rules": _op9_sql()}
+    new = {"op11_filter_audit": _op11_sql(), "op13_click_orders": _op13_sql()}
+    return new | {"op2_quality_rules": _op2_sql(), "op3_minhash_near_dedup": _op3_sql(), "op5_warc_archive": _op5_sql(), "op9_url_rules": _op9_sql()}
