@@ -34,9 +34,9 @@ LENGTH = 100
 #: Starts that are looked at in one pass; bits of a place in it.
 _PASS, _PLACE_BITS = 1 << 20, 21
 #: Runs that a task gathers before it settles them; different ones around one anchor, of these, that are dealt out by content.
-GATHERED, CROWDED = 1 << 20, 1024
-#: Open runs of one anchor that its bucket takes; bytes of open runs in a bucket.
-MOST_OPEN, OPEN_BYTES = 1 << 16, 8 << 20
+GATHERED, CROWDED = 1 << 19, 1024
+#: Open runs of one anchor that its bucket takes; bytes of open runs in a bucket; buckets of runs for each of buckets_for().
+MOST_OPEN, OPEN_BYTES, FINER = 1 << 16, 4 << 20, 3
 _ODD = np.uint64(0xD1B54A32D192ED03)
 #: What a run is, beside its document: hashes of anchor and bytes, first start, anchor's distance from it, further starts.
 _RUN = {"anchor": np.uint64, "content": np.uint64, "doc_id": np.int64, "mark": np.int32, "first": np.int32, "ahead": np.int32, "more": np.int32}
@@ -290,7 +290,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gat
 
     doc_id isn't null; mark tells rows of one doc_id apart.
     """
-    spark, buckets = texts.sparkSession, buckets_for(texts)
+    spark, buckets = texts.sparkSession, FINER * buckets_for(texts)
     found = scratch.keep(_settled(texts, _text_runs(length), buckets, length, False, gathered, crowded, most_open))
     release(spark)
     open_ = found.where("anchor is not null")
