@@ -47,6 +47,11 @@ _FOUND = "doc_id long, mark int, begin int, end int, ahead int, anchor long, cro
 Runs = dict[str, np.ndarray]
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Mixed once more: anchors are least hashes, so nearly all are small."""
+    return ((mixed(hashes ^ _ODD) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def _runs_of(buf: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """anchor, content, the text's number, first, ahead, more of the runs of starts of ``length`` bytes in texts (offs: where each begins, and the end)."""
     gram = max(1, length // 3)
@@ -119,9 +124,8 @@ def _settled(rows: DataFrame, runs: Callable[[Iterator[pa.RecordBatch]], Iterato
         # Of rows that share an id, equal ones count once.
         mark = all_["mark"][order]
         kept, told = np.flatnonzero(~later & (new | np.concatenate(([True], mark[1:] != mark[:-1])))), np.flatnonzero(many & new_anchor)
-        ranges = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         anchor, content = all_["anchor"][order], all_["content"][order]
-        bucket = np.concatenate((np.where(many[kept], ranges(content[kept]), ranges(anchor[kept])), ranges(anchor[told])))
+        bucket = np.concatenate((np.where(many[kept], _bucket(content[kept], buckets), _bucket(anchor[kept], buckets)), _bucket(anchor[told], buckets)))
         chosen = {c: np.concatenate((all_[c][order[kept]], all_[c][order[told]])) for c in _RUN}
         flags = np.concatenate((flags[kept], np.full(len(told), _OPEN | _CROWDED | _NEWS, np.int8)))
         # Within a bucket in the order in which texts came, which packs well.
@@ -253,8 +257,7 @@ def _opened(open_: DataFrame, texts: DataFrame, buckets: int, length: int) -> Da
             buf, offs = _buffers(part.column("text"))
             begin, end, ahead, anchor = (items.field(c).to_numpy(zero_copy_only=False) for c in ("begin", "end", "ahead", "anchor"))
             crowded = items.field("crowded").to_numpy(zero_copy_only=False)
-            number = ((anchor.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            number = np.where(crowded, -1, number)
+            number = np.where(crowded, -1, _bucket(anchor.view(np.uint64), buckets))
             back = np.argsort(number, kind="stable")
             kinds, at = np.unique(number[back], return_index=True)
             ends = np.append(at[1:], len(back))
@@ -305,13 +308,14 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gat
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[Runs]:
         for batch in batches:
-            runs, buf, offs = _blobs(batch, length)
-            row = np.repeat(np.arange(len(runs["more"])), runs["more"] + 1)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(runs["more"] + 1) - (runs["more"] + 1), runs["more"] + 1)
-            whole = rolling(_BYTE[buf], length)[offs[row] + at]
-            other = rolling(_BYTE[buf ^ 255], length)[offs[row] + at]
-            zero = np.zeros(len(row), np.int32)
-            yield dict(zip(_RUN, (mixed(whole), mixed(other * _ODD), runs["doc_id"][row], runs["mark"][row], runs["first"][row] + at, zero, zero)))
+            for i in range(batch.num_rows):
+                runs, buf, offs = _blobs(batch.slice(i, 1), length)
+                whole, other = rolling(_BYTE[buf], length), rolling(_BYTE[buf ^ 255], length)
+                number = runs["more"].astype(np.int64) + 1
+                row = np.repeat(np.arange(len(number)), number)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+                zero = np.zeros(len(row), np.int32)
+                yield dict(zip(_RUN, (mixed(whole[offs[row] + at]), mixed(other[offs[row] + at] * _ODD), runs["doc_id"][row], runs["mark"][row], runs["first"][row] + at, zero, zero)))
 
     spans = "doc_id long, mark int, begin int, end int"
     factored = opened.where("bucket >= 0").groupBy("bucket").applyInArrow(factors, spans)
