@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import documents
+from .ledger import Ledger
 
 
 def png(pixels: np.ndarray) -> bytes:
@@ -46,17 +47,20 @@ def crops(images: DataFrame, boxes: DataFrame, encode: Callable[[np.ndarray], by
 
 def described(
     images: DataFrame, boxes: DataFrame, provider: Callable, on_error: str = "fail", concurrency: int | None = None,
-    encode: Callable[[np.ndarray], bytes] = png, media: str = "image/png",
+    encode: Callable[[np.ndarray], bytes] = png, media: str = "image/png", ledger: Ledger | None = None,
 ) -> DataFrame:
-    """image_id, group_id, description: one answer for each region that has a picture. media: the type of what encode makes."""
+    """image_id, group_id, description: one answer for each region that has a picture. media: the type of what encode makes.
+
+    With a ledger, equal pictures are asked about once, and none again that it knows.
+    """
     asked = documents.region_prompts(crops(images, boxes, encode), media)
-    answers = documents.answered(asked, provider, "prompt", on_error, concurrency)
+    answers = (ledger.answered if ledger else documents.answered)(asked, provider, "prompt", on_error, concurrency)
     return answers.select("image_id", "group_id", documents.response_text("response").alias("description"))
 
 
-def summarised(descriptions: DataFrame, provider: Callable, concurrency: int | None = None) -> DataFrame:
-    """image_id, analysis: one answer about all sections of a page; a fixed text where the request fails."""
-    answers = documents.answered(documents.summary_prompts(descriptions), provider, "prompt", "null", concurrency)
+def summarised(descriptions: DataFrame, provider: Callable, concurrency: int | None = None, ledger: Ledger | None = None) -> DataFrame:
+    """image_id, analysis: one answer about all sections of a page; a fixed text where the request fails. ledger: as for described()."""
+    answers = (ledger.answered if ledger else documents.answered)(documents.summary_prompts(descriptions), provider, "prompt", "null", concurrency)
     return answers.select("image_id", F.coalesce(documents.response_text("response"), F.lit(documents.SUMMARY_FAILED)).alias("analysis"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import documents, grouping, leaders, pixels, recognition, vision
+from ..operators import documents, duplicates, grouping, pixels, recognition, vision
 from . import layout
 
 COLUMNS = ("image_id", "element_id", "type", "text", "confidence", "left_x", "top_y", "right_x", "bottom_y")
@@ -28,7 +28,7 @@ def text_blocks(images: DataFrame, reader: Callable) -> DataFrame:
     found = cut(_numbered(pixels.recognise(images, reader), ["roi_y", "roi_x", "text"]))
     placed = recognition.absolute_boxes(recognition.recognised(found))
     placed = placed.select("image_id", "element_id", "text", "confidence", *(F.col(c).cast("long").alias(c) for c in ("left_x", "top_y", "right_x", "bottom_y")))
-    kept = leaders.without_duplicate_texts(placed).select("image_id", "element_id")
+    kept = duplicates.without_duplicate_texts(placed).select("image_id", "element_id")
     ordered = recognition.reading_order(placed.join(kept, ["image_id", "element_id"]).withColumn("type", F.lit("text")))
     return cut(ordered.withColumn("element_id", F.col("place")).select(*COLUMNS))
 

@@ -7,14 +7,20 @@ sequential models in the tests.
 
 from __future__ import annotations
 
+import base64
+import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import clusters, documents, grouping, leaders, pairs, recognition, textmerge
+from ..functions.lineage import cut, remove, remove_at_exit, shared_dir
+from ..operators import clusters, documents, duplicates, grouping, leaders, pairs, recognition, tablefunctions, textmerge
+from ..operators.ledger import Ledger
 from ..sources import layout as source
+from ..streaming import pages as streamed
 from . import layout as plan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,7 +403,7 @@ def o7_cluster_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d2_dedupe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaders.without_duplicate_texts(docs(spark, sf_dir))
+    return duplicates.without_duplicate_texts(docs(spark, sf_dir))
 
 
 @query("select image_id, element_id, cluster_id, line_no, row_number() over (partition by image_id, cluster_id, line_no order by left_x, top_y, element_id) as place from linewise_fold")
@@ -527,14 +533,65 @@ def v4_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.region_prompts(crops)
 
 
-@query(
-    f"""select image_id, concat('{documents.SUMMARY_PROMPT}', chr(10), chr(10), string_agg(concat('Section ', k, ': ', description), concat(chr(10), chr(10)) order by k)) as text
+_SUMMARY = f"""select image_id, concat('{documents.SUMMARY_PROMPT}', chr(10), chr(10), string_agg(concat('Section ', k, ': ', description), concat(chr(10), chr(10)) order by k)) as text
     from (select *, row_number() over (partition by image_id order by group_id) as k from {_DESCRIBED}) group by image_id"""
-)
+
+
+@query(_SUMMARY)
 def v6_summary_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.summary_texts(_descriptions(spark, sf_dir))
 
 
+def _reader() -> Callable[[str], str]:
+    """Stands for a model: it reads what the prompt's picture says."""
+
+    def call(prompt: str) -> str:
+        said = base64.b64decode(json.loads(prompt)["messages"][0]["content"][1]["image_url"].split(",", 1)[1]).decode()
+        return json.dumps({"choices": [{"message": {"content": f"seen: {said}"}}]}, ensure_ascii=False)
+
+    return call
+
+
+@query(f"select image_id, group_id, concat('seen: ', description) as description from {_DESCRIBED}")
+def v5_ledger_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    answers = Ledger(folder).answered(v4_prompt(spark, sf_dir), _reader)
+    return answers.select("image_id", "group_id", documents.response_text("response").alias("description"))
+
+
+def _measurer() -> Callable[[str], str]:
+    return lambda text: f"{len(text)} characters"
+
+
+@query(f"select image_id, concat(length(text), ' characters') as answer from ({_SUMMARY})")
+def v6_answers_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tablefunctions.register_model(spark, "measured", _measurer)
+    return spark.sql("select image_id, response as answer from measured(table({asked}), 'text')", asked=v6_summary_prompt(spark, sf_dir))
+
+
+def _page_summary(elements: DataFrame) -> DataFrame:
+    """image_id, box, n_elements, text: what there is on each page, in reading order."""
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top_y", "left_x", "element_id", "text"))), lambda t: t["text"]), " ")
+    return elements.groupBy("image_id").agg(*(f(c).alias(c) for f, c in ((F.min, "left_x"), (F.min, "top_y"), (F.max, "right_x"), (F.max, "bottom_y"))), F.count("*").alias("n_elements"), texts.alias("text"))
+
+
+@query("select image_id, min(left_x) as left_x, min(top_y) as top_y, max(right_x) as right_x, max(bottom_y) as bottom_y, count(*) as n_elements, string_agg(text, ' ' order by top_y, left_x, element_id) as text from el group by image_id")
+def s13_streamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements in files that split their pages, read as a stream of several batches; each page is laid out once it is complete."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    number = F.count("*").over(Window.partitionBy("image_id")).alias("n")
+    rows = events(spark, sf_dir).select("*", number, F.current_timestamp().alias("at"))
+    rows.repartition(6, "element_id").write.parquet(f"{folder}/in")
+    files = len(spark.read.parquet(f"{folder}/in").inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 3)).parquet(f"{folder}/in")
+    streamed.write_pages(streamed.assembled(stream, "at", "n"), f"{folder}/out", f"{folder}/state", _page_summary).awaitTermination()
+    found = cut(streamed.current(spark, f"{folder}/out"))
+    remove(spark, folder)
+    return found
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).selectExpr("image_id", "element_id as line_id", "left_x as x1", "top_y as y1", "right_x as x2", "bottom_y as y2")
 

@@ -111,7 +111,7 @@ def assembled(elements: DataFrame, time: str, announced: str | None = None, dela
 def write_pages(pages: DataFrame, path: str, checkpoint: str, layout: Callable[[DataFrame], DataFrame] = paragraphs, **trigger: object) -> StreamingQuery:
     """Writes what layout makes of the pages (of assembled()) that each micro-batch closes, and which versions of which pages these are.
 
-    Both go to folders of the batch's number, in place of what an earlier run of the same batch left there: after a restart each batch counts
+    layout gets the elements of closed pages and gives rows with image_id. Both go to folders of the batch's number, in place of what an earlier run of the same batch left there: after a restart each batch counts
     once. current() reads the latest version of each page.
     """
 

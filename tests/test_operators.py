@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from foliospark.operators import clusters, documents, grouping, leaders, pairs, recognition, textmerge
+from foliospark.operators import clusters, documents, duplicates, grouping, leaders, pairs, recognition, textmerge
 from foliospark.functions import geometry as g
 from foliospark.sources.layout import ELEMENTS
 
@@ -85,7 +85,7 @@ def test_nothing_in_nothing_out(spark):
     assert clusters.in_blocks(none).count() == clusters.in_regions(none).count() == 0
     assert leaders.object_clusters(none).count() == 0
     assert textmerge.merged_texts(none, ["image_id"]).count() == 0
-    assert leaders.without_duplicate_texts(none).count() == 0
+    assert duplicates.without_duplicate_texts(none).count() == 0
 
 
 def model_connected(a, b, min_x, min_y):
@@ -201,7 +201,7 @@ def test_duplicate_texts_equal_a_sequential_search(spark):
     words = ["invoice number", "invoice numbers", "total", "totals due", "date", "page one"]
     rows = [text(i, rng.randrange(300), rng.randrange(300), 0, 0, rng.choice(words), rng.randrange(100) / 100, i % 2) for i in range(60)]
     rows = [(*r[:7], r[5] + 50, r[6] + 12) for r in rows]
-    got = sorted((r.seed_id, r.element_id, r.group_size) for r in leaders.without_duplicate_texts(elements(spark, rows)).collect())
+    got = sorted((r.seed_id, r.element_id, r.group_size) for r in duplicates.without_duplicate_texts(elements(spark, rows)).collect())
 
     def alike(a, b):
         inter = max(0, min(a[7], b[7]) - max(a[5], b[5])) * max(0, min(a[8], b[8]) - max(a[6], b[6]))
