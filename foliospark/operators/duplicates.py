@@ -16,6 +16,7 @@ only with texts that have become seeds. Boxes that overlap are found by a window
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,16 +129,22 @@ class _Subsequences:
         for i, c in enumerate(text):
             self.places[c] = self.places.get(c, 0) | 1 << i
 
-    def common(self, other: str) -> int:
+    def common(self, other: str, least: int = 0) -> int:
+        """The length, or less than ``least`` as soon as it is known to be less."""
         whole = rest = (1 << self.size) - 1
-        for c in other:
-            met = rest & self.places.get(c, 0)
-            rest = (rest + met | rest - met) & whole
+        places, left = self.places.get, len(other)
+        for at in range(0, left, 24):
+            for c in other[at : at + 24]:
+                met = rest & places(c, 0)
+                rest = (rest + met | rest - met) & whole
+            if self.size - rest.bit_count() + left - at - 24 < least:
+                break
         return self.size - rest.bit_count()
 
 
 def _exceeds(seed: str, other: str, subsequences: _Subsequences, least: float) -> bool:
-    if 2 * subsequences.common(other) <= (least - 1e-9) * (len(seed) + len(other)):
+    needed = math.floor(least * (len(seed) + len(other)) / 2 - 1e-9) + 1
+    if subsequences.common(other, needed) < needed:
         return False
     return difflib.SequenceMatcher(None, seed, other).ratio() > least
 
