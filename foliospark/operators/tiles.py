@@ -3,7 +3,7 @@
 Two boxes can only be linked if the lower one's top is at most ``reach`` below the upper one's, reach being the same for a whole page. A page is cut into
 strips of that height or more. Each strip gets its own boxes and, as a margin, those of the next one, so every link lies in the strip of its upper
 box. Strips are labelled like pages, each in one task. A box of a margin has a label there and one in its own strip: these two are one cluster.
-Components of such pairs of labels, found by joins, tell the clusters of the page.
+Components of such pairs of labels, two numbers each, tell the clusters of the page.
 """
 
 from __future__ import annotations
