@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import documents, duplicates, grouping, pixels, recognition, vision
+from ..operators import documents, duplicates, grouping, leaders, pixels, recognition, vision
 from . import layout
 
 COLUMNS = ("image_id", "element_id", "type", "text", "confidence", "left_x", "top_y", "right_x", "bottom_y")
