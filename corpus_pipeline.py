@@ -53,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secrets", secrets), ("mix_sources", mix_sources), ("pack", pack)]
 
-#: Shingle links and packing aren't expressed in SQL: the tests hold run() against a brute-force version.
+#: Shingle links and packing aren't expressed in SQL: the tests compare each stage with its operator, which its own tests hold against brute force.
 ORACLE_SQL = None
 
 
