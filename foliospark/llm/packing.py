@@ -29,8 +29,8 @@ from .common import Block, cut, span_sums, text_slices, unused
 SEQUENCE, SEPARATOR, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Pieces in a group of the first pass, on average.
 GROUP = 4000
-#: Documents in a sequence, at most; weights of the residuals of tokens, documents and attention cost.
-DOCUMENTS, WEIGHTS = 1024, (1.0, 0.3, 0.3)
+#: Documents in a sequence, at most: as many as it has tokens, so that it never needs more sequences; weights of the residuals of tokens, documents and attention cost.
+DOCUMENTS, WEIGHTS = SEQUENCE, (1.0, 0.3, 0.3)
 #: A bin with more free tokens than this share of its capacity is packed again.
 UNDERFILLED = 0.02
 
@@ -40,7 +40,7 @@ class Capacities:
     """What a sequence holds at most, and how bins are scored.
 
     Pieces that fill a sequence must fit, so the attention cost of a sequence (the sum of its pieces' squared lengths) can't be held
-    below the square of its tokens; the documents' bound takes effect where a sequence would fill up with tiny ones.
+    below the square of its tokens. Every piece has a token, so by default the documents' bound can't bind either and only scores; callers can lower it.
     """
 
     tokens: int = SEQUENCE
