@@ -2,11 +2,14 @@
 
 The lexer finds what gives a name a value, wherever it stands (code, comments, configuration, inside other literals): a bare or quoted
 name, also as an option (``--name``), a subscript (``x["name"]``) or an array (``name[]``), a type annotation if there is one, one of the signs
-``=``, ``:=``, ``=>``, ``:``, ``+=``, ``?=``, ``||=``, and an expression; further block scalars (``name: |``), elements
+``=``, ``:=``, ``=>``, ``:``, ``+=``, ``?=``, ``||=``, and an expression; further several names with as many expressions (``a, b = "...", "..."``), typed
+declarations (``var name type = ...``), lists, each element by itself, macros (``#define name "..."``), calls of a name with its value (``define("name", "...")``,
+``getenv("name", "...")``), block scalars (``name: |``), elements
 (``<name>...</name>``) and attributes (``<x name="name" value="..."/>``). An expression is made of literals (single, double, triple
 and back quotes, prefixes, escapes, bare words) and names, joined by ``+``, ``.``, ``..``, ``&`` or by nothing, in brackets or over
-continued lines, with comments in between; literals can hold names in braces. What each name holds is kept, so a literal is followed through names
-(``k = "..."`` ... ``password = k``), sums and templates. What reaches a sensitive name counts if it looks random enough; both
+continued lines, with comments in between; a literal after ``or``, ``||``, ``??`` or as a call's second argument is a default. Literals can hold names in braces. A block that
+holds another block is a document, not a literal: its innermost blocks are. What each name holds is kept, so a literal is followed through names
+(``k = "..."`` ... ``password = k``, in either order), sums and templates. What reaches a sensitive name counts if it looks random enough; both
 scores are multiplied. Kept are which literals and names a value is made of and how often it has each character, not its
 text, so time and memory are linear in the text whatever names are made of.
 """
@@ -16,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -37,8 +40,15 @@ KINDS = ("assign", "access", "hex", "named")
 HEAD = re.compile(
     r"""(?<![\w.-])-{0,2}["']?([A-Za-z_][A-Za-z0-9_.-]*+)(?:["']\]?|\[\w*\])?[\x20\t]*+(:=|=>|[+?]=|\|\|=|[:=](?![:=]))[\x20\t]*+"""
 )
-#: After a colon: a type, then the sign of a value. A sign without space around it belongs to a bare word, unless a quote follows.
-ANNOTATION = re.compile(r"""[*&]?[A-Za-z_][\w.:]*+(?:\[(?:[^\[\]\n=]|\[[^\[\]\n=]*\])*\]|<[^<>\n=]*>)?[?!*&]*(?:[\x20\t]*\|[\x20\t]*[A-Za-z_][\w.]*+)*(?:[\x20\t]+=(?![=>])|=(?=["'`]))[\x20\t]*+""")
+#: After a colon: a type, then what follows its name up to the sign of a value. A sign without space around it belongs to a bare word, unless a quote follows.
+TYPE = re.compile(r"[*&]?[A-Za-z_][\w.:]*+")
+TYPED = re.compile(r"""(?:\[(?:[^\[\]\n=]|\[[^\[\]\n=]*\])*\]|<[^<>\n=]*>)?[?!*&]*(?:[\x20\t]*\|[\x20\t]*[A-Za-z_][\w.]*+)*(?:[\x20\t]+=(?![=>])|=(?=["'`]))[\x20\t]*+""")
+#: Heads with other targets than the name before the sign: several names, and a name before its type.
+SEVERAL = re.compile(r"(?m)^[\x20\t]*+(?:(?:const|let|var|my|local)[\x20\t]+)?[(\[]?((?:\$?[A-Za-z_]\w*+,[\x20\t]*+)++\$?[A-Za-z_]\w*+)[)\]]?[\x20\t]*+:?=(?![=>])[\x20\t]*+")
+DECLARED = re.compile(r"\b(?:var|const|let|Dim|static)[\x20\t]++([A-Za-z_]\w*+)[\x20\t]++(?:As[\x20\t]++)?[*&\[\]\w.]++[\x20\t]*+=(?![=>])[\x20\t]*+")
+#: A name and its value without a sign.
+MACRO = re.compile(r"""(?m)^[\x20\t]*+#[\x20\t]*+define[\x20\t]++([A-Za-z_]\w*+)[\x20\t]++(?=[A-Z]{0,2}["'])""")
+PUT = re.compile(r"""\b(?:define|getenv|setenv|putenv|getProperty|setProperty|get|set|env|fetch)\(\s*+["']([A-Za-z_][\w.-]*+)["']\s*+,\s*+(?=[A-Za-z]{0,2}["'`])""")
 STRING = re.compile(
     r"""([A-Za-z]{0,2})(?:"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)""",
     re.S,
@@ -48,10 +58,13 @@ BARE = re.compile(r"[A-Za-z0-9_.+/=$%{}<>!@^&*~-]+")
 NAME = re.compile(r"[A-Za-z_][A-Za-z_.]*")
 COMMENT = re.compile(r"#|//|--|/\*")
 BLANK, LINES = re.compile(r"(?:[\x20\t]|\\\r?\n)*+"), re.compile(r"(?:[\x20\t\r\n]|\\\r?\n)*+")
-JOINER = re.compile(r"\+(?=[\s\"'`A-Za-z_(])|\.\.?(?=[\s\"'])|&(?=[\s\"'])")
+JOINER = re.compile(r"\+(?=[\s\"'`A-Za-z_(])|\.\.?(?=[\s\"'])|&(?=[\s\"'])|(?:or|\|\||\?\?|\?:)(?=[\x20\t]*+[\"'`])")
+#: What a call of unknown value is asked for, up to its default: its second argument, or what follows an ``or``.
+DEFAULTED = re.compile(r"""\([\x20\t]*+(?:"[^"\n]*+"|'[^'\n]*+')[\x20\t]*+,[\x20\t]*+(?=["'`])|\([^()\n]*+\)[\x20\t]*+(?:or|\|\||\?\?|\?:)[\x20\t]*+(?=["'`])""")
 WRAPPER = re.compile(r"(?:new\s+)?(?:[A-Za-z_]\w*\.)*(?:Secret|SecretStr|SecureString|String|str|bytes|b64decode|from)\(")
 HOLE = re.compile(r"[$#]?\{([A-Za-z_][A-Za-z0-9_.-]*)[^{}\n]*\}|\$([A-Za-z_]\w*)")
-BLOCK_SIGN = re.compile(r"[|>][+-]?[\x20\t]*\r?\n")
+BLOCK_SIGN = re.compile(r"[|>][+-]?[\x20\t]*+\r?\n")
+BLOCK_HEAD = re.compile(r":[\x20\t]*+[|>][+-]?[\x20\t]*+\r?\n")
 ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>([^<>]+)</\1\s*>")
 TAG = re.compile(r"<[A-Za-z_][^<>]*+>")
 ATTRIBUTE = re.compile(r"""([A-Za-z_][\w.:-]*+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
@@ -72,7 +85,7 @@ def name_score(name: str) -> float:
     if not parts or parts[-1] in ABOUT or "public" in parts:
         return 0.0
     keys = [1.0 for a, b in zip(parts, parts[1:]) if b in ("key", "keys") and a in KEY_OF]
-    return max([0.0, *keys, *(SENSITIVE.get(p, 0.0) for p in parts)])
+    return max([0.0, *keys, *(SENSITIVE.get(p) or SENSITIVE.get(p.removesuffix("s"), 0.0) for p in parts)])
 
 
 class Value:
@@ -139,6 +152,14 @@ class Lexer:
         self.held: dict[str, Value] = {}
         self.found: dict[tuple[int, int], None] = {}
         self.stops: dict[str, list[int]] = {}
+        #: Names that are made of one that nothing is known of yet, by that.
+        self.waiting: dict[str, list[str]] = {}
+        #: The last type met: where its name ends, and where its value begins (None without one).
+        self.typed: tuple[int, int | None] = (0, None)
+        #: Where the last list ends that was read element by element, and the last expression.
+        self.listed = self.stop = 0
+        #: Of each line: begin, indent, and the next line that is indented less; begins of all blocks. Made when the first block is met.
+        self.lines: list[tuple[int, int]] | None = None
 
     def after(self, mark: str, at: int) -> int:
         """Behind the next mark from at on (the text's end without one), from a list of all, made once."""
@@ -155,9 +176,13 @@ class Lexer:
             both.add(self.held[name])
             both.add(value)
             value = both
-        self.held[name] = value
-        if (score := name_score(name)) and score * value.score() >= THRESHOLD:
-            value.tell(self.found)
+        given = [name]
+        while given:
+            one = given.pop()
+            self.held[one] = value
+            if (score := name_score(one)) and score * value.score() >= THRESHOLD:
+                value.tell(self.found)
+            given += self.waiting.pop(one, ())
 
     def literal(self, value: Value, begin: int, end: int) -> None:
         """Adds the literal, without white space around it, and the names that are filled into it."""
@@ -187,7 +212,7 @@ class Lexer:
 
     def expression(self, at: int) -> Value:
         value, depth, joined, text = Value(), 0, True, self.text
-        first = True
+        first, self.unknown = True, None
         while True:
             at = self.blank(at, depth or (joined and not first))
             if joined and (m := WRAPPER.match(text, at)):
@@ -208,43 +233,113 @@ class Lexer:
                     value.add(self.held[m[0]])
                 elif alone and not NAME.fullmatch(m[0]):
                     self.literal(value, *m.span())
+                elif alone:
+                    self.unknown = m[0]
                 # Else a name of which nothing is known, or a call.
-                if alone or text.startswith("(", at):
+                if not depth and (m := DEFAULTED.match(text, at)):
+                    at, depth, joined = m.end(), m[0].count("(") - m[0].count(")"), True
+                elif alone or text.startswith("(", at):
+                    self.stop = at
                     return value
                 first = False
             else:
                 m = None if joined else JOINER.match(text, at)
                 if not m:
+                    self.stop = at
                     return value
                 at, joined = m.end(), True
 
+    def outline(self) -> None:
+        """Lines with their indents, the next line indented less of each (blank ones count as deeper than all), and where blocks begin."""
+        text, at, self.lines, open_ = self.text, 0, [], []
+        self.less: list[int] = []
+        while at < len(text):
+            stop = text.find("\n", at)
+            stop = len(text) if stop < 0 else stop
+            own = text[at:stop]
+            indent = len(own) - len(own.lstrip(" \t")) if own.strip() else len(text)
+            while open_ and self.lines[open_[-1]][1] > indent:
+                self.less[open_.pop()] = len(self.lines)
+            open_.append(len(self.lines))
+            self.lines.append((at, indent))
+            self.less.append(-1)
+            at = stop + 1
+        self.blocks = [m.end() for m in BLOCK_HEAD.finditer(text)]
+
     def block(self, head: int, at: int) -> Value:
-        """The lines of a block scalar: all that are indented deeper than the line that head stands in."""
+        """The lines of a block scalar: all that are indented deeper than the line that head stands in. Nothing if another block begins in it."""
+        if self.lines is None:
+            self.outline()
         text, value = self.text, Value()
-        line = text.rfind("\n", 0, head) + 1
+        k = bisect_left(self.lines, (at, -1))
+        line = self.lines[k - 1][0]
         indent = len(text[line:head]) - len(text[line:head].lstrip(" -"))
-        end = at
-        while end < len(text):
-            stop = text.find("\n", end)
-            stop = len(text) if stop < 0 else stop
-            own = text[end:stop]
-            if own.strip() and len(own) - len(own.lstrip(" \t")) <= indent:
-                break
-            end = stop + 1
-        self.literal(value, at, min(end, len(text)))
+        while 0 <= k < len(self.lines) and self.lines[k][1] > indent:
+            k = self.less[k]
+        end = self.lines[k][0] if 0 <= k < len(self.lines) else len(text)
+        inner = bisect_right(self.blocks, at)
+        if inner == len(self.blocks) or self.blocks[inner] > end:
+            self.literal(value, at, end)
         return value
 
+    def annotated(self, at: int) -> int:
+        """Behind the type and the sign that begin at at, or at itself. Of a chain of words with colons, which all end alike, the end is tried once."""
+        end, begin = self.typed
+        if at >= end:
+            if not (m := TYPE.match(self.text, at)):
+                return at
+            m = TYPED.match(self.text, end := m.end())
+            self.typed = end, (begin := m and m.end())
+        elif not (self.text[at] == "_" or self.text[at].isascii() and self.text[at].isalpha()):
+            return at
+        return at if begin is None else begin
+
+    def elements(self, name: str, at: int) -> None:
+        """Gives name each element of the list that begins at at, by itself; of nested lists only the outermost is read so."""
+        value = self.expression(at + 1)
+        while True:
+            self.give(name, value)
+            at = self.blank(self.stop, 1)
+            if self.stop == at == self.listed or not self.text.startswith(",", at):
+                break
+            self.listed = at + 1
+            value = self.expression(self.blank(at + 1, 1))
+        self.listed = max(self.listed, at)
+
+    def give_at(self, name: str, at: int, more: bool = False) -> None:
+        """Gives name what is written at at."""
+        if self.text.startswith(("[", "{"), at) and at >= self.listed:
+            self.elements(name, at)
+            return
+        value = self.expression(at)
+        if self.unknown and self.unknown != name and not value.parts:
+            self.waiting.setdefault(self.unknown, []).append(name)
+        self.give(name, value, more)
+
     def read(self) -> list[tuple[int, int]]:
         """Spans of literals that reach a sensitive name, each once."""
         text = self.text
+        others = {m.end(): [n.strip(" \t$") for n in m[1].split(",")] for m in SEVERAL.finditer(text)}
+        others.update((m.end(), [m[1]]) for m in DECLARED.finditer(text))
         for m in HEAD.finditer(text):
             at = m.end()
+            if at in others:
+                for name in others[at]:
+                    self.give_at(name, at)
+                    at = self.blank(self.stop, 0)
+                    if not text.startswith(",", at):
+                        break
+                    at = self.blank(at + 1, 1)
+                continue
             if m[2] == ":" and (sign := BLOCK_SIGN.match(text, at)):
                 self.give(m[1], self.block(m.start(), sign.end()))
                 continue
-            if m[2] == ":" and (type_ := ANNOTATION.match(text, at)):
-                at = type_.end()
-            self.give(m[1], self.expression(at), more=m[2] == "+=")
+            if m[2] == ":":
+                at = self.annotated(at)
+            self.give_at(m[1], at, more=m[2] == "+=")
+        for pattern in (MACRO, PUT):
+            for m in pattern.finditer(text):
+                self.give_at(m[1], m.end())
         if "<" in text:
             for m in ELEMENT.finditer(text):
                 value = Value()
@@ -277,7 +372,7 @@ def spans(text: str) -> list[tuple[int, int, int, int]]:
         out += [(0, *m.span(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_VALUE]
     out += [(1, *m.span(), m.start()) for m in ACCESS.finditer(text)]
     out += [(2, *m.span(), m.start()) for m in HEX.finditer(text)]
-    if joined or "</" in text:
+    if joined or "</" in text or "define" in text or "," in text and "(" in text:
         # The furthest end of the base spans that begin before each of them.
         base = sorted((s, e) for _, s, e, _ in out)
         begins, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
