@@ -9,7 +9,7 @@ gives each host the latest stack.
 
 The paths of a rule host's rules are intervals as well: what starts with ``/en/`` lies from ``/en/`` to before ``/en/`` and a byte
 beyond all text. A second sweep, over the paths that are asked of a rule host and the events of its rules, gives the longest
-rule that is active: a start has its own rule, an end the rule around it. Of the rules so found for a url's
+rule that is active: a start has its own rule, an end the rule that is left on top of the stack, of which each event knows the level. Of the rules so found for a url's
 enclosing hosts, the longest decides.
 
 Sweeps run over distinct hosts and distinct paths of a host, so that a host or url with most of the rows counts once. They are dealt by
@@ -71,21 +71,32 @@ def host_events(hosts: DataFrame) -> DataFrame:
     return stacks.union(stacks.select(end, F.expr("slice(stack, 1, size(stack) - 1)")))
 
 
-def path_events(rules: DataFrame) -> DataFrame:
-    """rule_host, at (binary), active for rules (host, path, verdict, each host and path once): where the longest active rule changes, and to what."""
-    rule = F.struct(F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "verdict")
-    own = rules.select("host", "path", rule.alias("own"))
-    # The rule around a rule: of the host's rules that are shorter and begin it, the longest.
-    lengths = own.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
-    begun = own.join(lengths, "host").select("host", "path", F.explode(F.filter("lengths", lambda n: n < F.length("path"))).alias("n"))
-    begun = begun.select("host", "path", F.expr("left(path, n)").alias("outer"))
-    outer = begun.join(own.select("host", F.col("path").alias("outer"), "own"), ["host", "outer"]).groupBy("host", "path").agg(F.max("own").alias("around"))
-    nested = own.join(outer, ["host", "path"], "left")
-    none = F.lit(None).cast("struct<length:int,host_length:int,rule:string,verdict:string>")
-    wrapped = lambda c: F.struct(F.coalesce(c, none).alias("rule"))
+def path_events(rules: DataFrame, scratch: Scratch) -> DataFrame:
+    """rule_host, at (binary), active for rules (host, path, verdict, each host and path once): where the longest active rule changes, and to what.
+
+    The stack of a host's nested rules is kept by its levels: a start raises the level by one, an end lowers it, and the rule that is active
+    on a level is the last one that started there. Levels are running sums over the sorted events; what an end leaves active is the last start
+    of its level, found by a sweep in order of levels. So the work doesn't depend on how deep rules are nested. active.rule has a rule's
+    length, its host's length and its verdict; its text is what the url begins with.
+    """
+    rule = F.struct((F.length("host") + F.length("path")).alias("length"), F.length("host").alias("host_length"), "verdict")
     start = F.col("path").cast("binary")
-    starts = nested.select(F.col("host").alias("rule_host"), start.alias("at"), wrapped(F.col("own")).alias("active"))
-    return starts.union(nested.select("host", F.concat(start, F.lit(b"\xff")), wrapped(F.col("around"))))
+    # No text has the byte 255, so starts and ends never meet, and what starts within a rule ends before it.
+    bounds = F.array(
+        F.struct(start.alias("at"), F.lit(1).alias("step"), rule.alias("own")),
+        F.struct(F.concat(start, F.lit(b"\xff")).alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("struct<length:int,host_length:int,verdict:string>").alias("own")),
+    )
+    events = rules.select(F.col("host").alias("rule_host"), F.explode(bounds).alias("e")).select("rule_host", "e.*")
+    dealt = scratch.keep(events.repartitionByRange("rule_host", "at").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = dealt.groupBy("part").agg(F.sum("step").alias("rise")).select("part", F.coalesce(F.sum("rise").over(before), F.lit(0)).alias("carried"))
+    own = Window.partitionBy("part").orderBy("rule_host", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    leveled = scratch.keep(dealt.withColumn("rise", F.sum("step").over(own)).join(carried, "part").select("rule_host", "at", "own", (F.col("rise") + F.col("carried")).alias("level")))
+    level = ["level", "rule_host", "at"]
+    starts, ends = leveled.where("own is not null"), leveled.where("own is null")
+    left = swept(ends.where("level > 0").select(*level), starts.select(*level, "own"), level, "own", scratch).select("rule_host", "at", "own")
+    found = starts.select("rule_host", "at", "own").union(left).union(ends.where("level = 0").select("rule_host", "at", "own"))
+    return found.select("rule_host", "at", F.struct(F.col("own").alias("rule")).alias("active"))
 
 
 def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
@@ -105,7 +116,8 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFr
         stacks = swept(hosts, host_events(known.select("host").distinct()), ["key"], "stack", scratch)
         around = scratch.keep(stacks.select("host", F.explode("stack").alias("rule_host")))
         asked = pairs.join(around, "host").withColumn("at", F.col("path").cast("binary"))
-        found = swept(asked.select("rule_host", "at").distinct(), path_events(known), ["rule_host", "at"], "active", scratch)
+        found = swept(asked.select("rule_host", "at").distinct(), path_events(known, scratch), ["rule_host", "at"], "active", scratch)
         best = asked.join(found.where("active.rule is not null"), ["rule_host", "at"]).groupBy("host", "path").agg(F.max("active.rule").alias("best"))
         judged_ = urls.join(best, ["host", "path"], "left")
-        return cut(judged_.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")))
+        rule = F.concat(F.expr("right(host, best.host_length)"), F.expr("left(path, best.length - best.host_length)"))
+        return cut(judged_.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")))

@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -587,6 +588,13 @@ SYNTAX = {
     "call": lambda n, a, b: (f'{n} = os.getenv("{n.upper()}")', []),
     "placeholder": lambda n, a, b: (f"{n} = '${{{n.upper()}}}'", []),
     "compared": lambda n, a, b: (f'if {n} == "{a}{b}":', []),
+    "several": lambda n, a, b: (f"user_, {n} = 'me', '{a}{b}'", [a + b]),
+    "declared": lambda n, a, b: (f'var {n} string = "{a}{b}"', [a + b]),
+    "list": lambda n, a, b: (f'{n}s = ["{a}{a}", "{b}{b}"]', [a + a, b + b]),
+    "or": lambda n, a, b: (f'{n} = env.get("X_") or "{a}{b}"', [a + b]),
+    "default": lambda n, a, b: (f'{n} = getenv("X_", "{a}{b}")', [a + b]),
+    "later": lambda n, a, b: (f"{n} = later_{n}_x\nlater_{n}_x = '{a}{b}'", [a + b]),
+    "outer block": lambda n, a, b: (f"  {n}:|\n    {n}:|\n      {a}{b}\n  next: 1", [a + b]),
     "not sensitive": lambda n, a, b: (f'colour_ = "{a}{b}"', []),
 }
 
@@ -604,7 +612,7 @@ def test_assignments_of_a_grammar(seed):
     assert named("\n".join(lines) + "\n") == want
 
 
-LINEAR = ["x = (/*", "x = ( # ", "a: b[", "x = (#\n", "a-", "'", "<a", "a = `", "a = \'\'\'", "pwd = a|", "a: |\n", "x = (\n"]
+LINEAR = ["ab:", "a:b|", "a=[b,", "a=['b',", "a=['a=',", "x,", "a=b(", "a=b('c',", "env('a',", "a=b or ", "a=b\nb=a\n", "x = (/*", "x = ( # ", "a: b[", "x = (#\n", "a-", "'", "<a", "a = `", "a = \'\'\'", "pwd = a|", "a: |\n", "x = (\n"]
 
 
 @pytest.mark.parametrize("text", [x * 40_000 for x in LINEAR] + ["a = 'Zx9q!2mN'\n" + "a = a + a\n" * 20_000 + "auth = a"])
@@ -616,6 +624,21 @@ def test_scans_take_linear_time(text):
     assert time.process_time() - began < 5
 
 
+def test_macros_and_calls_name_their_values():
+    text = '#define DB_PASSWD "Zx9q!2mNa"\ndefine(\'DB_PWD\', \'Yx9q!2mNb\');\ngetenv("SMTP_PWD", "Wx9q!2mNc")\ndefine("COLOUR", "Vx9q!2mNd")'
+    assert sorted(named(text)) == ["Wx9q!2mNc", "Yx9q!2mNb", "Zx9q!2mNa"]
+
+
+def test_nested_blocks_take_linear_time():
+    import time
+
+    for deep in ("".join(" " * k + "pwd:|\n" for k in range(1400)), "".join(" " * (k % 300) + "pwd:|\n" for k in range(7000)), " pwd:|\n" * 150_000):
+        began = time.process_time()
+        secretscan.spans(deep + "x")
+        assert len(deep) > 900_000 and time.process_time() - began < 5
+    assert named("a:|\n  pwd:|\n\n    Zx9q!2mNa\n  other: 1\n") == ["Zx9q!2mNa"]
+
+
 def test_chains_of_sums_reach_all_their_literals():
     text = "a = 'Zx9q!2mN'\n" + "a = a + a\n" * 1000 + "auth = a\npwd = a"
     assert named(text) == ["Zx9q!2mN"]
@@ -749,8 +772,13 @@ def test_best_fit_equals_a_plain_scan():
     assert made["few"].max() > made["default"].max() and made["documents"].tolist() != made["default"].tolist()
 
 
-def test_many_tiny_documents_reach_the_bound_of_documents():
-    bins = packing.best_fit(np.ones(3000, np.int64), packing.Capacities())
+def test_many_tiny_documents_make_no_sequence_more_than_needed(spark):
+    assert packing.best_fit(np.ones(2048, np.int64), packing.Capacities()).max() == 0
+    empty = spark.createDataFrame([(i, "") for i in range(2048)], "doc_id long, text string")
+    got = packing.packed_documents(empty, public_tokenizers.path(packing.TOKENIZER)).collect()
+    assert len({r.sequence_id for r in got}) == 1 and sorted(r.offset for r in got) == list(range(2048))
+    # A caller's own bound of documents binds.
+    bins = packing.best_fit(np.ones(3000, np.int64), packing.Capacities(documents=1024))
     assert np.bincount(bins).tolist() == [1024, 1024, 952]
 
 
@@ -819,6 +847,18 @@ def test_a_host_of_many_path_rules(spark):
         assert got[i] == max(fits, default=(0, 0, None, "allow"))[2:], u
 
 
+def test_rules_nested_6000_deep(spark):
+    """Each rule begins the next; urls leave the nest at every depth, and rules without any nesting stand beside it."""
+    depth = 6000
+    deep = spark.range(1, depth + 1).selectExpr("'h.com' as host", "'/' || repeat('a', int(id)) as path", "if(id % 2 = 0, 'block', 'allow') as verdict")
+    flat = spark.range(3000).selectExpr("'h.com' as host", "'/b' || id as path", "'block' as verdict")
+    pages = spark.range(300).selectExpr("id as page_id", "'http://h.com/' || repeat('a', int(id * 20)) || if(id % 3 = 0, 'b', 'Z') as url")
+    began = time.monotonic()
+    got = {r.page_id: r for r in urlrules.judged(pages, deep.union(flat)).selectExpr("page_id", "length(rule) as n", "verdict").collect()}
+    assert time.monotonic() - began < 60
+    assert got[0].n is None and all(got[i].n == len("h.com/") + 20 * i and got[i].verdict == "block" for i in range(1, 300))
+
+
 def test_url_rules_of_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (None, None)], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, verdict string")
@@ -833,7 +873,7 @@ def test_native_operators_use_no_python(spark, docs):
         urls = pages.select(urlrules.host_of(F.col("url")).alias("host"), urlrules.path_of(F.col("url")).alias("path"))
         hosts = urls.select("host").withColumn("key", urlrules.host_key(F.col("host")))
         made = urlrules.swept(hosts, urlrules.host_events(rules), ["key"], "stack", scratch)
-        deep = urlrules.swept(urls.select(F.col("host").alias("rule_host"), F.col("path").cast("binary").alias("at")), urlrules.path_events(rules), ["rule_host", "at"], "active", scratch)
+        deep = urlrules.swept(urls.select(F.col("host").alias("rule_host"), F.col("path").cast("binary").alias("at")), urlrules.path_events(rules, scratch), ["rule_host", "at"], "active", scratch)
     for df in (made, deep, simhash.with_next(simhash.in_ranges(docs), {"text": "t"}, ["doc_id"])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
