@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .clusters import near_clusters
+from .pairs import containing_pairs
 
 _BOX = "left_x, top_y, right_x, bottom_y"
 _BOX_TYPE = "left_x:bigint,top_y:bigint,right_x:bigint,bottom_y:bigint"
@@ -35,9 +36,9 @@ def contained_groups(objects: DataFrame) -> DataFrame:
 
     Containment is transitive, so of all boxes that contain an object the first in that order is in none before it: a seed.
     """
-    met = objects.alias("a").join(objects.alias("b"), F.expr(f"a.image_id = b.image_id and {g.contained('a', 'b')}"))
-    order = F.expr("struct(-((b.right_x - b.left_x) * (b.bottom_y - b.top_y)), -b.confidence, b.element_id)")
-    return met.groupBy("a.image_id", "a.element_id").agg(F.min_by("b.element_id", order).alias("seed_id"))
+    boxes = objects.select("image_id", "element_id", *_BOX.split(", "), F.expr("struct(-((right_x - left_x) * (bottom_y - top_y)), -confidence, element_id) as place"))
+    met = containing_pairs(boxes.drop("place"), boxes, g.contained("a", "b"), "a.image_id as image_id", "a.element_id as element_id", "b.place as place")
+    return met.groupBy("image_id", "element_id").agg(F.min("place").alias("first")).select("image_id", "element_id", F.col("first.element_id").alias("seed_id"))
 
 
 def merged(grouped: DataFrame, group: str) -> DataFrame:

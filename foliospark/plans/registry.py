@@ -1,14 +1,14 @@
 """All layout queries over the driver's tables, and DuckDB SQL for those that SQL can express.
 
 Each SQL text is put together from named common table expressions; ``sql(body, *names)`` adds those that are needed.
-Operators without SQL here (ratio of difflib, first-fit lines, sweeps to a fixpoint, text splicing) are held against
-sequential models in the tests.
+What has no SQL here (the ratio of difflib) is held against sequential models in the tests.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -71,6 +71,10 @@ def _independent() -> dict[str, str]:
     density = f"(case when {whole} > 0 then cast({areas} as double) / {whole} else cast(0 as double) end)"
     connected = lambda min_x, min_y: f"({density} >= 0.15 and ({share('y')} >= {min_y} or {share('x')} >= {min_x}))"
     smaller = f"(case when {w('a')} * {h('a')} = 0 or {w('b')} * {h('b')} = 0 then 1 when {w('a')} * {h('a')} < {w('b')} * {h('b')} then {w('a')} * {h('a')} else {w('b')} * {h('b')} end)"
+    narrow = f"(case when {w('a')} < {w('b')} then {w('a')} else {w('b')} end)"
+    low = f"(case when {h('a')} < {h('b')} then {h('a')} else {h('b')} end)"
+    # The middles of two texts are less than half the lower height apart.
+    one_line = f"(a.type = 'text' and b.type = 'text' and abs((a.top_y + a.bottom_y) - (b.top_y + b.bottom_y)) < {low})"
     return {
         "density": density, "strict": connected(0.2, 0.1), "loose": connected(0.1, 0.1), "inter": inter,
         "iou": f"(case when {areas} - {inter} > 0 then cast({inter} as double) / ({areas} - {inter}) else cast(0 as double) end)",
@@ -78,12 +82,36 @@ def _independent() -> dict[str, str]:
         "contained": "(b.left_x <= a.left_x and a.right_x <= b.right_x and b.top_y <= a.top_y and a.bottom_y <= b.bottom_y)",
         "adjacent": f"({gap('x')} <= 50 and {gap('y')} <= 50)",
         "smaller": f"(cast({inter} as double) / {smaller})",
+        "close": f"(case when {one_line} then {gap('x')} <= 40 or 2 * {gap('x')} <= {narrow} else {gap('x')} <= 20 or {gap('y')} <= 20 or {share('x')} >= 0.3 or {share('y')} >= 0.1 end)",
     }
 
 
 OWN = _independent()
 
 
+def _of(condition: str, a: str, b: str) -> str:
+    """A condition of OWN over rows of other names."""
+    return re.sub(r"\b([ab])\.", lambda m: (a if m[1] == "a" else b) + ".", OWN[condition])
+
+
+def _text_fold() -> str:
+    """Of merge_in (image_id, group_id, rn, w: words, text and box): the text that is open after each row, and its number."""
+    last = lambda n: f"array_to_string(wr[-{n}:], ' ')"
+    first = lambda n: f"array_to_string(w[1:{n}], ' ')"
+    heads = [f"(len(wr) >= {n} and starts_with(text, {last(n)}))" for n in (1, 2, 3)]
+    tails = [f"(len(w) >= {n} and ends_with(rt, {first(n)}))" for n in (1, 2, 3)]
+    cuts = " ".join(f"when {h} then rt || text[len({last(n)}) + 1:]" for n, h in zip((1, 2, 3), heads))
+    met = f"""select o.*, r.no, r.text as rt, r.left_x as rl, r.top_y as rtop, r.right_x as rr, r.bottom_y as rb, r.confidence as rc, {WORDS.format(t='r.text')} as wr
+        from merge_fold r join merge_in o on o.image_id = r.image_id and o.group_id = r.group_id and o.rn = r.rn + 1"""
+    told = f"""select *, abs(rl - left_x) <= 5 and abs(rtop - top_y) <= 5 as same, {' or '.join(heads + tails)} as goes_on,
+        rr + 50 >= left_x and right_x + 50 >= rl and rb + 50 >= top_y and bottom_y + 50 >= rtop as beside from ({met})"""
+    text = f"case when same then case when len(rt) > len(text) then rt else text end when goes_on then case when starts_with(text, rt) then rt {cuts} else rt end else rt || ' ' || text end"
+    pick = lambda both, own: f"case when same or goes_on or beside then {both} else {own} end"
+    return f"""select image_id, group_id, rn, cast(1 as bigint) as no, text, left_x, top_y, right_x, bottom_y, confidence from merge_in where rn = 1 union all
+        select image_id, group_id, rn, {pick('no', 'no + 1')}, {pick(text, 'text')}, {pick('least(rl, left_x)', 'left_x')}, {pick('least(rtop, top_y)', 'top_y')},
+        {pick('greatest(rr, right_x)', 'right_x')}, {pick('greatest(rb, bottom_y)', 'bottom_y')}, {pick('greatest(rc, confidence)', 'confidence')} from ({told})"""
+
+
 def _mean_fold(name: str, rows: str, keys: str, threshold: int) -> dict[str, str]:
     """rows: keys, rn, v. Groups g by distance from the running mean."""
     on = " and ".join(f"o.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
@@ -137,9 +165,9 @@ PARTS: dict[str, str] = {
     "swept": "select image_id, unnest(done) as box, unnest(range(len(done))) as place from sweep where i > len(boxes) and len(done) = len(boxes)",
     # leaders
     "by_confidence": "select *, row_number() over (partition by image_id order by confidence desc, element_id) as rn from dense",
-    **_leaders("kept_boxes", "by_confidence", f"{g.iou('k', 'o')} > 0.3"),
+    **_leaders("kept_boxes", "by_confidence", f"{_of('iou', 'k', 'o')} > 0.3"),
     "by_area": "select *, row_number() over (partition by image_id order by (right_x - left_x) * (bottom_y - top_y) desc, confidence desc, element_id) as rn from dense",
-    **_leaders("holders", "by_area", g.contained("o", "k")),
+    **_leaders("holders", "by_area", _of("contained", "o", "k")),
     "held": f"select a.image_id, a.element_id, arg_min(b.element_id, b.rn) as seed_id from dense a join holders b on a.image_id = b.image_id and {OWN['contained']} group by a.image_id, a.element_id",
     "held_box": "select image_id, seed_id as element_id, min(left_x) as left_x, min(top_y) as top_y, max(right_x) as right_x, max(bottom_y) as bottom_y, sum(confidence) / count(*) as confidence from held join dense using (image_id, element_id) group by image_id, seed_id",
     "near_e": _edges("held_box", f"{OWN['distance']} <= 3600"),
@@ -166,6 +194,9 @@ PARTS: dict[str, str] = {
     "line_view": "select image_id, group_id, column_id, line_id, text, cast(v2 as double) / 2 as v_center, cast(left_sum as double) / n as left_x, cast(right_sum as double) / n as avg_right from line",
     "anchor_in": "select *, row_number() over (partition by image_id, group_id order by v_center, left_x, column_id, line_id) as rn from line_view",
     "anchor_fold": "select image_id, group_id, rn, cast(1 as bigint) as g, left_x as first from anchor_in where rn = 1 union all select o.image_id, o.group_id, o.rn, case when abs(o.left_x - r.first) >= 50 then r.g + 1 else r.g end, case when abs(o.left_x - r.first) >= 50 then o.left_x else r.first end from anchor_fold r join anchor_in o on o.image_id = r.image_id and o.group_id = r.group_id and o.rn = r.rn + 1",
+    # merging of texts
+    "merge_in": f"select image_id, group_id, text, left_x, top_y, right_x, bottom_y, coalesce(confidence, 1) as confidence, {WORDS.format(t='text')} as w, row_number() over (partition by image_id, group_id order by top_y, left_x, element_id) as rn from grouped where type = 'text' and text is not null",
+    "merge_fold": _text_fold(),
     # angles
     "raw_angle": "select image_id, case when right_x = left_x then cast(90 as double) else degrees(atan2(bottom_y - top_y, right_x - left_x)) end as raw, sqrt(cast((right_x - left_x) * (right_x - left_x) + (bottom_y - top_y) * (bottom_y - top_y) as double)) as len from el",
     "angle": "select image_id, cast(round_even(case when raw - 180 * floor(raw / 180) > 90 then raw - 180 * floor(raw / 180) - 180 else raw - 180 * floor(raw / 180) end, 0) as bigint) as angle, len from raw_angle",
@@ -184,10 +215,32 @@ PARTS: dict[str, str] = {
 }
 
 
+def _whole_run() -> dict[str, str]:
+    """Parts z_* of the whole run: regions of the recognised elements, texts merged in each, and the grouping of what that gives."""
+    boxes = "strict_e strict_s strict_r strict region_box region_el loose_e loose_s loose_r loose block_box sweep_in sweep swept".split()
+    texts = "g_flag grouped col_in col_fold columned line_flag line_no line row_in row_fold row_text para_flag para_no para".split()
+    again = lambda names: {f"z_{n}": re.sub(rf"\b({'|'.join(['el', 'ocr', *names])})\b", r"z_\1", PARTS[n]) for n in names}
+    box = ", ".join(f"arg_max({c}, rn) as {c}" for c in ("text", "confidence", "left_x", "top_y", "right_x", "bottom_y"))
+    columns = "image_id, element_id, type, text, confidence, left_x, top_y, right_x, bottom_y"
+    return {
+        "z_el": f"select {columns} from el where length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 2 and confidence >= 0.2",
+        **again(boxes),
+        "z_region": "select image_id, region_no, unnest(string_split(m, ',')) as block_id from (select image_id, box.m as m, row_number() over (partition by image_id order by box.t, place) as region_no from z_swept)",
+        "z_placed": "select e.*, r.region_no as group_id from z_el e join z_strict s using (image_id, element_id) join z_loose l on l.image_id = e.image_id and l.element_id = s.cluster_id join z_region r on r.image_id = e.image_id and r.block_id = cast(l.cluster_id as varchar)",
+        "z_merge_in": PARTS["merge_in"].replace("from grouped", "from z_placed"),
+        "z_merge_fold": re.sub(r"\b(merge_in|merge_fold)\b", r"z_\1", PARTS["merge_fold"]),
+        "z_merged": f"select image_id, group_id, no, {box} from z_merge_fold group by image_id, group_id, no",
+        "z_last": "select image_id, max(element_id) as last from z_el group by image_id",
+        "z_ocr": f"select image_id, last + row_number() over (partition by image_id order by group_id, no) as element_id, 'text' as type, text, confidence, left_x, top_y, right_x, bottom_y from z_merged join z_last using (image_id) union all select {columns} from z_el where type <> 'text'",
+        **again(texts),
+    }
+
+
+PARTS.update(_whole_run())
+
+
 def sql(body: str) -> str:
     """The query body with the parts it needs, directly or through others, in the order of PARTS."""
-    import re
-
     needed: set[str] = set()
 
     def need(text: str) -> None:
@@ -265,7 +318,8 @@ def o9_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_pair_sql("dense", OWN["contained"]).replace("a.element_id < b.element_id", "a.element_id <> b.element_id"))
 def o10_containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.ordered_pairs(events(spark, sf_dir, True), g.contained())
+    boxes = events(spark, sf_dir, True).select("image_id", "element_id", "left_x", "top_y", "right_x", "bottom_y")
+    return pairs.containing_pairs(boxes, boxes, f"a.element_id <> b.element_id and {g.contained()}", "a.image_id as image_id", "a.element_id as a_id", "b.element_id as b_id")
 
 
 @query(_pair_sql("el", OWN["strict"]))
@@ -278,7 +332,7 @@ def c1b_density_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.box_pairs(events(spark, sf_dir), f"{g.density()} >= 0.15", density=f"round({g.density()}, 6)")
 
 
-@query(_pair_sql("el", g.close_enough(min_y=0.1)))
+@query(_pair_sql("el", OWN["close"]))
 def b2_close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.box_pairs(events(spark, sf_dir), g.close_enough(min_y=0.1))
 
@@ -478,7 +532,7 @@ def c0_union_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.where("type = 'text'").unionByName(images, allowMissingColumns=True)
 
 
-@query()
+@query("select image_id, group_id, no as item_no, arg_max(text, rn) as text, arg_max(confidence, rn) as confidence, arg_max(left_x, rn) as left_x, arg_max(top_y, rn) as top_y, arg_max(right_x, rn) as right_x, arg_max(bottom_y, rn) as bottom_y from merge_fold group by image_id, group_id, no")
 def m1_merge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textmerge.merged_texts(_grouped(spark, sf_dir), ["image_id", "group_id"])
 
@@ -615,7 +669,7 @@ def r3_angle_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.angle_clusters(angles).withColumn("angle", F.round("angle", 9))
 
 
-@query()
+@query("select image_id, group_id, string_agg(text, ' ' order by z_para_no) as text from z_para group by image_id, group_id")
 def a2_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.run(events(spark, sf_dir))
 

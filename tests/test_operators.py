@@ -183,6 +183,53 @@ def test_iou_at_the_threshold_stays(spark):
     assert [r.element_id for r in leaders.without_overlaps(elements(spark, rows)).collect()] == [1]
 
 
+def test_containment_on_a_crowded_page(spark):
+    """30,000 boxes of one page, from points to the whole page, a third of them equal, against a scan of those around each."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(20_000):
+        size = 2 ** rng.randrange(0, 8)
+        x, y = rng.randrange(-5000, 60_000), rng.randrange(60_000)
+        rows.append((1, i, "image", None, 0.5, x, y, x + rng.randrange(size), y + rng.randrange(size)))
+    rows += [(1, 20_000 + i, "image", None, 0.5, 70_000, 70_000, 70_010, 70_010) for i in range(10_000)]
+    rows += [(1, 40_000, "image", None, 0.5, -5000, 0, 100_000, 100_000), (2, 1, "image", None, 0.5, 5, 5, 5, 5)]
+    got = {(r.image_id, r.element_id): r.seed_id for r in leaders.contained_groups(elements(spark, [r for r in rows if r[1] < 20_500 or r[1] == 40_000])).collect()}
+    assert got[2, 1] == 1 and {v for k, v in got.items() if k[0] == 1} == {40_000}
+    small = [r for r in rows if r[1] < 20_000]
+    got = {(r.a_id, r.b_id) for r in pairs.containing_pairs(elements(spark, small), elements(spark, small), "a.element_id <> b.element_id and " + g.contained(), "a.element_id as a_id", "b.element_id as b_id").collect()}
+    near = {}
+    for r in small:
+        near.setdefault((r[5] // 128, r[6] // 128), []).append(r)
+    want = {
+        (a[1], b[1]) for a in small for dx in (0, -1) for dy in (0, -1) for b in near.get((a[5] // 128 + dx, a[6] // 128 + dy), ())
+        if a[1] != b[1] and a[5] >= b[5] and a[7] <= b[7] and a[6] >= b[6] and a[8] <= b[8]
+    }
+    assert got == want and want
+
+
+def continues(a, b):
+    wa, wb = a.split(), b.split()
+    return any(len(wa) >= n and b.startswith(" ".join(wa[-n:])) or len(wb) >= n and a.endswith(" ".join(wb[:n])) for n in (1, 2, 3))
+
+
+def test_continuation_equals_all_pairs(spark):
+    """Parts of words, several spaces, blank and null texts, words longer than what texts meet by."""
+    rng = random.Random(5)
+    words = ["a", "ab", "b", "ba", "aab", "x" * 40, "x" * 40 + "y", "x" * 33, "y" + "x" * 40, "\u00e9"]
+    texts = ["".join(rng.choice(["", " ", ""]) + rng.choice(words) + rng.choice([" ", " ", "  ", ""]) for _ in range(rng.randrange(5))) for _ in range(400)] + ["", " ", None]
+    rows = [(1 + i % 2, i, "text", t, 0.9, 0, 0, 1, 1) for i, t in enumerate(texts)]
+    got = sorted((r.a_id, r.b_id) for r in textmerge.continuation_pairs(elements(spark, rows)).collect())
+    known = [(r[0], r[1], r[3]) for r in rows if r[3] is not None]
+    assert got == sorted((i, j) for p, i, a in known for q, j, b in known if p == q and i != j and continues(a, b))
+
+
+def test_continuation_on_a_crowded_page(spark):
+    """40,000 texts of one page, each continued by one other."""
+    df = spark.range(40_000).selectExpr("1L as image_id", "id as element_id", "'text' as type", "concat('w', id * 7, 'q some words of the ', id, ' text w', (id + 1) * 7, 'q') as text")
+    got = textmerge.continuation_pairs(df)
+    assert got.where("b_id = a_id + 1").count() == got.count() == 39_999
+
+
 def test_contained_boxes_go_to_the_first_seed(spark):
     rows = boxes(8, 120)
     got = {r.element_id: r.seed_id for r in leaders.contained_groups(elements(spark, rows)).collect()}
