@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Characters of a word by which texts meet, at most.
-STEM = 32
+#: Numbers of characters of a word by which texts meet.
+STEMS = (1, 2, 4, 8, 16, 32)
 
 
 def _words(text: str) -> str:
@@ -38,8 +38,9 @@ def spliced(a: str, b: str, wa: str) -> str:
 def continuation_pairs(elements: DataFrame) -> DataFrame:
     """image_id, a_id, b_id of texts of a page, in both orders, of which the second continues the first.
 
-    What begins with n words begins with n - 1 whole words and with the last one as a part of its own n-th word, so texts meet by keys: the whole words,
-    and each beginning of that word, up to STEM characters; longer ones meet by their first STEM and are then compared. The same holds for ends. Texts without words meet nothing.
+    What begins with n words begins with n - 1 whole words and with the last one as a part of its own n-th word, so texts meet by keys: 96 bits of hashes of
+    the whole words and of the first characters of the other one, as many of STEMS as it has; the rest of that word is compared. The same holds for ends. Texts
+    without words meet nothing.
     """
     texts = elements.where("type = 'text' and text is not null").select("image_id", "element_id", "text", F.expr(_words("text")).alias("words"))
     spread = texts.withColumn("n", F.explode(F.expr("filter(array(1, 2, 3), n -> n <= size(words))")))
@@ -49,10 +50,13 @@ def continuation_pairs(elements: DataFrame) -> DataFrame:
     askers = (f"startswith(text, {first})", "get(words, n - 1)", "slice(words, 1, n - 1)"), (f"endswith(text, {last})", "try_element_at(words, -n)", "slice(words, least(1 - n, -1), n - 1)")
     found = []
     for (word, beside), (whole, own, own_beside), side, test, a, b in zip(ends, askers, ("left", "right"), ("startswith", "endswith"), ("k", "q"), ("q", "k")):
-        keys = spread.selectExpr("image_id", "element_id", "n", f"array_join({beside}, ' ') as beside", f"{word} as word", f"{side}({word}, {STEM}) as stem")
-        asked = spread.where(whole).selectExpr("image_id", "element_id", "n", f"array_join({own_beside}, ' ') as beside", f"{own} as word")
-        asked = asked.selectExpr("*", f"explode(sequence(1, least(length(word), {STEM}))) as m").selectExpr("*", f"{side}(word, m) as stem").drop("m")
-        on = F.expr(f"k.image_id = q.image_id and k.n = q.n and k.beside = q.beside and k.stem = q.stem and k.element_id <> q.element_id and {test}(q.word, k.word)")
+        met = lambda beside, stem: (f"xxhash64(image_id, {beside}, {stem}) as h", f"hash({stem}, n, {beside}, image_id) as g")
+        longest = f"array_max(filter(array{STEMS}, m -> m <= length(word)))"
+        keys = spread.selectExpr("image_id", "element_id", "n", f"{beside} as beside", f"{word} as word")
+        keys = keys.selectExpr("image_id", "element_id", "word", *met("beside", f"{side}(word, {longest})"))
+        asked = spread.where(whole).selectExpr("image_id", "element_id", "n", f"{own_beside} as beside", f"{own} as word")
+        asked = asked.selectExpr("*", f"explode(filter(array{STEMS}, m -> m <= length(word))) as m").selectExpr("image_id", "element_id", "word", *met("beside", f"{side}(word, m)"))
+        on = F.expr(f"k.image_id = q.image_id and k.h = q.h and k.g = q.g and k.element_id <> q.element_id and {test}(q.word, k.word)")
         found.append(keys.alias("k").join(asked.alias("q"), on).selectExpr("k.image_id as image_id", f"{a}.element_id as a_id", f"{b}.element_id as b_id"))
     return found[0].union(found[1]).distinct()
 
