@@ -8,9 +8,9 @@
 3. Pairs whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more are linked, those of two members
    of a bucket that are both unlike its least class by their differences to it, as in neardup; components of
    links and equality give groups of paragraphs, and those of several documents are repeats.
-4. Whatever its lines and sentences, every stretch of RUN words or more that two texts share word for word is found too:
-   of all spans of half of RUN words and one more, the one with the least hash of as many neighbours as fit in RUN words is an anchor
-   (winnowing), so such a stretch has an anchor in common; from anchors in common it is followed both ways, word by word, as far as the next ones could be.
+4. Whatever its lines and sentences, every stretch of RUN words or more that two texts share word for word is found too, to its exact edges:
+   a span of RUN words has as its anchor the shorter span in it (half of RUN words and one more) with the least hash (winnowing), and neighbouring
+   spans with one anchor are a run. Runs with equal words count once; only where runs differ around an anchor that documents share are spans compared one by one.
 5. A run of neighbouring repeats in a text, gaps of fewer than five words included, is a passage if it has RUN words or
    more. What the least document of a group has stays, the others are removals.
 """
@@ -33,8 +33,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of slots: a pair of similarity 0.8 shares no bucket with probability 0.002.
 BANDS, ROWS = 6, 2
 LONG, RUN = 8, 30
-#: Words before and after an anchor that are compared.
-SIGNS = 14
 #: Classes that a task remembers at a time, about.
 REMEMBERED = 500_000
 _FACTOR = np.uint64(0x8CB92BA72F3D8DD7)
@@ -120,96 +118,101 @@ def _units(doc_ids: pa.Array, block: Block, signer: Signer, met: set[int]) -> li
     ]
 
 
-def _sliding(x: np.ndarray, width: int, pick: np.ufunc, pad: int) -> np.ndarray:
-    """pick (np.minimum, np.maximum) of the width values from each place on."""
-    done = 1
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of the width values from each place on is, the first of equal ones."""
+    at, best, done = np.arange(len(x)), x, 1
     while done < width:
         step = min(done, width - done)
-        x = pick(x, np.concatenate((x[step:], np.full(min(step, len(x)), pad, x.dtype))))
+        n = max(0, len(x) - step)
+        lower = best[step:] < best[:n]
+        at, best = (np.concatenate((np.where(lower, y[step:], y[:n]), y[n:])) for y in (at, best))
         done += step
-    return x
+    return at
 
 
-def _grams(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the size words from each word on, and whether its text has so many left."""
-    hashes = block.word_hashes()
-    grams = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
-    whole = np.arange(len(hashes)) + size <= np.repeat(block.first[1:], block.n_words)
-    rolled = rolling(hashes, size)
-    grams[: len(rolled)] = np.where(whole[: len(rolled)], mixed(rolled), grams[: len(rolled)])
-    return grams, whole
-
+def _runs(part: pa.RecordBatch, run: int, size: int) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block of texts and its runs of neighbouring spans of run words that have one anchor.
 
-def _chosen(part: pa.RecordBatch, size: int, width: int) -> tuple[Block, np.ndarray, np.ndarray]:
-    """A block of texts, its grams, and the anchors among them: the least of each width neighbouring ones by their hash."""
+    Of each run: the hash of its anchor, the words of which are in all its spans, its first span's first word, and how many spans it has; last, hashes
+    of the spans from each word on, unmixed.
+    """
     block = Block(part.column("text"), lower=True)
-    grams, whole = _grams(block, size)
-    least = _sliding(grams, width, np.minimum, np.iinfo(np.uint64).max)
-    return block, grams, np.flatnonzero(whole & (_sliding(least[::-1], width, np.maximum, 0)[::-1] == grams))
+    words = block.word_hashes()
+    spans = rolling(words, run)
+    starts = np.flatnonzero(np.arange(len(spans)) + run <= np.repeat(block.first[1:], block.n_words)[: len(spans)])
+    grams = mixed(rolling(words, size))
+    at = _least(grams, run - size + 1)[starts]
+    head = np.flatnonzero(np.diff(at, prepend=-1))
+    return block, grams[at[head]], starts[head], np.diff(head, append=len(starts)), spans
+
 
+def _named(first: np.ndarray, n: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Hashes of all words of runs: their first and their last span cover them."""
+    return mixed(mixed(spans[first]) * _FACTOR + spans[first + n - 1] + n.astype(np.uint64))
 
-def _signs(words: np.ndarray, at: np.ndarray, room: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Eight bits of each of up to SIGNS words from at on, in steps of 1 or -1, the nearest lowest: of seven, with their number (room) on top, and of the others."""
-    parts = room.astype(np.uint64) << np.uint64(56), np.zeros(len(at), np.uint64)
-    for k in range(SIGNS):
-        near = words[np.clip(at + step * k, 0, len(words) - 1)] >> np.uint64(56)
-        near = np.where(k < room, near, np.uint64(0)) << np.uint64(8 * (k % 7))
-        parts[k >= 7][:] |= near
-    return parts[0].view(np.int64), parts[1].view(np.int64)
 
+def _occurrences(docs: DataFrame, run: int, size: int, bits: np.ndarray) -> DataFrame:
+    """doc_id, gram, run, word, n of the runs whose anchor several documents may have."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            block, grams, first, n, spans = _runs(part, run, size)
+            kept = may_be_among(grams, bits)
+            grams, first, n = grams[kept], first[kept], n[kept]
+            of = np.searchsorted(block.first, first, "right") - 1
+            columns = [part.column("doc_id").take(pa.array(of)), *(pa.array(x.view(np.int64)) for x in (grams, _named(first, n, spans))), _int32(first - block.first[of]), _int32(n)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "run", "word", "n"])
 
-_SIGNS = ("before", "before2", "after", "after2")
+    return docs.mapInArrow(choose, "doc_id long, gram long, run long, word int, n int")
 
 
-def _occurrences(docs: DataFrame, size: int, width: int, bits: np.ndarray) -> DataFrame:
-    """The anchors that several documents may have, with signs of the words before and after."""
+def _spans(docs: DataFrame, run: int, size: int, bits: np.ndarray) -> DataFrame:
+    """gram, run, place, span: hashes of the spans of the runs whose anchor may be among the bits; each run once in a slice of texts."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            block, grams, at = _chosen(part, size, width)
-            at = at[may_be_among(grams[at], bits)]
-            of = np.searchsorted(block.first, at, "right") - 1
-            words, word = block.word_hashes(), at - block.first[of]
-            after = np.minimum(block.n_words[of] - word - size, SIGNS)
-            signs = (*_signs(words, at - 1, np.minimum(word, SIGNS), -1), *_signs(words, at + size, after, 1)) if len(at) else [at] * 4
-            # Of each anchor that a text repeats, the first place stands for the text.
-            first = np.zeros(len(at), bool)
-            first[np.unique(grams[at] + mixed(of.astype(np.uint64)), return_index=True)[1]] = True
-            columns = [part.column("doc_id").take(pa.array(of)), pa.array(grams[at].view(np.int64)), _int32(word), pa.array(first), *map(pa.array, signs)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gram", "word", "first", *_SIGNS])
-
-    return docs.mapInArrow(choose, "doc_id long, gram long, word int, first boolean, " + ", ".join(f"{c} long" for c in _SIGNS))
-
-
-def _alike(side: str, other: str) -> Column:
-    """How many words the signs of a side have in common with those of another row (columns that begin with its name), the nearest first."""
-    a, b = F.col(side), F.col(f"{other}_{side}")
-    # Trailing zeros, by bytes, of seven.
-    seven = lambda x: x.bitwiseAND(F.lit((1 << 56) - 1))
-    equal = lambda x: F.least(F.floor(F.bit_count(x.bitwiseAND(-x) - 1) / 8), F.lit(7))
-    near = equal(seven(a.bitwiseXOR(b)))
-    far = F.when(near == 7, equal(seven(F.col(f"{side}2").bitwiseXOR(F.col(f"{other}_{side}2"))))).otherwise(0)
-    room = lambda c: F.shiftrightunsigned(c, 56)
-    return F.least(near + far, room(a), room(b)).cast("int")
-
-
-def _placed(docs: DataFrame, stretches: DataFrame) -> DataFrame:
-    """stretches (doc_id, word, n_words, component, keeper_doc_id) with begin and end, code points of their texts."""
-    item = F.struct("word", "n_words", "component", "keeper_doc_id")
-    lists = stretches.groupBy("doc_id").agg(F.collect_set(item).alias("stretches"))
-    rows = hinted(docs, "doc_id", stretches.select("doc_id").distinct()).join(lists, "doc_id").select("text", "doc_id", "stretches")
+            _, grams, first, n, spans = _runs(part, run, size)
+            kept = np.flatnonzero(may_be_among(grams, bits))
+            names = _named(first[kept], n[kept], spans)
+            names, once = np.unique(names, return_index=True)
+            kept = kept[once]
+            grams, first, n = grams[kept], first[kept], n[kept]
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            hashes = np.repeat(grams, n), np.repeat(names, n), mixed(spans[np.repeat(first, n) + place])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in hashes), _int32(place)], ["gram", "run", "span", "place"])
+
+    return docs.mapInArrow(choose, "gram long, run long, span long, place int")
+
+
+def _placed(docs: DataFrame, repeats: DataFrame, run: int) -> DataFrame:
+    """doc_id, word, n_words, begin, end (code points), component, keeper_doc_id of stretches.
+
+    repeats: doc_id, word, places, gram, keeper_doc_id; the bits of places tell which spans from word on repeat. What overlaps or touches and has the same keeper is one stretch.
+    """
+    item = F.struct("word", "places", "gram", "keeper_doc_id")
+    lists = repeats.groupBy("doc_id").agg(F.collect_list(item).alias("repeats"))
+    rows = hinted(docs, "doc_id", repeats.select("doc_id").distinct()).join(lists, "doc_id").select("text", "doc_id", "repeats")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            block, lists = Block(part.column("text")), part.column("stretches")
+            block, lists = Block(part.column("text")), part.column("repeats")
             of, flat = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
-            word, n = (flat.field(c).to_numpy() for c in ("word", "n_words"))
+            word, places, gram, keeper = (flat.field(c).to_numpy() for c in ("word", "places", "gram", "keeper_doc_id"))
+            row, bit = np.nonzero(np.unpackbits(places.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            of, word, gram, keeper = of[row], word[row] + bit, gram[row], keeper[row]
             # Where rows repeat an id, each row has the stretches of all.
-            own = np.flatnonzero(word + n <= block.n_words[of])
-            of, word, n, flat = of[own], word[own], n[own], flat.take(pa.array(own))
-            at = block.first[of] + word
-            begin, end = _places(block, of, block.starts[at], block.ends[at + n - 1])
-            columns = [part.column("doc_id").take(pa.array(of)), *map(_int32, (word, n, begin, end)), flat.field("component"), flat.field("keeper_doc_id")]
+            own = np.flatnonzero(word + run <= block.n_words[of])
+            order = own[np.lexsort((word[own], keeper[own], of[own]))]
+            of, word, gram, keeper = of[order], word[order], gram[order], keeper[order]
+            head = np.ones(len(of), bool)
+            head[1:] = (np.diff(of) != 0) | (np.diff(keeper) != 0) | (np.diff(word) > run)
+            head = np.flatnonzero(head)
+            of, keeper, last = of[head], keeper[head], np.append(head[1:], len(word))[: len(head)] - 1
+            least = np.minimum.reduceat(gram, head) if len(head) else gram
+            begin_, end_ = word[head], word[last] + run
+            at = block.first[of]
+            begin, end = _places(block, of, block.starts[at + begin_], block.ends[at + end_ - 1])
+            columns = [part.column("doc_id").take(pa.array(of)), *map(_int32, (begin_, end_ - begin_, begin, end)), pa.array(least), pa.array(keeper)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "word", "n_words", "begin", "end", "component", "keeper_doc_id"])
 
     return rows.mapInArrow(place, "doc_id long, word int, n_words int, begin int, end int, component long, keeper_doc_id long").distinct()
@@ -218,44 +221,45 @@ def _placed(docs: DataFrame, stretches: DataFrame) -> DataFrame:
 def shared_stretches(docs: DataFrame, scratch: Scratch, buckets: int, run: int = RUN) -> DataFrame:
     """doc_id, word, n_words, begin, end, component, keeper_doc_id of words that are equal in several documents.
 
-    Every stretch of run words or more that two documents share has an anchor in common. Around each anchor the words before and after are
-    compared with those of the least and of the greatest document that has it, by eight bits a word: so an edge can be a word too far with
-    probability 1/256, and what documents share beyond both of these is found as far as their anchors go. A row joins what overlaps and has
-    the same keeper, the least document; its component is the least of the anchors' hashes.
+    A word is in a stretch if it is in a span of run words that another document has too, whichever that is: so stretches have exact edges, and one of run words
+    or more that any two documents share is found whole. The keeper is the least document that has the span; a row joins the spans that overlap or touch and have the
+    same keeper, and its component is the least of their anchors' hashes. Spans are equal if 128 bits of hashes are. Fewer than run words in common are no
+    stretch, even where a text has such of several documents side by side.
     """
-    # A run has an anchor at most width - 1 words from either edge: no more than SIGNS.
-    size = max(run // 2 + 1, run - SIGNS)
-    width = run - size + 1
+    # A run of spans has as many places as a long has bits, at most.
+    size = max(run // 2 + 1, run - 61)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part in text_slices(batches, "text"):
-            block, grams, at = _chosen(part, size, width)
-            yield grams[at], part.column("doc_id").to_numpy()[np.searchsorted(block.first, at, "right") - 1]
+            block, grams, first, _, _ = _runs(part, run, size)
+            yield grams, part.column("doc_id").to_numpy()[np.searchsorted(block.first, first, "right") - 1]
 
     bits = hint_bits(shared_values(named, pairs, buckets))
-    found = scratch.keep(_occurrences(named, size, width, bits))
+    found = scratch.keep(_occurrences(named, run, size, bits))
+    release(docs.sparkSession)
+    # Equal runs are one row from here on; numbers only, so that hot ones are reduced before they are shuffled.
+    runs = scratch.keep(found.groupBy("gram", "run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n").alias("n")))
+    anchors = runs.groupBy("gram").agg(F.min("low").alias("least"), F.max("high").alias("most"), (F.min("run") < F.max("run")).alias("open"))
+    anchors = scratch.keep(anchors.where("least < most").select("gram", "open"))
+    release(docs.sparkSession)
+    # A run that is the only one of its anchor repeats as a whole.
+    whole = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - F.col("n")).alias("places")
+    closed = runs.join(anchors.where("not open"), "gram").select("gram", "run", F.col("low").alias("keeper_doc_id"), whole)
+    # Of runs that differ around one anchor, the spans repeat that several documents have; the least document of a run tells its spans.
+    open_ = scratch.keep(runs.join(anchors.where("open"), "gram").select("gram", "run", "low", "high"))
+    tellers = hinted(named, "doc_id", open_.select("low").distinct())
+    told = _spans(tellers, run, size, hint_bits(anchors.where("open").select("gram"))).distinct()
+    told = scratch.keep(told.join(open_, ["gram", "run"]))
+    spans = told.groupBy("gram", "span").agg(F.min("low").alias("keeper_doc_id"), F.max("high").alias("top")).where("keeper_doc_id < top").drop("top")
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))
+    parts = told.join(spans, ["gram", "span"]).groupBy("gram", "run", "keeper_doc_id").agg(F.bit_or(place).alias("places"))
+    repeated = scratch.keep(closed.unionByName(parts))
     release(docs.sparkSession)
-    # Numbers only, so that they are gathered by hash and hot anchors are reduced before they are shuffled.
-    ends = found.where("first").groupBy("gram").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
-        *(pick(c, "doc_id").alias(f"{name}_{c}") for name, pick in (("least", F.min_by), ("most", F.max_by)) for c in _SIGNS),
-    )
-    ends = scratch.keep(ends.where("least < most"))
-    other = lambda c, side: F.when(F.col("doc_id") != F.col(c), _alike(side, c)).otherwise(0)
-    longest = lambda side: F.greatest(other("least", side), other("most", side))
-    grown = found.join(ends, "gram").select(
-        "doc_id", "gram", F.col("least").alias("keeper_doc_id"), (F.col("word") - longest("before")).alias("word"),
-        (F.col("word") + size + longest("after")).alias("stop"),
-    )
-    by_keeper = Window.partitionBy("doc_id", "keeper_doc_id").orderBy("word", "stop")
-    reached = F.max("stop").over(by_keeper.rowsBetween(Window.unboundedPreceding, -1))
-    split = grown.withColumn("part", F.sum(F.coalesce(F.col("word") > reached, F.lit(True)).cast("int")).over(by_keeper.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = split.groupBy("doc_id", "keeper_doc_id", "part").agg(F.min("word").alias("word"), (F.max("stop") - F.min("word")).alias("n_words"), F.min("gram").alias("component"))
-    joined = scratch.keep(joined.select("doc_id", "word", "n_words", "component", "keeper_doc_id"))
+    repeats = scratch.keep(found.join(repeated, ["gram", "run"]).select("doc_id", "word", "places", "gram", "keeper_doc_id"))
     scratch.drop(found)
     release(docs.sparkSession)
-    return _placed(named, joined)
+    return _placed(named, repeats, run)
 
 
 def _joined(begins: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
