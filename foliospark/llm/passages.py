@@ -42,7 +42,7 @@ def paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     """doc_id, unit, begin, end (code points), word, n_words, class, check, keys, text of each text's paragraphs.
 
     unit numbers a text's paragraphs of five words or more; word is the number of the first word. Equal words have equal class and
-    check (96 bits together). keys has eight bytes for each band. Keys are empty and text is null for paragraphs of fewer than LONG words, and for those whose class the
+    check (95 bits together). keys has eight bytes for each band. Keys are empty and text is null for paragraphs of fewer than LONG words, and for those whose class the
     task has met before (as far as it remembers): they belong to the class, and one of it that has them is enough.
     """
     names = ["doc_id", "unit", "begin", "end", "word", "n_words", "class", "check", "keys", "text"]
