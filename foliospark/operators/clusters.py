@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +42,20 @@ def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _ordered(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, Boxes]]:
+    """Tables of whole pages in the order of image_id and key, with the numbers of their pages from 0, the keys and the boxes."""
+    for table in _whole_pages(batches):
+        column = lambda c: table.column(c).to_numpy().astype(np.int64)  # noqa: B023, E731
+        image, keys = column("image_id"), column(key)
+        order = np.lexsort((keys, image))
+        boxes = tuple(column(c)[order] for c in ("left_x", "top_y", "right_x", "bottom_y"))
+        yield table.take(pa.array(order)), np.unique(image[order], return_inverse=True)[1], keys[order], boxes
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("image_id").sortWithinPartitions("image_id")
+
+
 def by_pages(elements: DataFrame, add: Callable[..., dict[str, np.ndarray]], *names: str) -> DataFrame:
     """elements with the long columns that ``add(page, element_id, boxes)`` gives for the rows of whole pages: one exchange by page.
 
@@ -50,19 +63,14 @@ def by_pages(elements: DataFrame, add: Callable[..., dict[str, np.ndarray]], *na
     """
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_pages(batches):
-            column = lambda c: table.column(c).to_numpy().astype(np.int64)  # noqa: B023, E731
-            image, element = column("image_id"), column("element_id")
-            order = np.lexsort((element, image))
-            boxes = tuple(column(c)[order] for c in ("left_x", "top_y", "right_x", "bottom_y"))
-            made = add(np.unique(image[order], return_inverse=True)[1], element[order], boxes)
-            table = table.take(pa.array(order))
+        for table, page, element, boxes in _ordered(batches, "element_id"):
+            made = add(page, element, boxes)
             for name in names:
                 table = table.append_column(name, pa.array(made[name]))
             yield from table.combine_chunks().to_batches()
 
     schema = StructType([*elements.schema.fields, *(StructField(n, LongType()) for n in names)])
-    return elements.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(label, schema)
+    return _dealt(elements).mapInArrow(label, schema)
 
 
 def connected(boxes: Boxes, a: np.ndarray, b: np.ndarray, min_x: float, min_y: float) -> np.ndarray:
@@ -193,19 +201,19 @@ def as_elements(boxes: DataFrame) -> DataFrame:
     return boxes.select("image_id", F.col("cluster_id").alias("element_id"), "left_x", "top_y", "right_x", "bottom_y")
 
 
-def _phases(page: np.ndarray, element: np.ndarray, boxes: Boxes) -> tuple[np.ndarray, np.ndarray]:
-    """cluster_id and block_id of each element: both clustering phases, the second over the boxes around the first one's clusters."""
+def _phases(page: np.ndarray, boxes: Boxes) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each row's cluster and of its block: both clustering phases, the second over the boxes around the first one's clusters."""
     label = _connected_labels(page, boxes, *STRICT)
     own, of, pages, around = _around(label, page, boxes)
     loose = _connected_labels(pages, around, *LOOSE)
-    return element[label], element[own[loose]][of]
+    return label, own[loose][of]
 
 
 def in_blocks(elements: DataFrame) -> DataFrame:
     """elements (all columns) with cluster_id (strict) and block_id (loose)."""
 
     def add(page: np.ndarray, element: np.ndarray, boxes: Boxes) -> dict[str, np.ndarray]:
-        return dict(zip(("cluster_id", "block_id"), _phases(page, element, boxes)))
+        return dict(zip(("cluster_id", "block_id"), (element[label] for label in _phases(page, boxes))))
 
     return by_pages(elements, add, "cluster_id", "block_id")
 
@@ -248,45 +256,72 @@ def _swept(boxes: list[list], vertical: int, horizontal: int) -> list[list]:
         now = merged
 
 
+def _merged(page: np.ndarray, ids: np.ndarray, boxes: Boxes, size: np.ndarray, vertical: int, horizontal: int) -> tuple[list[int], list[list]]:
+    """Number on its page and box, size and rows of each region that boxes of whole pages make, in the order of pages."""
+    order = np.lexsort((ids, boxes[1], page))
+    rows = [[*row, [k]] for *row, k in zip(*(x[order].tolist() for x in (*boxes, size)), order.tolist())]
+    edges = np.flatnonzero(np.diff(page[order], prepend=-1, append=-1)).tolist()
+    numbers, found = [], []
+    for a, b in zip(edges[:-1], edges[1:]):
+        now = _swept(rows[a:b], vertical, horizontal)
+        numbers.extend(range(1, len(now) + 1))
+        found.extend(now)
+    return numbers, found
+
+
+_REGIONS = "image_id long, region_no long, left_x long, top_y long, right_x long, bottom_y long, n_elements long, members array<long>"
+
+
+def _region_table(images: pa.ChunkedArray, numbers: list[int], found: list[list], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """_REGIONS of what _merged() gives; images and ids are those of its rows."""
+    rows = np.fromiter((k for region in found for k in region[5]), np.int64)
+    ends = np.cumsum([0, *(len(region[5]) for region in found)])
+    members = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids[rows])).cast(pa.list_(pa.int64()))
+    image = images.take(pa.array(rows[ends[:-1]])).combine_chunks().cast(pa.int64())
+    columns = [image, pa.array(numbers, pa.int64()), *(pa.array([region[k] for region in found], pa.int64()) for k in range(5)), members]
+    yield pa.RecordBatch.from_arrays(columns, ["image_id", "region_no", "left_x", "top_y", "right_x", "bottom_y", "n_elements", "members"])
+
+
 def merge_adjacent(boxes: DataFrame, vertical: int = 20, horizontal: int = 100) -> DataFrame:
     """image_id, region_no, box, n_elements, members (cluster ids): neighbours in reading order merged until none can be.
 
     Each sweep merges disjoint neighbours from the top on. Two merge if their x-intervals meet, the vertical gap is at
     most twice ``vertical`` either way, and the lesser horizontal gap between opposite edges at most twice ``horizontal``.
-    A page's regions are few, so a page is one group.
     """
 
-    def sweep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top_y", "cluster_id"])
-        now = _swept([[r.left_x, r.top_y, r.right_x, r.bottom_y, r.n_elements, [r.cluster_id]] for r in pdf.itertuples()], vertical, horizontal)
-        columns = ["left_x", "top_y", "right_x", "bottom_y", "n_elements", "members"]
-        return pd.DataFrame(now, columns=columns).assign(image_id=key[0], region_no=range(1, len(now) + 1))
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, page, ids, around in _ordered(batches, "cluster_id"):
+            size = table.column("n_elements").to_numpy()
+            yield from _region_table(table.column("image_id"), *_merged(page, ids, around, size, vertical, horizontal), ids)
+
+    return _dealt(boxes).mapInArrow(sweep, _REGIONS)
+
+
+def _block_regions(page: np.ndarray, element: np.ndarray, boxes: Boxes, vertical: int, horizontal: int) -> tuple[np.ndarray, np.ndarray, list[int], list[list]]:
+    """The first rows of blocks, the number of each row's block, and what _merged() makes of the blocks."""
+    own, of, pages, around = _around(_phases(page, boxes)[1], page, boxes)
+    return own, of, *_merged(pages, element[own], around, np.bincount(of, minlength=len(own)), vertical, horizontal)
+
+
+def adjacent_regions(elements: DataFrame, vertical: int = 20, horizontal: int = 100) -> DataFrame:
+    """What merge_adjacent() makes of the boxes around blocks (members: block ids), in one exchange by page."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, page, element, boxes in _ordered(batches, "element_id"):
+            own, _, numbers, found = _block_regions(page, element, boxes, vertical, horizontal)
+            yield from _region_table(table.column("image_id").take(pa.array(own)), numbers, found, element[own])
 
-    schema = "image_id long, region_no long, left_x long, top_y long, right_x long, bottom_y long, n_elements long, members array<long>"
-    return boxes.groupBy("image_id").applyInPandas(sweep, schema)
+    return _dealt(elements.select("image_id", "element_id", "left_x", "top_y", "right_x", "bottom_y")).mapInArrow(sweep, _REGIONS)
 
 
 def in_regions(elements: DataFrame, vertical: int = 20, horizontal: int = 100) -> DataFrame:
     """elements (all columns) with the region_no that merge_adjacent() gives the block they are in."""
 
     def add(page: np.ndarray, element: np.ndarray, boxes: Boxes) -> dict[str, np.ndarray]:
-        _, block = _phases(page, element, boxes)
-        # Blocks are told apart by page and id.
-        own, of = np.unique(np.stack((page, block), axis=1), axis=0, return_inverse=True)
-        of = of.ravel()
-        first = np.zeros(len(own), np.int64)
-        first[of[::-1]] = np.arange(len(of))[::-1]
-        _, _, _, around = _around(first[of], page, boxes)
-        # Boxes come in the order of blocks' first rows.
-        rank = np.argsort(np.argsort(first, kind="stable"), kind="stable")
-        size = np.bincount(of, minlength=len(own))
+        own, of, numbers, found = _block_regions(page, element, boxes, vertical, horizontal)
         number = np.zeros(len(own), np.int64)
-        edges = np.flatnonzero(np.diff(own[:, 0], prepend=-1, append=-1)) if len(own) else []
-        for a, b in zip(edges[:-1], edges[1:]):
-            rows = sorted(range(a, b), key=lambda k: (around[1][rank[k]], own[k, 1]))
-            now = _swept([[*(int(x[rank[k]]) for x in around), int(size[k]), [k]] for k in rows], vertical, horizontal)
-            for n, region in enumerate(now, 1):
-                number[region[5]] = n
+        for n, region in zip(numbers, found):
+            number[region[5]] = n
         return {"region_no": number[of]}
 
     return by_pages(elements, add, "region_no")

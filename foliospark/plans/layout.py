@@ -10,8 +10,7 @@ from ..operators import clusters, documents, grouping, recognition, textmerge
 
 def build_regions(elements: DataFrame) -> DataFrame:
     """image_id, region_no, box, n_elements, members: elements clustered strictly, then loosely, then with neighbours."""
-    rows = clusters.in_blocks(elements.select("image_id", "element_id", "left_x", "top_y", "right_x", "bottom_y"))
-    return clusters.merge_adjacent(clusters.union_boxes(rows, "image_id", "block_id").withColumnRenamed("block_id", "cluster_id"))
+    return clusters.adjacent_regions(elements)
 
 
 def merged_elements(elements: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 from foliospark.operators import clusters, documents, duplicates, grouping, leaders, pairs, recognition, textmerge
 from foliospark.functions import geometry as g
+from foliospark.plans import layout
 from foliospark.sources.layout import ELEMENTS
 
 
@@ -146,6 +147,20 @@ def test_regions_in_one_pass_equal_the_steps(spark, monkeypatch):
     assert got == {e: regions[b] for e, b in blocks.items()} and len(got) == 200
 
 
+def test_adjacent_regions_take_one_exchange_and_no_group_a_page(spark):
+    """Many small pages, one without a number, and an empty table: the regions of the single steps, without a Python call for each page."""
+    rows = boxes(8, 900, images=60)
+    df = elements(spark, [(None if r[0] == 7 else r[0] - 5, *r[1:]) for r in rows])
+    made = layout.build_regions(df)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "FlatMapGroups" not in plan
+    steps = clusters.merge_adjacent(clusters.union_boxes(clusters.in_blocks(df), "image_id", "block_id").withColumnRenamed("block_id", "cluster_id"))
+    got, want = (sorted(map(repr, rows.collect())) for rows in (made, steps))
+    assert got == want and len({r.image_id for r in made.collect()}) == 60
+    assert sum(r.n_elements for r in made.collect()) == 900 and any(len(r.members) > 1 for r in made.collect())
+    assert layout.build_regions(df.limit(0)).count() == 0
+
+
 def test_far_boxes_connect_by_density_alone(spark):
     df = elements(spark, [text(1, 0, 0, 400, 100), text(2, 900, 0, 1300, 100)])
     assert pairs.box_pairs(df, g.connected(0.2, 0.1)).count() == 1
