@@ -637,7 +637,7 @@ def s13_streamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     remove_at_exit(spark, folder)
     number = F.count("*").over(Window.partitionBy("image_id")).alias("n")
     rows = events(spark, sf_dir).select("*", number, F.current_timestamp().alias("at"))
-    rows.repartition(6, "element_id").write.parquet(f"{folder}/in")
+    rows.repartition(max(6, spark.sparkContext.defaultParallelism), "element_id").write.parquet(f"{folder}/in")
     files = len(spark.read.parquet(f"{folder}/in").inputFiles())
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 3)).parquet(f"{folder}/in")
     streamed.write_pages(streamed.assembled(stream, "at", "n"), f"{folder}/out", f"{folder}/state", _page_summary).awaitTermination()

@@ -118,3 +118,85 @@ def test_a_batch_that_runs_again_counts_once(spark, feed, tmp_path):
     closed = spark.createDataFrame([(1, 1, *element(1, 1, 0)[1:9]), (1, 2, *element(1, 1, 0, "new")[1:9])], pages.PAGES)
     last = closed.groupBy("image_id").agg(F.max("version").alias("version"))
     assert [r.text for r in pages._latest(closed, last).collect()] == ["new"]
+
+
+class Held:
+    """State of one page in memory that counts calls."""
+
+    def __init__(self):
+        self.calls, self.rows, self.row, self.timers = 0, [], None, []
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        held = self
+
+        class Value:
+            def get(self):
+                held.calls += 1
+                return held.row
+
+            def update(self, row):
+                held.calls += 1
+                held.row = row
+
+            def exists(self):
+                return held.row is not None
+
+        return Value()
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def appendValue(self, row):
+        self.calls += 1
+        self.rows.append(row)
+
+    def registerTimer(self, time):
+        self.calls += 1
+        self.timers.append(time)
+
+    def deleteTimer(self, time):
+        self.calls += 1
+        self.timers.remove(time)
+
+
+def test_calls_to_state_go_by_batches_not_by_elements():
+    held = Held()
+    page = pages._Assembly(10_000, None)
+    page.init(held)
+
+    def arrive(ids, announced=None, mark=""):
+        return list(page.handleInputRows((1,), iter([(1, i, announced, 5, f"{i}{mark}") for i in ids]), None))
+
+    assert arrive(range(5000)) == [] and held.calls <= 5
+    # The same again and again: what is held stays bounded.
+    for _ in range(50):
+        assert arrive(range(5000)) == []
+    assert sum(len(ids) for ids, _ in held.rows) <= 2 * 5000 + pages.LOOSE
+    assert arrive(range(4000, 8999), 9000) == []
+    (closed,) = arrive([8999])
+    assert closed.version == 1 and sorted(closed.element_id) == list(range(9000)) and held.timers == []
+    # Nothing new, then corrections one by one, each of which closes the page again.
+    assert arrive(range(100)) == []
+    for k in range(40):
+        (closed,) = arrive([k], mark="new")
+        assert closed.version == k + 2 and dict(zip(closed.element_id, closed.value))[k] == f"{k}new" and len(closed.element_id) == 9000
+    assert len(held.rows) <= pages.PARTS + 1
+
+
+def test_a_page_that_comes_one_by_one_is_seldom_read():
+    held = Held()
+    page = pages._Assembly(10_000, None)
+    page.init(held)
+    for i in range(4000):
+        assert list(page.handleInputRows((1,), iter([(1, i, None, 5, str(i))]), None)) == []
+    assert held.calls <= 3 * 4000 + 20
+    (closed,) = page.handleExpiredTimer((1,), None, None)
+    assert closed.version == 1 and closed.element_id == list(range(4000)) and closed.value == [str(i) for i in range(4000)]
