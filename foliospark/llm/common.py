@@ -68,7 +68,10 @@ class Block:
         if lower:
             self.buf = LOWER[self.buf]
         self.space = IS_SPACE[self.buf]
-        edges = np.flatnonzero(np.diff(self.space.view(np.int8), prepend=np.int8(1)))
+        change = np.empty(len(self.space), bool)
+        change[:1] = ~self.space[:1]
+        np.not_equal(self.space[1:], self.space[:-1], out=change[1:])
+        edges = np.flatnonzero(change)
         self.starts, self.ends = edges[0::2], edges[1::2]
         self.first = np.searchsorted(self.starts, self.offs)
         self.n_words = np.diff(self.first)
@@ -108,8 +111,10 @@ _BASE = np.uint64(0xA0761D6478BD642F)
 
 
 #: Bytes that are hashed in one pass; longer spans carry their sums over.
-_PASS = 1 << 19
+_PASS = 1 << 17
 _POWERS = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(_PASS, _BASE))))
+#: Their inverses modulo 2^64, which odd numbers have.
+_UNPOWERS = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(_PASS, np.uint64(pow(int(_BASE), -1, 1 << 64))))))
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -123,11 +128,10 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         if i == j:
             continue
         a, b = np.maximum(starts[i:j], low) - low, np.minimum(ends[i:j], high) - low
-        edges = np.stack((a, b), axis=1).ravel()
-        bounds = np.concatenate(([0], edges))
-        place = np.arange(high - low) - np.repeat(bounds, np.diff(bounds, append=high - low))
-        terms = _BYTE[buf[low:high]] * _POWERS[place]
-        parts = np.add.reduceat(terms, edges[:-1] if b[-1] == high - low else edges)[::2]
+        # Powers count from the pass's first byte; dividing by that of a span's first byte makes them count from there.
+        terms = _BYTE.take(buf[low:high], mode="clip") * _POWERS[: high - low]
+        until = np.cumsum(terms)
+        parts = (until[b - 1] - until[a] + terms[a]) * _UNPOWERS[a]
         begun = starts[i] < low
         with np.errstate(over="ignore"):
             if begun:

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,10 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
 BLOCK_BYTES = 8 << 20
 #: Strata of a block's index; blocks of few members have one, which doesn't change what is found.
 STRATA, FEW = 4, 200
+#: Blocks of at most so many pairs, and of differences of at most so many hashes, are looked up many at a time, so many pairs or hashes in a pass.
+FEW_PAIRS, SHORT, PASS_PAIRS, PASS_HASHES = 1024, 256, 1 << 16, 1 << 20
+#: What names a block: a hub, classes of set size of its queries and members, and numbers among the blocks of each.
+BLOCK_KEYS = ["a", "here", "there", "i", "k"]
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -136,12 +141,15 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
-        for part in text_slices(batches, "text_b"):
+        for part in text_slices(text_slices(batches, "text_b"), "text_a"):
             sets = shingle_hashes(Block(part.column("text_b"), lower=True), words)
             of, linked, deltas = part.column("a").to_pylist(), np.zeros(part.num_rows, bool), []
+            # The rows with another hub than the row before have theirs hashed together.
+            fresh = [i for i, x in enumerate(of) if x != (of[i - 1] if i else hub)]
+            hubs = iter(shingle_hashes(Block(part.column("text_a").take(pa.array(fresh, pa.int64())), lower=True), words))
             for i, s in enumerate(sets):
                 if of[i] != hub:
-                    hub, hub_set = of[i], shingle_hashes(Block(part.column("text_a").slice(i, 1), lower=True), words)[0]
+                    hub, hub_set = of[i], next(hubs)
                 both = np.concatenate((hub_set, s))
                 both.sort()
                 same = both[1:] == both[:-1]
@@ -177,12 +185,14 @@ def missed(stars: DataFrame, similarity: float) -> DataFrame:
     # A member has so many bytes; the set sizes of a link are at most 1 / similarity apart (a little more, for rounded logarithms).
     stars = stars.withColumn("bytes", F.size("delta").cast("long") * 8 + 64).withColumn("level", F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity * 0.9999)).cast("int"))
     asked = F.col("bytes") * F.when(F.col("linked"), 0).otherwise(1)
-    sizes = stars.groupBy("a", "level").agg(F.sum("bytes").alias("all"), F.sum(asked).alias("asked"))
-    sizes = sizes.select("a", "level", *(F.ceil(F.col(c) / BLOCK_BYTES).cast("int").alias(c) for c in ("all", "asked")))
+    sizes = stars.groupBy("a", "level").agg(F.sum("bytes").alias("all"), F.sum(asked).alias("asked"), F.count("*").alias("members"))
+    sizes = sizes.select("a", "level", "members", *(F.ceil(F.col(c) / BLOCK_BYTES).cast("int").alias(c) for c in ("all", "asked")))
     # Classes of queries with the classes of members that they meet.
     near = F.explode(F.array(*(F.col("level") + k for k in (-1, 0, 1)))).alias("there")
     meets = sizes.where("asked > 0").select("a", F.col("level").alias("here"), near, F.col("asked").alias("parts"))
-    meets = meets.join(sizes.select("a", F.col("level").alias("there"), F.col("all").alias("blocks")), ["a", "there"])
+    meets = meets.join(sizes.select("a", F.col("level").alias("there"), F.col("all").alias("blocks"), "members"), ["a", "there"])
+    # A member that is the only one of its class meets none but itself there.
+    meets = meets.where("here <> there or members > 1").drop("members")
     # What the star shows: its linked members are of one component.
     rows = stars.withColumn("component", F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -192,21 +202,24 @@ def missed(stars: DataFrame, similarity: float) -> DataFrame:
     members = members.select(*kept, every("parts").alias("i"), own("blocks").alias("k"), F.lit(0).alias("role"))
     queries = rows.where("not linked").withColumnRenamed("level", "here").join(meets, ["a", "here"])
     queries = queries.select(*kept, own("parts").alias("i"), every("blocks").alias("k"), F.lit(1).alias("role"))
-    # A set's least overlap with a partner's difference: what the union of both can leave over.
-    spare = (1 - similarity) / similarity
+    dealt = members.union(queries).repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS)
+    return dealt.mapInArrow(lambda batches: _links_of_blocks(batches, similarity), "a long, b long")
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for group in _groups(batches, keys):
-            found += _block_links(group, similarity, spare)
-            if len(found) > 10_000:
-                yield _pairs(found)
-                found = []
-        yield _pairs(found)
 
-    keys = ["a", "here", "there", "i", "k"]
-    dealt = members.union(queries).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(look_up, "a long, b long")
+def _links_of_blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """a, b: links of rows that are sorted by their blocks' keys."""
+    # A set's least overlap with a partner's difference: what the union of both can leave over.
+    spare = (1 - similarity) / similarity
+    for rows, starts in _groups(batches, BLOCK_KEYS):
+        role, size = rows.column("role").to_numpy(), pc.list_value_length(rows.column("delta")).to_numpy()
+        asked = np.add.reduceat(role, starts, dtype=np.int64)
+        ends = np.append(starts[1:], rows.num_rows)
+        few = (asked * (ends - starts - asked) <= FEW_PAIRS) & (np.maximum.reduceat(size, starts) <= SHORT)
+        for a, b in zip(starts[~few].tolist(), ends[~few].tolist()):
+            yield _pairs(_block_links(rows.slice(a, b - a), similarity, spare))
+        block = np.repeat(np.arange(len(starts)), ends - starts)
+        if few.any():
+            yield _few_links(rows.filter(pa.array(few[block])), block[few[block]], similarity)
 
 
 def _block_links(group: pa.Table, similarity: float, spare: float) -> list[tuple[int, int]]:
@@ -300,25 +313,81 @@ class _Stratum:
         return probe, self.owner[np.repeat(self.begins[probe] - starts, count) + np.arange(int(count.sum()))], starts
 
 
+def _passes(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours of at most so much size together, or of one."""
+    ends, low = np.cumsum(sizes, dtype=np.int64), 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + limit, "right")))
+        yield low, high
+        low = high
+
+
+def _few_links(rows: pa.Table, of: np.ndarray, similarity: float) -> pa.RecordBatch:
+    """a, b: links of queries (role 1) with members (role 0) of other components in the same block; of: each row's block, ascending.
+
+    Every such pair is decided. Differences are as far apart as their sets are. Bits of their hashes, and their sizes, bound that from below, so few are compared.
+    """
+    least = round(similarity * 1000)
+    delta = rows.column("delta").combine_chunks()
+    at, values = delta.offsets.to_numpy(), delta.flatten().to_numpy().view(np.uint64)
+    at = at - at[0]
+    b, n, component, role = (rows.column(c).to_numpy() for c in ("b", "n", "component", "role"))
+    size = np.diff(at)
+    bits = np.zeros((len(size), 256), bool)
+    bits[np.repeat(np.arange(len(size)), size), values >> np.uint64(56)] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    asked, there = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+    begin, end = (np.searchsorted(of[there], of[asked], side) for side in ("left", "right"))
+    count, found = end - begin, []
+    for low, high in _passes(count, PASS_PAIRS):
+        some = count[low:high]
+        x = np.repeat(asked[low:high], some)
+        y = there[np.arange(len(x)) + np.repeat(begin[low:high] - (np.cumsum(some) - some), some)]
+        near = component[x] != component[y]
+        x, y = x[near], y[near]
+        total = n[x].astype(np.int64) + n[y]
+        apart = np.maximum(np.abs(size[x] - size[y]), np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64))
+        near = 1000 * (total - apart) >= least * (total + apart)
+        near_x, near_y, total = x[near], y[near], total[near]
+        for i, j in _passes(size[near_x] + size[near_y], PASS_HASHES):
+            x, y = near_x[i:j], near_y[i:j]
+            # The pairs' differences side by side: what a pair has twice is common to both.
+            sizes = np.stack((size[x], size[y]), axis=1).ravel()
+            inner = np.cumsum(sizes) - sizes
+            flat = values[np.repeat(np.stack((at[x], at[y]), axis=1).ravel() - inner, sizes) + np.arange(int(sizes.sum()))]
+            pair = np.repeat(np.arange(len(x)), size[x] + size[y])
+            flat = flat[np.lexsort((flat, pair))]
+            common = np.bincount(pair[1:][(flat[1:] == flat[:-1]) & (pair[1:] == pair[:-1])], minlength=len(x))
+            apart = size[x] + size[y] - 2 * common
+            linked = 1000 * (total[i:j] - apart) >= least * (total[i:j] + apart)
+            found.append(np.stack((b[x[linked]], b[y[linked]])))
+    a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys (whole numbers), whole even where they span batches."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows, and where the runs of them with equal keys (whole numbers) start; runs are whole even where they span batches."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [batch.column(k).to_numpy() for k in keys]
-        starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:]):
-            if held and any(held[-1].column(k)[0].as_py() != c[a] for k, c in zip(keys, columns)):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
+        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if held and any(held[-1].column(k)[0].as_py() != c[0] for k, c in zip(keys, columns)):
+            yield pa.Table.from_batches(held), np.zeros(1, np.int64)
+            held = []
+        if len(starts):
+            # All but the last run, which may go on.
+            first = sum(b.num_rows for b in held)
+            yield pa.Table.from_batches([*held, batch.slice(0, int(starts[-1]))]), np.concatenate(([0], first + starts[:-1]))
+            held = []
+        held.append(batch.slice(int(starts[-1]) if len(starts) else 0))
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), np.zeros(1, np.int64)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

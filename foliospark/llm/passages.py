@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import release
-from .common import LEADS, Block, Scratch, buckets_for, cut, hint_bits, hinted, may_be_among, mixed, rolling, shared_values, span_sums, text_slices, unused
+from .common import LEADS, Block, Scratch, buckets_for, cut, hint_bits, hinted, may_be_among, mixed, rolling, shared_values, text_slices, unused
 from .components import components
 from .neardup import Signer, compared, missed
 
@@ -75,8 +75,8 @@ def _units(doc_ids: pa.Array, block: Block, signer: Signer, met: set[int]) -> li
     # A paragraph ends after a word that ends a sentence, or with which its line or text ends.
     last = block.buf[block.ends - 1] if n else np.zeros(0, np.uint8)
     following = np.append(block.starts[1:], len(block.buf)) if n else block.starts
-    breaks = span_sums((block.buf == 10).view(np.uint8), block.ends, following)
-    stops = np.isin(last, np.frombuffer(b".!?", np.uint8)) | (breaks > 0)
+    lines = np.cumsum(block.buf == 10, dtype=np.int32)
+    stops = np.isin(last, np.frombuffer(b".!?", np.uint8)) | (lines[following - 1] > lines[block.ends - 1])
     begins = np.flatnonzero(np.concatenate(([True], stops[:-1]))) if n else np.zeros(0, np.int64)
     begins, sizes = _joined(begins, np.diff(np.append(begins, n)), np.isin(begins, block.first))
     hashes = block.word_hashes()
@@ -167,7 +167,7 @@ def _occurrences(docs: DataFrame, run: int, size: int, bits: np.ndarray) -> Data
 
 
 def _spans(docs: DataFrame, run: int, size: int, bits: np.ndarray) -> DataFrame:
-    """gram, run, place, span: hashes of the spans of the runs whose anchor may be among the bits; each run once in a slice of texts."""
+    """gram, run, spans: hashes of the spans, in order, of the runs whose anchor may be among the bits; each run once in a slice of texts."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -178,10 +178,11 @@ def _spans(docs: DataFrame, run: int, size: int, bits: np.ndarray) -> DataFrame:
             kept = kept[once]
             grams, first, n = grams[kept], first[kept], n[kept]
             place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            hashes = np.repeat(grams, n), np.repeat(names, n), mixed(spans[np.repeat(first, n) + place])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in hashes), _int32(place)], ["gram", "run", "span", "place"])
+            grams, names, hashes = (pa.array(x.view(np.int64)) for x in (grams, names, mixed(spans[np.repeat(first, n) + place])))
+            lists = pa.ListArray.from_arrays(_int32(np.append(0, np.cumsum(n))), hashes)
+            yield pa.RecordBatch.from_arrays([grams, names, lists], ["gram", "run", "spans"])
 
-    return docs.mapInArrow(choose, "gram long, run long, span long, place int")
+    return docs.mapInArrow(choose, "gram long, run long, spans array<long>")
 
 
 def _placed(docs: DataFrame, repeats: DataFrame, run: int) -> DataFrame:
@@ -250,7 +251,8 @@ def shared_stretches(docs: DataFrame, scratch: Scratch, buckets: int, run: int =
     open_ = scratch.keep(runs.join(anchors.where("open"), "gram").select("gram", "run", "low", "high"))
     tellers = hinted(named, "doc_id", open_.select("low").distinct())
     told = _spans(tellers, run, size, hint_bits(anchors.where("open").select("gram"))).distinct()
-    told = scratch.keep(told.join(open_, ["gram", "run"]))
+    # Runs are moved and made distinct as one row each, and only then taken apart.
+    told = scratch.keep(told.join(open_, ["gram", "run"])).select("gram", "run", "low", "high", F.posexplode("spans").alias("place", "span"))
     spans = told.groupBy("gram", "span").agg(F.min("low").alias("keeper_doc_id"), F.max("high").alias("top")).where("keeper_doc_id < top").drop("top")
     place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))
     parts = told.join(spans, ["gram", "span"]).groupBy("gram", "run", "keeper_doc_id").agg(F.bit_or(place).alias("places"))
@@ -301,7 +303,7 @@ def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMIL
         units = scratch.keep(paragraphs(docs, bands, rows))
         of = scratch.keep(_linked(units, scratch, buckets, similarity))
         release(spark)
-        labels = scratch.keep(_groups(units, of))
+        labels = scratch.keep(_groups(units, of, scratch))
         plain = hinted(units.select("doc_id", "unit", "begin", "end", "word", "n_words", "class", "check"), "class", labels.select("class"))
         repeats = plain.join(labels, ["class", "check"]).drop("class", "check").unionByName(stretches)
         order = Window.partitionBy("doc_id").orderBy("word", "n_words")
@@ -321,7 +323,8 @@ def repeated_passages(docs: DataFrame, run: int = RUN, similarity: float = SIMIL
 
 def _linked(units: DataFrame, scratch: Scratch, buckets: int, similarity: float) -> DataFrame:
     """class, check, component of the classes that share a bucket with another, of what paragraphs() returns."""
-    signed = units.where("text is not null").select("keys", "class")
+    # Those with a text: keys tell it without reading the texts.
+    signed = units.where("octet_length(keys) > 0").select("keys", "class")
 
     def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         keys = batch.column("keys")
@@ -353,11 +356,13 @@ def _linked(units: DataFrame, scratch: Scratch, buckets: int, similarity: float)
     return of.select(F.col("node").alias("class"), "component").join(texts.select(F.col("doc_id").alias("class"), "check"), "class")
 
 
-def _groups(units: DataFrame, of: DataFrame) -> DataFrame:
+def _groups(units: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame:
     """class, check, component, keeper_doc_id of the classes that several documents have, by themselves or with those linked to them."""
     classes = units.groupBy("class", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    labeled = classes.join(of, ["class", "check"], "left")
-    alone = labeled.where("component is null and low < high").select("class", "check", F.col("class").alias("component"), F.col("low").alias("keeper_doc_id"))
+    # What is read more than once is kept, without the many classes of one document; these are not sorted to find their component.
+    labeled = classes.join(of.hint("shuffle_hash"), ["class", "check"], "left").where("component is not null or low < high")
+    labeled = scratch.keep(labeled)
+    alone = labeled.where("component is null").select("class", "check", F.col("class").alias("component"), F.col("low").alias("keeper_doc_id"))
     linked = labeled.where("component is not null")
     groups = linked.groupBy("component").agg(F.min("low").alias("keeper_doc_id"), F.max("high").alias("top")).where("keeper_doc_id < top")
     return alone.union(linked.join(groups, "component").select("class", "check", "component", "keeper_doc_id"))

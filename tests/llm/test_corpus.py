@@ -335,6 +335,61 @@ def test_a_hub_of_many_near_misses():
     assert neardup._block_links(group, 0.8, 0.25) == [] and time.process_time() - began < 60
 
 
+def stars_of_few(hubs, seed=1):
+    """(a, b, n, linked, delta) of hubs with 1 to 4 members that are unlike them, and the pairs of members with similarity 0.8 or more."""
+    rng, rows, want = np.random.default_rng(seed), [], set()
+    values = lambda k: rng.integers(-(2**63), 2**63 - 1, k)
+    for a in range(0, 5 * hubs, 5):
+        hub, sets = values(30), []
+        for j in range(1 + a // 5 % 4):
+            # Every third hub's later members are like the first one, up to a few hashes.
+            own = np.concatenate((sets[0][j + 1 :], values(j + 1))) if j and a % 3 == 0 else np.concatenate((hub[:10], values(20)))
+            want |= {(a + 1 + i, a + 1 + j) for i, s in enumerate(sets) if 10 * len(np.intersect1d(s, own)) >= 8 * len(np.union1d(s, own))}
+            sets.append(own)
+            rows.append((a, a + 1 + j, 30, False, np.sort(np.setxor1d(own, hub).view(np.uint64)).view(np.int64).tolist()))
+    return rows, want
+
+
+def test_links_in_stars_of_few_members_equal_all_pairs(spark):
+    rows, want = stars_of_few(1000)
+    stars = spark.createDataFrame(rows, "a long, b long, n int, linked boolean, delta array<long>")
+    got = {tuple(sorted(r)) for r in neardup.missed(stars, 0.8).collect()}
+    assert got == want and len(want) > 300
+
+
+def test_small_blocks_are_looked_up_together(monkeypatch):
+    """Small blocks across batches and passes have the links of all pairs, without a call for each block; a large block has its own."""
+    import pyarrow as pa
+
+    rows, want = stars_of_few(500)
+    both = sorted((a, 0, 0, 0, 0, b, n, b, role, delta) for a, b, n, _, delta in rows for role in (0, 1))
+    names = [*neardup.BLOCK_KEYS, "b", "n", "component", "role", "delta"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*both[i : i + 70])], names) for i in range(0, len(both), 70)]
+    calls, whole = [], neardup._block_links
+    monkeypatch.setattr(neardup, "_block_links", lambda group, *a: calls.append(group.num_rows) or whole(group, *a))
+
+    def found():
+        return {tuple(sorted(p.values())) for part in neardup._links_of_blocks(iter(batches), 0.8) for p in part.to_pylist()}
+
+    assert found() == want and not calls
+    monkeypatch.setattr(neardup, "PASS_PAIRS", 5)
+    monkeypatch.setattr(neardup, "PASS_HASHES", 50)
+    assert found() == want and not calls
+    monkeypatch.setattr(neardup, "FEW_PAIRS", 4)
+    assert grouped(2500, found()) == grouped(2500, want) and set(calls) == {6, 8}
+
+
+def test_blocks_are_whole_across_batches():
+    import pyarrow as pa
+
+    for sizes in ([1], [3, 1, 1, 5], [1, 2, 9, 1, 1]):
+        flat = np.repeat(np.arange(len(sizes)), sizes)
+        for step in (1, 2, 4, 20):
+            batches = [pa.RecordBatch.from_arrays([pa.array(flat[i : i + step])], ["k"]) for i in range(0, len(flat), step)]
+            found = [np.split(rows.column("k").to_numpy(), starts[1:]) for rows, starts in neardup._groups(iter(batches), ["k"])]
+            assert [x.tolist() for part in found for x in part] == [[k] * n for k, n in enumerate(sizes)]
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = neardup.near_duplicates(odd, words=2).collect()
     assert len(rows) == len(DOCS)
@@ -999,6 +1054,15 @@ def test_near_passages_of_eight_words(spark):
     assert {(r.doc_id, r.keeper_doc_id) for r in found} == {(i, i - i % 2) for i in range(40)}
 
 
+def test_classes_are_counted_once(spark, docs):
+    """Groups are read from a kept table: not again from all paragraphs, as often as they are used."""
+    with lineage.Scratch(spark) as scratch:
+        units = scratch.keep(passages.paragraphs(docs))
+        of = scratch.keep(passages._linked(units, scratch, passages.buckets_for(docs), 0.8))
+        labels = passages._groups(units, of, scratch)
+        assert labels.count() and set(labels.inputFiles()).isdisjoint(units.inputFiles())
+
+
 def test_linked_paragraphs_equal_all_pairs(spark):
     """Of all pairs of unlike paragraphs with similarity 0.8 or more, found by an index of all shingles, nearly all are in one component."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
